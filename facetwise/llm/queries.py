@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import simhash
+from facetwise.llm import decontam, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -23,3 +23,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), spark)
     return out.select("doc_id", "fingerprint", "component_id")
+
+
+@_query
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), spark)
+    return out.drop("spans", "items")
+
+
+#: A-Z lower-cased, then the words of a text, as a DuckDB list.
+_WORDS = """regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+ORACLES["op2_benchmark_decontamination"] = f"""
+with item as (
+    select item_id, {_WORDS.format("coalesce(text, '')")} as w from benchmark),
+phrase as (
+    select distinct item_id, least(len(w), 13) as n,
+        array_to_string(w[i : i + least(len(w), 13) - 1], ' ') as p
+    from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from item where len(w) > 0)),
+doc as (select doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+size as (select distinct n from phrase),
+place as (
+    select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as p
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from doc, size)),
+hit as (
+    select doc_id, item_id, i, n from place join phrase using (n, p)),
+word as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hit) group by 1),
+own as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+    from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from doc left join word using (doc_id) left join own using (doc_id)
+"""
