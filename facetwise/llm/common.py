@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 import zlib
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def crc32_of(value) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode())
 
 
+class Shared:
+    """A broadcast object, pickled with the code of its class so that executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if "_value" not in self.__dict__:
+            self._value = pickle.loads(self._sent.value)
+        return self._value
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder, so that later stages neither recompute nor depend on one executor.
 

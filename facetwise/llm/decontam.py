@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetwise.llm.common import texts, words
+from facetwise.llm.common import Shared, texts, words
 
 WINDOW = 13
 SAMPLE = 16
@@ -273,7 +273,7 @@ def contamination(
     def block(k: int) -> DataFrame:
         own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
         phrases = Phrases([(r["i"], r["t"].encode("utf-8", "surrogatepass")) for r in own.toLocalIterator()], window)
-        shared = spark.sparkContext.broadcast(phrases)
+        shared = Shared(spark, phrases)
 
         def run(batches):
             yield from _scan(shared.value)(batches)
@@ -326,7 +326,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, *,
     if sum(len(t) + 16 for _, t in bench) > PHRASE_BYTES:
         bad = contamination(docs, benchmark, spark, window=window).where("contaminated").select("doc_id").distinct()
         return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-    shared = spark.sparkContext.broadcast(Phrases(bench, window))
+    shared = Shared(spark, Phrases(bench, window))
     text_at = docs.columns.index("text")
 
     def run(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontam, simhash
+from facetwise.llm import decontam, langid, licenses, simhash, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -57,3 +57,19 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
     sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from doc left join word using (doc_id) left join own using (doc_id)
 """
+
+
+@_query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.suffix_sums(tokens.histogram(_table(spark, sf_dir, "documents"), spark))
+
+
+@_query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), spark)
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs, spark), spark)
