@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontam, langid, licenses, simhash, tokens
+from facetwise.llm import decontam, langid, licenses, mixing, pii, simhash, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -73,3 +73,32 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs, spark), spark)
+
+
+@_query
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymize(_table(spark, sf_dir, "documents"))
+    return out.selectExpr("doc_id", "text", "cast(size(pii) as long) as n_found", "pii")
+
+
+@_query
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_poisson_mixing"] = """
+with recursive
+doc as (select *, coalesce(source, '') as s from documents),
+rate as (
+    select s, cast(1 as double) * (select count(*) from doc) * (cast(1 as double) / (select count(distinct s) from doc)) / count(*) as rate
+    from doc group by s),
+term as (
+    select s, rate, 0 as i, exp(-rate) as p, exp(-rate) as c from rate
+    union all
+    select s, rate, i + 1, p * rate / (i + 1), p * rate / (i + 1) + c from term where i < ceil(rate + 12 * sqrt(rate) + 24)),
+drawn as (
+    select *, cast('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) / cast(4503599627370496 as double) as u
+    from doc),
+counted as (select d.*, (select count(*) from term t where t.s = d.s and t.c <= d.u) as n from drawn d)
+select doc_id, text, lang, source, n_chars, cast(unnest(range(1, n + 1)) as integer) as mix_copy from counted
+"""
