@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontam, langid, licenses, mixing, pii, simhash, tokens
+from facetwise.llm import decontam, embeddings, langid, licenses, mixing, pii, simhash, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -102,3 +102,29 @@ drawn as (
 counted as (select d.*, (select count(*) from term t where t.s = d.s and t.c <= d.u) as n from drawn d)
 select doc_id, text, lang, source, n_chars, cast(unnest(range(1, n + 1)) as integer) as mix_copy from counted
 """
+
+
+@_query
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), spark)
+
+
+ORACLES["op10_embedding_near_dedup"] = """
+with recursive
+v as (
+    select vec_id, cast(embedding as double[]) as e from embeddings
+    where embedding is not null and len(embedding) > 0
+        and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))
+        and list_bool_or(list_transform(embedding, x -> x <> 0))),
+link as (
+    select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (
+    select vec_id as a, vec_id as b from embeddings
+    union
+    select r.a, l.b from reach r join link l on r.b = l.a),
+low as (select a, min(b) as component_id from reach group by a),
+n as (select a, count(*) as n_links from link group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, component_id = vec_id as kept
+from embeddings join low on vec_id = low.a left join n on vec_id = n.a
+"""
