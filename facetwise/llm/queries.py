@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontam, embeddings, langid, licenses, mixing, pii, simhash, tokens
+from facetwise.llm import decontam, embeddings, langid, licenses, mixing, pii, quality, simhash, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -128,3 +128,15 @@ n as (select a, count(*) as n_links from link group by a)
 select vec_id, coalesce(n_links, 0) as n_links, component_id, component_id = vec_id as kept
 from embeddings join low on vec_id = low.a left join n on vec_id = n.a
 """
+
+
+@_query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, spark)[1], spark)
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), spark), spark)
