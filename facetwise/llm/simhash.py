@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from facetwise.llm.common import Scratch, texts
 from facetwise.llm.components import components
@@ -122,8 +123,9 @@ def links(distinct_fps: DataFrame, scratch: Scratch, radius: int = RADIUS) -> Da
 def near_duplicates(
     docs: DataFrame, spark: SparkSession, *, shingle: int = 4, radius: int = RADIUS, seed: int = 42, scratch: Scratch | None = None
 ) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, fp (signed long), fingerprint (16 hex digits), component_id.
+    """One row per row of docs(doc_id, text): doc_id, fp (signed long), fingerprint (16 hex digits), component_id, root.
 
+    root is the least fingerprint of the component: its key where doc_ids repeat or are null.
     component_id is the least doc_id reachable over fingerprints at most `radius` bits apart. Null or empty texts have
     fingerprint 0 and link like any other; rows with equal texts always share a component; repeated doc_ids are one
     vertex per fingerprint; a null doc_id takes part but is never a component_id unless nothing else is there. An empty
@@ -137,8 +139,39 @@ def near_duplicates(
         least["fp"], "least", F.coalesce("root", least["fp"]).alias("root")
     )
     low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(low, "root").select("fp", "component_id")
+    of = rooted.join(low, "root").select("fp", "component_id", "root")
     out = prints.join(of, "fp")
     return out.select(
-        F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
     )
+
+
+def keep_one(docs: DataFrame, spark: SparkSession, *, shingle: int = 4, radius: int = RADIUS, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
+    """One row of docs for each component, with its columns: the row with the least doc_id (null last).
+
+    Of rows with that doc_id in one component the one with the least fingerprint stays, then the one with the least text.
+    """
+    scratch = scratch or Scratch(spark)
+    found = near_duplicates(docs, spark, shingle=shingle, radius=radius, seed=seed, scratch=scratch).select("doc_id", "fp", "root")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")
+    winner = found.groupBy("root").agg(best).select(F.col("w.doc_id").alias("dedup_id"), F.col("w.fp").alias("dedup_fp"))
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("dedup_rows"))
+    winner = winner.join(rows, F.col("dedup_id").eqNullSafe(F.col("doc_id"))).drop("doc_id")
+    winner = scratch.cut(winner)
+    names = [f"`{c}`" for c in docs.columns]
+    here = docs["doc_id"].eqNullSafe(F.col("dedup_id"))
+    one = docs.join(winner.where("dedup_rows = 1").select("dedup_id"), here, "left_semi")
+    # Ids of several rows are told apart by fingerprint and then by text.
+    several = docs.join(winner.where("dedup_rows > 1").select("dedup_id").distinct(), here, "left_semi")
+    whole = several.select(F.struct(*names).alias("dedup_row"), "doc_id", "text")
+    schema = StructType([*whole.schema.fields, StructField("own_fp", LongType())])
+
+    def add(batches):
+        for b in batches:
+            fp = np.array([fingerprint(t, shingle, seed) for t in texts(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "own_fp"])
+
+    whole = whole.mapInArrow(add, schema)
+    mine = whole.join(winner.where("dedup_rows > 1"), F.col("doc_id").eqNullSafe(F.col("dedup_id")) & (F.col("own_fp") == F.col("dedup_fp")))
+    mine = mine.groupBy("doc_id", "own_fp").agg(F.min_by("dedup_row", F.coalesce("text", F.lit(""))).alias("dedup_row"))
+    return one.unionAll(mine.select("dedup_row.*"))
