@@ -1 +1 @@
-"""."""
+"""Column builders: geometry of triangles and surfaces, metrics and scores."""

@@ -1,4 +1,6 @@
 """Every query of the library and its SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from facetwise.plans import mesh_queries  # noqa: F401
+from facetwise.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1 +1 @@
-"""."""
+"""Run records as a stream."""
