@@ -10,6 +10,10 @@ it at most D_b / 2 and asks in the other's cell: each vector asks exactly the ce
 pair is counted once: in its first block in range, by the cheaper asker. Every candidate is verified by its cosine in
 double precision.
 
+How many bits pay is estimated for each block on SAMPLE vectors: more bits compare fewer pairs but send every vector to
+more cells. Vectors without any structure (independent coordinates) reach most cells whatever the cut, so on them the
+exact join stays close to comparing all; on clustered ones the cells separate.
+
 Equal vectors are one class throughout. Cells with more than CELL_CAP vectors or askers are split, so a task holds at
 most that many of each, and tasks return sums and spanning links, never all pairs.
 """
@@ -28,8 +32,10 @@ from facetwise.llm.components import components
 
 THRESHOLD = 0.9
 BLOCK_DIM = 16
-CELL = 64
-CELL_CAP = 2048
+CELL_CAP = 16_384
+SAMPLE = 256
+#: Relative costs of sending a vector to a cell and of comparing a pair there.
+SEND, COMPARE = 2000.0, 1.0
 HOT_CELLS = 10_000
 SLACK = 1e-9
 
@@ -56,11 +62,21 @@ def rotated(x: np.ndarray) -> np.ndarray:
 class Plan:
     """Blocks, budgets and cells for vectors of one dimension."""
 
-    def __init__(self, dim: int, bits: int, threshold: float):
+    def __init__(self, dim: int, n: int, sample: np.ndarray, threshold: float):
+        """n vectors, of which sample are some, rotated."""
         width = 1 << max(0, (dim - 1).bit_length())
         self.cuts = [c for c in np.array_split(np.arange(width), max(1, round(width / BLOCK_DIM)))]
         self.budget = [(2 - 2 * threshold) * len(c) / width + SLACK for c in self.cuts]
-        self.bits = [min(bits, len(c)) for c in self.cuts]
+        self.bits = [0] * len(self.cuts)
+        for b, cut in enumerate(self.cuts):
+            cost = []
+            for bits in range(min(len(cut), max(0, math.ceil(math.log2(max(1, n))))) + 1):
+                self.bits[b] = bits
+                if bits > 12 and cost[-1] > cost[-2]:
+                    break
+                asks = len(self.asks(sample, b)[0]) / max(1, len(sample))
+                cost.append(n * asks * SEND + n * n * asks / 2**bits * COMPARE)
+            self.bits[b] = int(np.argmin(cost))
 
     def lead(self, y: np.ndarray, b: int) -> np.ndarray:
         return y[:, self.cuts[b][: self.bits[b]]]
@@ -84,9 +100,10 @@ class Plan:
     def pairs(self, p: np.ndarray, h: np.ndarray, pid: np.ndarray, hid: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
         """(asker, vector) of a cell that are in range first in block b and fall to this asker."""
         cut = self.cuts[b]
-        ps, hs = p[:, cut], h[:, cut]
-        far = (ps**2).sum(1)[:, None] + (hs**2).sum(1)[None] - 2 * ps @ hs.T
-        i, j = np.nonzero(far <= self.budget[b] + 1e-6)
+        ps, hs = p[:, cut].astype(np.float32), h[:, cut].astype(np.float32)
+        # |p|^2 + |h|^2 - 2 p h <= budget, in one product; rounding is far under the margin
+        near = np.hstack([ps, np.ones((len(ps), 1), np.float32)]) @ np.hstack([hs, -0.5 * (hs**2).sum(1, keepdims=True)]).T
+        i, j = np.nonzero(near >= (0.5 * ((ps**2).sum(1) - self.budget[b]) - 1e-4)[:, None])
         keep = pid[i] != hid[j]
         i, j = i[keep], j[keep]
         for c in range(b + 1):
@@ -100,6 +117,28 @@ class Plan:
         return i[keep], j[keep]
 
 
+def _counted(plans: dict[int, Plan]):
+    """Class rows (vec) to counts of cells: dim, block, cell, vectors and askers."""
+
+    def run(batches):
+        for batch in batches:
+            vec = batch.column(0)
+            size = np.diff(vec.offsets.to_numpy())
+            for dim in np.unique(size):
+                own = batch.filter(pa.array(size == dim))
+                y, plan = rotated(own.column(0).flatten().to_numpy().astype(np.float64).reshape(-1, dim)), plans[int(dim)]
+                for b in range(len(plan.cuts)):
+                    n = 1 << plan.bits[b]
+                    h, p = np.bincount(plan.home(y, b), minlength=n), np.bincount(plan.asks(y, b)[1], minlength=n)
+                    full = np.flatnonzero(h + p)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(full), dim, np.int32)), pa.array(np.full(len(full), b, np.int32)), pa.array(full), pa.array(h[full]), pa.array(p[full])],
+                        ["dim", "b", "cell", "h", "p"],
+                    )
+
+    return run
+
+
 def _spread(plans: dict[int, Plan]):
     """Class rows (cls, n, vec) to rows of cells: dim, block, cell, asks, cls, n, vec."""
 
@@ -229,15 +268,18 @@ def near_duplicates(
     classes = rows.where(ok).groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     classes = scratch.cut(classes.withColumn("cls", F.monotonically_increasing_id()))
     sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("vec").alias("d")).count().collect()}
-    bits = {d: min(BLOCK_DIM, max(0, math.ceil(math.log2(max(1, n / CELL))))) for d, n in sizes.items()}
-    plans = {d: Plan(d, bits[d], threshold) for d in sizes}
+    plans = {}
+    for d, n in sizes.items():
+        some = classes.where(F.size("vec") == d).orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").collect()
+        plans[d] = Plan(d, n, rotated(np.array([r["vec"] for r in some], float)), threshold)
     kind = classes.schema["vec"].dataType.simpleString()
     dealt = classes.select("cls", "n", "vec").mapInArrow(_spread(plans), f"dim int, b int, cell long, asks boolean, cls long, n long, vec {kind}")
     at = ["dim", "b", "cell"]
-    counts = dealt.groupBy(*at).agg(F.count_if(~F.col("asks")).alias("h"), F.count_if("asks").alias("p"))
+    counts = classes.select("vec").mapInArrow(_counted(plans), "dim int, b int, cell long, h long, p long")
+    counts = scratch.cut(counts.groupBy(*at).agg(F.sum("h").alias("h"), F.sum("p").alias("p")))
     if sizes:
-        # Counting needs the cells alone: at most HOT_CELLS of them can be over the cap, so these are broadcast.
-        cap = max(CELL_CAP, sum(sizes.values()) * 64 // HOT_CELLS)
+        total = counts.agg(F.sum(F.col("h") + F.col("p"))).first()[0]
+        cap = max(CELL_CAP, total // HOT_CELLS)  # so that at most HOT_CELLS cells are over it
         hot = counts.where(f"h > {cap} or p > {cap}").select(*at, F.ceil(F.col("h") / cap).cast("int").alias("hs"), F.ceil(F.col("p") / cap).cast("int").alias("ps"))
         dealt = dealt.join(F.broadcast(scratch.cut(hot)), at, "left")
         part = "cast(pmod(xxhash64(cls), {0}) as int)".format
