@@ -209,6 +209,7 @@ def match_snapshots(old: DataFrame, new: DataFrame, frames: DataFrame, rel: floa
     """
     scale = frames.select("model", "scale")
     o, n = old.join(scale, "model"), new.join(scale, "model")
+    n = n.toDF(*n.columns)  # both snapshots may come from one table
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         either = left if len(left) else right
