@@ -119,7 +119,7 @@ def closure(edges: DataFrame, spark: SparkSession, *, up: bool = False, depth: i
 def descendants(edges: DataFrame, alive: DataFrame, spark: SparkSession) -> DataFrame:
     """(node, reached): live entities below each node, itself included if live."""
     own = alive.select(F.col("pid").alias("node"), F.col("pid").alias("reached"))
-    return closure(edges, spark).join(alive.select(F.col("pid").alias("reached")), "reached", "left_semi").unionByName(own).distinct()
+    return closure(edges, spark).join(alive.select(F.col("pid").alias("reached")), "reached", "left_semi").select("node", "reached").unionByName(own).distinct()
 
 
 MATCH_SCHEMA = "model string, relation string, dim int, new_tags array<long>, old_pids array<string>, mass_ratio double"
@@ -214,8 +214,8 @@ def match_snapshots(old: DataFrame, new: DataFrame, frames: DataFrame, rel: floa
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         either = left if len(left) else right
         tol = rel * float(either["scale"].iloc[0])
-        olds = [_Box(r) for r in left.to_dict("records")]
-        news = [_Box({**r, "pid": None}) for r in right.to_dict("records")]
+        olds = sorted((_Box(r) for r in left.to_dict("records")), key=lambda x: x.key)
+        news = sorted((_Box({**r, "pid": None}) for r in right.to_dict("records")), key=lambda x: x.tag)
         rows = []
         for dim in sorted({x.dim for x in olds + news}):
             found = _match_dimension([x for x in olds if x.dim == dim], [x for x in news if x.dim == dim], tol, rel)
