@@ -114,8 +114,8 @@ with recursive
 v as (
     select vec_id, cast(embedding as double[]) as e from embeddings
     where embedding is not null and len(embedding) > 0
-        and list_bool_and(list_transform(embedding, x -> x is not null and isfinite(x)))
-        and list_bool_or(list_transform(embedding, x -> x <> 0))),
+        and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+        and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
 link as (
     select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
     where list_cosine_similarity(a.e, b.e) >= 0.9),

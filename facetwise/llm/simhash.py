@@ -160,7 +160,8 @@ def keep_one(docs: DataFrame, spark: SparkSession, *, shingle: int = 4, radius:
     winner = scratch.cut(winner)
     names = [f"`{c}`" for c in docs.columns]
     here = docs["doc_id"].eqNullSafe(F.col("dedup_id"))
-    one = docs.join(winner.where("dedup_rows = 1").select("dedup_id"), here, "left_semi")
+    # The winners grow with the documents: the join is the same at every size, and never a broadcast.
+    one = docs.join(winner.where("dedup_rows = 1").select("dedup_id").hint("merge"), here, "left_semi")
     # Ids of several rows are told apart by fingerprint and then by text.
     several = docs.join(winner.where("dedup_rows > 1").select("dedup_id").distinct(), here, "left_semi")
     whole = several.select(F.struct(*names).alias("dedup_row"), "doc_id", "text")
