@@ -94,18 +94,20 @@ def signatures(samples: DataFrame) -> DataFrame:
 def cone_rays(triangles: DataFrame, half_angle: float = 0.12, offset: float = 0.0) -> DataFrame:
     """(mesh_id, tri, ray, ox .. oz, dx .. dz): five rays into the body from each centroid, the axis and four around it."""
     a, b, c = G.point("a"), G.point("b"), G.point("c")
-    n = tuple(-x for x in G.normal(a, b, c))
-    e1 = G.unit(G.sub(b, a))
-    e2 = G.cross(n, e1)
+    put = lambda df, name, v: df.withColumns({f"{name}{k}": x for k, x in zip("xyz", v, strict=True)})
+    # One frame after the other, so that each is computed once: the inward normal, an edge, and what is across both.
+    t = put(triangles, "_w", G.cross(G.sub(c, a), G.sub(b, a)))
+    t = put(put(t, "_n", G.unit(G.point("_w"))), "_e", G.unit(G.sub(b, a)))
+    t = put(put(t, "_f", G.cross(G.point("_n"), G.point("_e"))), "_g", G.centroid(a, b, c))
+    n, e1, e2, g = (G.point(k) for k in ("_n", "_e", "_f", "_g"))
     cos, sin = math.cos(half_angle), math.sin(half_angle)
-    around = [(0.0, 0.0)] + [(math.cos(k * math.pi / 2), math.sin(k * math.pi / 2)) for k in range(4)]
-    g = G.centroid(a, b, c)
+    origin = tuple(p + q * offset for p, q in zip(g, n, strict=True))
     rows = []
-    for k, (x, y) in enumerate(around):
-        d = n if k == 0 else tuple(p * cos + (q * x + r * y) * sin for p, q, r in zip(n, e1, e2, strict=True))
-        o = tuple(p + q * offset for p, q in zip(g, n, strict=True))
-        rows.append(F.struct(F.lit(k).alias("k"), *(v.alias(m) for v, m in zip((*o, *d), ("ox", "oy", "oz", "dx", "dy", "dz"), strict=True))))
-    return triangles.select("mesh_id", "tri", F.inline(F.array(*rows))).withColumn("ray", F.col("tri") * 5 + F.col("k")).drop("k")
+    for k in range(5):
+        x, y = (math.cos(k * math.pi / 2) * sin, math.sin(k * math.pi / 2) * sin) if k else (0.0, 0.0)
+        d = n if k == 0 else tuple(p * cos + q * x + r * y for p, q, r in zip(n, e1, e2, strict=True))
+        rows.append(F.struct(F.lit(k).alias("k"), *(v.alias(m) for v, m in zip((*origin, *d), ("ox", "oy", "oz", "dx", "dy", "dz"), strict=True))))
+    return t.select("mesh_id", "tri", F.inline(F.array(*rows))).withColumn("ray", F.col("tri") * 5 + F.col("k")).drop("k")
 
 
 def drop_repeats(nodes: DataFrame, tol: float = 1e-12) -> DataFrame:
