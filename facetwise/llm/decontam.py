@@ -319,13 +319,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, *,
 
     The scan passes whole rows through, so documents are neither joined nor shuffled. Null ids and texts stay.
     """
-    bench = [
-        (r["i"], (r["t"] or "").encode("utf-8", "surrogatepass"))
-        for r in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).toLocalIterator()
-    ]
-    if sum(len(t) + 16 for _, t in bench) > PHRASE_BYTES:
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
+    if items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0] > PHRASE_BYTES:
         bad = contamination(docs, benchmark, spark, window=window).where("contaminated").select("doc_id").distinct()
         return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bench = [(r["i"], r["t"].encode("utf-8", "surrogatepass")) for r in items.toLocalIterator()]
     shared = Shared(spark, Phrases(bench, window))
     text_at = docs.columns.index("text")
 

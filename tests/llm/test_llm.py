@@ -435,3 +435,44 @@ def test_pipeline_is_its_stages(spark):
     assert kept == sorted(kept[:4], reverse=True) + kept[4:] and kept[3] == kept[2] and kept[0] > 100
     want = Counter(tuple(r) for r in docs.collect())
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == want
+
+
+def test_pipeline_by_brute_force(spark):
+    """Which documents come out, and how often, by plain loops over the rows."""
+    import corpus_pipeline
+
+    rows = [r.asDict() for r in documents(spark).collect()]
+    scorer = quality.train(documents(spark), spark)[1]
+    rows = [r for r in rows if scorer.score(r["text"].encode()) >= 0.5]
+    fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows}
+    root = reach([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4], fps)
+    rows = [r for r in rows if root[r["doc_id"]] == r["doc_id"]]
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(r["text"].encode())
+        windows |= {tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))} - {()}
+
+    def hit(text):
+        w, found = words(text.encode()), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    found.update(range(k, k + n))
+        return found and 20 * len(found) >= len(w)
+
+    rows = [r for r in rows if not hit(r["text"])]
+    per, want = Counter(r["source"] for r in rows), Counter()
+    for r in rows:
+        rate = len(rows) * (1 / len(per)) / per[r["source"]]
+        u = int(hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        p = c = math.exp(-rate)
+        while c <= u:
+            want[r["doc_id"]] += 1
+            p *= rate / want[r["doc_id"]]
+            c += p
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r["doc_id"] for r in out) == want and all(r["n_chars"] == len(r["text"]) for r in out)
+    text = {r["doc_id"]: r["text"] for r in rows}
+    digits = lambda t: "".join("9" if c.isdigit() else c for c in t)
+    plain = [r for r in out if "@" not in text[r["doc_id"]] and "token" not in text[r["doc_id"]].lower() and "." not in digits(text[r["doc_id"]]).replace(". ", "")]
+    assert all(digits(r["text"]) == digits(text[r["doc_id"]]) for r in plain)
