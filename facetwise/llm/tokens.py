@@ -20,7 +20,7 @@ from facetwise.llm.common import Shared
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK = 4096
+BLOCK = 256
 VOCABULARY_BYTES = 64_000_000
 
 
