@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetwise.llm.common import Shared
+from facetwise.llm.common import Scratch, Shared
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pre-tokenisation pattern of this vocabulary.
@@ -63,7 +63,8 @@ def histogram(docs: DataFrame, spark: SparkSession, *, path: str = VOCABULARY) -
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["n_tokens", "n"])
 
     parts = docs.select(F.col("text").cast("string")).mapInArrow(run, "n_tokens long, n long")
-    return parts.groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    # Written, as it is small and read more than once: the texts are encoded once.
+    return Scratch(spark).cut(parts.groupBy("n_tokens").agg(F.sum("n").alias("n_docs")))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
