@@ -3,7 +3,8 @@
 Source s with share c_s of the rows and target weight w_s gets the mean repetition rate size * w_s / c_s. Each document
 draws its number of copies by inverting the Poisson distribution at a uniform number hashed from seed and doc_id, is
 exploded by that number (never collected), and the copies are dealt out and sorted by another hash: a global shuffle that
-does not depend on the input order. Rates are one row a source; they are broadcast only if there are at most
+does not depend on the input order. A rate over PART is the sum of equal parts up to PART, drawn from hashes of their own:
+a sum of independent Poisson numbers is Poisson with the sum of their means, and no exp(-rate) underflows. Rates are one row a source; they are broadcast only if there are at most
 BROADCAST_SOURCES of them.
 """
 
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 
 SEED = "mix-1"
 BROADCAST_SOURCES = 10_000
+#: Larger means are drawn in parts.
+PART = 700
 #: The distribution is tabulated so far beyond the mean; beyond, the probability is under 1e-18.
-TAIL = "cast(ceil(rate + 12 * sqrt(rate) + 24) as int)"
+TAIL = "cast(ceil(part + 12 * sqrt(part) + 24) as int)"
+#: Copies are numbered in blocks, so that no array grows with the rate.
+COPIES = 4096
 
 
 def uniform(seed: str, *parts: str) -> str:
@@ -25,7 +30,9 @@ def uniform(seed: str, *parts: str) -> str:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, size: float = 1.0) -> tuple[DataFrame, int]:
-    """(mix_source, n, rate, cdf) and the number of its rows: sources get the share that weights give them, or equal shares, of size * rows.
+    """(mix_source, n, rate, parts, cdf) and the number of its rows: sources get the share that weights give them, or equal shares, of size * rows.
+
+    cdf is the distribution of one of `parts` draws with equal means.
 
     Sources without a weight get none; null is a source of its own, named ''. Weights need not sum to 1.
     """
@@ -42,30 +49,35 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, *, size: flo
         rate = F.lit(float(size)) * F.lit(float(total)) * (F.col("w") / F.lit(float(weight))) / F.col("n")
     else:
         rate = F.lit(0.0)
-    rated = counts.withColumn("rate", rate)
-    mass = "transform(sequence(0, top), i -> aggregate(sequence(0, i), exp(-rate), (p, j) -> if(j = 0, p, p * rate / j)))"
-    rated = rated.withColumn("top", F.expr(TAIL)).withColumn("mass", F.expr(mass))
-    cdf = "aggregate(mass, cast(array() as array<double>), (c, p) -> concat(c, array(p + if(size(c) = 0, 0.0D, element_at(c, -1)))))"
-    return rated.select("mix_source", "n", "rate", F.expr(cdf).alias("cdf")), sources
+    rated = counts.withColumn("rate", rate).withColumn("parts", F.expr(f"greatest(1L, cast(ceil(rate / {PART}) as bigint))"))
+    rated = rated.withColumn("part", F.expr("rate / parts")).withColumn("top", F.expr(TAIL))
+    first = "named_struct('p', exp(-part), 'c', array(exp(-part)))"
+    step = "named_struct('p', s.p * part / i, 'c', concat(s.c, array(s.p * part / i + element_at(s.c, -1))))"
+    cdf = f"aggregate(sequence(1, top), {first}, (s, i) -> {step}, s -> s.c)"
+    return rated.select("mix_source", "n", "rate", "parts", F.expr(cdf).alias("cdf")), sources
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, *, size: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs with every row repeated by its draw, in a globally shuffled order; a column mix_copy counts from 1.
 
     Rows with equal doc_id draw alike (null doc_id draws as the empty text). No rows, or weights that match no source,
-    give no rows. Columns named mix_copy, mix_source, mix_u or mix_n are replaced. Rates over 700 are refused.
+    give no rows. Columns named mix_copy, mix_source, mix_u or mix_n are replaced. Any rate is
+    drawn exactly; mix_copy is an int, so a row has at most 2^31 - 1 copies.
     """
     docs = docs.drop("mix_copy", "mix_source", "mix_u", "mix_n")
     rate, sources = rates(docs, weights, size=size)
     if sources <= BROADCAST_SOURCES:
         rate = F.broadcast(rate)
+    table = rate.select("mix_source", F.col("parts").alias("__mix_parts"), F.col("cdf").alias("__mix_cdf"))
+    several = f"aggregate(sequence(1L, __mix_parts), 0L, (n, j) -> n + size(filter(__mix_cdf, c -> c <= {uniform(seed + '/part', 'j', 'doc_id')})))"
     drawn = (
         docs.withColumn("mix_source", F.coalesce(F.col("source"), F.lit("")))
-        .join(rate.select("mix_source", F.col("rate").alias("mix_rate"), F.col("cdf").alias("mix_cdf")), "mix_source")
+        .join(table, "mix_source")
         .withColumn("mix_u", F.expr(uniform(seed, "doc_id")))
-        .withColumn("mix_n", F.expr("if(mix_rate > 700, raise_error('mean repetition over 700'), size(filter(mix_cdf, c -> c <= mix_u)))"))
+        .withColumn("mix_n", F.expr(f"if(__mix_parts = 1, cast(size(filter(__mix_cdf, c -> c <= mix_u)) as bigint), {several})"))
         .where("mix_n > 0")
-        .withColumn("mix_copy", F.explode(F.expr("sequence(1, mix_n)")))
+        .withColumn("__mix_block", F.explode(F.expr(f"sequence(0L, (mix_n - 1) div {COPIES})")))
+        .withColumn("mix_copy", F.explode(F.expr(f"sequence(cast(__mix_block * {COPIES} + 1 as int), cast(least(mix_n, (__mix_block + 1) * {COPIES}) as int))")))
     )
     order = F.md5(F.concat(F.lit(seed + "/order:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("mix_copy").cast("string")))
     out = drawn.withColumn("mix_order", order).repartition("mix_order").sortWithinPartitions("mix_order")

@@ -289,6 +289,28 @@ def test_mixing(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_of_rare_sources(spark):
+    """One row among many thousands: its rate is drawn in parts, which follow the inverted distribution."""
+    rows = [(k, "t", "big") for k in range(30_000)] + [(100_000, "t", None)] + [(200_000 + k, "t", "few") for k in range(20)]
+    out = mixing.replicate(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    n = {r["doc_id"]: (r["n"], r["low"], r["high"], r["kinds"]) for r in out.where("source is null or source = 'few'").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.min("mix_copy").alias("low"), F.max("mix_copy").alias("high"), F.countDistinct("mix_copy").alias("kinds")).collect()}
+    for doc_id, rate in ((100_000, len(rows) / 3), (200_003, len(rows) / 60)):
+        parts, total = math.ceil(rate / 700), 0
+        for j in range(1, parts + 1):
+            u = int(hashlib.md5((f"mix-1/part:{j}:{doc_id}" if parts > 1 else f"mix-1:{doc_id}").encode()).hexdigest()[:13], 16) / 2**52
+            p = c = math.exp(-rate / parts)
+            k = 0
+            while c <= u:
+                k += 1
+                p *= rate / parts / k
+                c += p
+            total += k
+        assert n[doc_id] == (total, 1, total, total) and abs(total - rate) < 5 * math.sqrt(rate)
+    few = [n[200_000 + k][0] for k in range(20)]
+    assert abs(np.mean(few) - len(rows) / 60) < 5 * math.sqrt(len(rows) / 60 / 20)
+
+
 # ---- 7 ----
 
 
