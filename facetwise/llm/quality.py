@@ -35,7 +35,12 @@ LABELLERS = (
     ("plain_words", 0.6, 0.9),
     ("fresh_words", 0.7, 0.9),
 )
-MIN_WORDS = 20
+#: Shares of few things say little: on texts of under SHORT words a labeller votes from so many words, letters or bytes on.
+SHORT = 20
+LEAST = {
+    "upper_share": ("letters", 20), "bare_marks": ("words", 5), "repeated_next": ("words", 6), "distinct_share": ("words", 6), "mean_word": ("inner", 100),
+    "line_repeats": ("words", 6), "plain_words": ("words", 4), "fresh_words": ("words", 6),
+}
 
 _CLASS = np.zeros(256, np.int64)
 for _lo, _hi, _c in ((97, 122, 1), (128, 255, 1), (65, 90, 2), (48, 57, 3), (32, 32, 4), (10, 10, 5), (46, 46, 6), (44, 44, 7)):
@@ -52,10 +57,10 @@ _KINDS = 20
 
 
 def statistics(text: bytes) -> dict[str, float] | None:
-    """What the labellers look at; None for texts of under MIN_WORDS words."""
+    """What the labellers look at, and how much of it there is; None for texts without words."""
     w = text.split()
     n = len(w)
-    if n < MIN_WORDS:
+    if not n:
         return None
     c = np.frombuffer(text, np.uint8)
     inner = ~_SPACE[c]
@@ -64,7 +69,7 @@ def statistics(text: bytes) -> dict[str, float] | None:
     end, before = c[last], np.where(last > first, c[last - 1], 0)
     letters, upper = int(_LETTER[c].sum()), int(_UPPER[c].sum())
     lines = [x for x in text.split(b"\n") if x]
-    repeated = sum(map(bytes.__eq__, w, w[1:])) / (n - 1)
+    repeated = sum(map(bytes.__eq__, w, w[1:])) / max(1, n - 1)
     return {
         "upper_share": upper / max(1, letters),
         "symbol_words": float((_STRONG[end] & _STRONG[before]).sum()) / n,
@@ -76,6 +81,9 @@ def statistics(text: bytes) -> dict[str, float] | None:
         "packed_share": len(zlib.compress(text, 1)) / len(text),
         "plain_words": float((_LETTER[end] | (_TAIL[end] & _LETTER[before])).sum()) / n,
         "fresh_words": 1 - repeated,
+        "words": n,
+        "letters": letters,
+        "inner": int(inner.sum()),
     }
 
 
@@ -86,7 +94,10 @@ def votes(stats: dict[str, float] | None) -> str:
     out = []
     for name, bad, good in LABELLERS:
         x = stats[name]
-        if good is None:  # a negative limit: low is bad
+        of, least = LEAST.get(name, ("words", 1))
+        if stats["words"] < SHORT and stats[of] < least:
+            out.append("-")
+        elif good is None:  # a negative limit: low is bad
             out.append("b" if (x >= bad if bad > 0 else x <= -bad) else "-")
         else:
             out.append("b" if x <= bad else "g" if x >= good else "-")
@@ -147,7 +158,7 @@ class Scorer:
 
     def score(self, text: bytes) -> float:
         stats = statistics(text)
-        if self.w is None or stats is None:  # too short to judge
+        if self.w is None or stats is None:  # nothing to judge
             return 1.0
         return float(1 / (1 + np.exp(-np.clip(features(text, stats) @ self.w, -50, 50))))
 
@@ -189,8 +200,7 @@ def train(docs: DataFrame, spark: SparkSession, *, rows: int = TRAIN_ROWS) -> tu
 def scores(docs: DataFrame, scorer: Scorer, spark: SparkSession, *, below: float = REJECT_BELOW) -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1, higher is better), rejected (score < below).
 
-    Null and empty texts and texts of under MIN_WORDS words score 1: there is nothing to judge. Repeated rows score
-    alike; other columns are not read; an empty table gives no rows.
+    Null and empty texts and texts without words score 1: there is nothing to judge. Repeated rows score alike; other columns are not read; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = Shared(spark, scorer)

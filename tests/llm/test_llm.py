@@ -367,6 +367,18 @@ def test_quality(spark):
     assert quality.scores(odd(spark), none, spark).where("rejected").count() == 0
 
 
+def test_quality_of_short_texts(spark):
+    """Texts of few words are judged; only those without words score 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    _, scorer = quality.train(docs, spark)
+    for text in ("Of Of erinly erinly this this and and thti, thti, onst onst", "Reon*** haeand$$$ and&&& ererti$$$ reorsh$$$", "heitieau | enenst. | Schkeittz |"):
+        assert scorer.score(text.encode()) < 0.5, text
+    for text in ("one", "Hello world.", "The thing and that."):
+        assert 0.5 <= scorer.score(text.encode()) < 1, text
+    assert scorer.score(b"") == scorer.score(b" \n ") == 1
+    assert quality.votes(quality.statistics(b"ab" * 500_000))[5] == "b" and quality.votes(quality.statistics(b"one")).strip("-") == ""
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(20_000) < 0.8
