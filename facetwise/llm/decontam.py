@@ -317,12 +317,19 @@ def _in_blocks(source: DataFrame, runs: list, kind: str) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, *, window: int = WINDOW) -> DataFrame:
     """The rows of docs that the contamination rule doesn't reject, with their columns.
 
-    The scan passes whole rows through, so documents are neither joined nor shuffled. Null ids and texts stay.
+    Each row is judged by itself, whatever its id; null ids and texts stay. The scan passes whole rows through, so
+    documents are neither joined nor shuffled; with several benchmark blocks, the rows to reject are told apart by id,
+    text hash and length.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     if items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0] > PHRASE_BYTES:
-        bad = contamination(docs, benchmark, spark, window=window).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        text = F.col("text").cast("string")
+        own = (F.col("doc_id"), F.xxhash64(text), F.length(text))
+        row = F.struct(*(c.alias(k) for k, c in zip(("bad_id", "bad_hash", "bad_length"), own, strict=True)))
+        bad = contamination(docs.select(row.alias("row"), "text"), benchmark, spark, key="row", window=window)
+        bad = bad.where("contaminated").select("row.*").distinct()
+        on = [c.eqNullSafe(F.col(k)) for k, c in zip(("bad_id", "bad_hash", "bad_length"), own, strict=True)]
+        return docs.join(bad, on, "left_anti")
     bench = [(r["i"], r["t"].encode("utf-8", "surrogatepass")) for r in items.toLocalIterator()]
     shared = Shared(spark, Phrases(bench, window))
     text_at = docs.columns.index("text")

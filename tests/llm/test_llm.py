@@ -125,6 +125,17 @@ def test_contamination(spark, monkeypatch):
     assert decontam.contamination(docs.limit(0), bench, spark).count() == 0
 
 
+def test_decontaminate_judges_rows(spark, monkeypatch):
+    """A contaminated row takes no other row of its doc_id along, and null ids are no group, with several blocks too."""
+    bad, clean = "see a b c d e f g h i j k l m n o", "nothing of that kind"
+    rows = [(1, bad, "x"), (1, clean, "x"), (1, clean, "x"), (None, bad, "y"), (None, clean, "y"), (None, None, "z"), (2, clean, "z"), (3, bad, "z"), (3, bad, "z")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string, row string"), spark.createDataFrame(BENCH, "item_id long, text string")
+    got = lambda: Counter(tuple(r) for r in decontam.decontaminate(docs, bench, spark).collect())
+    assert got() == Counter(r for r in rows if r[1] != bad)
+    monkeypatch.setattr(decontam, "PHRASE_BYTES", 60)
+    assert got() == Counter(r for r in rows if r[1] != bad)
+
+
 def test_fm_index_finds_every_place():
     rng = np.random.default_rng(5)
     for n, v in ((1, 1), (50, 2), (400, 3), (3000, 40)):
