@@ -37,8 +37,8 @@ _DIGITS = {
 #: Kinds by pattern, without capturing groups; of two that match at a place the earlier one counts.
 PATTERNS = {
     "email": rf"(?<![^{_OTHER}])[^{_OTHER}]{{1,128}}+@[^{_OTHER}.]{{1,63}}(?:\.[^\W_]{{1,63}})+",
-    "secret": rf"{_ASSIGNED}[^\s\"']{{8,256}}(?=[\"'])"
-    rf"|(?=[0-9a-fA-Fgs]){_EDGE}(?:[0-9a-fA-F]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[0-9A-Za-z]{{36}}|sk-[0-9A-Za-z]{{20,64}}){_END}",
+    "secret": rf"{_ASSIGNED}[^\s\"']{{8,}}+(?=[\"'])"
+    rf"|(?=[0-9a-fA-Fgs]){_EDGE}(?:[0-9a-fA-F]{{32,}}+|AKIA[0-9A-Z]{{16}}|gh[pousr]_[0-9A-Za-z]{{36}}|sk-[0-9A-Za-z]{{20,}}+){_END}",
     **{k: rf"(?=[0-9]){_EDGE}{p}{_END}" for k, p in _DIGITS.items()},
 }
 PATTERNS["phone"] += rf"|\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}{_END}|\+[0-9]{{11,14}}{_END}|\([0-9]{{3}}\) ?[0-9]{{3}}[ .-][0-9]{{4}}{_END}"
@@ -150,10 +150,10 @@ def _email(x: str, key: str) -> str:
 
 
 def _secret(x: str, key: str) -> str:
-    """The digest of what follows a name and a quote, or of the whole."""
+    """The digest of what follows a name and a quote, or of the whole, repeated to its length."""
     name = f"regexp_extract({x}, {_lit('^' + _ASSIGNED)}, 0)"
     digest = f"sha2(concat({_lit(key)}, '/secret/', y), 512)"
-    text = f"substr(concat({digest}, {digest}), 1, length(y))"
+    text = f"substr(repeat({digest}, cast(length(y) div 128 as int) + 1), 1, length(y))"
     image = f"if(y = upper(y), upper({text}), {text})"
     return _let("a", name, _let("y", f"substr({x}, length(a) + 1)", f"concat(a, {image})"))
 

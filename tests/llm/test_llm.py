@@ -240,6 +240,17 @@ def test_pii_odd_rows(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_long_secrets(spark):
+    """No secret is too long: none of it stays in clear text, and its length stays."""
+    rng = random.Random(4)
+    jwt, code, key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnop_-.", k=5000)), "".join(rng.choices("0123456789abcdef", k=200)), "".join(rng.choices("ghijklmnopqrstuv", k=90))
+    values = [f'token = "{jwt}" end', f"x {code} end", f"x sk-{key} end"]
+    out = pseudonym(spark, *values)
+    assert [len(x) for x in out] == [len(x) for x in values] and out[0].startswith('token = "') and all(x.endswith(" end") or x.endswith('" end') for x in out)
+    for clear, made in zip((jwt, code, key), out, strict=True):
+        assert not any(clear[k : k + 12] in made for k in range(len(clear) - 11))
+
+
 # ---- 5 ----
 
 
