@@ -25,8 +25,12 @@ MIN_Z, MIN_ROWS = 7.0, 6
 MAX_SIGNS = 20_000
 PREFIX = 5
 PREDICT_FROM = 0.3
-#: Tokens of more characters are no words: keys, addresses.
+#: Tokens of more characters, long repeats apart, are no words but keys and addresses: their parts are.
 MAX_TOKEN = 32
+#: Spaced runs are decoded in pieces of so many characters, which overlap by the length of a spaced word.
+PIECE = 4096
+#: Beyond so many states the search goes on with arrays.
+FEW = 8
 MEMO = 200_000
 
 #: What a character may stand for.
@@ -38,15 +42,18 @@ STANDS_FOR = {
 }
 SUBSTITUTED, MASKED, SPACED, REPEATED, DROPPED = 2.0, 4.0, 1.0, 0.5, 4.0
 SEPARATORS = frozenset(" .-_~'­​‌‍")
-_OUTER = " .,;:?!\"'()[]{}<>*&%$#|~^_-+=/\\"
+_OUTER = " .,;:?\"')[]{}<>&%^~=/\\"
 _SPACED = re.compile(r"(?<![^\s])(?:[a-z0-9@$!|*][ .\-_~]){2,}[a-z0-9@$!|*](?![^\s.,;:?!])")
-_TRIPLE = re.compile(r"([a-z])\1\1")
-_HIDDEN = re.compile(r"[0-9@$!|+(€£¡а-яіѕυοα*#%.\-_~­​-‍]")
+_DOUBLE = re.compile(r"([a-z])\1")
+_LONG = re.compile(r"(.)\1{3,}", re.S)
+_HIDDEN = re.compile("[" + re.escape("".join(STANDS_FOR) + "".join(sorted(SEPARATORS))) + "]")
+_PART = re.compile(r"[^\w" + re.escape("".join(STANDS_FOR)) + "]+")
 
 _SYMBOL = np.zeros(256, np.int32)  # 0: no letter, 1-26: a-z, 27: other letters
 _SYMBOL[97:123] = _SYMBOL[65:91] = np.arange(1, 27)
 _SYMBOL[128:] = 27
 _N = 28
+_EVERY = np.arange(_N)
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -76,14 +83,15 @@ class Channel:
         low = counts.sum(0) + 0.5
         low /= low.sum(1, keepdims=True)
         self.cost = -np.log((counts + 20 * low[None]) / (counts.sum(2, keepdims=True) + 20))
-        self.table = self.cost.tolist()
-        self.memo: dict[str, str] = {}
+        self.__setstate__({"cost": self.cost})
 
     def __getstate__(self):
         return {"cost": self.cost}
 
     def __setstate__(self, state):
         self.cost, self.table, self.memo = state["cost"], state["cost"].tolist(), {}
+        self.any = np.ascontiguousarray(self.cost[:, :, 1:27])
+        self.into = np.ascontiguousarray(self.cost.transpose(2, 0, 1))  # by next letter
 
     @staticmethod
     def _readings(c: str) -> list[tuple[int, float]]:
@@ -99,63 +107,109 @@ class Channel:
         """The likeliest word for a lower-case token; letters outside a-z stay as `?`."""
         if (got := self.memo.get(token)) is not None:
             return got
+        word = self._narrow(token)
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        self.memo[token] = word
+        return word
+
+    def _narrow(self, token: str) -> str:
+        """Viterbi search, state by state while there are few; a state is the last two letters."""
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         table = self.table
         for at, c in enumerate(token):
+            if len(best) > FEW:
+                return self._decode(token, False, at, best)
             readings, new = self._readings(c), {}
+            stay = SPACED if c in SEPARATORS else REPEATED if at and c == token[at - 1] and readings else DROPPED if not readings or c in "*#%!" else None
             for (a, b), (cost, path) in best.items():
-                moves = [(a, b, cost + table[a][b][x] + extra, path + (chr(96 + x) if x < 27 else "?")) for x, extra in readings]
-                if c in SEPARATORS:
-                    moves.append((a, b, cost + SPACED, path))
-                elif at and c == token[at - 1] and readings:
-                    moves.append((a, b, cost + REPEATED, path))
-                elif not readings or c in "*#%!":
-                    moves.append((a, b, cost + DROPPED, path))
-                for a2, b2, total, p in (m if m[3] == path else (m[1], ord(m[3][-1]) - 96 if m[3][-1] != "?" else 27, m[2], m[3]) for m in moves):
-                    if (a2, b2) not in new or total < new[a2, b2][0]:
-                        new[a2, b2] = (total, p)
-            best = dict(sorted(new.items(), key=lambda kv: kv[1][0])[:64])
-        word = min(((cost + table[a][b][0], p) for (a, b), (cost, p) in best.items()), default=(0.0, ""))[1]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[token] = word
-        return word
+                if stay is not None and ((a, b) not in new or cost + stay < new[a, b][0]):
+                    new[a, b] = (cost + stay, path)
+                for x, extra in readings:
+                    total = cost + table[a][b][x] + extra
+                    if (b, x) not in new or total < new[b, x][0]:
+                        new[b, x] = (total, path + (chr(96 + x) if x < 27 else "?"))
+            best = new
+        return min((cost + table[a][b][0], p) for (a, b), (cost, p) in best.items())[1]
+
+    def _decode(self, token: str, apart: bool, first: int = 0, start: dict | None = None) -> str:
+        """The same search over all states at once. If apart, a separator may also end a word (a blank). start: before character `first`."""
+        start = start or {(0, 0): (0.0, "")}
+        best = np.full((_N, _N), np.inf)
+        for state, (cost, _) in start.items():
+            best[state] = cost
+        back = []
+        for at, c in enumerate(token[first:], first):
+            readings = self._readings(c)
+            new, came = np.full((_N, _N), np.inf), np.full((_N, _N), -1, np.int16)  # of b, x; came: the a before, or these:
+            if c in SEPARATORS:  # -1: the state stays
+                new = best + SPACED
+            elif at and c == token[at - 1] and readings:
+                new = best + REPEATED
+            elif not readings or c in "*#%!":
+                new = best + DROPPED
+            if len(readings) == 26:  # a mask: all letters at once
+                total = (best[:, :, None] + self.any).reshape(_N, -1)
+                low = total.min(0).reshape(_N, 26) + readings[0][1]
+                won = low < new[:, 1:27]
+                new[:, 1:27] = np.where(won, low, new[:, 1:27])
+                came[:, 1:27] = np.where(won, total.argmin(0).reshape(_N, 26), -1)
+                readings = ()
+            for x, extra in readings:
+                total = best + self.into[x]
+                a = total.argmin(0)
+                total = total[a, _EVERY] + extra
+                won = total < new[:, x]
+                new[won, x], came[won, x] = total[won], a[won]
+            if apart and c in SEPARATORS:
+                total = best + self.into[0] + SPACED
+                total[0, 0] = np.inf
+                a, b = divmod(int(total.argmin()), _N)
+                if total[a, b] < new[0, 0]:
+                    new[0, 0], came[0, 0] = total[a, b], -2 - (a * _N + b)  # a word ended in a, b
+            back.append(came)
+            best = new
+        a, b = divmod(int((best + self.into[0]).argmin()), _N)
+        out = []
+        for came in reversed(back):
+            k = int(came[a, b])
+            if k <= -2:
+                out.append(" ")
+                a, b = divmod(-2 - k, _N)
+            elif k >= 0:
+                out.append(chr(96 + b) if b < 27 else "?")
+                a, b = k, a
+        return start[a, b][1] + "".join(reversed(out))
+
+    def _words(self, token: str) -> list[str]:
+        """The word behind a token, or behind its parts if it is too long for a word."""
+        token = _LONG.sub(r"\1\1\1", token)
+        if len(token) <= MAX_TOKEN:
+            return [self.restore(token)] if len(token) >= 3 else []
+        return [self.restore(p) for p in _PART.split(token) if 3 <= len(p) <= MAX_TOKEN and (_HIDDEN.search(p) or _DOUBLE.search(p))]
 
     def restored(self, text: str) -> set[bytes]:
-        """Words behind the suspicious tokens of a lower-case text."""
-        out = set()
+        """Words behind the suspicious tokens of a lower-case text: a letter doubled, or a character that may be another.
+
+        Numbers, that is tokens of digits and marks that stand for nothing, are what they are.
+        """
+        out: set[str] = set()
         for token in set(text.split()):
-            if token.isalpha():
-                if not _TRIPLE.search(token):
-                    continue
-            else:
-                inner = token.strip(_OUTER)
-                if inner.isalpha() and not _TRIPLE.search(inner):
-                    # a sign at an edge may be a letter: $cum, clow#, @ss
-                    edge = token.strip(" .,;:?!\"'()[]{}<>")
-                    if edge == inner or not _edge(edge, inner):
-                        continue
-                    token = edge
-                elif not any("a" <= c <= "z" for c in inner):
-                    continue
-                elif not _HIDDEN.search(inner) and not _TRIPLE.search(inner):
-                    for part in re.split(r"[^\w]+", inner):
-                        if _TRIPLE.search(part) and len(part) <= MAX_TOKEN:
-                            out.add(self.restore(part).encode())
-                    continue
-                else:
-                    token = token.strip(" .,;:?\"'()[]{}<>&%^~=/\\")
-            if 3 <= len(token) <= MAX_TOKEN:
-                out.add(self.restore(token).encode())
+            token = token.strip(_OUTER)
+            if _HIDDEN.search(token):
+                if any(c.isalpha() or c in STANDS_FOR and not c.isdigit() for c in token):
+                    out.update(self._words(token))
+            elif _DOUBLE.search(token):
+                for part in re.split(r"[^\w]+", token):
+                    if _DOUBLE.search(part):
+                        out.update(self._words(part))
         for m in _SPACED.finditer(text):
-            if len(m.group()) <= 2 * MAX_TOKEN:
-                out.add(self.restore(m.group()).encode())
-        return out
-
-
-def _edge(token: str, inner: str) -> bool:
-    """Whether just one sign that may be a letter stands at an edge of the letters."""
-    return len(token) - len(inner) == 1 and (token[0] in STANDS_FOR or token[-1] in STANDS_FOR)
+            run = m.group()
+            if len(run) <= 2 * MAX_TOKEN:
+                out.add(self.restore(run))
+            for at in range(0, max(1, len(run) - 2 * MAX_TOKEN), PIECE - 2 * MAX_TOKEN):
+                out.update(self._decode(run[at : at + PIECE], True).split())
+        return {w.encode() for w in out}
 
 
 def signs(text: str, channel: Channel) -> set[bytes]:

@@ -433,6 +433,20 @@ def test_toxicity(spark):
     assert toxicity.scores(odd(spark), blank, spark).where("score > 0").count() == 0
 
 
+def test_toxicity_of_hidden_words(spark):
+    """Look-alikes in words of letters, doubled letters, long stretches, spaced runs of several words, several masks."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, spark)
+    for told in ("iddiot", "\u0456d\u0456\u043et", "i" + "d" * 60 + "iot", "t h e i d i o t", "t h e t h i n g " * 10 + "i d i o t", "$tupid!", "st**id", "s**p*d"):
+        assert model.score(f"the other {told} of that") >= 0.3, told
+    for told in ("455 100", "hello, well all full!", "* * * * *"):
+        assert model.score(told) < 0.3, told
+    rng = random.Random(2)
+    for _ in range(300):
+        token = "".join(rng.choices("abdeiostu013!@.-$*#\u0456", k=rng.randrange(3, 14)))
+        assert model.channel._narrow(token) == model.channel._decode(token, False)
+
+
 # ---- 10 ----
 
 
