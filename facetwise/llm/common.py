@@ -1,18 +1,19 @@
-"""Shared pieces of the training-data operators: words, scratch tables, hashing."""
+"""Shared pieces of the training-data operators: words, broadcast objects, hashing."""
 
 from __future__ import annotations
 
-import atexit
 import pickle
-import tempfile
-import uuid
 import zlib
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from facetwise.scratch import Scratch
+
+__all__ = ["Scratch", "Shared", "crc32_mod", "crc32_of", "texts", "words"]
+
 #: Every byte that is no part of a word becomes a space; A-Z become a-z.
 WORD_TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -52,54 +53,3 @@ class Shared:
         if "_value" not in self.__dict__:
             self._value = pickle.loads(self._sent.value)
         return self._value
-
-
-class Scratch:
-    """Tables written to the shared checkpoint folder, so that later stages neither recompute nor depend on one executor.
-
-    The folder is spark.checkpoint.dir; a private one is made only where that is unset (local runs and tests).
-    """
-
-    _own: dict[str, str] = {}
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        sc = spark.sparkContext
-        root = sc.getConf().get("spark.checkpoint.dir")
-        if not root:
-            root = self._own.setdefault(sc.applicationId, "")
-            if not root:
-                root = self._own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="facetwise-")
-        self.root = f"{root.rstrip('/')}/facetwise-{uuid.uuid4().hex}"
-        self.n = 0
-        self.paths: dict[int, str] = {}
-        atexit.register(self.clear)
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write df and return it as read back."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        self._keep = getattr(self, "_keep", [])
-        self._keep.append(out)
-        return out
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that no later plan reads."""
-        if path := self.paths.pop(id(df), None):
-            self._delete(path)
-
-    def clear(self) -> None:
-        """At the end of the application: whatever is left."""
-        if self.spark.sparkContext._jsc is not None and self.paths:
-            try:
-                self._delete(self.root)
-            except Exception:  # the gateway may be gone already at exit
-                pass

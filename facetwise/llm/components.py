@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star contraction.
 
-Every round is two joins-free shuffles (partial aggregation before each); the number of rounds is
-logarithmic in practice. Only links are moved, never vertices without links.
+A round joins the links with the least neighbour of each vertex. A vertex with more than its share of the links (over
+HEAVY_LEAST and over 1 / HEAVY of all) is joined by broadcast, so that no hub lands in one task; there are at most
+2 HEAVY of them, whatever the input. The number of rounds is logarithmic in practice. Only links are moved, never
+vertices without links.
 """
 
 from __future__ import annotations
@@ -9,17 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetwise.llm.common import Scratch
+from facetwise.scratch import Scratch
 
+HEAVY, HEAVY_LEAST = 50_000, 64
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """edges(a, b) with a > b. Re-hang the larger (or smaller) neighbours of each vertex on its least neighbour."""
-    if small:
-        out = edges.select(F.col("a").alias("v"), F.col("b").alias("u"))
-    else:
-        out = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(edges.select("b", "a"))
-    least = out.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m"))
-    moved = out.join(least, "v")
+
+def to_own(rows: DataFrame, own: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with own on key; own has one row a key with `rows_of`, the number of rows that have it.
+
+    total bounds the sum of rows_of. Keys with over total / HEAVY rows (HEAVY_LEAST at least) are broadcast: fewer than
+    HEAVY of them. The rows of all other keys are shuffled.
+    """
+    cap = max(HEAVY_LEAST, total // HEAVY)
+    heavy = F.broadcast(own.where(F.col("rows_of") > cap).drop("rows_of"))
+    light = rows.join(heavy.select(key), key, "left_anti").join(own.where(F.col("rows_of") <= cap).drop("rows_of").hint("merge"), key)
+    return rows.join(heavy, key).unionByName(light)
+
+
+def _star(edges: DataFrame, n: int, small: bool) -> DataFrame:
+    """n edges(a, b) with a > b. Re-hang the larger (or smaller) neighbours of each vertex on its least neighbour."""
+    out = edges.select(F.col("a").alias("v"), F.col("b").alias("u"))
+    if not small:
+        out = out.unionAll(edges.select("b", "a"))
+    least = out.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("rows_of")).withColumn("m", F.least("v", "m"))
+    moved = to_own(out, least, "v", 2 * n)
     if small:
         hung = moved.select(F.col("u").alias("a"), F.col("m").alias("b")).where("a <> b")
         hung = hung.unionAll(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
@@ -44,7 +59,9 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if sign["n"] == 0 or sign == before:
             break
         before = sign
-        nxt = scratch.cut(_star(_star(cur, small=False), small=True))
+        half = scratch.cut(_star(cur, sign["n"], small=False))
+        nxt = scratch.cut(_star(half, sign["n"], small=True))
+        scratch.drop(half)
         scratch.drop(cur)
         cur = nxt
     else:

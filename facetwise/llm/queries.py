@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), spark)
-    return out.select("doc_id", "fingerprint", "component_id")
+    return out.selectExpr("doc_id", "lower(lpad(hex(fp[0]), 16, '0')) as fingerprint", "component_id")
 
 
 @_query

@@ -1,178 +1,248 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints (64 bits over word shingles) are reduced to distinct values first, so any number of exact copies is one
-entry. The 64 bits are cut into SEGMENTS segments; two fingerprints at distance <= RADIUS agree in some segment up to
-floor(RADIUS / SEGMENTS) bits, so enumerating that small Hamming ball around one of them in every segment and looking
-it up in the segment's table finds every pair. Of two segment values that differ in one bit, only the one with the bit
-clear asks, which halves the questions. Candidates are verified on all 64 bits.
-
-A table key with more than KEY_CAP entries is not joined: its entries are dealt into blocks, each pair of blocks is
-one task's work, and a task returns a spanning set of links instead of all pairs.
+Fingerprints over word shingles are reduced to distinct values first, so any number of exact copies is one entry. Each
+fingerprint is cut into segments. A small Hamming ball (one bit) is enumerated around each segment and looked up in
+that segment's table: of two values that differ in one bit only the one with the bit clear asks, which halves the
+questions. Candidates are verified on all bits. Two schemes:
+
+  EXACT    64 bits of 4-word shingles, repeats included, linked at 4 or fewer bits. Three segments: two fingerprints at
+           distance 4 agree in some segment up to one bit, so every link is found.
+  SIMILAR  448 bits of the set of 5-word shingles, for a similarity (Jaccard) of 0.8 or more. Sets at 0.8 have a cosine
+           of 8/9 at least, so each bit differs with a probability of 0.1515 at most: 67.9 bits of 448, with a deviation
+           of 7.6. Links are at 80 or fewer bits. A segment of 20 bits agrees up to one bit with a probability of 0.171,
+           one of 21 segments with 0.98; at a similarity of 0.9 it is over 0.999. The first 64 bits screen candidates
+           before whole fingerprints are fetched (20 or fewer may differ: lost are 4 in 10,000 at a similarity of 0.8).
+
+A table key with over KEY_CAP fingerprints, and the keys that they ask in, is not joined: those who live there and
+those who ask are cut into blocks of about BLOCK, each pair of blocks is one group, and a group returns a spanning set
+of links instead of all pairs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from facetwise.llm.common import Scratch, texts
-from facetwise.llm.components import components
+from facetwise.llm.components import components, to_own
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """How texts become fingerprints, and which fingerprints link."""
+
+    words: int  # of 64 bits
+    segments: tuple[tuple[int, int, int], ...]  # word, first bit, width
+    radius: int
+    screen: int  # bits of the first word in which candidates may differ
+    shingle: int
+    as_set: bool
+    seed: int = 42
+
 
-SEGMENTS = ((0, 21), (21, 21), (42, 22))  # (first bit, width)
-RADIUS = 4
+EXACT = Scheme(1, ((0, 0, 21), (0, 21, 21), (0, 42, 22)), 4, 4, 4, False)
+SIMILAR = Scheme(7, tuple((w, 20 * k, 20) for w in range(7) for k in range(3)), 80, 20, 5, True)
 KEY_CAP = 64
 BLOCK = 2048
-HOT_KEYS = 10_000
+#: Hot keys are broadcast up to so many (16 bytes each); beyond, they are joined by shuffle.
+HOT_BROADCAST = 500_000
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of a text; 0 if it has no words."""
+def _spread(h: np.ndarray, words: int) -> np.ndarray:
+    """h and words - 1 further hashes of it, by the mixing function of splitmix64."""
+    out = np.empty((len(h), words), np.uint64)
+    out[:, 0] = h
+    for k in range(1, words):
+        z = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = z ^ (z >> np.uint64(31))
+    return out
+
+
+def fingerprint(text: bytes, scheme: Scheme = EXACT) -> np.ndarray:
+    """The SimHash of a text as 64-bit words: a bit is set if it is in over half of the shingles' hashes. No words: zeros."""
     w = text.lower().split()
     if not w:
-        return 0
-    grams = [b" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] or [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64, len(grams))
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 65536):
-        ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+        return np.zeros(scheme.words, np.uint64)
+    n = scheme.shingle
+    grams = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or [b" ".join(w)]
+    if scheme.as_set:
+        grams = set(grams)
+    h = np.fromiter((xxhash.xxh64_intdigest(g, scheme.seed) for g in grams), np.uint64, len(grams))
+    ones = np.zeros(64 * scheme.words, np.int64)
+    for at in range(0, len(h), 16384):
+        bits = np.unpackbits(_spread(h[at : at + 16384], scheme.words).view(np.uint8).reshape(-1, 8 * scheme.words), axis=1, bitorder="little")
+        ones += bits.sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
+
 
+def _prints(column, scheme: Scheme) -> pa.Array:
+    """Fingerprints of a text column as lists of signed longs."""
+    rows = [fingerprint(t, scheme) for t in texts(column)]
+    flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * scheme.words, pa.array(flat))
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp): fp is the fingerprint as a signed long."""
+
+def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, fp): fp is the fingerprint as an array of signed longs."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in texts(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _prints(b.column(1), scheme)], ["id", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp array<long>")
+
 
+def _distances(f: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Bits in which rows of f differ from p (a row, or rows with an axis of their own)."""
+    return sum(np.bitwise_count(f[..., w] ^ p[..., w]).astype(np.int16) for w in range(f.shape[-1]))
 
-def _labels(fps: np.ndarray, split: int, radius: int) -> np.ndarray:
-    """Least index reachable within one task: links inside and between fps[:split] and fps[split:]."""
-    label = np.arange(len(fps))
+
+def _labels(f: np.ndarray, radius: int) -> np.ndarray:
+    """For each row of f a row of its component, by links within radius. Rows near a pivot are one group at once, so that
+    only rows of different groups are compared in full."""
+    n = len(f)
+    label = np.full(n, -1)
+    for p in range(n):
+        if label[p] < 0:
+            label[(label < 0) & (_distances(f, f[p]) <= radius)] = p
+    largest = np.bincount(label).argmax()
+    rest = np.flatnonzero(label != largest)
     left, right = [], []
-    for at in range(0, len(fps), 256):
-        near = np.bitwise_count(fps[at : at + 256, None] ^ fps[None, at:]) <= radius
-        i, j = np.nonzero(near)
-        left.append(i + at)
-        right.append(j + at)
-    i, j = np.concatenate(left), np.concatenate(right)
-    keep = i < j
-    i, j = i[keep], j[keep]
+    for at in range(0, len(rest), 256):
+        part = rest[at : at + 256]
+        i, j = np.nonzero(_distances(f[part][:, None], f[None]) <= radius)
+        i, j = label[part[i]], label[j]
+        left.append(i[i != j])
+        right.append(j[i != j])
+    own = np.arange(n)
+    i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
     while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
+        new = own.copy()
+        np.minimum.at(new, i, own[j])
+        np.minimum.at(new, j, own[i])
         new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _probes(width: int) -> str:
-    """The segment value itself and every value with one clear bit set."""
-    return f"concat(array(k), transform(filter(sequence(0, {width - 1}), i -> (shiftright(k, i) & 1) = 0), i -> k | shiftleft(1L, i)))"
-
-
-def links(distinct_fps: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links between different fingerprints that join everything within `radius` bits; fps are distinct."""
-    if radius // len(SEGMENTS) > 1:
-        raise ValueError("the segments are enumerated to one bit: radius at most 5")
-    table = None
-    for s, (first, width) in enumerate(SEGMENTS):
-        part = distinct_fps.select(
-            F.lit(s).alias("s"), F.expr(f"shiftrightunsigned(fp, {first}) & {(1 << width) - 1}L").alias("k"), "fp"
-        )
-        table = part if table is None else table.unionAll(part)
-    ask = None
-    for s, (_, width) in enumerate(SEGMENTS):
-        part = table.where(F.col("s") == s).select("s", F.explode(F.expr(_probes(width))).alias("k"), "fp")
-        ask = part if ask is None else ask.unionAll(part)
-    n = distinct_fps.count()
-    cap = max(KEY_CAP, n * len(SEGMENTS) // HOT_KEYS)  # so that at most HOT_KEYS keys are over it
-    hot = scratch.cut(table.groupBy("s", "k").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("s", "k"))
-    hot = F.broadcast(hot)
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
-    home = table.join(hot, ["s", "k"], "left_anti").withColumnRenamed("fp", "fp2")
-    cold = ask.join(hot, ["s", "k"], "left_anti").join(home, ["s", "k"]).where((F.col("fp") != F.col("fp2")) & near)
-    cold = cold.select(F.col("fp").alias("a"), F.col("fp2").alias("b"))
-    # Hot keys: whoever asks or lives there is one set, cut into blocks of about BLOCK; each pair of blocks is a group.
-    crowd = scratch.cut(ask.join(hot, ["s", "k"], "left_semi"))
-    sizes = crowd.groupBy("s", "k").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    crowd = crowd.join(F.broadcast(sizes), ["s", "k"]).withColumn("r", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
-    crowd = crowd.select("s", "k", "fp", "r", F.explode(F.expr("sequence(0, blocks - 1)")).alias("o"))
-    crowd = crowd.select("s", "k", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), "fp")
-
-    def span(batch: pa.Table) -> pa.Table:
-        fps = np.unique(batch.column("fp").to_numpy()).astype(np.int64)
-        label = _labels(fps.view(np.uint64), len(fps), radius)
-        moved = np.flatnonzero(label != np.arange(len(fps)))
-        return pa.table({"a": fps[moved], "b": fps[label[moved]]})
-
-    warm = crowd.groupBy("s", "k", "i", "j").applyInArrow(span, "a long, b long")
+        if (new == own).all():
+            return own[label]
+        own = new
+
+
+def _keys(scheme: Scheme, ask: bool) -> str:
+    """SQL for the table keys of a fingerprint's segments, or all keys in its balls: segment number and value in one long."""
+    parts = []
+    for s, (word, first, width) in enumerate(scheme.segments):
+        k = f"(shiftrightunsigned(fp[{word}], {first}) & {(1 << width) - 1}L | {s << 40}L)"
+        parts.append(f"transform(array({k}), k -> {_ball('k', width)})[0]" if ask else k)
+    return f"flatten(array({', '.join(parts)}))" if ask else f"array({', '.join(parts)})"
+
+
+def _ball(k: str, width: int) -> str:
+    """The key itself and every key with one clear bit set."""
+    return f"concat(array({k}), transform(filter(sequence(0, {width - 1}), i -> (shiftright({k}, i) & 1) = 0), i -> {k} | shiftleft(1L, i)))"
+
+
+def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataFrame:
+    """(a, b): links between entries(v, fp), which have different fingerprints, that join all that the scheme finds.
+
+    v is a long of its own for each fingerprint.
+    """
+    c = F.col("fp")[0].alias("c")
+    home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", c)
+    ask = entries.select(F.explode(F.expr(_keys(scheme, True))).alias("k"), "v", c)
+    counts = home.groupBy("k").agg(F.count("*").alias("n"))
+    full = scratch.cut(counts.where(F.col("n") > KEY_CAP).select("k"))
+    widest = max(w for _, _, w in scheme.segments)
+    asked = full.select(F.explode(F.expr(_ball("k", widest))).alias("k")).distinct()
+    hot = scratch.cut(counts.join(asked, "k", "left_semi").select("k"))  # only keys where someone lives
+    few = hot.count() <= HOT_BROADCAST
+    keys = F.broadcast(hot) if few else hot
+    screen = F.bit_count(F.col("c").bitwiseXOR(F.col("c2"))) <= scheme.screen
+    lives = home.join(keys, "k", "left_anti").select("k", F.col("v").alias("v2"), F.col("c").alias("c2"))
+    cold = ask.join(keys, "k", "left_anti").join(lives.hint("merge"), "k").where((F.col("v") != F.col("v2")) & screen)
+    cold = cold.select(F.greatest("v", "v2").alias("a"), F.least("v", "v2").alias("b"))
+    if scheme.words > 1 or scheme.screen > scheme.radius:
+        cold = cold.distinct()
+        for x in "ab":
+            cold = cold.join(entries.select(F.col("v").alias(x), F.col("fp").alias("f" + x)).hint("merge"), x)
+        far = sum((F.bit_count(F.col("fa")[w].bitwiseXOR(F.col("fb")[w])) for w in range(scheme.words)), F.lit(0))
+        cold = cold.where(far <= scheme.radius).select("a", "b")
+    crowd = ask.select("k", "v", F.lit(True).alias("asks")).unionAll(home.select("k", "v", F.lit(False).alias("asks"))).join(keys, "k", "left_semi")
+    crowd = scratch.cut(crowd)
+    blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.count_if(who) / F.lit(BLOCK))).cast("int")
+    sizes = crowd.groupBy("k").agg(blocks(~F.col("asks")).alias("nh"), blocks(F.col("asks")).alias("na"))
+    dealt = crowd.join(F.broadcast(sizes) if few else sizes, "k")
+    part = "cast(pmod(xxhash64(v), {}) as int)"
+    dealt = dealt.select("k", "v", F.expr(f"if(asks, sequence(0, nh - 1), array({part.format('nh')}))").alias("i"), F.expr(f"if(asks, array({part.format('na')}), sequence(0, na - 1))").alias("j"))
+    dealt = dealt.join(entries, "v").select("k", "v", "fp", F.explode("i").alias("i"), "j").select("k", "v", "fp", "i", F.explode("j").alias("j"))
+
+    def span(t: pa.Table) -> pa.Table:
+        v, at = np.unique(t.column("v").to_numpy(), return_index=True)
+        f = t.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, scheme.words)[at]
+        label = _labels(f, scheme.radius)
+        moved = np.flatnonzero(label != np.arange(len(v)))
+        return pa.table({"a": v[moved], "b": v[label[moved]]})
+
+    warm = dealt.groupBy("k", "i", "j").applyInArrow(span, "a long, b long")
     return cold.unionAll(warm)
 
 
-def near_duplicates(
-    docs: DataFrame, spark: SparkSession, *, shingle: int = 4, radius: int = RADIUS, seed: int = 42, scratch: Scratch | None = None
-) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, fp (signed long), fingerprint (16 hex digits), component_id, root.
+def near_duplicates(docs: DataFrame, spark: SparkSession, scheme: Scheme = EXACT, *, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, fp (array of signed longs), component_id, root.
 
-    root is the least fingerprint of the component: its key where doc_ids repeat or are null.
-    component_id is the least doc_id reachable over fingerprints at most `radius` bits apart. Null or empty texts have
-    fingerprint 0 and link like any other; rows with equal texts always share a component; repeated doc_ids are one
-    vertex per fingerprint; a null doc_id takes part but is never a component_id unless nothing else is there. An empty
-    table gives no rows; further columns of docs are not read.
+    component_id is the least doc_id reachable over links; root (a long) is the same for all rows of a component, also
+    where doc_ids repeat or are null. Null or empty texts have a fingerprint of zeros and link like any other; rows with
+    equal texts always share a component; repeated doc_ids are one vertex per fingerprint; a null doc_id takes part but
+    is never a component_id unless nothing else is there. An empty table gives no rows; further columns are not read.
     """
     scratch = scratch or Scratch(spark)
-    prints = scratch.cut(fingerprints(docs, shingle, seed))
-    least = scratch.cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    comp = components(links(least.select("fp"), scratch, radius), scratch)
-    rooted = least.join(comp, least["fp"] == comp["node"], "left").select(
-        least["fp"], "least", F.coalesce("root", least["fp"]).alias("root")
-    )
-    low = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(low, "root").select("fp", "component_id", "root")
-    out = prints.join(of, "fp")
-    return out.select(
-        F.col("id").alias("doc_id"), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root"
-    )
-
-
-def keep_one(docs: DataFrame, spark: SparkSession, *, shingle: int = 4, radius: int = RADIUS, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
+    prints = scratch.cut(fingerprints(docs, scheme))
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    least = scratch.cut(least.withColumn("v", F.monotonically_increasing_id()))
+    n = least.count()
+    comp = components(links(least.select("v", "fp"), scratch, scheme), scratch)
+    rooted = least.join(comp, least["v"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "v").alias("root"))
+    rooted = scratch.cut(rooted)
+    low = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows_of"))
+    of = to_own(rooted, low, "root", n).select("fp", "component_id", "root")
+    return prints.join(of.hint("merge"), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, spark: SparkSession, scheme: Scheme = SIMILAR, *, scratch: Scratch | None = None) -> DataFrame:
     """One row of docs for each component, with its columns: the row with the least doc_id (null last).
 
-    Of rows with that doc_id in one component the one with the least fingerprint stays, then the one with the least text.
+    Of rows with that doc_id in one component the one with the least fingerprint stays, then the one with the least
+    text, then the least digest of the row. All rows without words are one component. An empty table gives no rows.
     """
     scratch = scratch or Scratch(spark)
-    found = near_duplicates(docs, spark, shingle=shingle, radius=radius, seed=seed, scratch=scratch).select("doc_id", "fp", "root")
+    found = near_duplicates(docs, spark, scheme, scratch=scratch).select("doc_id", "fp", "root")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")
-    winner = found.groupBy("root").agg(best).select(F.col("w.doc_id").alias("dedup_id"), F.col("w.fp").alias("dedup_fp"))
-    rows = found.groupBy("doc_id").agg(F.count("*").alias("dedup_rows"))
-    winner = winner.join(rows, F.col("dedup_id").eqNullSafe(F.col("doc_id"))).drop("doc_id")
-    winner = scratch.cut(winner)
-    names = [f"`{c}`" for c in docs.columns]
-    here = docs["doc_id"].eqNullSafe(F.col("dedup_id"))
+    winner = found.groupBy("root").agg(best).select(F.col("w.doc_id").alias("win"), F.col("w.fp").alias("win_fp"))
+    rows = found.groupBy(F.col("doc_id").alias("own")).agg(F.count("*").alias("n_rows"))
+    winner = scratch.cut(winner.join(rows, F.col("win").eqNullSafe(F.col("own"))).drop("own"))
     # The winners grow with the documents: the join is the same at every size, and never a broadcast.
-    one = docs.join(winner.where("dedup_rows = 1").select("dedup_id").hint("merge"), here, "left_semi")
+    single = winner.where("n_rows = 1").select("win").hint("merge")
+    one = docs.join(single, docs["doc_id"].eqNullSafe(single["win"]), "left_semi")
     # Ids of several rows are told apart by fingerprint and then by text.
-    several = docs.join(winner.where("dedup_rows > 1").select("dedup_id").distinct(), here, "left_semi")
-    whole = several.select(F.struct(*names).alias("dedup_row"), "doc_id", "text")
-    schema = StructType([*whole.schema.fields, StructField("own_fp", LongType())])
+    many = winner.where("n_rows > 1")
+    ids = many.select("win").distinct()
+    several = docs.join(ids, docs["doc_id"].eqNullSafe(ids["win"]), "left_semi")
+    whole = several.select(F.struct(*(several[f"`{c}`"] for c in docs.columns)).alias("row"), several["doc_id"].alias("id"), several["text"].cast("string").alias("t"))
+    schema = StructType([*whole.schema.fields, StructField("own_fp", ArrayType(LongType()))])
 
     def add(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle, seed) for t in texts(b.column(2))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], [*b.schema.names, "own_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _prints(b.column(2), scheme)], [*b.schema.names, "own_fp"])
 
     whole = whole.mapInArrow(add, schema)
-    mine = whole.join(winner.where("dedup_rows > 1"), F.col("doc_id").eqNullSafe(F.col("dedup_id")) & (F.col("own_fp") == F.col("dedup_fp")))
-    mine = mine.groupBy("doc_id", "own_fp").agg(F.min_by("dedup_row", F.coalesce("text", F.lit(""))).alias("dedup_row"))
-    return one.unionAll(mine.select("dedup_row.*"))
+    mine = whole.join(many, F.col("id").eqNullSafe(F.col("win")) & (F.col("own_fp") == F.col("win_fp")))
+    order = F.struct(F.coalesce("t", F.lit("")), F.md5(F.to_json("row")))
+    mine = mine.groupBy("id", "own_fp").agg(F.min_by("row", order).alias("row"))
+    return one.unionAll(mine.select("row.*"))

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy; odd rows of every kind."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -152,11 +153,40 @@ def test_fm_index_finds_every_place():
 # ---- 3 ----
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, shingle=4, words_=1, as_set=False):
+    """The fingerprint as one integer, the first word lowest."""
     w = (text or "").encode().lower().split()
-    grams = [b" ".join(w[k : k + 4]) for k in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
-    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    grams = [b" ".join(w[k : k + shingle]) for k in range(len(w) - shingle + 1)] or ([b" ".join(w)] if w else [])
+    grams = set(grams) if as_set else grams
+    ones = [0] * (64 * words_)
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g, 42)
+        for word in range(words_):
+            z = h if word == 0 else (h + word * 0x9E3779B97F4A7C15) % 2**64
+            if word:
+                z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ (z >> 27)) * 0x94D049BB133111EB % 2**64
+                z ^= z >> 31
+            for b in range(64):
+                ones[64 * word + b] += z >> b & 1
+    return sum(1 << b for b, n in enumerate(ones) if 2 * n > len(grams))
+
+
+def plain_similar(text):
+    return plain_fingerprint(text, 5, 7, True)
+
+
+def similar_links(fps):
+    """Pairs that share a segment up to one bit, have 20 or fewer different bits in the first word and 80 or fewer in all."""
+    seg = lambda f, w, k: f >> (64 * w + 20 * k) & 0xFFFFF
+    for a, b in itertools.combinations(fps, 2):
+        x = a ^ b
+        if x.bit_count() <= 80 and (x & (2**64 - 1)).bit_count() <= 20 and any(seg(x, w, k).bit_count() <= 1 for w in range(7) for k in range(3)):
+            yield a, b
+
+
+def unsigned(fp):
+    return sum((x % 2**64) << (64 * k) for k, x in enumerate(fp))
 
 
 def test_simhash(spark, monkeypatch):
@@ -171,30 +201,74 @@ def test_simhash(spark, monkeypatch):
             least[root[f]] = min(least.get(root[f], r["doc_id"]), r["doc_id"])
     want = sorted((str(r["doc_id"]), f"{f:016x}", str(least.get(root[f]))) for r, f in zip(rows, fps, strict=True))
     got = simhash.near_duplicates(docs, spark).collect()
-    assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == want
+    assert sorted((str(r["doc_id"]), f"{unsigned(r['fp']):016x}", str(r["component_id"])) for r in got) == want
     assert simhash.near_duplicates(docs.limit(0), spark).count() == 0
 
 
-@pytest.mark.parametrize("cap", [64, 2])
-def test_simhash_links(spark, monkeypatch, cap):
+def test_simhash_similar(spark):
+    """Near copies of one text, and others: fingerprints, components and the recall at a similarity of 0.8."""
+    rng = random.Random(5)
+    base = [rng.choices("abcdefghijklmnopqrstuvwxyz", k=200) for _ in range(6)]
+    rows = []
+    for k in range(90):
+        w = list(base[k % 6])
+        for at in rng.sample(range(200), rng.randrange(5)):
+            w[at] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs, spark, simhash.SIMILAR).collect()}
+    fps = {i: plain_similar(t) for i, t in rows}
+    assert all(unsigned(got[i]["fp"]) == f for i, f in fps.items())
+    root = reach(similar_links(set(fps.values())), set(fps.values()))
+    assert [got[i]["component_id"] for i in fps] == [min(j for j in fps if root[fps[j]] == root[fps[i]]) for i in fps]
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    near = [(a, b) for a in fps for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    assert len(near) > 300 and sum(got[a]["root"] == got[b]["root"] for a, b in near) >= 0.98 * len(near)
+    assert len({r["root"] for r in got.values()}) >= 6 and all(got[a]["root"] != got[b]["root"] for a in fps for b in fps if a % 6 != b % 6)
+
+
+@pytest.mark.parametrize(("cap", "scheme"), [(64, simhash.EXACT), (2, simhash.EXACT), (64, simhash.SIMILAR), (2, simhash.SIMILAR)])
+def test_simhash_links(spark, monkeypatch, cap, scheme):
+    """All that the scheme finds by pairs is joined, with keys under and over the cap, with and without a broadcast of hot keys."""
     monkeypatch.setattr(simhash, "KEY_CAP", cap)
     monkeypatch.setattr(simhash, "BLOCK", 16)
-    rng = random.Random(7)
-    base = [rng.getrandbits(64) for _ in range(12)]
-    fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(7))) for b in base for _ in range(25)} | {0, 2**64 - 1}
+    monkeypatch.setattr(simhash, "HOT_BROADCAST", 0 if cap == 2 else 100)
+    rng, n = random.Random(7), 64 * scheme.words
+    base = [rng.getrandbits(n) for _ in range(8)]
+    fps = {b ^ sum(1 << k for k in rng.sample(range(n), rng.randrange(7 * scheme.words))) for b in base for _ in range(25)} | {0, 2**n - 1}
     signed = lambda x: x - 2**64 if x >= 2**63 else x
-    scratch = Scratch(spark)
-    found = simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), scratch)
-    edges = [(r["a"] % 2**64, r["b"] % 2**64) for r in found.collect()]
-    assert all((a ^ b).bit_count() <= 4 for a, b in edges) or cap == 2  # blocks give spanning links, not only direct ones
-    want = reach([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 4], fps)
-    assert reach(edges, fps) == want
+    fps = sorted(fps)
+    rows = [(k, [signed(f >> 64 * w & (2**64 - 1)) for w in range(scheme.words)]) for k, f in enumerate(fps)]
+    found = simhash.links(spark.createDataFrame(rows, "v long, fp array<long>"), Scratch(spark), scheme)
+    edges = [(fps[r["a"]], fps[r["b"]]) for r in found.collect()]
+    direct = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= scheme.radius]
+    want = reach(direct if scheme is simhash.EXACT else similar_links(fps), fps)
+    whole, got = reach(direct, fps), reach(edges, fps)
+    assert all(whole[a] == whole[b] for a, b in edges)
+    if scheme is simhash.EXACT:
+        assert got == want
+    else:  # hot keys may join more than shared segments do, never less
+        assert all(got[f] == got[want[f]] for f in fps)
+
+
+def test_hubs(spark, monkeypatch):
+    """A vertex with most of the links, joined by broadcast."""
+    monkeypatch.setattr("facetwise.llm.components.HEAVY_LEAST", 3)
+    monkeypatch.setattr("facetwise.llm.components.HEAVY", 50)
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 310)] + [(500, k) for k in range(501, 540)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
+    assert got == reach(edges, {x for e in edges for x in e})
 
 
-def test_keep_one(spark):
+@pytest.mark.parametrize("scheme", [simhash.EXACT, simhash.SIMILAR])
+def test_keep_one(spark, scheme):
     rows = [(1, "a b c d e", "x"), (1, "a b c d e", "x"), (1, "q w e r t y", "x"), (2, "a b c d e", "x"), (None, "zz yy xx ww", "n"), (None, "zz yy xx ww", "n"), (7, None, "x"), (8, "", "y")]
-    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, own_fp string"), spark)
-    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, "a b c d e", "x"), (1, "q w e r t y", "x"), (None, "zz yy xx ww", "n"), (7, None, "x")]))
+    for own in ("own_fp", "win", "dedup_id", "fp", "k", "row", "root"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {own} string")
+        got = simhash.keep_one(docs, spark, scheme)
+        assert got.columns == docs.columns
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, "a b c d e", "x"), (1, "q w e r t y", "x"), (None, "zz yy xx ww", "n"), (7, None, "x")]))
+    assert simhash.keep_one(docs.limit(0), spark, scheme).count() == 0
 
 
 # ---- 4 ----
@@ -514,9 +588,9 @@ def test_pipeline_by_brute_force(spark):
     rows = [r.asDict() for r in documents(spark).collect()]
     scorer = quality.train(documents(spark), spark)[1]
     rows = [r for r in rows if scorer.score(r["text"].encode()) >= 0.5]
-    fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows}
-    root = reach([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4], fps)
-    rows = [r for r in rows if root[r["doc_id"]] == r["doc_id"]]
+    fps = {r["doc_id"]: plain_similar(r["text"]) for r in rows}
+    group = reach(similar_links(set(fps.values())), set(fps.values()))
+    rows = [r for r in rows if r["doc_id"] == min(i for i, f in fps.items() if group[f] == group[fps[r["doc_id"]]])]
     windows = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
         w = words(r["text"].encode())
