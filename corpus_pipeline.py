@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the least doc_id."""
-    return simhash.keep_one(docs, spark)
+    """One document of each group of near copies (five-word shingles, a similarity of 0.8 or more): the one with the least doc_id."""
+    return simhash.keep_one(docs, spark, simhash.SIMILAR)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
