@@ -10,6 +10,14 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+#: The key of pseudonyms where spark.facetwise.pii.key is not set: for tests and demonstrations only.
+DEMONSTRATION_KEY = "facetwise"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.facetwise.pii.key", DEMONSTRATION_KEY)
+
+
 def _query(f):
     QUERIES[f.__name__] = f
     return f
@@ -77,7 +85,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(_table(spark, sf_dir, "documents"))
+    out = pii.pseudonymize(_table(spark, sf_dir, "documents"), key=pii_key(spark))
     return out.selectExpr("doc_id", "text", "cast(size(pii) as long) as n_found", "pii")
 
 

@@ -1,9 +1,11 @@
 """The training-data operators against brute force, round trips and held-out accuracy; odd rows of every kind."""
 
+import datetime
 import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -275,7 +277,7 @@ def test_keep_one(spark, scheme):
 
 
 def pseudonym(spark, *values):
-    rows = pii.pseudonymize(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string")).orderBy("doc_id").collect()
+    rows = pii.pseudonymize(spark.createDataFrame(list(enumerate(values)), "doc_id long, text string"), key="k").orderBy("doc_id").collect()
     return [r["text"] for r in rows]
 
 
@@ -299,7 +301,7 @@ def test_pii_kinds(spark):
 def test_feistel_is_a_bijection(spark):
     """Over whole small domains: all four digits, all days, all serials of one area and group."""
     two = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
-    assert two.select(F.expr(pii._permuted_digits("d", "k")).alias("x")).where("length(x) = 4").distinct().count() == 10_000
+    assert two.select(F.expr(pii._permuted_digits("d", "'k'")).alias("x")).where("length(x) = 4").distinct().count() == 10_000
     days = spark.range(146_097).select(F.expr("date_format(date_add(date'1800-01-01', cast(id as int)), 'yyyy-MM-dd')").alias("day"))
     images = days.select(F.expr(pii._date("day", "k")).alias("x")).distinct()
     assert images.count() == 146_097 and images.where("x < '1800-01-01' or x > '2199-12-31'").count() == 0
@@ -307,10 +309,104 @@ def test_feistel_is_a_bijection(spark):
     assert ssn.distinct().count() == 9_999 and ssn.where("x like '000%' or x like '666%' or x like '9%' or x like '%-00-%' or x like '%0000'").count() == 0
 
 
+def feistel(a, b, left, right, key):
+    f = lambda i, side, x: int(hashlib.sha256(f"{key}/{i}/{side}/{x}".encode()).hexdigest()[:15], 16)
+    for i in range(1, 6):
+        left = (left + f(i, "l", right)) % a
+        right = (right + f(i, "r", left)) % b
+    return left, right
+
+
+def plain_digits(d, key):
+    h = len(d) // 2
+    x, y = feistel(10**h, 10 ** (len(d) - h), int(d[:h]), int(d[h:]), key)
+    return f"{x:0{h}d}{y:0{len(d) - h}d}"
+
+
+def plain_number(d):
+    check = lambda q: next(c for c in "0123456789" if luhn(q + c))
+    if len(d) > 19:
+        n, out, was = -(-len(d) // 18), "", ""
+        for i in range(n):
+            was = plain_digits(d[i * len(d) // n : (i + 1) * len(d) // n], f"k/long/{n}/{i}/{was}")
+            out += was
+        return out
+    if luhn(d):
+        q = plain_digits(d[:-1], "k/card")
+        return q + check(q)
+    h, m = (len(d) - 1) // 2, len(d) - 1 - (len(d) - 1) // 2
+    x, y = feistel(10**h, 9 * 10**m, int(d[:h]), int(d[h:-1]) * 9 + (int(d[-1]) - int(check(d[:-1]))) % 10 - 1, "k/number")
+    q = f"{x:0{h}d}{y // 9:0{m}d}"
+    return q + str((int(check(q)) + 1 + y % 9) % 10)
+
+
+def plain_date(x):
+    day0 = datetime.date(1800, 1, 1)
+    days = [day0 + datetime.timedelta(k) for k in range(146_097)]
+    late = [d for d in days if d.day > 12]
+    a, b, c = map(int, re.split("[-/.]", x))
+    sep = re.search("[-/.]", x).group()
+    if a > 31:
+        shape, t = "%Y-%m-%d", datetime.date(a, b, c)
+    elif b <= 12:
+        shape, t = "%d-%m-%Y", datetime.date(c, b, a)
+    else:
+        k = late.index(datetime.date(c, a, b))
+        p = feistel(9, 9833, k // 9833, k % 9833, "k/month")
+        return late[p[0] * 9833 + p[1]].strftime("%m-%d-%Y").replace("-", sep)
+    k = (t - day0).days
+    p = feistel(189, 773, k // 773, k % 773, "k/date")
+    return days[p[0] * 773 + p[1]].strftime(shape).replace("-", sep)
+
+
+def test_pii_against_plain_feistel(spark):
+    """Every kind against an independent permutation."""
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    numbers = [digits(rng.randrange(13, 20)) for _ in range(60)] + [digits(n) for n in (20, 21, 36, 37, 55, 200)] + ["0" * 16, "4111111111111111"]
+    dates = ["2020-03-04", "31/12/1999", "12/31/1999", "01.13.1800", "12-31-2199", "29.02.2000", "02/29/2000", "1800/01/01", "05-06-2007"]
+    ssn, ip, phone = "123-45-6789", "10.0.255.1", "+1 (499) 555-6503"
+    out = pseudonym(spark, *numbers, *dates, ssn, ip, phone, "ana.perez@mail.example.com")
+    assert out[: len(numbers)] == [plain_number(d) for d in numbers]
+    assert out[len(numbers) :][: len(dates)] == [plain_date(d) for d in dates]
+    left, right = feistel(88902, 9999, 122 * 99 + 44, 6788, "k/ssn")
+    area = left // 99 + (2 if left // 99 >= 665 else 1)
+    assert out[-4] == f"{area:03d}-{left % 99 + 1:02d}-{right + 1:04d}"
+    left, right = feistel(65536, 65536, 10 * 256, 255 * 256 + 1, "k/ip")
+    assert out[-3] == f"{left // 256}.{left % 256}.{right // 256}.{right % 256}"
+    assert re.sub("[^0-9]", "", out[-2]) == "1" + plain_digits("4995556503", "k/phone")
+    assert out[-1] == "u" + hashlib.sha256(b"k/email/ana.perez@mail.example.com").hexdigest()[:15] + "@mail.example.com"
+
+
+def test_pii_classes_are_disjoint(spark):
+    """Numbers without check digit never meet a card, month-first dates never meet a day-first one; both are bijections."""
+    tens = spark.range(20_000).select(F.format_string("%013d", F.col("id") * 7919 + 4_000_000_000_000).alias("d"))
+    made = tens.select("d", F.expr(pii._number("d", "k")).alias("x")).collect()
+    assert len({r["x"] for r in made}) == 20_000 and all(luhn(r["d"]) == luhn(r["x"]) for r in made)
+    small = spark.range(100_000).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("d"))
+    small = small.where(F.expr(pii._luhn("d", 1)) % 10 != 0).select(F.expr(pii._invalid("d", "'k'")).alias("x")).collect()
+    assert len({r["x"] for r in small}) == 90_000 and not any(luhn(r["x"]) for r in small)
+    late = spark.range(146_097).select(F.expr("date_add(date'1800-01-01', cast(id as int))").alias("t")).where("day(t) > 12")
+    images = {r["x"] for r in late.select(F.expr(pii._date("date_format(t, 'MM/dd/yyyy')", "k")).alias("x")).collect()}
+    assert len(images) == 88_497 and all(12 < int(x[3:5]) <= 31 and int(x[:2]) <= 12 and "1800" <= x[6:] <= "2199" for x in images)
+
+
+def test_pii_finds_values_in_place(spark):
+    """Values before a time, of any length, and in long texts."""
+    local = "a" * 500
+    out = pseudonym(spark, "at 2020-03-04T10:00:00 sharp", f"to {local}@example.org now", "x" * 50_000 + " 4111111111111111 " + "y" * 50_000, "no 2020-03-04Tuesday")
+    assert out[0].startswith("at ") and out[0].endswith("T10:00:00 sharp") and "2020-03-04" not in out[0]
+    assert local not in out[1] and out[1].endswith("@example.org now") and "4111111111111111" not in out[2] and out[3] == "no 2020-03-04Tuesday"
+
+
 def test_pii_odd_rows(spark):
-    out = pii.pseudonymize(odd(spark, "pii")).collect()
-    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((r[0], r[1]) for r in ODD) and all(r["pii"] == [] for r in out)
-    plan = pii.pseudonymize(odd(spark))._jdf.queryExecution().executedPlan().toString()
+    for own in ("pii", "found_values", "made_values", "__hits", "__made"):
+        docs = odd(spark, own)
+        out = pii.pseudonymize(docs, key="k").collect()
+        assert Counter((r["doc_id"], r["text"]) for r in out) == Counter((r[0], r[1]) for r in ODD) and all(r["pii"] == [] for r in out)
+        assert own == "pii" or sorted(map(str, (r[own] for r in out))) == sorted(map(str, (r[5] for r in ODD)))
+    assert pii.pseudonymize(docs.limit(0), key="k").count() == 0
+    plan = pii.pseudonymize(odd(spark), key="k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
