@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetwise.llm import decontam, mixing, pii, quality, simhash
-from facetwise.llm.common import Scratch
+from facetwise.llm.queries import pii_key
+from facetwise.scratch import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +29,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data pseudonymised; n_chars follows."""
+    """Texts with personal data pseudonymised; n_chars, where there is such a column, follows changed texts."""
     columns = docs.columns
-    out = pii.pseudonymize(docs, found="pii_found")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns)
+    out = pii.pseudonymize(docs, key=pii_key(spark), found="pii_found" + "_" * sum(c.lower().startswith("pii_found") for c in columns))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(f"`{c}`") for c in columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
