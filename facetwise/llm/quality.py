@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetwise.llm.common import Shared, texts
+from facetwise.llm.common import Scratch, Shared, texts
 
-#: About so many rows, chosen by a hash of doc_id, fit the linear scorer.
+#: About so many rows, chosen by a hash of doc_id (of the text where it is null), fit the linear scorer; twice as many at most.
 TRAIN_ROWS = 12_000
+#: Words are counted as distinct within stretches of so many, so that the share doesn't depend on the length of a text.
+STRETCH = 200
 WIDTH = 512
 REJECT_BELOW = 0.5
 
@@ -75,7 +77,7 @@ def statistics(text: bytes) -> dict[str, float] | None:
         "symbol_words": float((_STRONG[end] & _STRONG[before]).sum()) / n,
         "bare_marks": float((np.add.reduceat(_WORDY[c], first, dtype=np.int32) == 0).sum()) / n,
         "repeated_next": repeated,
-        "distinct_share": len(set(w)) / min(n, 2000),
+        "distinct_share": sum(len(set(w[k : k + STRETCH])) for k in range(0, n, STRETCH)) / n,
         "mean_word": float(inner.sum()) / n,
         "line_repeats": 1 - len(set(lines)) / len(lines),
         "packed_share": len(zlib.compress(text, 1)) / len(text),
@@ -163,44 +165,43 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(features(text, stats) @ self.w, -50, 50))))
 
 
-def train(docs: DataFrame, spark: SparkSession, *, rows: int = TRAIN_ROWS) -> tuple[LabelModel, Scorer]:
-    """The label model of all documents and the scorer fitted on a sample with its posteriors as labels."""
-    text = F.col("text").cast("string").alias("text")
+def train(docs: DataFrame, spark: SparkSession, *, rows: int = TRAIN_ROWS, scratch: Scratch | None = None) -> tuple[LabelModel, Scorer]:
+    """The label model of all documents and the scorer fitted on a sample with its posteriors as labels.
 
-    def count(batches):
-        seen: dict[str, int] = {}
-        for b in batches:
-            for t in texts(b.column(0)):
-                v = votes(statistics(t))
-                seen[v] = seen.get(v, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
-
-    parts = docs.select(text).mapInArrow(count, "votes string, n long")
-    patterns = {r["votes"]: r["n"] for r in parts.groupBy("votes").agg(F.sum("n").alias("n")).collect()}
-    model = LabelModel(patterns)
-    share = min(1.0, rows / max(1, sum(patterns.values())))
-    posterior = model.posterior
+    Every text is looked at once: a task returns its counts of vote patterns, and votes and features of its part of the
+    sample. Posteriors follow from the counts; the sample comes to the driver (2 kB a row, 2 * rows at most).
+    """
+    share = min(1.0, rows / max(1, docs.count()))
+    text = F.col("text").cast("string")
+    picked = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id")), F.lit(1 << 20)) < share * (1 << 20)
 
-    def sample(batches):
+    def look(batches):
+        seen: dict[str, int] = {}
         for b in batches:
-            xs, ys = [], []
-            for t in texts(b.column(0)):
+            own, xs = [], []
+            for t, sampled in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
                 stats = statistics(t)
-                if (y := posterior.get(votes(stats))) is not None:
+                v = votes(stats)
+                seen[v] = seen.get(v, 0) + 1
+                if sampled and v.strip("-"):
+                    own.append(v)
                     xs.append(features(t, stats).astype(np.float32).tobytes())
-                    ys.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.float64())], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.nulls(len(own), pa.int64()), pa.array(xs, pa.binary())], ["votes", "n", "x"])
+        counts = [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.nulls(len(seen), pa.binary())]
+        yield pa.RecordBatch.from_arrays(counts, ["votes", "n", "x"])
 
-    picked = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select(text)
-    got = picked.mapInArrow(sample, "x binary, y double").toArrow()  # about `rows` rows
+    looked = (scratch or Scratch(spark)).cut(docs.select(text.alias("text"), picked.alias("picked")).mapInArrow(look, "votes string, n long, x binary"))
+    model = LabelModel({r["votes"]: r["n"] for r in looked.where("x is null").groupBy("votes").agg(F.sum("n").alias("n")).collect()})
+    got = looked.where("x is not null").limit(2 * rows).select("votes", "x").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
-    return model, Scorer(x, got.column("y").to_numpy())
+    return model, Scorer(x, np.array([model.posterior[v] for v in got.column("votes").to_pylist()], float))
 
 
 def scores(docs: DataFrame, scorer: Scorer, spark: SparkSession, *, below: float = REJECT_BELOW) -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1, higher is better), rejected (score < below).
 
-    Null and empty texts and texts without words score 1: there is nothing to judge. Repeated rows score alike; other columns are not read; an empty table gives no rows.
+    Null and empty texts and texts without words score 1: there is nothing to judge. Texts of any length are read whole
+    and judged by the same rules. Repeated rows score alike; other columns are not read; an empty table gives no rows.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = Shared(spark, scorer)
@@ -214,7 +215,10 @@ def scores(docs: DataFrame, scorer: Scorer, spark: SparkSession, *, below: float
 
 
 def keep(docs: DataFrame, scorer: Scorer, spark: SparkSession, *, below: float = REJECT_BELOW) -> DataFrame:
-    """The rows of docs that are not rejected, with their columns; nothing is shuffled."""
+    """The rows of docs that are not rejected, with their columns; nothing is shuffled.
+
+    Null and empty texts and texts without words stay. Repeated rows are judged alike; an empty table gives no rows.
+    """
     shared = Shared(spark, scorer)
     at = docs.columns.index("text")
 

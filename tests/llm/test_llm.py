@@ -571,6 +571,88 @@ def test_quality_of_short_texts(spark):
     assert quality.votes(quality.statistics(b"ab" * 500_000))[5] == "b" and quality.votes(quality.statistics(b"one")).strip("-") == ""
 
 
+def plain_statistics(text):
+    """What the labellers look at, by loops over words and characters."""
+    w, n = text.split(), len(text.split())
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    strong, tail = set(b"*&%$#@=<>{}[]~^_|\\!"), set(b".,;:?!")
+    lines = [x for x in text.split(b"\n") if x]
+    again = sum(w[k] == w[k - 1] for k in range(1, n)) / max(1, n - 1)
+    return {
+        "upper_share": sum(65 <= c <= 90 for c in text) / max(1, sum(map(letter, text))),
+        "symbol_words": sum(len(x) > 1 and x[-1] in strong and x[-2] in strong for x in w) / n,
+        "bare_marks": sum(not any(letter(c) or 48 <= c <= 57 for c in x) for x in w) / n,
+        "repeated_next": again,
+        "distinct_share": sum(len(set(w[k : k + 200])) for k in range(0, n, 200)) / n,
+        "mean_word": sum(map(len, w)) / n,
+        "line_repeats": 1 - len(set(lines)) / len(lines),
+        "packed_share": len(zlib.compress(text, 1)) / len(text),
+        "plain_words": sum(letter(x[-1]) or (x[-1] in tail and len(x) > 1 and letter(x[-2])) for x in w) / n,
+        "fresh_words": 1 - again,
+        "words": n,
+        "letters": sum(map(letter, text)),
+        "inner": sum(map(len, w)),
+    }
+
+
+def test_quality_by_brute_force(spark):
+    """The whole query by plain loops: statistics, expectation maximisation row by row, features, gradient steps, scores."""
+    rows = [r for r in documents(spark).collect()] + [r for r in odd(spark).drop("fp").where("doc_id <> 5 or doc_id is null").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    texts_ = [(r["text"] or "").encode() for r in rows]
+    stats = [plain_statistics(t) if t.split() else None for t in texts_]
+    for t, x in zip(texts_, stats, strict=True):
+        got = quality.statistics(t)
+        assert (got is None) == (x is None) and (x is None or got == pytest.approx(x))
+    vote = [quality.votes(x) for x in stats]
+    judged = [k for k, v in enumerate(vote) if v.strip("-")]
+    prior, q = 0.5, {k: 0.001 if "b" in vote[k] else 0.999 for k in judged}
+    for _ in range(200):
+        prior = min(0.999, max(0.001, sum(q.values()) / len(q)))
+        accuracy = {}
+        for y in (0, 1):
+            for at in range(len(quality.LABELLERS)):
+                for v in "gb-":
+                    mass = sum((q[k] if y else 1 - q[k]) for k in judged if vote[k][at] == v)
+                    accuracy[y, at, v] = (mass + 0.1) / (sum(q[k] if y else 1 - q[k] for k in judged) + 0.3)
+        for k in judged:
+            odds = math.log(prior / (1 - prior)) + sum(math.log(accuracy[1, at, v] / accuracy[0, at, v]) for at, v in enumerate(vote[k]))
+            q[k] = 1 / (1 + math.exp(-max(-50, min(50, odds))))
+    model, scorer = quality.train(docs, spark)
+    assert all(model.posterior[vote[k]] == pytest.approx(q[k], abs=1e-9) for k in judged)
+
+    def plain_features(text, x):
+        kinds = [int(quality._CLASS[c]) for c in text]
+        out, grams = [0.0] * 512, Counter(kinds[k] * 400 + kinds[k + 1] * 20 + kinds[k + 2] for k in range(len(kinds) - 2))
+        for g, n in grams.items():
+            out[(g * 2654435761 >> 7) % 512] += math.sqrt(n / (len(kinds) - 2))
+        for k, (name, _, _) in enumerate(quality.LABELLERS):
+            place = int(min(15, max(0, round(x[name] * (1 if name == "mean_word" else 15)))))
+            out[((k * 16 + place + 1) * 40503 >> 3) % 512] += 1.0
+        out[0] = 1.0
+        return out
+
+    x, y = np.array([plain_features(texts_[k], stats[k]) for k in judged]), np.array([q[k] for k in judged])
+    w, v, rate = np.zeros(512), np.zeros(512), 4 / np.mean(np.sum(x**2, 1))
+    for _ in range(300):
+        near = w + 0.9 * v
+        v = 0.9 * v - rate * (x.T @ (1 / (1 + np.exp(-x @ near)) - y) / len(y) + 1e-4 * near)
+        w = w + v
+    want = [1.0 if s is None else 1 / (1 + math.exp(-float(np.dot(plain_features(t, s), w)))) for t, s in zip(texts_, stats, strict=True)]
+    got = quality.scores(docs, scorer, spark).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 3)) for r in got) == sorted((str(r["doc_id"]), round(s, 3)) for r, s in zip(rows, want, strict=True))
+
+
+def test_quality_is_the_same_at_every_length():
+    """Ten copies' worth of fresh words change no vote, and only the end of a long text can change its score."""
+    rng = random.Random(8)
+    words_ = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    short, long = (" ".join(rng.choices(words_, k=n)).encode() for n in (300, 30_000))
+    assert quality.votes(quality.statistics(short)) == quality.votes(quality.statistics(long))
+    junk = " ".join(rng.choices(words_, k=60)).encode() + b" the" * 20_000
+    assert "b" in quality.votes(quality.statistics(junk))
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(1)
     y = rng.random(20_000) < 0.8
