@@ -22,13 +22,12 @@ FOLDS, HELD_OUT = 4, 2
 TRAIN_ROWS = 16_000
 #: A sign must be so many standard deviations over the base rate, in so many training rows at least.
 MIN_Z, MIN_ROWS = 7.0, 6
-MAX_SIGNS = 20_000
 PREFIX = 5
 PREDICT_FROM = 0.3
-#: Tokens of more characters, long repeats apart, are no words but keys and addresses: their parts are.
-MAX_TOKEN = 32
-#: Spaced runs are decoded in pieces of so many characters, which overlap by the length of a spaced word.
-PIECE = 4096
+#: Longer tokens (addresses, several words in one) are decoded whole and part by part.
+LONG_TOKEN = 32
+#: Tokens and spaced runs of any length are decoded in pieces of so many characters, which overlap, so that memory is bounded.
+PIECE, OVERLAP = 4096, 64
 #: Beyond so many states the search goes on with arrays.
 FEW = 8
 MEMO = 200_000
@@ -43,7 +42,11 @@ STANDS_FOR = {
 SUBSTITUTED, MASKED, SPACED, REPEATED, DROPPED = 2.0, 4.0, 1.0, 0.5, 4.0
 SEPARATORS = frozenset(" .-_~'­​‌‍")
 _OUTER = " .,;:?\"')[]{}<>&%^~=/\\"
-_SPACED = re.compile(r"(?<![^\s])(?:[a-z0-9@$!|*][ .\-_~]){2,}[a-z0-9@$!|*](?![^\s.,;:?!])")
+_ONE = r"[a-z0-9@$!|*]"
+#: Single characters apart, by separators of any kind, and by one kind of separator only.
+_SPACED = re.compile(rf"(?<![^\s])(?:{_ONE}[ .\-_~]){{2,}}{_ONE}(?![^\s.,;:?!])")
+_EVEN = re.compile(rf"(?<![^\s]){_ONE}([ .\-_~]){_ONE}(?:\1{_ONE})+(?![^\s.,;:?!])")
+_MASKS = frozenset("*#%")
 _DOUBLE = re.compile(r"([a-z])\1")
 _LONG = re.compile(r"(.)\1{3,}", re.S)
 _HIDDEN = re.compile("[" + re.escape("".join(STANDS_FOR) + "".join(sorted(SEPARATORS))) + "]")
@@ -103,25 +106,38 @@ class Channel:
             return [(ord(x) - 96, SUBSTITUTED if len(some) < 5 else MASKED) for x in some]
         return [(27, 0.0)] if c.isalpha() else []
 
-    def restore(self, token: str) -> str:
-        """The likeliest word for a lower-case token; letters outside a-z stay as `?`."""
-        if (got := self.memo.get(token)) is not None:
+    def restore(self, token: str, filled: bool = False) -> str:
+        """The likeliest word for a lower-case token; letters outside a-z stay as `?`. If filled, every mask is a letter."""
+        if (got := self.memo.get((token, filled))) is not None:
             return got
-        word = self._narrow(token)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[token] = word
+        pieces = range(0, max(1, len(token) - OVERLAP), PIECE - OVERLAP)
+        word = self._narrow(token, filled) if len(pieces) == 1 else "".join(self._narrow(token[at : at + PIECE - OVERLAP * (at != pieces[-1])], filled) for at in pieces)
+        if len(token) <= 2 * LONG_TOKEN:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[token, filled] = word
         return word
 
-    def _narrow(self, token: str) -> str:
+    def _stay(self, token: str, at: int, readings: list, filled: bool) -> float | None:
+        """What it costs that the character at a place stands for nothing; None if it can't."""
+        c = token[at]
+        if c in SEPARATORS:
+            return SPACED
+        if filled and c in _MASKS:
+            return None
+        if at and c == token[at - 1] and readings:
+            return REPEATED
+        return DROPPED if not readings or c in "*#%!" else None
+
+    def _narrow(self, token: str, filled: bool = False) -> str:
         """Viterbi search, state by state while there are few; a state is the last two letters."""
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         table = self.table
         for at, c in enumerate(token):
             if len(best) > FEW:
-                return self._decode(token, False, at, best)
+                return self._decode(token, False, at, best, filled)
             readings, new = self._readings(c), {}
-            stay = SPACED if c in SEPARATORS else REPEATED if at and c == token[at - 1] and readings else DROPPED if not readings or c in "*#%!" else None
+            stay = self._stay(token, at, readings, filled)
             for (a, b), (cost, path) in best.items():
                 if stay is not None and ((a, b) not in new or cost + stay < new[a, b][0]):
                     new[a, b] = (cost + stay, path)
@@ -132,7 +148,7 @@ class Channel:
             best = new
         return min((cost + table[a][b][0], p) for (a, b), (cost, p) in best.items())[1]
 
-    def _decode(self, token: str, apart: bool, first: int = 0, start: dict | None = None) -> str:
+    def _decode(self, token: str, apart: bool, first: int = 0, start: dict | None = None, filled: bool = False) -> str:
         """The same search over all states at once. If apart, a separator may also end a word (a blank). start: before character `first`."""
         start = start or {(0, 0): (0.0, "")}
         best = np.full((_N, _N), np.inf)
@@ -142,12 +158,8 @@ class Channel:
         for at, c in enumerate(token[first:], first):
             readings = self._readings(c)
             new, came = np.full((_N, _N), np.inf), np.full((_N, _N), -1, np.int16)  # of b, x; came: the a before, or these:
-            if c in SEPARATORS:  # -1: the state stays
-                new = best + SPACED
-            elif at and c == token[at - 1] and readings:
-                new = best + REPEATED
-            elif not readings or c in "*#%!":
-                new = best + DROPPED
+            if (stay := self._stay(token, at, readings, filled)) is not None:  # -1: the state stays
+                new = best + stay
             if len(readings) == 26:  # a mask: all letters at once
                 total = (best[:, :, None] + self.any).reshape(_N, -1)
                 low = total.min(0).reshape(_N, 26) + readings[0][1]
@@ -182,16 +194,18 @@ class Channel:
         return start[a, b][1] + "".join(reversed(out))
 
     def _words(self, token: str) -> list[str]:
-        """The word behind a token, or behind its parts if it is too long for a word."""
+        """The words behind a token: whole, and by its parts if it is long; with masks dropped or filled, as is likelier, and all filled."""
         token = _LONG.sub(r"\1\1\1", token)
-        if len(token) <= MAX_TOKEN:
-            return [self.restore(token)] if len(token) >= 3 else []
-        return [self.restore(p) for p in _PART.split(token) if 3 <= len(p) <= MAX_TOKEN and (_HIDDEN.search(p) or _DOUBLE.search(p))]
+        whole = [token] if len(token) >= 3 else []
+        if len(token) > LONG_TOKEN:
+            whole += [p for p in _PART.split(token) if 3 <= len(p) < len(token) and (_HIDDEN.search(p) or _DOUBLE.search(p))]
+        return [self.restore(p) for p in whole] + [self.restore(p, True) for p in whole if not _MASKS.isdisjoint(p)]
 
     def restored(self, text: str) -> set[bytes]:
         """Words behind the suspicious tokens of a lower-case text: a letter doubled, or a character that may be another.
 
-        Numbers, that is tokens of digits and marks that stand for nothing, are what they are.
+        Numbers, that is tokens of digits and marks that stand for nothing, are what they are. Characters set apart are
+        one word where their separators are all alike; they are also decoded with word ends at any separator.
         """
         out: set[str] = set()
         for token in set(text.split()):
@@ -203,13 +217,13 @@ class Channel:
                 for part in re.split(r"[^\w]+", token):
                     if _DOUBLE.search(part):
                         out.update(self._words(part))
+        for m in _EVEN.finditer(text):
+            out.add(self.restore(m.group()))
         for m in _SPACED.finditer(text):
             run = m.group()
-            if len(run) <= 2 * MAX_TOKEN:
-                out.add(self.restore(run))
-            for at in range(0, max(1, len(run) - 2 * MAX_TOKEN), PIECE - 2 * MAX_TOKEN):
+            for at in range(0, max(1, len(run) - OVERLAP), PIECE - OVERLAP):
                 out.update(self._decode(run[at : at + PIECE], True).split())
-        return {w.encode() for w in out}
+        return {w.encode() for w in out if w}
 
 
 def signs(text: str, channel: Channel) -> set[bytes]:
@@ -266,7 +280,8 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, *, rows: int
     base = total["n1"] / (total["n0"] + total["n1"])
     all_n = F.col("n0") + F.col("n1")
     z = (F.col("n1") - all_n * base) / F.sqrt(all_n * max(1e-9, base * (1 - base)))
-    strong = counted.where((F.length("w") > 0) & (all_n >= MIN_ROWS) & (z >= MIN_Z) & (F.col("n1") >= 4 * F.col("n0"))).orderBy(F.desc(z), "w").limit(MAX_SIGNS).collect()
+    # All signs come to the driver: each is in MIN_ROWS rows of the sample at least, so the sample bounds them.
+    strong = counted.where((F.length("w") > 0) & (all_n >= MIN_ROWS) & (z >= MIN_Z) & (F.col("n1") >= 4 * F.col("n0"))).collect()
     strength = {bytes(r["w"]): (r["n1"] + 0.1) / (r["n0"] + r["n1"] + 0.5) for r in strong}
     # Rows with label 1 but no sign are the base rate; it stays under the threshold of a prediction.
     return Model(channel, min(0.05, base / 4), strength)

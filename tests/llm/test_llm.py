@@ -689,7 +689,7 @@ def test_toxicity_of_hidden_words(spark):
     """Look-alikes in words of letters, doubled letters, long stretches, spaced runs of several words, several masks."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels, spark)
-    for told in ("iddiot", "\u0456d\u0456\u043et", "i" + "d" * 60 + "iot", "t h e i d i o t", "t h e t h i n g " * 10 + "i d i o t", "$tupid!", "st**id", "s**p*d"):
+    for told in ("iddiot", "\u0456d\u0456\u043et", "i" + "d" * 60 + "iot", "t h e i d i o t", "t h e t h i n g " * 10 + "i d i o t", "$tupid!", "st**id", "s**p*d", "i.d.i.o.t x", "s.t.u p-i_d", "http://one.two/three/four/five/six/1d10t/seven"):
         assert model.score(f"the other {told} of that") >= 0.3, told
     for told in ("455 100", "hello, well all full!", "* * * * *"):
         assert model.score(told) < 0.3, told
@@ -699,6 +699,80 @@ def test_toxicity_of_hidden_words(spark):
         assert model.channel._narrow(token) == model.channel._decode(token, False)
 
 
+def test_restoring_is_the_best_path():
+    """Against all paths of the lattice of short tokens, with masks dropped or filled."""
+    rng = np.random.default_rng(4)
+    channel = toxicity.Channel(rng.integers(0, 50, (28, 28, 28)).astype(float))
+
+    def paths(token, filled):
+        found = {}
+
+        def go(at, a, b, cost, word):
+            if at == len(token):
+                cost += channel.cost[a, b, 0]
+                found[word] = min(found.get(word, math.inf), cost)
+                return
+            c = token[at]
+            reads = [(c, 0.0)] if c.isascii() and c.isalpha() else [(x, 2.0 if len(toxicity.STANDS_FOR[c]) < 5 else 4.0) for x in toxicity.STANDS_FOR.get(c, "")]
+            if c in ".-_":
+                go(at + 1, a, b, cost + 1.0, word)
+            elif not (filled and c in "*#%"):
+                if at and token[at - 1] == c and reads:
+                    go(at + 1, a, b, cost + 0.5, word)
+                elif not reads or c in "*#%!":
+                    go(at + 1, a, b, cost + 4.0, word)
+            for x, extra in reads:
+                k = ord(x) - 96
+                go(at + 1, b, k, cost + channel.cost[a, b, k] + extra, word + x)
+
+        go(0, 0, 0, 0.0, "")
+        return found
+
+    draw = random.Random(6)
+    for _ in range(120):
+        token = "".join(draw.choices("aabdst0131!$@.-", k=draw.randrange(3, 8)))
+        if draw.random() < 0.4:
+            token = token[:3] + "*" + token[3:4]
+        for filled in (False, True):
+            found = paths(token, filled)
+            assert found[channel.restore(token, filled)] == pytest.approx(min(found.values())), token
+    long = "1d10t-" * 3000
+    assert len(channel.restore(long)) > 10_000 and channel.restored(" ".join("idiot") + " " + long)
+
+
+def test_toxicity_by_brute_force(spark):
+    """Strengths and scores by plain loops over the rows; odd rows and labels among them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(odd(spark).drop("fp"))
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    labels = labels.unionByName(labels.limit(5)).unionByName(spark.createDataFrame([(None, 1), (1, None), (10**9, 1)], "doc_id long, toxic int").select("doc_id", F.col("toxic").cast(labels.schema["toxic"].dataType)))
+    model = toxicity.train(docs, labels, spark)
+    known = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            known[r["doc_id"]] = max(known.get(r["doc_id"], 0), r["toxic"])
+    rows, seen, total = docs.collect(), {}, [0, 0]
+    found = {r["text"]: toxicity.signs(r["text"] or "", model.channel) for r in rows}
+    for r in rows:
+        if (y := known.get(r["doc_id"])) is not None:
+            total[y] += 1
+            for w in found[r["text"]]:
+                seen.setdefault(w, [0, 0])[y] += 1
+    base, strength = total[1] / sum(total), {}
+    for w, (n0, n1) in seen.items():
+        n = n0 + n1
+        if n >= 6 and (n1 - n * base) / math.sqrt(n * base * (1 - base)) >= 7 and n1 >= 4 * n0:
+            strength[w] = (n1 + 0.1) / (n + 0.5)
+    assert model.strength == pytest.approx(strength) and model.base == pytest.approx(min(0.05, base / 4)) and len(strength) > 5
+    want = []
+    for r in rows:
+        rest = 1 - model.base
+        for w in found[r["text"]]:
+            rest *= 1 - strength.get(w, 0.0)
+        want.append((str(r["doc_id"]), zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 4 == 2, round(1 - rest, 6), int(1 - rest >= 0.3)))
+    got = [(str(r["doc_id"]), r["held_out"], round(r["score"], 6), r["predicted"]) for r in toxicity.scores(docs, model, spark).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # ---- 10 ----
 
 
