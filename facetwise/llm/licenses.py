@@ -1,7 +1,7 @@
 """License scans as an exact set-similarity join between templates and text blocks.
 
-A document's blocks are windows of 2 w words at every w-th word, w being the longest template. A template T matches a
-block B if |T and B| >= a = ceil(THRESHOLD |T|), tokens as sets. Tokens are put in one global order, rare ones first, by
+For a template of w words a document's blocks are windows of 2 w words at every w-th word, so that any w words in a row
+lie in a block. A template T matches a block B if |T and B| >= a = ceil(THRESHOLD |T|), tokens as sets. Tokens are put in one global order, rare ones first, by
 the number of documents that have them (counted over all documents). A block that matches must hold one of the first
 |T| - a + 1 tokens of T (prefix filter), must have a tokens (length filter), and at the first common token enough
 tokens must be left on both sides (positional filter); what is left is verified by counting.
@@ -12,6 +12,7 @@ Phrases are templates whose words must stand consecutively; all their places are
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -19,25 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetwise.llm.common import Shared, texts, words
+from facetwise.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.9
 #: Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Opening sentences of well-known licenses and usual notices, and their labels.
-TEMPLATES = (
-    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("Released under the MIT License", "mit"),
-    ("Licensed under the Apache License, Version 2.0", "apache"),
-    ("You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache"),
-    ("This work is licensed under the GNU General Public License, version 3", "gpl"),
-    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
-    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
-    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl"),
-    ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
-    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
-    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
-    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
-)
+#: Templates are broadcast; this bounds their text.
+TEMPLATE_BYTES = 16_000_000
 
 
 class Matcher:
@@ -50,7 +39,8 @@ class Matcher:
         order = sorted(names, key=lambda w: (frequency.get(w, 0), w))
         self.vocab = {w: k + 1 for k, w in enumerate(order)}  # 0: any other word; small codes are rare words
         self.phrase_codes = [[self.vocab[w] for w in p] for p, _ in self.phrases]
-        self.step = max([len(t) for t, _ in split], default=1)
+        split = [(t, label) for t, label in split if t]
+        self.step = [len(t) for t, _ in split]
         self.sets, self.need, self.label = [], [], []
         self.by_prefix: dict[int, list[tuple[int, int]]] = {}
         for t, label in split:
@@ -67,20 +57,25 @@ class Matcher:
     def blocks(self, code: np.ndarray) -> dict[int, float]:
         """Template to its best containment in a block, for those that some block meets."""
         found: dict[int, float] = {}
-        sets: dict[int, list[int]] = {}
-        for place in np.flatnonzero(self.asks[code]):
-            for block in {max(0, place // self.step - 1), place // self.step}:
-                if block not in sets:
-                    sets[block] = np.unique(code[block * self.step : (block + 2) * self.step]).tolist()
-                    if sets[block][0] == 0:
-                        del sets[block][0]
-                own = sets[block]
-                for t, at in self.by_prefix[int(code[place])]:
+        sets: dict[tuple[int, int], list[int]] = {}
+        done: set[tuple[int, int]] = set()
+        for place in np.flatnonzero(self.asks[code]).tolist():
+            token = int(code[place])
+            for t, at in self.by_prefix[token]:
+                step = self.step[t]
+                for block in {max(0, place // step - 1), place // step}:
+                    if (t, block) in done:
+                        continue
+                    own = sets.get((step, block))
+                    if own is None:
+                        own = np.unique(code[block * step : (block + 2) * step]).tolist()
+                        own = sets[step, block] = own[own[0] == 0 :]
                     if len(own) < self.need[t]:
                         continue
-                    here = own.index(int(code[place]))
-                    if at + 1 + min(len(self.sets[t]) - at, len(own) - here) - 1 < self.need[t]:
+                    # The first common token leaves so many on either side; a later one is tried at its own place.
+                    if 1 + min(len(self.sets[t]) - at - 1, len(own) - bisect_left(own, token) - 1) < self.need[t]:
                         continue
+                    done.add((t, block))
                     common = len(set(own).intersection(self.sets[t]))
                     if common >= self.need[t]:
                         found[t] = max(found.get(t, 0.0), common / len(self.sets[t]))
@@ -130,8 +125,10 @@ def scan(
     n_base counts all places of phrases, first_word and last_word are their least and largest start (null without any).
     labels adds those of templates that a block meets; score is 1 with a phrase, else the best containment of a template
     that matched, else 0. Null and empty texts have no words and no labels (empty strings). Repeated rows are scanned
-    alike; other columns are not read.
+    alike; other columns are not read; an empty table gives no rows. Templates without words match nothing.
     """
+    if sum(len(t) for t, _ in templates) > TEMPLATE_BYTES:
+        raise ValueError(f"templates of over {TEMPLATE_BYTES} characters are too large to broadcast: scan with parts of them")
     names = {w for t, _ in templates for w in words(t.encode())} | {w for p in phrases for w in words(p.encode())}
     shared = Shared(spark, Matcher(templates, phrases, frequencies(docs, names), threshold))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -77,6 +77,36 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), spark)
 
 
+def _license_sql() -> str:
+    """Words of templates and documents meet by word; a template's words are counted in each of its blocks."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = lambda pairs: ", ".join(f"({k}, {quote(t)}, {quote(label)})" for k, (t, label) in enumerate(pairs))
+    return f"""
+with tpl as (select t, label, {_WORDS.format("text")} as w from (values {rows(licenses.TEMPLATES)}) v(t, text, label)),
+tw as (
+    select t, label, len(w) as step, len(list_distinct(w)) as size, cast(ceil({licenses.THRESHOLD} * len(list_distinct(w)) - 1e-9) as bigint) as need, unnest(list_distinct(w)) as word
+    from tpl),
+phr as (select label, {_WORDS.format("text")} as w from (values {rows(licenses.PHRASES.items())}) v(t, text, label)),
+doc as (select row_number() over () as r, doc_id, {_WORDS.format("coalesce(text, '')")} as w from documents),
+dw as (select r, unnest(w) as word, unnest(range(0, len(w))) as p from doc),
+met as (
+    select r, t, label, block, count(distinct word) / max(size) as share, count(distinct word) >= max(need) as ok
+    from (select r, t, label, size, need, dw.word, unnest(list_distinct([greatest(p // step - 1, 0), p // step])) as block from dw join tw using (word))
+    group by r, t, label, block),
+own as (select r, list(distinct label) as labels, max(share) as share from met where ok group by r),
+hit as (select d.r, p.label, d.p from dw d join phr p on d.word = p.w[1] join doc using (r) where doc.w[d.p + 1 : d.p + len(p.w)] = p.w),
+base as (select r, count(*) as n, min(p) as lo, max(p) as hi, list(distinct label) as labels from hit group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_base, lo as first_word, hi as last_word,
+    coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels,
+    coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') as labels,
+    case when n is not null then 1.0::double else coalesce(share, 0.0::double) end as score
+from doc left join base using (r) left join own using (r)
+"""
+
+
+ORACLES["op5_license_scan"] = _license_sql()
+
+
 @_query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")

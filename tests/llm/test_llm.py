@@ -446,9 +446,9 @@ def test_license_join_is_exact():
         freq = {w.encode(): rng.randrange(50) for w in v}
         m = licenses.Matcher(templates, {}, freq, 0.7)
         w = rng.choices(v + ["other"] * 10, k=rng.randrange(40))
-        step, want = max(len(t.split()) for t, _ in templates), {}
+        want = {}
         for k, (t, _) in enumerate(templates):
-            tokens_ = set(t.split())
+            tokens_, step = set(t.split()), len(t.split())
             for at in range(0, max(1, len(w)), step):
                 c = len(tokens_ & set(w[at : at + 2 * step]))
                 if c >= math.ceil(0.7 * len(tokens_) - 1e-9):
@@ -457,6 +457,28 @@ def test_license_join_is_exact():
         assert m.blocks(code) == pytest.approx(want)
 
 
+def test_license_query_on_odd_rows(spark):
+    """Whole rows against SQL: full texts of licenses with a tenth of their words changed, scattered words, odd rows."""
+    rng, made = random.Random(3), []
+    for k, (t, _) in enumerate(licenses.TEMPLATES):
+        w = t.split()
+        for _ in range(3):
+            x = [rng.choice(["filler", "The", y]) if rng.random() < 0.12 else y for y in w]
+            made.append((100 + len(made), " ".join(["lead"] * rng.randrange(200) + x + ["end"] * rng.randrange(50))))
+        made.append((100 + len(made), " ".join(y + " and so on and on" for y in w)))
+    docs = odd(spark, "labels").drop("labels").unionByName(spark.createDataFrame(made, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars"))
+    con = duckdb.connect()
+    documents_ = docs.toPandas()  # noqa: F841
+    con.execute("create view documents as select * from documents_")
+    res = con.execute(queries.ORACLES["op5_license_scan"])
+    names = [c[0] for c in res.description]
+    got = licenses.scan(docs, spark).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((None if r[0] is None or r[0] != r[0] else int(r[0]), *r[1:])) for r in res.fetchall())
+    assert sum(bool(r["labels"]) for r in got) > 20 and licenses.scan(docs.limit(0), spark).count() == 0
+    with pytest.raises(ValueError):
+        licenses.scan(docs, spark, templates=[("x " * 10_000_000, "x")])
+
+
 # ---- 6 ----
 
 
