@@ -484,7 +484,7 @@ def test_license_query_on_odd_rows(spark):
 
 def test_mixing(spark):
     docs = spark.createDataFrame([(k, f"t{k}", "big" if k % 3 else f"s{k % 2}", "z") for k in range(3000)], "doc_id long, text string, source string, mix_rate string").withColumn("n_chars", F.lit(1))
-    docs = docs.drop("mix_rate").unionByName(docs.drop("mix_rate").limit(1).withColumn("source", F.lit(None).cast("string")))
+    docs = docs.unionByName(docs.limit(1).withColumn("source", F.lit(None).cast("string")))
     out = mixing.replicate(docs, {"big": 1.0, "s0": 2.0, "s1": 1.0}, size=2.0).cache()
     n = Counter(r["source"] for r in out.select("source").collect())
     assert None not in n and n["big"] == pytest.approx(1500, rel=0.1) and n["s0"] == pytest.approx(3000, rel=0.1)
@@ -503,6 +503,20 @@ def test_mixing(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_mixing_keeps_columns_and_any_source(spark, monkeypatch):
+    """User columns of any name stay; many sources meet their rates by shuffle, with the same draws."""
+    names = ("mix_u", "mix_n", "mix_source", "mix_rate", "mix_order", "mix_cdf", "row", "place", "n", "u", "salt", "parts", "cdf", "block")
+    docs = odd(spark, "x")
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows = lambda df: Counter(map(repr, df.collect()))
+    want = rows(mixing.replicate(docs, size=3.0))
+    got = mixing.replicate(docs, size=3.0)
+    assert got.columns == [*docs.columns, "mix_copy"] and all(r[c] == c + str(r["doc_id"] if r["doc_id"] is not None else "") for r in got.collect() for c in names)
+    monkeypatch.setattr(mixing, "BROADCAST_DOUBLES", 0)
+    assert want and rows(mixing.replicate(docs, size=3.0)) == want and rows(mixing.replicate(docs.limit(0))) == Counter()
+
+
 def test_mixing_of_rare_sources(spark):
     """One row among many thousands: its rate is drawn in parts, which follow the inverted distribution."""
     rows = [(k, "t", "big") for k in range(30_000)] + [(100_000, "t", None)] + [(200_000 + k, "t", "few") for k in range(20)]
@@ -566,6 +580,48 @@ def test_language_id(spark):
     assert langid.train(docs.limit(0), spark) is None and langid.predict(odd(spark), None, spark).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_query_by_brute_force(spark, monkeypatch):
+    """Every row priced by plain loops over its bytes, under counts of all training rows; odd rows among them."""
+    monkeypatch.setattr(langid, "HELD", 500)
+    docs = documents(spark).limit(40).withColumn("text", F.substring("text", 1, 120)).unionByName(odd(spark).drop("fp").where("doc_id <> 5 or doc_id is null"))
+    rows = docs.collect()
+    after = {}
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and crc32_of(r["doc_id"]) % 5:
+            t = langid.PAD + r["text"].lower().encode()
+            for at in range(3, len(t)):
+                for k in range(4):
+                    after.setdefault((r["lang"], t[at - k : at]), Counter())[t[at]] += 1
+    languages = sorted({lang for lang, _ in after})
+
+    def bits(lang, text):
+        t, total = langid.PAD + text.lower().encode(), 0.0
+        for at in range(3, len(t)):
+            p = 1 / 256
+            for k in range(4):
+                seen = after.get((lang, t[at - k : at]))
+                if seen:
+                    whole = sum(seen.values()) + len(seen)
+                    p = seen[t[at]] / whole if t[at] in seen else p * len(seen) / whole
+            total -= math.log2(p)
+        return total
+
+    want = []
+    for r in rows:
+        pred, score = "und", 0.0
+        if r["text"] is not None and any(map(str.isalpha, r["text"])):
+            cost = {x: bits(x, r["text"]) for x in languages}
+            pred = min(cost, key=lambda x: (round(cost[x], 9), x))
+            score = 1 / sum(2.0 ** max(-1000, cost[pred] - c) for c in cost.values())
+        want.append((str(r["doc_id"]), crc32_of(r["doc_id"]) % 5 == 0, pred, round(score, 6)))
+    model = langid.train(docs, spark)
+    got = [(str(r["doc_id"]), r["held_out"], r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs, model, spark).collect()]
+    assert model.languages == languages and sorted(got) == sorted(want)
+    assert langid.predict(docs.limit(0), model, spark).count() == 0
+    few = langid.train(docs, spark, grams=50)
+    assert sum(map(len, (few.known[3][0],))) <= 50
+
+
 # ---- 8 ----
 
 
