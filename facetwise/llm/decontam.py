@@ -6,8 +6,9 @@ that sequence an FM-index is built: suffix order, its Burrows-Wheeler transform
 positions sampled at every SAMPLE-th place and behind every separator. All phrases are searched backwards at once;
 occurrences are located by stepping to the next sampled place; overlapping spans are merged per document.
 
-Documents are not shuffled. The phrases are broadcast in blocks of at most PHRASE_BYTES of benchmark text; with more
-than one block, spans of the blocks are brought together by document.
+Documents are not shuffled. The phrases are broadcast in blocks of about PHRASE_WORDS benchmark words (a window of 13
+words starts at each, of 52 bytes; with the vocabulary about 100 MB in a worker, 300 MB on the driver while it is made);
+with more than one block, each block scans the documents, and spans are brought together by document.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from facetwise.llm.common import Shared, texts, words
 WINDOW = 13
 SAMPLE = 16
 SHARD = 1 << 20
-PHRASE_BYTES = 32_000_000
+PHRASE_WORDS = 500_000
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 class Phrases:
@@ -43,11 +45,11 @@ class Phrases:
                 if not mine or mine[-1] != k:
                     mine.append(k)
         self.size = np.array([len(p) for p in owners], np.int64)
-        self.code = np.zeros((len(owners), window), np.int64)  # reversed: the last word first
+        self.code = np.zeros((len(owners), window), np.int32)  # reversed: the last word first
         for k, p in enumerate(owners):
             self.code[k, : len(p)] = p[::-1]
         self.at = np.concatenate([[0], np.cumsum([len(x) for x in owners.values()])]).astype(np.int64)
-        self.owner = np.array([i for x in owners.values() for i in x], np.int64)
+        self.owner = np.array([i for x in owners.values() for i in x], np.int32)
 
 
 def suffix_array(sym: np.ndarray) -> np.ndarray:
@@ -134,7 +136,7 @@ class FMIndex:
             live = np.flatnonzero((size > d) & (lo < hi))
             if not len(live):
                 break
-            c = code[live, d]
+            c = code[live, d].astype(np.int64)
             there = c < top
             hi[live[~there]] = lo[live[~there]]
             live, c = live[there], c[there]
@@ -253,6 +255,13 @@ def _scan(phrases: Phrases):
     return run
 
 
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Items (i, t) and the number of blocks for them: an item counts by its words, and as one at least."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    words_ = bench.agg(F.sum(F.greatest(F.regexp_count(F.lower("t"), F.lit(_WORD)), F.lit(1)))).first()[0]
+    return bench, max(1, math.ceil((words_ or 0) / PHRASE_WORDS))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, spark: SparkSession, *, key: str = "doc_id", window: int = WINDOW
 ) -> DataFrame:
@@ -264,9 +273,7 @@ def contamination(
     rows that are equal in id and text are one row each, numbered); other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
-    bench = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / PHRASE_BYTES))
+    bench, blocks = _items(benchmark)
     source = docs.select(F.col(key).alias("id"), F.col("text").cast("string").alias("t"))
     schema = f"id {kind}, n_words long, {SPANS}, items array<string>"
 
@@ -317,18 +324,19 @@ def _in_blocks(source: DataFrame, runs: list, kind: str) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, spark: SparkSession, *, window: int = WINDOW) -> DataFrame:
     """The rows of docs that the contamination rule doesn't reject, with their columns.
 
-    Each row is judged by itself, whatever its id; null ids and texts stay. The scan passes whole rows through, so
-    documents are neither joined nor shuffled; with several benchmark blocks, the rows to reject are told apart by id,
-    text hash and length.
+    Each row is judged by itself, whatever its id and however large the benchmark; null, empty and wordless texts stay. An
+    empty benchmark rejects nothing, an empty table gives no rows. The scan passes whole rows through, so documents are
+    neither joined nor shuffled; with several benchmark blocks, the rows to reject are told apart by id, text hash and
+    length.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t"))
-    if items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0] > PHRASE_BYTES:
+    items, blocks = _items(benchmark)
+    if blocks > 1:
         text = F.col("text").cast("string")
-        own = (F.col("doc_id"), F.xxhash64(text), F.length(text))
+        own = (docs["doc_id"], F.xxhash64(text), F.length(text))
         row = F.struct(*(c.alias(k) for k, c in zip(("bad_id", "bad_hash", "bad_length"), own, strict=True)))
         bad = contamination(docs.select(row.alias("row"), "text"), benchmark, spark, key="row", window=window)
         bad = bad.where("contaminated").select("row.*").distinct()
-        on = [c.eqNullSafe(F.col(k)) for k, c in zip(("bad_id", "bad_hash", "bad_length"), own, strict=True)]
+        on = [c.eqNullSafe(bad[k]) for k, c in zip(("bad_id", "bad_hash", "bad_length"), own, strict=True)]
         return docs.join(bad, on, "left_anti")
     bench = [(r["i"], r["t"].encode("utf-8", "surrogatepass")) for r in items.toLocalIterator()]
     shared = Shared(spark, Phrases(bench, window))

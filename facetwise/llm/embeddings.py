@@ -14,8 +14,8 @@ How many bits pay is estimated for each block on SAMPLE vectors: more bits compa
 more cells. Vectors without any structure (independent coordinates) reach most cells whatever the cut, so on them the
 exact join stays close to comparing all; on clustered ones the cells separate.
 
-Equal vectors are one class throughout. Cells with more than CELL_CAP vectors or askers are split, so a task holds at
-most that many of each, and tasks return sums and spanning links, never all pairs.
+Equal vectors are one class throughout. Cells with more than CELL_CAP vectors or askers are split, so a task holds about
+that many of each at most, whatever the input, and tasks return sums and spanning links, never all pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ CELL_CAP = 16_384
 SAMPLE = 256
 #: Relative costs of sending a vector to a cell and of comparing a pair there.
 SEND, COMPARE = 2000.0, 1.0
-HOT_CELLS = 10_000
+#: Cells that are split are broadcast up to so many; beyond, they are joined by shuffle.
+HOT_BROADCAST = 500_000
 SLACK = 1e-9
 
 
@@ -252,6 +253,19 @@ def _join(plans: dict[int, Plan], threshold: float):
     return run
 
 
+def _samples(classes: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    """About 4 SAMPLE vectors of each dimension by their hashes, in one job, of which the first SAMPLE are used."""
+    if not sizes:
+        return {}
+    share = F.create_map(*(F.lit(x) for d, n in sizes.items() for x in (d, min(1.0, 4 * SAMPLE / n))))
+    picked = classes.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) < F.try_element_at(share, F.size("vec")) * (1 << 30))
+    found: dict[int, list] = {d: [] for d in sizes}
+    for r in picked.select("vec", F.xxhash64("vec").alias("h")).orderBy("h").toLocalIterator():
+        if len(found[len(r["vec"])]) < SAMPLE:
+            found[len(r["vec"])].append(r["vec"])
+    return {d: np.array(rows, float).reshape(len(rows), d) for d, rows in found.items()}
+
+
 def near_duplicates(
     vectors: DataFrame, spark: SparkSession, *, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", scratch: Scratch | None = None
 ) -> DataFrame:
@@ -268,20 +282,17 @@ def near_duplicates(
     classes = rows.where(ok).groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     classes = scratch.cut(classes.withColumn("cls", F.monotonically_increasing_id()))
     sizes = {r["d"]: r["count"] for r in classes.groupBy(F.size("vec").alias("d")).count().collect()}
-    plans = {}
-    for d, n in sizes.items():
-        some = classes.where(F.size("vec") == d).orderBy(F.xxhash64("vec")).limit(SAMPLE).select("vec").collect()
-        plans[d] = Plan(d, n, rotated(np.array([r["vec"] for r in some], float)), threshold)
+    some = _samples(classes, sizes)
+    plans = {d: Plan(d, n, rotated(some[d]), threshold) for d, n in sizes.items()}
     kind = classes.schema["vec"].dataType.simpleString()
     dealt = classes.select("cls", "n", "vec").mapInArrow(_spread(plans), f"dim int, b int, cell long, asks boolean, cls long, n long, vec {kind}")
     at = ["dim", "b", "cell"]
     counts = classes.select("vec").mapInArrow(_counted(plans), "dim int, b int, cell long, h long, p long")
     counts = scratch.cut(counts.groupBy(*at).agg(F.sum("h").alias("h"), F.sum("p").alias("p")))
     if sizes:
-        total = counts.agg(F.sum(F.col("h") + F.col("p"))).first()[0]
-        cap = max(CELL_CAP, total // HOT_CELLS)  # so that at most HOT_CELLS cells are over it
-        hot = counts.where(f"h > {cap} or p > {cap}").select(*at, F.ceil(F.col("h") / cap).cast("int").alias("hs"), F.ceil(F.col("p") / cap).cast("int").alias("ps"))
-        dealt = dealt.join(F.broadcast(scratch.cut(hot)), at, "left")
+        hot = counts.where(f"h > {CELL_CAP} or p > {CELL_CAP}").select(*at, *(F.ceil(F.col(c) / CELL_CAP).cast("int").alias(c + "s") for c in "hp"))
+        hot = scratch.cut(hot)
+        dealt = dealt.join(F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot, at, "left")
         part = "cast(pmod(xxhash64(cls), {0}) as int)".format
         split = "if({0}, array({1}), sequence(0, {2} - 1))".format
         dealt = dealt.withColumn("hs", F.greatest(F.coalesce("hs", F.lit(1)), F.lit(1))).withColumn("ps", F.greatest(F.coalesce("ps", F.lit(1)), F.lit(1)))

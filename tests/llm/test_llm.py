@@ -117,7 +117,7 @@ def test_contamination(spark, monkeypatch):
     want = sorted((str(r["doc_id"]), *brute_hits(r["text"], BENCH)) for r in docs.collect())
     got = lambda: sorted((str(r["doc_id"]), *(r[c] for c in FIELDS)) for r in decontam.contamination(docs, bench, spark).collect())
     assert got() == want
-    monkeypatch.setattr(decontam, "PHRASE_BYTES", 60)  # several blocks of phrases
+    monkeypatch.setattr(decontam, "PHRASE_WORDS", 8)  # several blocks of phrases
     assert got() == want
     monkeypatch.undo()
     monkeypatch.setattr(decontam, "SHARD", 7)
@@ -135,7 +135,7 @@ def test_decontaminate_judges_rows(spark, monkeypatch):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string, row string"), spark.createDataFrame(BENCH, "item_id long, text string")
     got = lambda: Counter(tuple(r) for r in decontam.decontaminate(docs, bench, spark).collect())
     assert got() == Counter(r for r in rows if r[1] != bad)
-    monkeypatch.setattr(decontam, "PHRASE_BYTES", 60)
+    monkeypatch.setattr(decontam, "PHRASE_WORDS", 8)
     assert got() == Counter(r for r in rows if r[1] != bad)
 
 
@@ -873,6 +873,18 @@ def test_embeddings(spark, monkeypatch, dim, n, send):
     assert got == [(i, links[i], root[i], root[i] == i) for i in range(n)]
 
 
+def test_embeddings_with_odd_ids(spark, monkeypatch):
+    """Repeated and null ids, equal vectors, several dimensions; hot cells met by broadcast and by shuffle."""
+    monkeypatch.setattr(embeddings, "CELL_CAP", 3)
+    one, two, three = [1.0, 0.0, 0.0], [0.98, 0.1, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, one), (1, one), (1, three), (None, two), (None, [0.5, 0.5]), (7, one), (8, [0.5, 0.5]), (9, None), (None, None), (2, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "z", 0) for i, v in rows], "vec_id long, embedding array<double>, n string, cls int")
+    want = sorted([(1, 4, 1, True), (1, 4, 1, True), (1, 0, 1, True), (None, 4, 1, False), (None, 1, 8, False), (7, 4, 1, False), (8, 1, 8, True), (9, 0, 9, True), (None, 0, None, True), (2, 4, 1, False)], key=repr)
+    for most in (100, 0):
+        monkeypatch.setattr(embeddings, "HOT_BROADCAST", most)
+        assert sorted(map(tuple, embeddings.near_duplicates(df, spark).collect()), key=repr) == want
+
+
 def test_embeddings_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(df, spark).count() == 0
