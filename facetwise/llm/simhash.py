@@ -13,6 +13,9 @@ questions. Candidates are verified on all bits. Two schemes:
            one of 21 segments with 0.98; at a similarity of 0.9 it is over 0.999. The first 64 bits screen candidates
            before whole fingerprints are fetched (20 or fewer may differ: lost are 4 in 10,000 at a similarity of 0.8).
 
+Groups of near copies would give all their pairs. So SIMILAR first compares the residents of each key with the least of
+them only, which is linear, and joins what links; pairs are then asked for only between what is not joined yet.
+
 A table key with over KEY_CAP fingerprints, and the keys that they ask in, is not joined: those who live there and
 those who ask are cut into blocks of about BLOCK, each pair of blocks is one group, and a group returns a spanning set
 of links instead of all pairs.
@@ -149,14 +152,36 @@ def _ball(k: str, width: int) -> str:
     return f"concat(array({k}), transform(filter(sequence(0, {width - 1}), i -> (shiftright({k}, i) & 1) = 0), i -> {k} | shiftleft(1L, i)))"
 
 
+def _verified(pairs: DataFrame, entries: DataFrame, scheme: Scheme) -> DataFrame:
+    """Of pairs(a, b) those within the radius."""
+    for x in "ab":
+        pairs = pairs.join(entries.select(F.col("v").alias(x), F.col("fp").alias("f" + x)).hint("merge"), x)
+    far = sum((F.bit_count(F.col("fa")[w].bitwiseXOR(F.col("fb")[w])) for w in range(scheme.words)), F.lit(0))
+    return pairs.where(far <= scheme.radius).select("a", "b")
+
+
+def _pivot_links(entries: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b): links between the residents of every key and the least of them."""
+    home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", F.col("fp")[0].alias("c"))
+    least = home.groupBy("k").agg(F.min(F.struct("v", "c")).alias("p"), F.count("*").alias("rows_of")).where("rows_of > 1")
+    met = to_own(home, least, "k", entries.count() * len(scheme.segments))
+    screen = F.bit_count(F.col("c").bitwiseXOR(F.col("p.c"))) <= scheme.screen
+    return _verified(met.where((F.col("v") != F.col("p.v")) & screen).select(F.col("v").alias("a"), F.col("p.v").alias("b")).distinct(), entries, scheme)
+
+
 def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataFrame:
     """(a, b): links between entries(v, fp), which have different fingerprints, that join all that the scheme finds.
 
     v is a long of its own for each fingerprint.
     """
-    c = F.col("fp")[0].alias("c")
-    home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", c)
-    ask = entries.select(F.explode(F.expr(_keys(scheme, True))).alias("k"), "v", c)
+    first = None
+    if scheme.words > 1:
+        first = scratch.cut(_pivot_links(entries, scheme))
+        joined = components(first, scratch)
+        entries = scratch.cut(entries.join(joined, entries["v"] == joined["node"], "left").select("v", "fp", F.coalesce("root", "v").alias("g")))
+    c, g = F.col("fp")[0].alias("c"), ["g"] if first is not None else []
+    home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", c, *g)
+    ask = entries.select(F.explode(F.expr(_keys(scheme, True))).alias("k"), "v", c, *g)
     counts = home.groupBy("k").agg(F.count("*").alias("n"))
     full = scratch.cut(counts.where(F.col("n") > KEY_CAP).select("k"))
     widest = max(w for _, _, w in scheme.segments)
@@ -164,16 +189,13 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
     hot = scratch.cut(counts.join(asked, "k", "left_semi").select("k"))  # only keys where someone lives
     few = hot.count() <= HOT_BROADCAST
     keys = F.broadcast(hot) if few else hot
-    screen = F.bit_count(F.col("c").bitwiseXOR(F.col("c2"))) <= scheme.screen
-    lives = home.join(keys, "k", "left_anti").select("k", F.col("v").alias("v2"), F.col("c").alias("c2"))
-    cold = ask.join(keys, "k", "left_anti").join(lives.hint("merge"), "k").where((F.col("v") != F.col("v2")) & screen)
+    near = F.bit_count(F.col("c").bitwiseXOR(F.col("c2"))) <= scheme.screen
+    apart = F.col("g") != F.col("g2") if g else F.col("v") != F.col("v2")
+    lives = home.join(keys, "k", "left_anti").select("k", *(F.col(x).alias(x + "2") for x in ("v", "c", *g)))
+    cold = ask.join(keys, "k", "left_anti").join(lives.hint("merge"), "k").where(apart & near)
     cold = cold.select(F.greatest("v", "v2").alias("a"), F.least("v", "v2").alias("b"))
-    if scheme.words > 1 or scheme.screen > scheme.radius:
-        cold = cold.distinct()
-        for x in "ab":
-            cold = cold.join(entries.select(F.col("v").alias(x), F.col("fp").alias("f" + x)).hint("merge"), x)
-        far = sum((F.bit_count(F.col("fa")[w].bitwiseXOR(F.col("fb")[w])) for w in range(scheme.words)), F.lit(0))
-        cold = cold.where(far <= scheme.radius).select("a", "b")
+    if first is not None:
+        cold = first.unionAll(_verified(cold.distinct(), entries, scheme))
     crowd = ask.select("k", "v", F.lit(True).alias("asks")).unionAll(home.select("k", "v", F.lit(False).alias("asks"))).join(keys, "k", "left_semi")
     crowd = scratch.cut(crowd)
     blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.count_if(who) / F.lit(BLOCK))).cast("int")
@@ -181,7 +203,7 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
     dealt = crowd.join(F.broadcast(sizes) if few else sizes, "k")
     part = "cast(pmod(xxhash64(v), {}) as int)"
     dealt = dealt.select("k", "v", F.expr(f"if(asks, sequence(0, nh - 1), array({part.format('nh')}))").alias("i"), F.expr(f"if(asks, array({part.format('na')}), sequence(0, na - 1))").alias("j"))
-    dealt = dealt.join(entries, "v").select("k", "v", "fp", F.explode("i").alias("i"), "j").select("k", "v", "fp", "i", F.explode("j").alias("j"))
+    dealt = dealt.join(entries.select("v", "fp"), "v").select("k", "v", "fp", F.explode("i").alias("i"), "j").select("k", "v", "fp", "i", F.explode("j").alias("j"))
 
     def span(t: pa.Table) -> pa.Table:
         v, at = np.unique(t.column("v").to_numpy(), return_index=True)
