@@ -10,10 +10,11 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
+from facetwise.scratch import Scratch
 
 DIGITS, TOLERANCE = 4, 0.02
 
@@ -103,23 +104,40 @@ def stability(entities: DataFrame, by: list[str] | None = None) -> DataFrame:
     return out.withColumn("preserved", G.guarded(F.col("same"), F.col("n"), 0.0))
 
 
-def closure(edges: DataFrame, spark: SparkSession, *, up: bool = False, depth: int = 100) -> DataFrame:
-    """(node, reached): everything below (or, up, above) each node of edges(parent, child), by a recursive query."""
-    edges.createOrReplaceTempView("facetwise_edges")
-    a, b = ("child", "parent") if up else ("parent", "child")
-    return spark.sql(
-        f"""with recursive reach(node, reached, depth) as (
-            select {a}, {b}, 1 from facetwise_edges
-            union all
-            select r.node, e.{b}, r.depth + 1 from reach r join facetwise_edges e on e.{a} = r.reached where r.depth < {depth})
-        select distinct node, reached from reach"""
-    )
-
+def closure(edges: DataFrame, *, up: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """(node, reached): everything below (or, up, above) each node of edges(parent, child), at any depth.
 
-def descendants(edges: DataFrame, alive: DataFrame, spark: SparkSession) -> DataFrame:
+    Paths double in length each round, so the rounds are logarithmic in the depth; every round is distinct and written.
+    Cycles end when nothing new is reached. No edges give no rows; null ends are no edges.
+    """
+    scratch = scratch or Scratch(edges.sparkSession)
+    a, b = ("child", "parent") if up else ("parent", "child")
+    # far: pairs at exactly 2^k steps; near: pairs at up to 2^k steps
+    far = near = scratch.cut(edges.where("parent is not null and child is not null").select(F.col(a).alias("node"), F.col(b).alias("reached")).distinct())
+    n = near.count()
+    then = lambda x, y: x.join(y.select(F.col("node").alias("reached"), F.col("reached").alias("next")), "reached").select("node", F.col("next").alias("reached"))
+    while True:
+        more = scratch.cut(near.unionAll(then(near, far)).distinct())
+        m = more.count()
+        if m == n:
+            return more
+        far, near, n = scratch.cut(then(far, far).distinct()), more, m
+
+
+def descendants(edges: DataFrame, alive: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, reached): live entities below each node, itself included if live."""
     own = alive.select(F.col("pid").alias("node"), F.col("pid").alias("reached"))
-    return closure(edges, spark).join(alive.select(F.col("pid").alias("reached")), "reached", "left_semi").select("node", "reached").unionByName(own).distinct()
+    return closure(edges, scratch=scratch).join(alive.select(F.col("pid").alias("reached")), "reached", "left_semi").select("node", "reached").unionByName(own).distinct()
+
+
+def pid_for_tag(entities: DataFrame, dim: int, tag: int) -> DataFrame:
+    """(model, pid) of the live entities of a dimension with a tag."""
+    return entities.where(F.col("alive") & (F.col("dim") == dim) & (F.col("tag") == tag)).select("model", "pid")
+
+
+def tag_for_pid(entities: DataFrame, pid: str) -> DataFrame:
+    """(model, dim, tag) of a live entity; dead ones have no tag."""
+    return entities.where(F.col("alive") & (F.col("pid") == pid)).select("model", "dim", "tag")
 
 
 MATCH_SCHEMA = "model string, relation string, dim int, new_tags array<long>, old_pids array<string>, mass_ratio double"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
+from facetwise.operators.ranks import if_small, numbered, percentiles
 
 #: The exact cut for a poor shape and the shares reported.
 POOR_SHAPE, LOW_SHARE, HIGH_SHARE = 0.2, 0.01, 0.99
@@ -27,22 +28,27 @@ def corners(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def shape_statistics(tri: DataFrame, by: list[str]) -> DataFrame:
-    """One row a group: areas, shape, radius ratio, angles and aspect over its triangles; exact, interpolated percentiles."""
+    """One row a group: areas, shape, radius ratio, angles and aspect over its triangles; exact, interpolated percentiles.
+
+    A group's percentiles are one buffer of its different values; over a whole table (no by) values are ranked by range
+    partitions instead.
+    """
     m = G.with_triangle_metrics(tri)
-    return m.groupBy(*by).agg(
+    out = m.groupBy(*by).agg(
         F.count("*").alias("n_triangles"),
         F.sum("area").alias("total_area"),
         F.min("shape").alias("shape_min"),
         F.avg("shape").alias("shape_mean"),
-        F.percentile("shape", F.lit(LOW_SHARE)).alias("shape_p01"),
+        *([F.percentile("shape", F.lit(LOW_SHARE)).alias("shape_p01")] if by else []),
         F.min("rr").alias("radius_ratio_min"),
         F.min("min_angle").alias("min_angle"),
         F.max("max_angle").alias("max_angle"),
-        F.percentile("min_angle", F.lit(LOW_SHARE)).alias("min_angle_p01"),
+        *([F.percentile("min_angle", F.lit(LOW_SHARE)).alias("min_angle_p01")] if by else []),
         F.max("aspect").alias("aspect_max"),
         F.count_if(F.col("area") <= 0).alias("n_inverted"),
         F.count_if(F.col("shape") < POOR_SHAPE).alias("n_poor"),
     )
+    return out if by else out.withColumns(percentiles(m, [("shape_p01", F.col("shape"), LOW_SHARE), ("min_angle_p01", F.col("min_angle"), LOW_SHARE)]))
 
 
 def quality_report(tri: DataFrame) -> DataFrame:
@@ -64,8 +70,12 @@ def worst(rows: DataFrame, value: str, k: int = 20, *, by: list[str] | None = No
 
 
 def with_requested_size(tri: DataFrame, faces: DataFrame) -> DataFrame:
-    """The size asked of each triangle: its own field_size if there is one, else its face's."""
-    sized = tri.join(faces.select("pid", "requested_size"), "pid", "left")
+    """The size asked of each triangle: its own field_size if there is one, else its face's.
+
+    Faces are met by pid, and by mesh_id where faces have one: a pid is a face of one mesh only.
+    """
+    on = ["mesh_id", "pid"] if "mesh_id" in faces.columns else ["pid"]
+    sized = tri.join(faces.select(*on, "requested_size"), on, "left")
     own = F.col("field_size") if "field_size" in tri.columns else F.lit(None).cast("double")
     return sized.withColumn("target", F.coalesce(own, F.col("requested_size")))
 
@@ -76,17 +86,17 @@ def size_adequation(tri: DataFrame, by: list[str], tolerance: float = 1.5) -> Da
     m = G.with_triangle_metrics(tri).withColumn("ratio", F.when(F.col("target") > 0, F.col("size") / F.when(F.col("target") > 0, F.col("target"))))
     over, under = F.coalesce(F.col("ratio") > tolerance, F.lit(False)), F.coalesce(F.col("ratio") < 1 / tolerance, F.lit(False))
     share = lambda c: F.avg(c.cast("int"))
-    return m.groupBy(*by).agg(
+    out = m.groupBy(*by).agg(
         F.count("*").alias("n_triangles"),
         F.min("ratio").alias("ratio_min"),
         F.max("ratio").alias("ratio_max"),
         F.avg("ratio").alias("ratio_mean"),
-        F.percentile("ratio", F.lit(LOW_SHARE)).alias("ratio_p01"),
-        F.percentile("ratio", F.lit(HIGH_SHARE)).alias("ratio_p99"),
+        *([F.percentile("ratio", F.lit(LOW_SHARE)).alias("ratio_p01"), F.percentile("ratio", F.lit(HIGH_SHARE)).alias("ratio_p99")] if by else []),
         share(under).alias("frac_undersized"),
         share(over).alias("frac_oversized"),
         share(~over & ~under).alias("frac_in_band"),
     )
+    return out if by else out.withColumns(percentiles(m, [("ratio_p01", F.col("ratio"), LOW_SHARE), ("ratio_p99", F.col("ratio"), HIGH_SHARE)]))
 
 
 def attribute_by_face(tri: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -121,9 +131,11 @@ def signed_volume(tri: DataFrame, by: list[str]) -> DataFrame:
 
 
 def dense_vertices(triangles: DataFrame) -> DataFrame:
-    """(mesh_id, v, new_v): used vertices numbered from 0 in their order, per mesh."""
+    """(mesh_id, v, new_v): used vertices numbered from 0 in their order, per mesh; a mesh may fill many tasks."""
     used = triangles.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("v")).distinct()
-    return used.withColumn("new_v", F.row_number().over(Window.partitionBy("mesh_id").orderBy("v")) - 1)
+    number = numbered(used, ["mesh_id", "v"], "new_v")
+    first = number.groupBy("mesh_id").agg(F.min("new_v").alias("first"))
+    return number.join(if_small(first), "mesh_id").select("mesh_id", "v", (F.col("new_v") - F.col("first")).alias("new_v"))
 
 
 def submesh(triangles: DataFrame, vertices: DataFrame, keep) -> tuple[DataFrame, DataFrame]:

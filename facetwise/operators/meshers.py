@@ -75,12 +75,12 @@ def self_crossings(nodes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def winding(points: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(point, winding): turns of the face's loops around points(by, point, pu, pv)."""
+    """(by, point, winding): turns of the face's loops around points(by, point, pu, pv); point is an id inside its face."""
     n = next_nodes(nodes, by)
     left = (F.col("u1") - F.col("u")) * (F.col("pv") - F.col("v")) - (F.col("pu") - F.col("u")) * (F.col("v1") - F.col("v"))
     up = (F.col("v") <= F.col("pv")) & (F.col("v1") > F.col("pv")) & (left > 0)
     down = (F.col("v") > F.col("pv")) & (F.col("v1") <= F.col("pv")) & (left < 0)
-    return points.join(n, by).groupBy("point").agg(F.sum(F.when(up, 1).when(down, -1).otherwise(0)).alias("winding"))
+    return points.join(n, by).groupBy(*by, "point").agg(F.sum(F.when(up, 1).when(down, -1).otherwise(0)).alias("winding"))
 
 
 def grid(specs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
+from facetwise.operators.ranks import if_small
 
 
 def directed_edges(triangles: DataFrame, keep: list[str]) -> DataFrame:
@@ -23,8 +24,8 @@ def edge_uses(triangles: DataFrame, by: list[str]) -> DataFrame:
 
 
 def skin(triangles: DataFrame, interface: DataFrame, on: list[str]) -> DataFrame:
-    """Triangles that lie on no interface face."""
-    return triangles.join(interface, on, "left_anti")
+    """Triangles that lie on no interface face; a short list of those is broadcast."""
+    return triangles.join(if_small(interface), on, "left_anti")
 
 
 def edge_topology(triangles: DataFrame, by: list[str]) -> DataFrame:

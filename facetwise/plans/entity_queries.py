@@ -81,7 +81,7 @@ def _tree(spark, sf_dir):
 )
 def descendants(spark, sf_dir):
     alive = B.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey as pid")
-    return entities.descendants(_tree(spark, sf_dir), alive, spark)
+    return entities.descendants(_tree(spark, sf_dir), alive)
 
 
 @query(
@@ -89,7 +89,7 @@ def descendants(spark, sf_dir):
     select node, reached from reach"""
 )
 def ancestors(spark, sf_dir):
-    return entities.closure(_tree(spark, sf_dir), spark, up=True)
+    return entities.closure(_tree(spark, sf_dir), up=True)
 
 
 @query()
@@ -178,7 +178,7 @@ def loop_measures(spark, sf_dir):
 )
 def winding_number(spark, sf_dir):
     p = B.table(spark, sf_dir, "customer").selectExpr("c_custkey % 150 as face", "c_custkey as point", "c_acctbal / 100 as pu", "(c_custkey % 37 - 18) * 3.0D as pv")
-    return meshers.winding(p, _polygon(spark, sf_dir), ["face"])
+    return meshers.winding(p, _polygon(spark, sf_dir), ["face"]).drop("face")
 
 
 @query()

@@ -275,7 +275,7 @@ def stl_facets(spark, sf_dir):
 
 
 @query(
-    f"""with {B.SOUP}, rays as (select tri as ray, pid, (ax+bx+cx)/3 as ox, (ay+by+cy)/3 as oy, (az+bz+cz)/3 as oz from soup where tri % 10 = 0),
+    f"""with {B.SOUP}, rays as (select tri as ray, pid, (ax+bx+cx)/3 as ox, (ay+by+cy)/3 as oy, (az+bz+cz)/3 as oz from soup),
     x as (
         select ray, r.pid, cx-ax as e2x, cy-ay as e2y, cz-az as e2z, bx-ax as e1x, by-ay as e1y, bz-az as e1z, ox-ax as sx, oy-ay as sy, oz-az as sz
         from rays r join soup s on r.pid = s.pid and r.ray <> s.tri),
@@ -288,6 +288,6 @@ def thickness_rays(spark, sf_dir):
     a, b, c = G.point("a"), G.point("b"), G.point("c")
     g = G.centroid(a, b, c)
     zero = F.lit(0.0)
-    rays = tri.where("tri % 10 = 0").select("mesh_id", F.col("tri").alias("ray"), g[0].alias("ox"), g[1].alias("oy"), g[2].alias("oz"), zero.alias("dx"), zero.alias("dy"), F.lit(1.0).alias("dz"))
+    rays = tri.select("mesh_id", F.col("tri").alias("ray"), g[0].alias("ox"), g[1].alias("oy"), g[2].alias("oz"), zero.alias("dx"), zero.alias("dy"), F.lit(1.0).alias("dz"))
     hits = fidelity.ray_hits(tri, rays, own="ray")
     return hits.select(F.col("mesh_id").alias("pid"), "ray", F.round("distance", 5).alias("distance"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetwise.operators.mesh import facet_lines
+from facetwise.operators.ranks import numbered
 
 
 def msh_lines(triangles: DataFrame, vertices: DataFrame, name: str = "surface") -> DataFrame:
@@ -16,12 +17,11 @@ def msh_lines(triangles: DataFrame, vertices: DataFrame, name: str = "surface")
     """
     tri = triangles.withColumn("pid", F.coalesce(F.col("pid").cast("string"), F.lit(name)))
     tags = tri.select("pid").distinct().withColumn("tag", F.row_number().over(Window.orderBy("pid")))
-    # Numbers come from ranks inside range partitions and the partitions' offsets: no task sees all rows.
-    nodes = _numbered(vertices.select("v", "x", "y", "z"), "v")
+    nodes = numbered(vertices.select("v", "x", "y", "z"), ["v"])
     own = tri.join(tags, "pid")
     for k in range(3):
         own = own.join(nodes.select(F.col("v").alias(f"v{k}"), F.col("number").alias(f"n{k}")), f"v{k}")
-    elements = _numbered(own.select("tri", "tag", "n0", "n1", "n2"), "tri")
+    elements = numbered(own.select("tri", "tag", "n0", "n1", "n2"), ["tri"])
     line = lambda s, key, text: (F.lit(s).alias("section"), key.cast("long").alias("key"), text.alias("line"))
     one = triangles.sparkSession.range(1)
     fixed = lambda s, text: one.select(*line(s, F.lit(0), text if not isinstance(text, str) else F.lit(text)))
@@ -44,15 +44,6 @@ def msh_lines(triangles: DataFrame, vertices: DataFrame, name: str = "surface")
     return out
 
 
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """df with `number`, 1 .. n in the order of key: range partitions, ranks inside, offsets from their sizes."""
-    ranged = df.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(key)))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("c"))
-    offsets = sizes.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return inside.join(offsets, "part").withColumn("number", F.col("r") + F.col("before")).drop("part", "r", "before")
-
-
 def write_msh(triangles: DataFrame, vertices: DataFrame, path: str, name: str = "surface") -> dict[int, str]:
     """Write one text file under path; returns {tag: pid}, one entry a face."""
     msh_lines(triangles, vertices, name).orderBy("section", "key").select("line").coalesce(1).write.mode("overwrite").text(path)

@@ -188,3 +188,86 @@ def test_loops(spark):
     assert {r["point"]: r["winding"] for r in meshers.winding(p, turned, ["face"]).collect()} == {1: 1, 2: 0, 3: 0}
     assert meshers.resample(nodes, ["face"], 1.0).count() == 16 and meshers.self_crossings(nodes, ["face"]).count() == 0
     assert {r["loop"]: r["offset"] for r in meshers.loop_offsets(nodes, ["face"]).collect()} == {0: 0, 1: 4}
+
+
+def test_msh_of_many_partitions(spark, tmp_path):
+    """Nothing is lost where adaptive execution merges the partitions of ranks and of sizes differently."""
+    from facetwise.sources import meshes
+
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k", "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "40"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = 40_000
+        vertices = spark.range(n).selectExpr("id * 3 as v", "cast(id as double) as x", "cast(id % 7 as double) as y", "0D as z")
+        tri = spark.range(n - 2).selectExpr("id as tri", "id * 3 as v0", "id * 3 + 3 as v1", "id * 3 + 6 as v2", "cast(id % 5 as string) as pid")
+        meshes.write_msh(tri, vertices, str(tmp_path / "big.msh"))
+        back = meshes.read_msh(spark, str(tmp_path / "big.msh"))
+        assert back["nodes"].count() == n and back["nodes"].agg(F.min("v"), F.max("v"), F.count_distinct("v")).first() == (1, n, n)
+        assert back["triangles"].count() == n - 2 and back["triangles"].where("v1 <> v0 + 1 or v2 <> v0 + 2 or tri <> v0").count() == 0
+        dense = mesh.dense_vertices(tri.withColumn("mesh_id", F.lit("m")).unionByName(tri.where("tri < 100").withColumn("mesh_id", F.lit("k"))))
+        assert dense.groupBy("mesh_id").agg(F.min("new_v").alias("a"), F.max("new_v").alias("b")).orderBy("mesh_id").collect() == [("k", 0, 101), ("m", 0, n - 1)]
+        assert dense.where("new_v * 3 <> v").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_sizes_of_two_meshes_with_one_pid(spark):
+    tri = spark.createDataFrame([("a", 0, "p"), ("b", 0, "p"), ("b", 1, "q")], "mesh_id string, tri long, pid string")
+    faces = spark.createDataFrame([("a", "p", 1.0), ("b", "p", 2.0)], "mesh_id string, pid string, requested_size double")
+    got = mesh.with_requested_size(tri, faces).select("mesh_id", "tri", "target").collect()
+    assert sorted(map(tuple, got), key=str) == [("a", 0, 1.0), ("b", 0, 2.0), ("b", 1, None)]
+    assert mesh.with_requested_size(tri, faces.where("mesh_id = 'a'").drop("mesh_id")).where("target = 1").count() == 2
+
+
+def test_percentiles_and_subsets(spark):
+    from facetwise.operators import ranks
+
+    df = spark.range(1001).selectExpr("cast(id * 37 % 1001 as double) as x", "if(id % 2 = 0, null, cast(id as double)) as y", "double('NaN') as z")
+    got = spark.range(1).select(*(c.alias(n) for n, c in ranks.percentiles(df, [("a", F.col("x"), 0.01), ("b", F.col("x"), 0.5), ("c", F.col("y"), 0.25), ("d", F.col("z"), 0.5)]).items())).first()
+    assert tuple(got) == (10.0, 500.0, 250.5, None) or got["a"] == 10 and got["b"] == 500 and got["c"] == df.agg(F.percentile("y", F.lit(0.25))).first()[0] and got["d"] is None
+    tri = spark.range(100).selectExpr("id as tri", "cast(id % 3 as string) as mesh_id")
+    assert {r["n"] for r in fidelity._subset(tri, 5, 0, ["mesh_id"]).groupBy("mesh_id").agg(F.count("*").alias("n")).collect()} == {5}
+
+
+def test_rays_by_grid_and_by_brute_force(spark):
+    """Rays of any direction against a mesh of many small triangles and some large ones, and against plain loops."""
+    import random
+
+    rng = random.Random(4)
+    tri, rays = [], []
+    for m in ("a", "b"):
+        for k in range(150):
+            c = [rng.uniform(-1, 1) for _ in range(3)]
+            w = 1.2 if k % 30 == 0 else 0.4
+            tri.append((m, k, *(x + rng.uniform(-w, w) for _ in range(3) for x in c)))
+        for k in range(200):
+            d = [rng.uniform(-1, 1) for _ in range(3)]
+            if k % 5 == 0:
+                d = [0.0, 0.0, 0.0]
+                d[k // 5 % 3] = rng.choice([-1.0, 1.0])
+            rays.append((m, k, k, *(rng.uniform(-1.5, 1.5) for _ in range(3)), *d))
+    rays.append(("a", 999, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0))
+    t = spark.createDataFrame(tri, "mesh_id string, tri long, " + ", ".join(f"{p}{x} double" for p in "abc" for x in "xyz"))
+    r = spark.createDataFrame(rays, "mesh_id string, ray long, own long, ox double, oy double, oz double, dx double, dy double, dz double")
+    cross = lambda p, q: (p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0])
+    dot = lambda p, q: sum(x * y for x, y in zip(p, q, strict=True))
+    want = {}
+    for m, k, own, *od in rays:
+        o, d = od[:3], od[3:]
+        for n, j, *abc in tri:
+            if n == m and j != own:
+                a, b, c = abc[:3], abc[3:6], abc[6:]
+                e1, e2 = [y - x for x, y in zip(a, b, strict=True)], [y - x for x, y in zip(a, c, strict=True)]
+                h = cross(d, e2)
+                det = dot(e1, h)
+                if abs(det) > 1e-14:
+                    s = [y - x for x, y in zip(a, o, strict=True)]
+                    q = cross(s, e1)
+                    u, v, dist = dot(s, h) / det, dot(d, q) / det, dot(e2, q) / det
+                    if u >= 0 and v >= 0 and u + v <= 1 and dist > 1e-9:
+                        want[m, k] = min(dist, want.get((m, k), math.inf))
+    got = {(x["mesh_id"], x["ray"]): x["distance"] for x in fidelity.ray_hits(t, r, own="own").collect()}
+    assert len(want) > 40 and got == pytest.approx(want)

@@ -57,7 +57,7 @@ def test_register_and_provenance(spark):
     frames = spark.createDataFrame([("m", 76.0)], "model string, scale double")
     now, edges = entities.register(old, new, entities.match_snapshots(old, new, frames), "s2")
     assert {(r["pid"], r["alive"], r["relation"]) for r in now.collect()} == {("f1", False, "created"), ("f2", True, "split"), ("f1~1", True, "split")}
-    below = entities.descendants(edges.select("parent", "child"), now.where("alive").select("pid"), spark)
+    below = entities.descendants(edges.select("parent", "child"), now.where("alive").select("pid"))
     assert {tuple(r) for r in below.where("node = 'f1'").collect()} == {("f1", "f2"), ("f1", "f1~1")}
 
 
@@ -273,3 +273,14 @@ def test_stream(spark, tmp_path):
 
 def test_geometry_guard(spark):
     assert spark.range(1).select(G.guarded(F.lit(1.0), F.lit(0.0), 7.0)).first()[0] == 7.0
+
+
+def test_closure_of_deep_and_wide_graphs(spark):
+    """A chain of 1,000, stacked diamonds with very many paths, a cycle, and no edges."""
+    pairs = lambda edges, up=False: entities.closure(spark.createDataFrame(edges, "parent long, child long"), up=up)
+    chain = pairs([(k, k + 1) for k in range(1000)])
+    assert chain.count() == 1000 * 1001 // 2 and chain.where("reached <= node").count() == 0
+    diamonds = [e for k in range(25) for e in ((3 * k, 3 * k + 1), (3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 3), (3 * k + 2, 3 * k + 3))]
+    assert pairs(diamonds).where("node = 0").count() == 75 and pairs(diamonds, up=True).where("node = 75").count() == 75
+    assert sorted(map(tuple, pairs([(1, 2), (2, 3), (3, 1)]).collect())) == [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
+    assert pairs([]).count() == 0
