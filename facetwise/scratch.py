@@ -5,9 +5,31 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that still hold tables. Tables themselves are held weakly, so that their plans can go.
+_roots: set[str] = set()
+
+
+def _delete(sc: SparkContext, path: str) -> None:
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clear() -> None:
+    """At the end of the application: whatever is left."""
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jsc is not None:
+        for root in _roots:
+            try:
+                _delete(sc, root)
+            except Exception:  # the gateway may be gone already at exit
+                return
+
 
 class Scratch:
     """Tables of one computation under spark.checkpoint.dir, or the context's checkpoint folder.
@@ -30,32 +52,19 @@ class Scratch:
                 root = self._own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="facetwise-")
         self.root = f"{root.rstrip('/')}/facetwise-{uuid.uuid4().hex}"
         self.n = 0
-        self.tables: dict[int, tuple[DataFrame, str]] = {}
-        atexit.register(self.clear)
+        self.paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write df and return it as read back."""
         self.n += 1
         path = f"{self.root}/{self.n}"
+        _roots.add(self.root)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.tables[id(out)] = (out, path)
+        self.paths[out] = path
         return out
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        if kept := self.tables.pop(id(df), None):
-            self._delete(kept[1])
-
-    def clear(self) -> None:
-        """At the end of the application: whatever is left."""
-        if self.spark.sparkContext._jsc is not None and self.tables:
-            try:
-                self._delete(self.root)
-            except Exception:  # the gateway may be gone already at exit
-                pass
+        if path := self.paths.pop(df, None):
+            _delete(self.spark.sparkContext, path)
