@@ -149,8 +149,7 @@ class Scorer:
         self.w = None
         if not len(x):
             return
-        x = x.astype(np.float64)
-        w, v, rate = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 4.0 / max(1e-9, float((x * x).sum(1).mean()))
+        w, v, rate = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 4.0 * len(x) / max(1e-9, float(np.einsum("ij,ij->", x, x)))
         for _ in range(rounds):
             ahead = w + 0.9 * v
             p = 1 / (1 + np.exp(-np.clip(x @ ahead, -50, 50)))
@@ -193,7 +192,9 @@ def train(docs: DataFrame, spark: SparkSession, *, rows: int = TRAIN_ROWS, scrat
     looked = (scratch or Scratch(spark)).cut(docs.select(text.alias("text"), picked.alias("picked")).mapInArrow(look, "votes string, n long, x binary"))
     model = LabelModel({r["votes"]: r["n"] for r in looked.where("x is null").groupBy("votes").agg(F.sum("n").alias("n")).collect()})
     got = looked.where("x is not null").limit(2 * rows).select("votes", "x").toArrow()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    x = np.empty((got.num_rows, WIDTH))
+    for k, row in enumerate(got.column("x")):
+        x[k] = np.frombuffer(row.as_buffer(), np.float32)
     return model, Scorer(x, np.array([model.posterior[v] for v in got.column("votes").to_pylist()], float))
 
 

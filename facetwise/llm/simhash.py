@@ -157,7 +157,7 @@ def _verified(pairs: DataFrame, entries: DataFrame, scheme: Scheme) -> DataFrame
     for x in "ab":
         pairs = pairs.join(entries.select(F.col("v").alias(x), F.col("fp").alias("f" + x)).hint("merge"), x)
     far = sum((F.bit_count(F.col("fa")[w].bitwiseXOR(F.col("fb")[w])) for w in range(scheme.words)), F.lit(0))
-    return pairs.where(far <= scheme.radius).select("a", "b")
+    return pairs.where(far <= scheme.radius).drop("fa", "fb")
 
 
 def _pivot_links(entries: DataFrame, scheme: Scheme) -> DataFrame:
@@ -170,18 +170,13 @@ def _pivot_links(entries: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataFrame:
-    """(a, b): links between entries(v, fp), which have different fingerprints, that join all that the scheme finds.
+    """(a, b): links between entries(v, g, fp), which have different fingerprints, that join all that the scheme finds.
 
-    v is a long of its own for each fingerprint.
+    v is a long of its own for each fingerprint; entries with one g are joined already. a and b are values of g.
     """
-    first = None
-    if scheme.words > 1:
-        first = scratch.cut(_pivot_links(entries, scheme))
-        joined = components(first, scratch)
-        entries = scratch.cut(entries.join(joined, entries["v"] == joined["node"], "left").select("v", "fp", F.coalesce("root", "v").alias("g")))
-    c, g = F.col("fp")[0].alias("c"), ["g"] if first is not None else []
-    home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", c, *g)
-    ask = entries.select(F.explode(F.expr(_keys(scheme, True))).alias("k"), "v", c, *g)
+    c = F.col("fp")[0].alias("c")
+    home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", "g", c)
+    ask = entries.select(F.explode(F.expr(_keys(scheme, True))).alias("k"), "v", "g", c)
     counts = home.groupBy("k").agg(F.count("*").alias("n"))
     full = scratch.cut(counts.where(F.col("n") > KEY_CAP).select("k"))
     widest = max(w for _, _, w in scheme.segments)
@@ -190,12 +185,14 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
     few = hot.count() <= HOT_BROADCAST
     keys = F.broadcast(hot) if few else hot
     near = F.bit_count(F.col("c").bitwiseXOR(F.col("c2"))) <= scheme.screen
-    apart = F.col("g") != F.col("g2") if g else F.col("v") != F.col("v2")
-    lives = home.join(keys, "k", "left_anti").select("k", *(F.col(x).alias(x + "2") for x in ("v", "c", *g)))
-    cold = ask.join(keys, "k", "left_anti").join(lives.hint("merge"), "k").where(apart & near)
-    cold = cold.select(F.greatest("v", "v2").alias("a"), F.least("v", "v2").alias("b"))
-    if first is not None:
-        cold = first.unionAll(_verified(cold.distinct(), entries, scheme))
+    lives = home.join(keys, "k", "left_anti").select("k", *(F.col(x).alias(x + "2") for x in "vgc"))
+    cold = ask.join(keys, "k", "left_anti").join(lives.hint("merge"), "k").where((F.col("g") != F.col("g2")) & near)
+    cold = cold.select(*(F.when(F.col("v") < F.col("v2"), F.struct(x, x + "2")).otherwise(F.struct(F.col(x + "2").alias(x), F.col(x).alias(x + "2"))).alias(x) for x in "vg"))
+    cold = cold.select("v.v", "v.v2", "g.g", "g.g2")
+    if scheme.words > 1:
+        pairs = cold.select(F.col("v").alias("a"), F.col("v2").alias("b"), "g", "g2").distinct()
+        cold = _verified(pairs, entries, scheme)
+    cold = cold.select(F.col("g").alias("a"), F.col("g2").alias("b"))
     crowd = ask.select("k", "v", F.lit(True).alias("asks")).unionAll(home.select("k", "v", F.lit(False).alias("asks"))).join(keys, "k", "left_semi")
     crowd = scratch.cut(crowd)
     blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.count_if(who) / F.lit(BLOCK))).cast("int")
@@ -203,19 +200,28 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
     dealt = crowd.join(F.broadcast(sizes) if few else sizes, "k")
     part = "cast(pmod(xxhash64(v), {}) as int)"
     dealt = dealt.select("k", "v", F.expr(f"if(asks, sequence(0, nh - 1), array({part.format('nh')}))").alias("i"), F.expr(f"if(asks, array({part.format('na')}), sequence(0, na - 1))").alias("j"))
-    dealt = dealt.join(entries.select("v", "fp"), "v").select("k", "v", "fp", F.explode("i").alias("i"), "j").select("k", "v", "fp", "i", F.explode("j").alias("j"))
+    dealt = dealt.join(entries, "v").select("k", "v", "g", "fp", F.explode("i").alias("i"), "j").select("k", "v", "g", "fp", "i", F.explode("j").alias("j"))
 
     def span(t: pa.Table) -> pa.Table:
         v, at = np.unique(t.column("v").to_numpy(), return_index=True)
         f = t.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, scheme.words)[at]
-        label = _labels(f, scheme.radius)
-        moved = np.flatnonzero(label != np.arange(len(v)))
-        return pa.table({"a": v[moved], "b": v[label[moved]]})
+        g = t.column("g").to_numpy()[at]
+        a, b = g, g[_labels(f, scheme.radius)]
+        pairs = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
 
     warm = dealt.groupBy("k", "i", "j").applyInArrow(span, "a long, b long")
     return cold.unionAll(warm)
 
 
+def _joined(entries: DataFrame, scratch: Scratch, scheme: Scheme) -> DataFrame:
+    """entries(v, fp) as (v, g, fp): g is the same for all that is joined by links to the least residents of keys."""
+    if scheme.words == 1:
+        return entries.select("v", F.col("v").alias("g"), "fp")
+    first = components(scratch.cut(_pivot_links(entries, scheme)), scratch)
+    return scratch.cut(entries.join(first, entries["v"] == first["node"], "left").select("v", F.coalesce("root", "v").alias("g"), "fp"))
+
+
 def near_duplicates(docs: DataFrame, spark: SparkSession, scheme: Scheme = EXACT, *, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, fp (array of signed longs), component_id, root.
 
@@ -229,9 +235,10 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, scheme: Scheme = EXACT
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     least = scratch.cut(least.withColumn("v", F.monotonically_increasing_id()))
     n = least.count()
-    comp = components(links(least.select("v", "fp"), scratch, scheme), scratch)
-    rooted = least.join(comp, least["v"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "v").alias("root"))
-    rooted = scratch.cut(rooted)
+    entries = _joined(least.select("v", "fp"), scratch, scheme)
+    comp = components(links(entries, scratch, scheme), scratch)
+    rooted = entries.join(comp, entries["g"] == comp["node"], "left").select("v", F.coalesce("root", "g").alias("root"))
+    rooted = scratch.cut(least.join(rooted, "v").select("fp", "least", "root"))
     low = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows_of"))
     of = to_own(rooted, low, "root", n).select("fp", "component_id", "root")
     return prints.join(of.hint("merge"), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id", "root")

@@ -241,8 +241,9 @@ def test_simhash_links(spark, monkeypatch, cap, scheme):
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     fps = sorted(fps)
     rows = [(k, [signed(f >> 64 * w & (2**64 - 1)) for w in range(scheme.words)]) for k, f in enumerate(fps)]
-    found = simhash.links(spark.createDataFrame(rows, "v long, fp array<long>"), Scratch(spark), scheme)
-    edges = [(fps[r["a"]], fps[r["b"]]) for r in found.collect()]
+    entries = simhash._joined(spark.createDataFrame(rows, "v long, fp array<long>"), Scratch(spark), scheme)
+    edges = [(fps[r["a"]], fps[r["b"]]) for r in simhash.links(entries, Scratch(spark), scheme).collect()]
+    edges += [(fps[r["v"]], fps[r["g"]]) for r in entries.collect()]
     direct = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= scheme.radius]
     want = reach(direct if scheme is simhash.EXACT else similar_links(fps), fps)
     whole, got = reach(direct, fps), reach(edges, fps)
