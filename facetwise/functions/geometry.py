@@ -231,6 +231,15 @@ def orient2d(ax, ay, bx, by, cx, cy, eps: float = 1e-12) -> Column:
     return F.when(F.abs(det) > (F.abs(left) + F.abs(right)) * eps, F.signum(det)).otherwise(0.0).cast("int")
 
 
+def in_circle(ax, ay, bx, by, cx, cy, dx, dy, eps: float = 1e-11) -> Column:
+    """1 if d is inside the circle of counter-clockwise abc, -1 outside; 0 within the rounding error of the filter."""
+    (x1, y1), (x2, y2), (x3, y3) = ((px - dx, py - dy) for px, py in ((ax, ay), (bx, by), (cx, cy)))
+    z1, z2, z3 = x1 * x1 + y1 * y1, x2 * x2 + y2 * y2, x3 * x3 + y3 * y3
+    terms = (x1 * (y2 * z3 - y3 * z2), y1 * (x3 * z2 - x2 * z3), z1 * (x2 * y3 - x3 * y2))
+    det, size = sum(terms[1:], terms[0]), sum((F.abs(t) for t in terms[1:]), F.abs(terms[0]))
+    return F.when(F.abs(det) > size * eps, F.signum(det)).otherwise(0.0).cast("int")
+
+
 def in_triangle(px, py, ax, ay, bx, by, cx, cy) -> Column:
     """Whether p lies in or on abc, either way round."""
     s = [orient2d(ax, ay, bx, by, px, py), orient2d(bx, by, cx, cy, px, py), orient2d(cx, cy, ax, ay, px, py)]

@@ -101,6 +101,25 @@ def parametrisation(samples: DataFrame, by: list[str], th: Thresholds | None = N
     return out.withColumns({"ratio": ratio, "class": kind}).drop("seam")
 
 
+def sample_domain(faces: DataFrame, n: int = 12, inside=None) -> DataFrame:
+    """(face, i, j, u, v): an n x n grid over the parameter rectangle u0 .. u1, v0 .. v1 of each face, ends included.
+
+    inside(u, v) is a condition on Columns for points within the trim; derivatives outside are not reliable.
+    """
+    k = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    at = lambda x, i: F.col(x + "0") + (F.col(x + "1") - F.col(x + "0")) * F.col(i) / max(1, n - 1)
+    out = faces.withColumn("i", k).withColumn("j", k).withColumns({"u": at("u", "i"), "v": at("v", "j")})
+    return (out if inside is None else out.where(inside(F.col("u"), F.col("v")))).select("face", "i", "j", "u", "v")
+
+
+def face_thickness(hits: DataFrame, by: list[str], most: int = 60, share: float = 0.05) -> DataFrame:
+    """hits(by, tri, distance) to (by, thickness, n): a low percentile over at most so many triangles of each face, chosen by
+    the digest of their ids; faces without a hit have no row."""
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.md5(F.col("tri").cast("string")), "tri"))  # each task keeps `most` a face first
+    own = hits.where("distance is not null").withColumn("digest_rank", rank).where(F.col("digest_rank") <= most)
+    return own.groupBy(*by).agg(F.percentile("distance", F.lit(share)).alias("thickness"), F.count("*").alias("n"))
+
+
 def thickness_guard(hits: DataFrame, by: list[str], h: float, elements: int = 3) -> DataFrame:
     """hits(by, tri, distance): the median over a triangle's rays, then median, 1st percentile and least; blocked if the
     percentile is under `elements` sizes h."""
@@ -109,6 +128,23 @@ def thickness_guard(hits: DataFrame, by: list[str], h: float, elements: int = 3)
     return out.withColumn("blocked", F.col("p01") < elements * h)
 
 
+def counts(entities: DataFrame, by: list[str]) -> DataFrame:
+    """entities(by, dim, mass, xlo .. zhi) to one row a model: points, curves, faces and volumes, total volume and the diagonal."""
+    span = sum((F.max(x + "hi") - F.min(x + "lo")) * (F.max(x + "hi") - F.min(x + "lo")) for x in "xyz")
+    return entities.groupBy(*by).agg(
+        *(F.count_if(F.col("dim") == d).alias(n) for d, n in enumerate(("n_points", "n_curves", "n_faces", "n_volumes"))),
+        F.coalesce(F.sum(F.when(F.col("dim") == 3, F.col("mass"))), F.lit(0.0)).alias("total_volume"), F.sqrt(span).alias("scale"),
+    )
+
+
+def volume_findings(models: DataFrame, by: list[str]) -> DataFrame:
+    """Blocking findings of models without volumes, or whose total volume is not positive."""
+    return _findings(models, by, [
+        (F.col("n_volumes") == 0, "topology.no_volume", "BLOCK", None, None, None),
+        ((F.col("n_volumes") > 0) & (F.col("total_volume") <= 0), "topology.nonpositive_volume", "BLOCK", None, None, F.col("total_volume")),
+    ])
+
+
 def totals(volumes: DataFrame, scale: float) -> DataFrame:
     """volumes(volume): blocking findings of a model without volumes or without positive volume."""
     agg = volumes.agg(F.count("*").alias("n"), F.coalesce(F.sum("volume"), F.lit(0.0)).alias("v")).withColumn("scale", F.lit(float(scale)))
@@ -118,9 +154,47 @@ def totals(volumes: DataFrame, scale: float) -> DataFrame:
     ])
 
 
+def imprint_findings(models: DataFrame, face_volumes: DataFrame, by: list[str]) -> DataFrame:
+    """Whether the bodies of an assembly share faces: INFO if some do, else WARN; models of one volume have none.
+
+    models has n_volumes, face_volumes(by, face, volume) the imprinted topology; measured is the number of shared faces.
+    """
+    shared = face_volumes.groupBy(*by, "face").agg(F.count_distinct("volume").alias("n")).where("n > 1").groupBy(*by).agg(F.count("*").alias("n_shared"))
+    own = models.where("n_volumes > 1").join(shared, by, "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)))
+    return _findings(own, by, [
+        (F.col("n_shared") > 0, "assembly.imprinted", "INFO", None, None, F.col("n_shared")),
+        (F.col("n_shared") == 0, "assembly.imprinted", "WARN", None, None, F.col("n_shared")),
+    ])
+
+
+def body_kind_inputs(entities: DataFrame, face_curves: DataFrame, face_volumes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_volumes, n_faces, free_edge_length, interface_faces): what the topology contract is derived from.
+
+    face_curves(by, face, curve) is a bag of boundaries; entities hold the curves' lengths as mass.
+    """
+    n = entities.groupBy(*by).agg(F.count_if(F.col("dim") == 3).alias("n_volumes"), F.count_if(F.col("dim") == 2).alias("n_faces"))
+    lengths = entities.where("dim = 1").select(*by, F.col("tag").alias("curve"), "mass")
+    once = face_curves.groupBy(*by, "curve").agg(F.count("*").alias("uses")).where("uses = 1").join(lengths, [*by, "curve"])
+    free = once.groupBy(*by).agg(F.sum("mass").alias("free_edge_length"))
+    inner = face_volumes.groupBy(*by, "face").agg(F.count_distinct("volume").alias("n")).where("n > 1")
+    inner = inner.groupBy(*by).agg(F.sort_array(F.collect_set("face")).alias("interface_faces"))
+    out = n.join(free, by, "left").join(inner, by, "left")
+    return out.withColumns({"free_edge_length": F.coalesce("free_edge_length", F.lit(0.0)), "interface_faces": F.coalesce("interface_faces", F.array().cast(inner.schema["interface_faces"].dataType))})
+
+
+def add(findings: DataFrame, more: DataFrame) -> DataFrame:
+    """findings with more of them; columns that either lacks are null."""
+    return findings.unionByName(more, allowMissingColumns=True)
+
+
+def proceed(models: DataFrame, findings: DataFrame, by: list[str]) -> DataFrame:
+    """The models that no finding blocks: what the audit goes on with."""
+    return models.join(findings.where("severity = 'BLOCK'").select(*by).distinct(), by, "left_anti")
+
+
 def calibration_rows(findings: DataFrame, factor: float = 2.0) -> DataFrame:
-    """Findings that have a threshold, with margins, borderline ones first in order."""
-    return with_margin(findings.where("threshold_name is not null"), factor)
+    """Findings that have a threshold, with margins, borderline ones first."""
+    return with_margin(findings.where("threshold_name is not null"), factor).orderBy(F.desc_nulls_last("borderline"), "threshold_name")
 
 
 def carry_verdicts(rows: DataFrame, previous: DataFrame, key: list[str]) -> DataFrame:

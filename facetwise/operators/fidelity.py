@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import fields
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
-from facetwise.functions.surfaces import Surface
+from facetwise.functions.surfaces import KINDS, Surface
 from facetwise.operators.ranks import if_small
 
 #: Sample points of a triangle, as barycentric weights: centroid, edge middles, interior.
@@ -28,14 +30,26 @@ def _subset(tri: DataFrame, most: int | None, seed: int, by: list[str] | None =
     return tri.withColumn("hash_rank", rank).where(F.col("hash_rank") <= most).drop("hash_rank")
 
 
-def deviations(tri: DataFrame, surface: Surface, samples=SAMPLES) -> DataFrame:
-    """tri with `deviation`: the largest distance of its sample points to the surface. No explode, no join: one expression."""
+def _far(surface: Surface, samples=SAMPLES) -> Column:
+    """The largest distance of a triangle's sample points to the surface. No explode, no join: one expression."""
     a, b, c = G.point("a"), G.point("b"), G.point("c")
     far = []
     for wa, wb, wc in samples:
         p = G.add(G.add(G.scaled(a, wa), G.scaled(b, wb)), G.scaled(c, wc))
         far.append(G.norm(G.sub(p, surface.nearest(p))))
-    return tri.withColumn("deviation", F.greatest(*far))
+    return F.greatest(*far)
+
+
+def _turn(surface: Surface) -> Column:
+    """Degrees between a triangle's normal and the surface's under its centroid, either way round."""
+    a, b, c = G.point("a"), G.point("b"), G.point("c")
+    s = surface.normal(*surface.project(G.centroid(a, b, c)))
+    return F.degrees(F.acos(F.least(F.abs(G.dot(G.normal(a, b, c), G.unit(s))), F.lit(1.0))))
+
+
+def deviations(tri: DataFrame, surface: Surface, samples=SAMPLES) -> DataFrame:
+    """tri with `deviation`: the largest distance of its sample points to the surface."""
+    return tri.withColumn("deviation", _far(surface, samples))
 
 
 def chordal_deviation(tri: DataFrame, surface: Surface, *, target: float | None = None, most: int | None = None, seed: int = 0, by: list[str] | None = None) -> DataFrame:
@@ -53,10 +67,7 @@ def chordal_deviation(tri: DataFrame, surface: Surface, *, target: float | None
 
 def normal_angles(tri: DataFrame, surface: Surface) -> DataFrame:
     """tri with area and `angle`: degrees between its normal and the surface's under its centroid, either way round."""
-    a, b, c = G.point("a"), G.point("b"), G.point("c")
-    s = surface.normal(*surface.project(G.centroid(a, b, c)))
-    cos = F.abs(G.dot(G.normal(a, b, c), G.unit(s)))
-    return tri.withColumns({"area": G.area(a, b, c), "angle": F.degrees(F.acos(F.least(cos, F.lit(1.0))))})
+    return tri.withColumns({"area": G.area(G.point("a"), G.point("b"), G.point("c")), "angle": _turn(surface)})
 
 
 def normal_deviation(tri: DataFrame, surface: Surface, *, limit: float = 15.0, most: int | None = None, seed: int = 0, by: list[str] | None = None) -> DataFrame:
@@ -92,6 +103,21 @@ def _grids(tri: DataFrame) -> DataFrame:
     return box.select("mesh_id", "gx", "gy", "gz", *(size[x].alias("s" + x) for x in "xyz"), *(F.floor(F.col("w" + x) / size[x]).cast("int").alias("n" + x) for x in "xyz"))
 
 
+def with_deviations(tri: DataFrame, faces: DataFrame) -> DataFrame:
+    """tri with deviation and angle from the surface of its own face: faces(pid, kind, radius, and mesh_id where pids repeat).
+
+    kind is one of functions.surfaces.KINDS; triangles of faces without a known kind have null.
+    """
+    on = ["mesh_id", "pid"] if "mesh_id" in faces.columns else ["pid"]
+    own = tri.join(if_small(faces.select(*on, F.col("kind").alias("face_kind"), F.col("radius").alias("face_radius"))), on, "left")
+    deviation = angle = F.lit(None).cast("double")
+    for kind, cls in KINDS.items():
+        s = cls(radius=F.col("face_radius")) if "radius" in {f.name for f in fields(cls)} else cls()
+        deviation = F.when(F.col("face_kind") == kind, _far(s)).otherwise(deviation)
+        angle = F.when(F.col("face_kind") == kind, _turn(s)).otherwise(angle)
+    return own.withColumns({"deviation": deviation, "angle": angle}).drop("face_kind", "face_radius")
+
+
 def ray_hits(tri: DataFrame, rays: DataFrame, own: str | None = None) -> DataFrame:
     """(mesh_id, ray, distance): the nearest triangle of the mesh in front of each ray (ox .. oz, dx .. dz), if any.
 

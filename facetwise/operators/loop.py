@@ -1,12 +1,14 @@
 """The adaptive loop: mesh, assess, choose an action, repeat. A driver program; each assessment is a Spark job.
 
 A backend has load(path, strategy), faces() -> {pid: {area, curvature_max, thickness}}, scale(), mesh(rules, strategy)
--> Assessment. Optional: measure_thickness().
+-> Assessment. Optional: measure_thickness(); rebuild_contracts(), called whenever the geometry was loaded, and
+violations(mesh) -> {code: detail} of the contracts, which are hard failures of a mesh.
 """
 
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -53,6 +55,8 @@ class Iteration:
     action: policy.Action | None = None
     over_budget: bool = False
     ineffective: bool = False
+    changes: tuple[str, ...] = ()
+    seconds: float = 0.0
 
 
 @dataclass
@@ -62,6 +66,12 @@ class Run:
     best: Iteration | None = None
     best_mesh: object = None
     notes: list[str] = field(default_factory=list)
+    began: float = field(default_factory=time.monotonic)
+
+    @property
+    def elapsed(self) -> float:
+        """Seconds since the run began."""
+        return time.monotonic() - self.began
 
     def add(self, it: Iteration, mesh: object = None) -> None:
         self.iterations.append(it)
@@ -73,6 +83,18 @@ class Run:
         return len(s) > window and max(s[-window:]) - s[-window - 1] < eps
 
 
+def changes(before: list[tuple] | None, after: list[tuple]) -> tuple[str, ...]:
+    """What a specification changed against the one before: + and - rules, ~ parameters; nothing for the first."""
+    if before is None:
+        return ()
+    key = lambda rules: {(k, ",".join(sorted(s))): p for k, p, s in rules}
+    old, new = key(before), key(after)
+    out = [f"+ {k} {s}".rstrip() for k, s in new if (k, s) not in old] + [f"- {k} {s}".rstrip() for k, s in old if (k, s) not in new]
+    for k, s in new.keys() & old.keys():
+        out += [f"~ {k} {s}".rstrip() + f" {p}: {old[k, s].get(p)} to {v}" for p, v in new[k, s].items() if old[k, s].get(p) != v]
+    return tuple(sorted(out))
+
+
 def face_size(face: dict, pid: str, rules: list[tuple], scale: float) -> float:
     """Resolved size of one face: the scalar twin of sizefield.resolve, for the cost check on the driver."""
     size = next((p["h"] for k, p, s in rules if k == "base" and not s), 0.05 * scale)
@@ -111,12 +133,13 @@ def run(
             backend.load(path, strategy)
         except Exception as e:  # a backend may fail in any way; the run records it
             out.outcome = "backend_error"
-            out.notes.append(f"load failed: {type(e).__name__}: {e}")
+            out.notes.append(f"the model could not be loaded ({type(e).__name__}: {e})")
             return False
-        try:  # an input of one rule, not a condition of meshing
+        try:  # sizes by thickness are left out without it
             getattr(backend, "measure_thickness", lambda: None)()
         except Exception as e:
-            out.notes.append(f"thickness unavailable: {type(e).__name__}: {e}")
+            out.notes.append(f"no thickness was measured ({type(e).__name__}: {e})")
+        getattr(backend, "rebuild_contracts", lambda: None)()
         return True
 
     if not load():
@@ -125,6 +148,7 @@ def run(
     rules = sizefield.default(scale) if rules is None else rules
     history: list[policy.Action] = []
     seen: set[str] = set()
+    before_rules: list[tuple] | None = None
     for index in range(max_iterations):
         key = spec_digest([*rules, ("strategy", vars(strategy), [])])
         if key in seen:
@@ -134,7 +158,8 @@ def run(
         faces = backend.faces()
         sizes = {p: face_size(f, p, rules, scale) for p, f in faces.items()}
         areas = {p: float(f.get("area") or 0.0) for p, f in faces.items()}
-        it = Iteration(index, key, policy.estimate(sizes, areas))
+        it = Iteration(index, key, policy.estimate(sizes, areas), changes=changes(before_rules, rules))
+        before_rules, began = rules, time.monotonic()
         if it.estimate > budget:
             it.over_budget = True
             out.add(it)
@@ -144,8 +169,11 @@ def run(
             got = backend.mesh(rules, strategy)
             if got.n_triangles == 0 and not got.failures:
                 got.failures = {"mesh.empty": {}}
+            if got.n_triangles:
+                got.failures = {**got.failures, **getattr(backend, "violations", lambda mesh: {})(got.mesh)}
         except Exception as e:  # a failure that the policy can act on
             got = Assessment(failures={"mesher.failed": {"exception": f"{type(e).__name__}: {e}"}})
+        it.seconds = time.monotonic() - began
         it.n_triangles, it.is_valid, it.codes = got.n_triangles, got.is_valid, tuple(sorted(got.failures))
         it.ready, it.score = got.ready and got.is_valid, got.score if got.is_valid else 0.0
         before = out.iterations[-1] if out.iterations else None

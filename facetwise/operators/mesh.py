@@ -80,10 +80,25 @@ def with_requested_size(tri: DataFrame, faces: DataFrame) -> DataFrame:
     return sized.withColumn("target", F.coalesce(own, F.col("requested_size")))
 
 
+def with_target(tri: DataFrame, size) -> DataFrame:
+    """tri with target = size(x, y, z), a function of Columns, at the centroid of each triangle."""
+    return tri.withColumn("target", size(*G.centroid(G.point("a"), G.point("b"), G.point("c"))).cast("double"))
+
+
+def size_ratio():
+    """Element size over target; null where there is no positive target."""
+    return F.when(F.col("target") > 0, F.col("size") / F.when(F.col("target") > 0, F.col("target")))
+
+
+def in_band(ratio, tolerance: float = 1.5):
+    """Whether a ratio is in the band; one that is null is."""
+    return ~F.coalesce(ratio > tolerance, F.lit(False)) & ~F.coalesce(ratio < 1 / tolerance, F.lit(False))
+
+
 def size_adequation(tri: DataFrame, by: list[str], tolerance: float = 1.5) -> DataFrame:
     """Element size over requested size (column target). A target that is null or not positive has no ratio, and the
     triangle counts as in band."""
-    m = G.with_triangle_metrics(tri).withColumn("ratio", F.when(F.col("target") > 0, F.col("size") / F.when(F.col("target") > 0, F.col("target"))))
+    m = G.with_triangle_metrics(tri).withColumn("ratio", size_ratio())
     over, under = F.coalesce(F.col("ratio") > tolerance, F.lit(False)), F.coalesce(F.col("ratio") < 1 / tolerance, F.lit(False))
     share = lambda c: F.avg(c.cast("int"))
     out = m.groupBy(*by).agg(
@@ -94,23 +109,44 @@ def size_adequation(tri: DataFrame, by: list[str], tolerance: float = 1.5) -> Da
         *([F.percentile("ratio", F.lit(LOW_SHARE)).alias("ratio_p01"), F.percentile("ratio", F.lit(HIGH_SHARE)).alias("ratio_p99")] if by else []),
         share(under).alias("frac_undersized"),
         share(over).alias("frac_oversized"),
-        share(~over & ~under).alias("frac_in_band"),
+        share(in_band(F.col("ratio"), tolerance)).alias("frac_in_band"),
     )
     return out if by else out.withColumns(percentiles(m, [("ratio_p01", F.col("ratio"), LOW_SHARE), ("ratio_p99", F.col("ratio"), HIGH_SHARE)]))
 
 
 def attribute_by_face(tri: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Scores of each face, worst shape first: what the policy acts on. Needs pid; target is optional."""
+    """Scores of each face, worst shape first: what the policy acts on. Needs pid.
+
+    target is optional, as are deviation and angle (fidelity.with_deviations): with them there are chordal_relative, the
+    largest deviation over the target (null without a target), and normal_p99_deg.
+    """
     m = G.with_triangle_metrics(tri)
-    ratio = F.when(F.col("target") > 0, F.col("size") / F.when(F.col("target") > 0, F.col("target"))) if "target" in tri.columns else F.lit(None).cast("double")
+    ratio = size_ratio() if "target" in tri.columns else F.lit(None).cast("double")
+    more = []
+    if "deviation" in tri.columns:
+        share = F.when(F.col("target") > 0, F.col("deviation") / F.when(F.col("target") > 0, F.col("target"))) if "target" in tri.columns else F.lit(None).cast("double")
+        more.append(F.max(share).alias("chordal_relative"))
+    if "angle" in tri.columns:
+        more.append(F.percentile("angle", F.lit(HIGH_SHARE)).alias("normal_p99_deg"))
     out = m.groupBy(*(by or []), "pid").agg(
         F.count("*").alias("n_triangles"),
         F.min("shape").alias("shape_min"),
         F.avg("shape").alias("shape_mean"),
         F.min("min_angle").alias("min_angle"),
         F.max(ratio).alias("size_ratio_max"),
+        *more,
     )
-    return out
+    return out.orderBy("shape_min", *(by or []), "pid")
+
+
+def pids(tri: DataFrame) -> DataFrame:
+    """(pid): the faces of a mesh, in order."""
+    return tri.select("pid").where("pid is not null").distinct().orderBy("pid")
+
+
+def indices_for(tri: DataFrame, pid) -> DataFrame:
+    """(mesh_id, tri): the triangles of a face."""
+    return tri.where(F.col("pid") == pid).select("mesh_id", "tri")
 
 
 #: Scores of which more is worse.

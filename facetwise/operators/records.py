@@ -117,6 +117,67 @@ def aggregate(records: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def stem_of(path):
+    """The name of a file without its folders and its last suffix."""
+    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
+def elapsed(it: DataFrame, at: str = "ts") -> DataFrame:
+    """it with `elapsed`: seconds since the first iteration of its run."""
+    seconds = F.col(at).cast("timestamp").cast("double")
+    return it.withColumn("elapsed", seconds - F.first(seconds).over(_order(Window.unboundedPreceding)))
+
+
+def spec_changes(rules: DataFrame) -> DataFrame:
+    """rules(run, idx, kind, scope, params) to (run, idx, op, kind, scope, param, old, new): what each iteration changed
+    against the one before: rules added (+), removed (-), parameters changed (~). The first iteration changes nothing."""
+    now = rules.select("run", "idx", "kind", "scope", F.col("params").alias("b"))
+    was = rules.select("run", (F.col("idx") + 1).alias("idx"), "kind", "scope", F.col("params").alias("a"))
+    known = rules.select("run", "idx").distinct()
+    both = was.join(known, ["run", "idx"], "left_semi").join(now.where("idx > 0"), ["run", "idx", "kind", "scope"], "full_outer")
+    op = F.when(F.col("a").isNull(), "+").when(F.col("b").isNull(), "-").otherwise("~")
+    none = F.expr("cast(map() as map<string,double>)")
+    zipped = F.map_zip_with(F.coalesce("a", none), F.coalesce("b", none), lambda k, x, y: F.struct(x.alias("old"), y.alias("new")))
+    rows = both.select("run", "idx", op.alias("op"), "kind", "scope", F.explode(zipped).alias("param", "v"))
+    return rows.where("op <> '~' or not (v.old <=> v.new)").select("run", "idx", "op", "kind", "scope", "param", "v.old", "v.new")
+
+
+def run_table(records: DataFrame, *, failed: bool = False) -> DataFrame:
+    """A row a run: part, outcome, n_iterations, triangles of the best mesh (of the last attempt without one), score, seconds
+    and whether there is a valid mesh; open runs first, then the slowest. failed: only runs that were not accepted."""
+    best = F.get(F.filter("iterations", lambda i: i["index"] == F.col("best_index")), F.lit(0))
+    last = F.try_element_at("iterations", F.lit(-1))
+    out = records.select(
+        stem_of(F.col("model")).alias("part"), "outcome", F.coalesce(F.size("iterations"), F.lit(0)).alias("n_iterations"),
+        F.coalesce(best["n_triangles"], last["n_triangles"], F.lit(0)).alias("triangles"), F.coalesce(best["score"], F.lit(0.0)).alias("score"),
+        F.coalesce("elapsed_seconds", F.lit(0.0)).alias("seconds"), best.isNotNull().alias("valid"),
+    )
+    out = out.where("outcome <> 'accepted'") if failed else out
+    return out.orderBy(F.col("outcome") == "accepted", F.desc("seconds"), "part")
+
+
+def report(records: DataFrame) -> dict[str, DataFrame]:
+    """What a corpus report shows: outcomes with their percentage, the ten most frequent failure codes, the eight objectives
+    missed most, and the five slowest parts if one took over 30 seconds."""
+    found = aggregate(records)
+    top = lambda df, k: df.orderBy(F.desc("n"), df.columns[0]).limit(k)
+    rows = run_table(records).select("part", "outcome", "seconds")
+    slow = rows.orderBy(F.desc("seconds"), "part").limit(5)
+    return {
+        "outcomes": found["outcomes"].withColumn("percent", F.col("share") * 100).drop("share").orderBy(F.desc("n"), "outcome"),
+        "failures": top(found["failures"], 10),
+        "missed": top(found["missed"], 8),
+        "slowest": slow.withColumn("most", F.max("seconds").over(Window.partitionBy())).where("most > 30").drop("most"),  # five rows
+    }
+
+
+def estimate_ratio(runs: DataFrame, by: list[str]) -> DataFrame:
+    """runs(by, estimate, n_triangles) to (by, n, ratio_mean, ratio_max): triangles made over triangles estimated."""
+    ratio = F.when(F.col("estimate") > 0, F.col("n_triangles") / F.when(F.col("estimate") > 0, F.col("estimate")))
+    return runs.groupBy(*by).agg(F.count("*").alias("n"), F.avg(ratio).alias("ratio_mean"), F.max(ratio).alias("ratio_max"))
+
+
 def suggestions(names: DataFrame, asked: str, most: int = 6) -> DataFrame:
     """Names that contain what was asked for, in any case."""
     return names.where(F.contains(F.lower("name"), F.lower(F.lit(asked)))).orderBy("name").limit(most)

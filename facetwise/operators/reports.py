@@ -39,9 +39,9 @@ def param_report(classes: DataFrame, limit: float = 100.0) -> DataFrame:
 
 
 def removed_faces(entities: DataFrame, provenance: DataFrame) -> DataFrame:
-    """Dead faces without children: what a repair took away, largest first in order of area."""
+    """Dead faces without children: what a repair took away, the largest area first."""
     dead = entities.where("dim = 2 and not alive")
-    return dead.join(provenance.select(F.col("parent").alias("pid")).distinct(), "pid", "left_anti")
+    return dead.join(provenance.select(F.col("parent").alias("pid")).distinct(), "pid", "left_anti").orderBy(F.desc("area"), "pid")
 
 
 def fidelity_objectives(scores: DataFrame, by: list[str], chordal: float = 0.05, normal: float = 15.0) -> DataFrame:

@@ -137,6 +137,19 @@ def fingerprint(rules: DataFrame) -> DataFrame:
     return rules.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 16).alias("fingerprint"))
 
 
+def to_json(rules: DataFrame, by: list[str]) -> DataFrame:
+    """(by, spec): the rules of each specification as a JSON list in their order; a specification has a handful of rules."""
+    row = F.struct("ord", "kind", "params", "scope")
+    return rules.groupBy(*by).agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("ord").alias("o"), F.to_json(row).alias("rule"))))["rule"]).alias("spec"))
+
+
+def from_json(specs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ord, kind, params, scope): the rules back from to_json; text that is no such list gives no rules."""
+    texts = F.explode(F.from_json("spec", "array<string>"))
+    rule = "struct<ord:int,kind:string,params:map<string,double>,scope:array<string>>"
+    return specs.select(*by, texts.alias("rule")).select(*by, F.from_json("rule", rule).alias("r")).where("r.kind is not null").select(*by, "r.*")
+
+
 def size_at(points: DataFrame, sources: DataFrame, base_size: float) -> DataFrame:
     """points(mesh_id, point, x, y, z) with the ramped size: over sources (mesh_id, x, y, z, h, ramp) the least of
     h + (base - h) clip(distance / ramp, 0, 1), and at most the base."""

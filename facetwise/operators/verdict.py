@@ -38,13 +38,8 @@ class Criteria:
         return [(n, getattr(self, n), up.get(n, False), w) for n, w in self.weights.items()]
 
 
-def failures(measures: DataFrame, by: list[str], criteria: Criteria | None = None) -> DataFrame:
-    """(by, code, count): the hard failures of each mesh, from one row of measures each.
-
-    Reads n_triangles, n_inverted, n_degenerate and, where there, n_nonmanifold_edges, n_inconsistent_normals,
-    n_boundary_edges, is_watertight and n_duplicates. An empty mesh has mesh.empty and nothing else.
-    """
-    c = criteria or Criteria()
+def _failed(measures: DataFrame, c: Criteria):
+    """Array of the hard failures (code, count) of a row of measures."""
     has = set(measures.columns)
     n = F.col("n_triangles")
     checks = [("mesh.empty", n == 0, F.lit(1))]
@@ -61,22 +56,60 @@ def failures(measures: DataFrame, by: list[str], criteria: Criteria | None = Non
     if c.duplicate_tolerance > 0 and "n_duplicates" in has:
         checks.append(("validity.duplicate_nodes", (n > 0) & (F.col("n_duplicates") > 0), F.col("n_duplicates")))
     found = F.array(*(F.when(test, F.struct(F.lit(code).alias("code"), count.cast("long").alias("count"))) for code, test, count in checks))
-    return measures.select(*by, F.inline(F.filter(found, lambda x: x.isNotNull())))
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def _goals(measures: DataFrame, c: Criteria):
+    """Array of the objectives of a row of measures that were measured."""
+
+    def one(k: int, name: str, target: float, up: bool, weight: float):
+        value = F.col(name).cast("double")
+        met = value >= target if up else value <= target
+        return F.when(
+            (F.col("n_triangles") > 0) & value.isNotNull() & ~F.isnan(value),
+            F.struct(
+                F.lit(k).alias("ord"), F.lit(name).alias("name"), value.alias("value"), F.lit(float(target)).alias("target"), F.lit(float(weight)).alias("weight"),
+                met.alias("satisfied"), G.attainment(value, F.lit(float(target)), F.lit(up)).alias("attainment"),
+            ),
+        )
+
+    return F.filter(F.array(*(one(k, *o) for k, o in enumerate(c.objectives()) if o[0] in measures.columns)), lambda x: x.isNotNull())
+
+
+def failures(measures: DataFrame, by: list[str], criteria: Criteria | None = None) -> DataFrame:
+    """(by, code, count): the hard failures of each mesh, from one row of measures each.
+
+    Reads n_triangles, n_inverted, n_degenerate and, where there, n_nonmanifold_edges, n_inconsistent_normals,
+    n_boundary_edges, is_watertight and n_duplicates. An empty mesh has mesh.empty and nothing else.
+    """
+    return measures.select(*by, F.inline(_failed(measures, criteria or Criteria())))
 
 
 def objectives(measures: DataFrame, by: list[str], criteria: Criteria | None = None) -> DataFrame:
     """(by, ord, name, value, target, weight, satisfied, attainment): one row an objective that was measured."""
+    return measures.select(*by, F.inline(_goals(measures, criteria or Criteria())))
+
+
+def scored(measures: DataFrame, by: list[str], criteria: Criteria | None = None, more: DataFrame | None = None) -> DataFrame:
+    """(by, is_valid, ready, score, n_failures, codes, worst) of each row of measures, in one pass over them.
+
+    worst is the unsatisfied objective with the least attainment, codes the sorted codes of failures. more holds further
+    hard failures (by, code, count), as those of contracts.
+    """
     c = criteria or Criteria()
-    rows = [
-        F.struct(
-            F.lit(k).alias("ord"), F.lit(name).alias("name"), F.col(name).cast("double").alias("value"), F.lit(float(target)).alias("target"),
-            F.lit(up).alias("up"), F.lit(float(weight)).alias("weight"),
-        )
-        for k, (name, target, up, weight) in enumerate(c.objectives()) if name in measures.columns
-    ]
-    out = measures.where("n_triangles > 0").select(*by, F.inline(F.array(*rows))).where("value is not null and not isnan(value)")
-    met = F.when(F.col("up"), F.col("value") >= F.col("target")).otherwise(F.col("value") <= F.col("target"))
-    return out.withColumns({"satisfied": met, "attainment": G.attainment(F.col("value"), F.col("target"), F.col("up"))}).drop("up")
+    m = measures.withColumns({"failed": _failed(measures, c), "goals": _goals(measures, c)}).select(*by, "failed", "goals")
+    if more is not None:
+        extra = more.groupBy(*by).agg(F.collect_list(F.struct("code", F.col("count").cast("long").alias("count"))).alias("more"))  # a mesh has a handful of codes
+        m = m.join(extra, by, "left").withColumn("failed", F.concat("failed", F.coalesce("more", F.array().cast("array<struct<code:string,count:bigint>>"))))
+    missed = F.filter("goals", lambda g: ~g["satisfied"])
+    total = lambda value: F.aggregate("goals", F.lit(0.0), lambda s, g: s + value(g))
+    raw = G.guarded(total(lambda g: g["attainment"] * g["weight"]), total(lambda g: g["weight"]), 0.0)
+    valid = F.size("failed") == 0
+    return m.select(
+        *by, valid.alias("is_valid"), (valid & (F.size(missed) == 0)).alias("ready"), F.when(valid, raw).otherwise(0.0).alias("score"),
+        F.size("failed").cast("long").alias("n_failures"), F.array_sort(F.transform("failed", lambda f: f["code"])).alias("codes"),
+        F.array_min(F.transform(missed, lambda g: F.struct(g["attainment"], g["ord"], g["name"].alias("name"))))["name"].alias("worst"),
+    )
 
 
 def verdicts(meshes: DataFrame, fails: DataFrame, goals: DataFrame, by: list[str]) -> DataFrame:
@@ -146,3 +179,8 @@ def contract_violations(contracts: DataFrame, missing_faces: DataFrame, unapprov
     listed.append((unmeshed.join(assemblies, "model", "left_semi"), "contract.interface_not_conformal"))
     parts = [x.groupBy("model").agg(F.count("*").alias("count")).select("model", F.lit(code).alias("code"), "count") for x, code in listed]
     return reduce(DataFrame.unionByName, parts, own)
+
+
+def as_failures(violations: DataFrame) -> DataFrame:
+    """Violations of contracts (model, code, count) as hard failures: a mesh of the wrong part is not a poorer mesh."""
+    return violations.select("model", "code", F.greatest(F.coalesce("count", F.lit(1)), F.lit(1)).cast("long").alias("count"))

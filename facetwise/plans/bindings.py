@@ -122,3 +122,32 @@ ITERATIONS = """it as (
     select user_id as run, row_number() over (partition by user_id order by ts, event_id) - 1 as idx, value as score, event_type as code,
         event_type <> 'error' as is_valid, value > 150 as ready, cast(floor(value * 10) as bigint) as n_tri,
         cast(json_extract_string(props, '$.k') as bigint) as k from events)"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Iterations nested into one record a run: ready ones are accepted; an error is a failure, a low score a missed objective."""
+    it = iterations(spark, sf_dir)
+    failed = F.filter(F.array(F.when(~F.col("is_valid"), F.lit("mesher.failed")), F.when(F.col("k") > 80, F.lit("validity.nonmanifold"))), lambda c: c.isNotNull())
+    goals = F.array(*(F.struct(F.lit(n).alias("name"), (F.col("score") >= t).alias("satisfied")) for n, t in (("min_shape", 60.0), ("min_angle", 20.0), ("chordal", 5.0))))
+    own = it.select(
+        "run", "idx", F.struct(
+            F.col("idx").cast("int").alias("index"), F.col("n_tri").alias("n_triangles"), F.col("score").alias("score"), F.col("is_valid").alias("is_valid"), F.col("ready").alias("ready"),
+            F.transform(failed, lambda c: F.struct(c.alias("code"), F.lit(1).cast("long").alias("count"))).alias("failures"), goals.alias("objectives"),
+        ).alias("i"),
+    )
+    rec = own.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("idx", "i")))["i"].alias("iterations"))  # a run has a handful of iterations
+    last = F.element_at("iterations", -1)
+    best = F.array_max(F.transform(F.filter("iterations", lambda i: i["is_valid"]), lambda i: F.struct(i["ready"].alias("r"), i["score"].alias("s"), (-i["index"]).alias("i"))))
+    return rec.select(
+        F.concat(F.lit("/parts/p"), F.col("run").cast("string"), F.lit(".v1.step")).alias("model"), F.when(last["ready"], "accepted").when(last["is_valid"], "plateau").otherwise("escalated").alias("outcome"),
+        "iterations", (-best["i"]).alias("best_index"), F.aggregate("iterations", F.lit(0.0), lambda s, i: s + i["score"] / 20).alias("elapsed_seconds"),
+    )
+
+
+RECORDS = f"""{ITERATIONS},
+last as (select * from it qualify row_number() over (partition by run order by idx desc) = 1),
+best as (select * from it where is_valid qualify row_number() over (partition by run order by ready desc, score desc, idx) = 1),
+rec as (
+    select l.run, 'p' || l.run || '.v1' as part, case when l.ready then 'accepted' when l.is_valid then 'plateau' else 'escalated' end as outcome, n, secs as seconds,
+        l.n_tri as last_tri, l.score as last_score, b.n_tri as best_tri, b.score as best_score
+    from last l join (select run, count(*) as n, sum(score / 20) as secs from it group by run) using (run) left join best b using (run))"""

@@ -101,51 +101,45 @@ def entity_match(spark, sf_dir):
     return entities.match_snapshots(old, new.withColumn("fp", fp).drop("pid"), frames)
 
 
-_EVIDENCE = [
-    ("nonmanifold, imprint off", {"validity.nonmanifold": {}}, {"imprint": False}),
-    ("nonmanifold, imprinted", {"validity.nonmanifold": {}}, {}),
-    ("degenerate, unhealed", {"validity.degenerate_shape": {}}, {}),
-    ("degenerate, healed", {"validity.degenerate_shape": {}}, {"heal": True}),
-    ("degenerate, ceiling", {"validity.degenerate_shape": {}}, {"heal": True, "heal_tolerance_frac": 1e-2}),
-    ("inverted", {"validity.inverted": {}}, {}),
-    ("inverted, optimised", {"validity.inverted": {}}, {"optimize_passes": 3}),
-    ("periodic", {"mesher.failed": {"exception": "Periodic surface not supported"}}, {}),
-    ("periodic, meshadapt", {"mesher.failed": {"exception": "periodic surface"}}, {"algorithm": "meshadapt"}),
-    ("open loop", {"mesher.failed": {"exception": "1D mesh not forming a closed loop"}}, {"heal": True}),
-    ("other failure", {"mesher.failed": {"exception": "boom"}}, {"algorithm": "frontal"}),
-    ("orientation", {"validity.orientation": {}}, {}),
-    ("missing face", {"contract.missing_face": {"pids": ["a", "b"]}}, {}),
-    ("removal", {"contract.unapproved_removal": {}}, {}),
-    ("interface", {"contract.interface_not_conformal": {}}, {}),
-    ("boundary", {"contract.boundary_mismatch": {}}, {}),
-    ("unknown", {"mesh.empty": {}}, {}),
-]
+_CODES = (
+    "validity.nonmanifold", "validity.degenerate_shape", "validity.inverted", "mesher.failed", "validity.orientation", "contract.unapproved_removal", "contract.interface_not_conformal", "contract.boundary_mismatch", "other.code",
+)
+_CASE = f"""e as (
+    select c_custkey as case_id, {list(_CODES)}[c_custkey % 9 + 1] as code, ['Periodic surface', '1D mesh not forming a closed loop', 'boom'][c_custkey % 7 % 3 + 1] as said, c_custkey % 4 > 0 as imprint, c_custkey % 3 = 1 as heal,
+        [0.0001, 0.0005, 0.001, 0.01][c_custkey % 4 + 1]::double as frac, c_custkey % 5 as passes, ['default', 'frontal', 'delaunay', 'meshadapt'][c_custkey % 11 % 4 + 1] as algorithm, c_custkey % 13 % 3 as tightened from customer),
+a as (
+    select case_id, code, case
+        when code = 'validity.nonmanifold' then case when not imprint then 'reimprint:0' when tightened < 2 then 'tighten_tolerance:1' else 'escalate:99' end
+        when code = 'validity.degenerate_shape' then case when not heal then 'enable_healing:0' when frac * 10 <= 0.01 then 'increase_heal_tolerance:1' else 'escalate:90' end
+        when code = 'validity.inverted' then case when passes < 3 then 'increase_optimization:2' else 'switch_algorithm:3' end
+        when code = 'mesher.failed' and said = 'Periodic surface' then case when algorithm <> 'meshadapt' then 'switch_algorithm:0' when not heal then 'enable_healing:1' else 'escalate:94' end
+        when code = 'mesher.failed' and said <> 'boom' then case when not heal then 'enable_healing:0' when tightened < 2 then 'tighten_tolerance:1' else 'escalate:94' end
+        when code = 'mesher.failed' then 'switch_algorithm:2' when code = 'validity.orientation' then 'escalate:95' when code = 'contract.unapproved_removal' then 'escalate:91'
+        when code = 'contract.interface_not_conformal' then 'reimprint:1' when code = 'contract.boundary_mismatch' then 'escalate:93' else 'escalate:99' end as act from e)"""
+
+
+@query(f"with {_CASE} select case_id, code as evidence, 0 as place, split_part(act, ':', 1) as kind, cast(split_part(act, ':', 2) as integer) as priority from a")
+def policy_actions(spark, sf_dir):
+    pick = lambda rows, at: F.array(*map(F.lit, rows))[at.cast("int")]
+    k = F.col("c_custkey")
+    e = B.table(spark, sf_dir, "customer").select(
+        k.alias("case_id"), F.array(pick(_CODES, k % 9)).alias("codes"), pick(("Periodic surface", "1D mesh not forming a closed loop", "boom"), k % 7 % 3).alias("exception"), (k % 4 > 0).alias("imprint"), (k % 3 == 1).alias("heal"),
+        pick((0.0001, 0.0005, 0.001, 0.01), k % 4).alias("heal_tolerance_frac"), (k % 5).cast("int").alias("optimize_passes"), pick(("default", "frontal", "delaunay", "meshadapt"), k % 11 % 4).alias("algorithm"),
+        F.array_repeat(F.lit("tighten_tolerance"), (k % 13 % 3).cast("int")).alias("history"), F.lit(100.0).alias("scale"),
+    )
+    return policy.actions(e)
 
 
 @query(
-    """select * from (values ('nonmanifold, imprint off', 0, 'reimprint', 0), ('nonmanifold, imprinted', 0, 'tighten_tolerance', 1), ('degenerate, unhealed', 0, 'enable_healing', 0),
-    ('degenerate, healed', 0, 'increase_heal_tolerance', 1), ('degenerate, ceiling', 0, 'escalate', 90), ('inverted', 0, 'increase_optimization', 2),
-    ('inverted, optimised', 0, 'switch_algorithm', 3), ('periodic', 0, 'switch_algorithm', 0), ('periodic, meshadapt', 0, 'enable_healing', 1), ('open loop', 0, 'tighten_tolerance', 1),
-    ('other failure', 0, 'switch_algorithm', 2), ('orientation', 0, 'escalate', 95), ('missing face', 0, 'refine_faces', 4), ('missing face', 1, 'escalate', 92),
-    ('removal', 0, 'escalate', 91), ('interface', 0, 'reimprint', 1), ('boundary', 0, 'escalate', 93), ('unknown', 0, 'escalate', 99)) t(case_name, place, kind, priority)"""
+    """with c as (select l_orderkey as run, l_linenumber as place, l_shipmode as kind, cast(l_quantity % 5 as integer) as priority from (select *, case when l_suppkey % 2 = 0 then 'refine_faces' else 'escalate' end as l_shipmode from lineitem)),
+    h as (select distinct o_orderkey as run, case when o_custkey % 3 = 0 then 'refine_faces' else 'none' end as kind from orders),
+    n as (select c.*, row_number() over (partition by run order by priority, place, kind) as r from c where not exists (select 1 from h where h.run = c.run and h.kind = c.kind))
+    select run, cast(place as integer) as place, kind, priority from n where r = 1"""
 )
-def policy_actions(spark, sf_dir):
-    rows = [
-        (name, k, a.kind, a.priority)
-        for name, failures, strategy in _EVIDENCE
-        for k, a in enumerate(policy.strategy_actions(failures, policy.State(policy.Strategy(**strategy), scale=100.0)))
-    ]
-    return spark.createDataFrame(rows, "case_name string, place int, kind string, priority int")
-
-
-@query("select * from (values (0, 'increase_optimization'), (1, 'refine_faces'), (2, 'refine_global')) t(step, kind)")
 def select_action(spark, sf_dir):
-    history: list[policy.Action] = []
-    for _ in range(3):
-        state = policy.State(history=history, scale=100.0, areas={"a": 10.0, "b": 10.0}, sizes={"a": 5.0, "b": 5.0}, rules=[("base", {"h": 5.0}, [])])
-        candidates = policy.objective_actions([{"name": "min_shape"}], {"shape_min": ["a"]}, state)
-        history.append(policy.Deterministic().select(candidates, history))
-    return spark.createDataFrame([(k, a.kind) for k, a in enumerate(history)], "step int, kind string")
+    c = B.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as run", "cast(l_linenumber as int) as place", "if(l_suppkey % 2 = 0, 'refine_faces', 'escalate') as kind", "cast(l_quantity % 5 as int) as priority", "'' as scope", "'' as params")
+    h = B.table(spark, sf_dir, "orders").selectExpr("o_orderkey as run", "if(o_custkey % 3 = 0, 'refine_faces', 'none') as kind", "'' as scope", "'' as params")
+    return policy.choose(c, h, ["run"]).select("run", "place", "kind", "priority")
 
 
 _POLY = """node as (

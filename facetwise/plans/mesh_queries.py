@@ -201,10 +201,10 @@ def free_edge_length(spark, sf_dir):
     return rounded(topology.free_edge_length(fc, lengths), digits=2)
 
 
-@query("select c_custkey as face from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey as face from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderpriority = '1-URGENT')")
 def orphan_faces(spark, sf_dir):
     faces = B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("face"))
-    fv = B.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("face"), F.col("o_orderkey").alias("volume"))
+    fv = B.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("face"), F.col("o_orderkey").alias("volume"))
     return topology.orphan_faces(faces, fv)
 
 

@@ -40,10 +40,10 @@ def _measures(spark, sf_dir):
     q = m.groupBy("pid").agg(
         F.count("*").alias("n_triangles"), F.count_if(F.col("area") <= 0).alias("n_inverted"), F.count_if(F.col("shape") < 0.05).alias("n_degenerate"),
         F.min("shape").alias("min_shape"), F.min("min_angle").alias("min_angle"), F.max("max_angle").alias("max_angle"),
+        F.avg(mesh.in_band(mesh.size_ratio()).cast("int")).alias("size_in_band"),
     )
-    band = mesh.size_adequation(tri, ["pid"]).select("pid", F.col("frac_in_band").alias("size_in_band"))
     topo = topology.edge_topology(B.connectivity(spark, sf_dir), ["mesh_id"]).withColumn("pid", F.col("mesh_id").cast("int"))
-    return q.join(band, "pid").join(topo.select("pid", "n_nonmanifold_edges", "n_inconsistent_normals"), "pid", "left")
+    return q.join(topo.select("pid", "n_nonmanifold_edges", "n_inconsistent_normals"), "pid", "left")
 
 
 @query(f"{_MEASURES} select pid, code, count from fail")
@@ -64,8 +64,7 @@ def objectives(spark, sf_dir):
         coalesce(n_failures, 0) as n_failures, w.n as worst from q left join s using (pid) left join n using (pid)"""
 )
 def verdict_score(spark, sf_dir):
-    m = _measures(spark, sf_dir)
-    return rounded(verdict.verdicts(m, verdict.failures(m, ["pid"]), verdict.objectives(m, ["pid"]), ["pid"]))
+    return rounded(verdict.scored(_measures(spark, sf_dir), ["pid"]).drop("codes"))
 
 
 _FACES = "f as (select p_partkey as pid, p_brand as model, p_retailprice as area, p_size / 10.0::double as curvature_max, case when p_size % 3 = 0 then null else p_size / 5.0::double end as thickness from part)"
@@ -108,12 +107,16 @@ def budget_refusal(spark, sf_dir):
 
 
 @query(
-    """select * from (values ('~', 'base', '', 'h', 1.5::double, 2.0::double), ('~', 'clamp', '', 'h_max', 1.2, 4.0), ('-', 'feature', '11,7', 'h', 0.2, null),
-    ('+', 'feature', '3', 'h', null, 0.4), ('-', 'gradation', '', 'max_growth', 1.4, null)) t(op, kind, scope, param, old, new)"""
+    """with o as (select p_brand as kind, p_type as scope, max_by(p_size, p_partkey) as h, max_by(p_retailprice, p_partkey) as w from part where p_partkey % 5 > 0 group by all),
+    n as (select p_brand as kind, p_type as scope, max_by(p_size + p_partkey % 2, p_partkey) as h, max_by(p_retailprice, p_partkey) as w from part where p_partkey % 7 > 0 group by all),
+    a as (select kind, scope, unnest(['h', 'w']) as param, unnest([h::double, w::double]) as old from o), b as (select kind, scope, unnest(['h', 'w']) as param, unnest([h::double, w::double]) as new from n)
+    select case when old is null then '+' when new is null then '-' else '~' end as op, kind, scope, param, old, new from a full join b using (kind, scope, param) where old is distinct from new"""
 )
 def spec_diff(spark, sf_dir):
-    new = [sizefield.base(2.0), sizefield.curvature(0.05, 15.0, 12.0), sizefield.thickness(3), sizefield.feature(0.4, ["3"]), sizefield.clamp(0.15, 4.0)]
-    return sizefield.diff(sizefield.frame(spark, _RULES), sizefield.frame(spark, new))
+    p = B.table(spark, sf_dir, "part")
+    old = p.where("p_partkey % 5 > 0").selectExpr("p_partkey as ord", "p_brand as kind", "array(p_type) as scope", "map('h', cast(p_size as double), 'w', p_retailprice) as params")
+    new = p.where("p_partkey % 7 > 0").selectExpr("p_partkey as ord", "p_brand as kind", "array(p_type) as scope", "map('h', cast(p_size + p_partkey % 2 as double), 'w', p_retailprice) as params")
+    return sizefield.diff(old, new)
 
 
 @query()

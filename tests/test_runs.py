@@ -178,6 +178,30 @@ def test_loop_outcomes():
     assert empty.iterations[0].codes == ("mesh.empty",) and empty.outcome == "escalated"
 
 
+class Bound(Scripted):
+    """A backend with contracts: the first two meshes violate one."""
+
+    rebuilt = 0
+
+    def rebuild_contracts(self):
+        self.rebuilt += 1
+
+    def violations(self, mesh):
+        return {"contract.interface_not_conformal": {"pids": ["a"]}} if self.rebuilt < 2 else {}
+
+
+def test_contracts_fail_a_mesh():
+    """A violation is a hard failure, whatever the score; contracts are made anew after the geometry changed."""
+    backend = Bound([good(1.0, True), good(1.0, True)])
+    r = loop.run(backend, "p", strategy=policy.Strategy(imprint=False))
+    assert r.outcome == "accepted" and len(r.iterations) == 2 and backend.rebuilt == 2
+    first = r.iterations[0]
+    assert first.codes == ("contract.interface_not_conformal",) and first.score == 0 and not first.ready and first.action.kind == "reimprint"
+    assert r.elapsed >= sum(i.seconds for i in r.iterations) >= 0
+    changed = loop.run(Scripted([good(0.2), good(0.4), good(0.6)]), "p", max_iterations=3)
+    assert changed.iterations[0].changes == () and changed.iterations[1].changes == ("~ gradation max_growth: 1.4 to 1.24",)
+
+
 def test_best_is_not_last():
     r = loop.Run()
     for k, (s, ready) in enumerate([(0.6, False), (0.99, False), (0.8, True), (0.3, False)]):
