@@ -10,6 +10,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+#: The vocabulary that op1 counts with where spark.facetwise.vocabulary is not set.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The key of pseudonyms where spark.facetwise.pii.key is not set: for tests and demonstrations only.
 DEMONSTRATION_KEY = "facetwise"
 
@@ -69,7 +71,8 @@ from doc left join word using (doc_id) left join own using (doc_id)
 
 @_query
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.suffix_sums(tokens.histogram(_table(spark, sf_dir, "documents"), spark))
+    path = spark.conf.get("spark.facetwise.vocabulary", VOCABULARY)
+    return tokens.suffix_sums(tokens.histogram(_table(spark, sf_dir, "documents"), spark, path=path))
 
 
 @_query

@@ -16,9 +16,10 @@ questions. Candidates are verified on all bits. Two schemes:
 Groups of near copies would give all their pairs. So SIMILAR first compares the residents of each key with the least of
 them only, which is linear, and joins what links; pairs are then asked for only between what is not joined yet.
 
-A table key with over KEY_CAP fingerprints, and the keys that they ask in, is not joined: those who live there and
-those who ask are cut into blocks of about BLOCK, each pair of blocks is one group, and a group returns a spanning set
-of links instead of all pairs.
+A table key with many more fingerprints than chance gives (over KEY_CAP and four times the mean), and the keys that
+they ask in, is not joined: those who live there and those who ask are cut into blocks of about BLOCK, each pair of
+blocks is one group, and a group returns a spanning set of links instead of pairs. Keys whose entries are all joined
+already are left out.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ class Scheme:
 
 EXACT = Scheme(1, ((0, 0, 21), (0, 21, 21), (0, 42, 22)), 4, 4, 4, False)
 SIMILAR = Scheme(7, tuple((w, 20 * k, 20) for w in range(7) for k in range(3)), 80, 20, 5, True)
-KEY_CAP = 64
+KEY_CAP = 8
 BLOCK = 2048
 #: Hot keys are broadcast up to so many (16 bytes each); beyond, they are joined by shuffle.
 HOT_BROADCAST = 500_000
@@ -178,7 +179,8 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
     home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", "g", c)
     ask = entries.select(F.explode(F.expr(_keys(scheme, True))).alias("k"), "v", "g", c)
     counts = home.groupBy("k").agg(F.count("*").alias("n"))
-    full = scratch.cut(counts.where(F.col("n") > KEY_CAP).select("k"))
+    cap = max(KEY_CAP, 4 * entries.count() >> min(w for _, _, w in scheme.segments))
+    full = scratch.cut(counts.where(F.col("n") > cap).select("k"))
     widest = max(w for _, _, w in scheme.segments)
     asked = full.select(F.explode(F.expr(_ball("k", widest))).alias("k")).distinct()
     hot = scratch.cut(counts.join(asked, "k", "left_semi").select("k"))  # only keys where someone lives
@@ -193,25 +195,48 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
         pairs = cold.select(F.col("v").alias("a"), F.col("v2").alias("b"), "g", "g2").distinct()
         cold = _verified(pairs, entries, scheme)
     cold = cold.select(F.col("g").alias("a"), F.col("g2").alias("b"))
-    crowd = ask.select("k", "v", F.lit(True).alias("asks")).unionAll(home.select("k", "v", F.lit(False).alias("asks"))).join(keys, "k", "left_semi")
+    crowd = ask.select("k", "v", "g", F.lit(True).alias("asks")).unionAll(home.select("k", "v", "g", F.lit(False).alias("asks"))).join(keys, "k", "left_semi")
     crowd = scratch.cut(crowd)
     blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.count_if(who) / F.lit(BLOCK))).cast("int")
-    sizes = crowd.groupBy("k").agg(blocks(~F.col("asks")).alias("nh"), blocks(F.col("asks")).alias("na"))
-    dealt = crowd.join(F.broadcast(sizes) if few else sizes, "k")
+    sizes = crowd.groupBy("k").agg(blocks(~F.col("asks")).alias("nh"), blocks(F.col("asks")).alias("na"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1")
+    sizes = sizes.drop("g0", "g1")
+    dealt = crowd.drop("g").join(F.broadcast(sizes) if few else sizes, "k")
     part = "cast(pmod(xxhash64(v), {}) as int)"
     dealt = dealt.select("k", "v", F.expr(f"if(asks, sequence(0, nh - 1), array({part.format('nh')}))").alias("i"), F.expr(f"if(asks, array({part.format('na')}), sequence(0, na - 1))").alias("j"))
     dealt = dealt.join(entries, "v").select("k", "v", "g", "fp", F.explode("i").alias("i"), "j").select("k", "v", "g", "fp", "i", F.explode("j").alias("j"))
 
-    def span(t: pa.Table) -> pa.Table:
-        v, at = np.unique(t.column("v").to_numpy(), return_index=True)
-        f = t.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, scheme.words)[at]
-        g = t.column("g").to_numpy()[at]
-        a, b = g, g[_labels(f, scheme.radius)]
-        pairs = np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+    def span(v: np.ndarray, g: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """Spanning links of one group: two rows, a and b."""
+        _, at = np.unique(v, return_index=True)
+        a = g[at]
+        if (a == a[0]).all():
+            return np.zeros((2, 0), np.int64)
+        b = a[_labels(f[at], scheme.radius)]
+        return np.unique(np.stack([a[a != b], b[a != b]]), axis=1)
 
-    warm = dealt.groupBy("k", "i", "j").applyInArrow(span, "a long, b long")
-    return cold.unionAll(warm)
+    def run(batches):
+        """Rows sorted by group; a group may go over several batches."""
+        held = None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("k", "i", "j")])
+            rows = (key, batch.column(3).to_numpy(), batch.column(4).to_numpy(), batch.column(5).flatten().to_numpy().view(np.uint64).reshape(-1, scheme.words))
+            held = rows if held is None else tuple(np.concatenate([x, y], axis=-1 if n == 0 else 0) for n, (x, y) in enumerate(zip(held, rows, strict=True)))
+            cut = np.flatnonzero((held[0][:, 1:] != held[0][:, :-1]).any(0)) + 1
+            if len(cut):
+                yield from flush(held, np.concatenate([[0], cut]))
+                held = tuple(x[..., cut[-1] :] if n == 0 else x[cut[-1] :] for n, x in enumerate(held))
+        if held is not None and held[0].shape[1]:
+            yield from flush(held, np.array([0, held[0].shape[1]]))
+
+    def flush(held, cut):
+        _, v, g, f = held
+        found = [span(v[a:z], g[a:z], f[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        a, b = np.concatenate(found, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    group = ["k", "i", "j"]
+    dealt = dealt.select(*group, "v", "g", "fp").repartition(*group).sortWithinPartitions(*group)
+    return cold.unionAll(dealt.mapInArrow(run, "a long, b long"))
 
 
 def _joined(entries: DataFrame, scratch: Scratch, scheme: Scheme) -> DataFrame:

@@ -8,6 +8,7 @@ lengths, then over blocks), so no task sees more than BLOCK lengths or the list
 from __future__ import annotations
 
 import base64
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 
 from facetwise.llm.common import Scratch, Shared
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK = 256
 VOCABULARY_BYTES = 64_000_000
 
 
-def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
+def ranks(path: str) -> dict[bytes, int]:
+    """Tokens and their ranks from a vocabulary file on the driver: base64 and a number a line."""
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path}: give the path of a .tiktoken file (base64 and rank a line)")
     with open(path, "rb") as f:
         raw = f.read(VOCABULARY_BYTES + 1)
     if len(raw) > VOCABULARY_BYTES:
@@ -36,7 +39,7 @@ def encoding(vocabulary: dict[bytes, int]) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens={})
 
 
-def lengths(docs: DataFrame, spark: SparkSession, *, path: str = VOCABULARY) -> DataFrame:
+def lengths(docs: DataFrame, spark: SparkSession, *, path: str) -> DataFrame:
     """(doc_id, n_tokens) per row of docs. Null and empty texts have 0 tokens; special tokens in a text are plain text."""
     shared = Shared(spark, ranks(path))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -50,8 +53,12 @@ def lengths(docs: DataFrame, spark: SparkSession, *, path: str = VOCABULARY) ->
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long")
 
 
-def histogram(docs: DataFrame, spark: SparkSession, *, path: str = VOCABULARY) -> DataFrame:
-    """(n_tokens, n_docs): documents by encoded length; counted inside each partition before the shuffle."""
+def histogram(docs: DataFrame, spark: SparkSession, *, path: str) -> DataFrame:
+    """(n_tokens, n_docs): documents by encoded length; counted inside each partition before the shuffle.
+
+    Null and empty texts have length 0; texts of any length are encoded whole; repeated rows count each; no documents
+    give no rows; other columns are not read.
+    """
     shared = Shared(spark, ranks(path))
 
     def run(batches):
