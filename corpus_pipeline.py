@@ -14,22 +14,36 @@ from facetwise.scratch import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject.
+
+    Null and empty texts and texts without words stay; rows with equal texts are judged alike. No documents give none.
+    """
     return quality.keep(docs, quality.train(docs, spark)[1], spark)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, a similarity of 0.8 or more): the one with the least doc_id."""
+    """One document of each group of near copies (five-word shingles, a similarity of 0.8 or more): the one with the least doc_id.
+
+    All texts without words, null ones among them, are one group; a null doc_id stays only if its group has no other;
+    of several rows with the least doc_id the one with the least fingerprint stays, then the one with the least text. No
+    documents give none.
+    """
     return simhash.keep_one(docs, spark, simhash.SIMILAR)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule leaves."""
+    """Documents that the contamination rule leaves, row by row.
+
+    Null, empty and wordless texts stay; a benchmark without rows or words rejects nothing. No documents give none.
+    """
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data pseudonymised; n_chars, where there is such a column, follows changed texts."""
+    """Texts with personal data pseudonymised; n_chars, where there is such a column, follows the texts (not null ones).
+
+    Null, empty and clean texts stay as they are, in all rows. No documents give none.
+    """
     columns = docs.columns
     out = pii.pseudonymize(docs, key=pii_key(spark), found="pii_found" + "_" * sum(c.lower().startswith("pii_found") for c in columns))
     if "n_chars" in columns:
@@ -38,7 +52,10 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Equal weight for every source at the same total size, with mix_copy counting a document's copies."""
+    """Equal weight for every source at the same total size, with mix_copy counting a document's copies.
+
+    Null and the empty source are one source; rows with equal doc_id draw alike. No documents give none.
+    """
     return mixing.replicate(docs)
 
 
