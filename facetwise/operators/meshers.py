@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass
 from fractions import Fraction
 
 import pandas as pd
@@ -374,14 +375,69 @@ def constrained_delaunay(patch: Patch, loops: list[list[Pt]], h: float) -> tuple
     return points, keep
 
 
-def advancing_front(patch: Patch, loops: list[list[Pt]], h: float, *, in_space: bool = False) -> tuple[list[Pt], list[tuple[int, int, int]]]:
-    """Triangles grown from the boundary; a front that can't close with good shapes is closed with poorer ones."""
+class _Grid:
+    """Edges of the front by the cells that their boxes touch."""
+
+    def __init__(self, p: list[Pt], size: float):
+        self.p, self.size, self.cells = p, size, {}
+
+    def _box(self, x0: float, y0: float, x1: float, y1: float):
+        s = self.size
+        return ((i, j) for i in range(math.floor(x0 / s), math.floor(x1 / s) + 1) for j in range(math.floor(y0 / s), math.floor(y1 / s) + 1))
+
+    def _of(self, e: tuple[int, int]):
+        (ax, ay), (bx, by) = self.p[e[0]], self.p[e[1]]
+        return self._box(min(ax, bx), min(ay, by), max(ax, bx), max(ay, by))
+
+    def add(self, e: tuple[int, int]) -> None:
+        for c in self._of(e):
+            self.cells.setdefault(c, set()).add(e)
+
+    def remove(self, e: tuple[int, int]) -> None:
+        for c in self._of(e):
+            self.cells[c].discard(e)
+
+    def near(self, x0: float, y0: float, x1: float, y1: float) -> set[tuple[int, int]]:
+        """Edges whose boxes may touch a box."""
+        if (x1 - x0) * (y1 - y0) > self.size * self.size * 4 * len(self.cells):  # more cells than there are
+            return set().union(*self.cells.values())
+        out: set[tuple[int, int]] = set()
+        for c in self._box(x0, y0, x1, y1):
+            out |= self.cells.get(c, set())
+        return out
+
+
+@dataclass
+class FrontStats:
+    """What an advancing front did: triangles on new nodes and on nodes that were there, edges put back for want of an apex,
+    and edges left open."""
+
+    new_nodes: int = 0
+    reused_nodes: int = 0
+    stalls: int = 0
+    open_edges: int = 0
+
+    @property
+    def closed(self) -> bool:
+        return self.open_edges == 0
+
+
+def advancing_front(patch: Patch, loops: list[list[Pt]], h: float, *, in_space: bool = False) -> tuple[list[Pt], list[tuple[int, int, int]], FrontStats]:
+    """Nodes, triangles grown from the boundary, and what happened; a front that can't close with good shapes is closed with
+    poorer ones. Candidates are compared with the edges and nodes of the front near them only."""
     p, edges = _boundary(patch, loops, h)
-    p, boundary = list(p), (list(p), list(edges))
-    front, heap, out = set(edges), [], []
+    p, boundary, stats = list(p), (list(p), list(edges)), FrontStats()
+    front, heap, out, grid = set(edges), [], [], _Grid(p, 1.5 * h)
     push = lambda e: heapq.heappush(heap, (patch.length(p[e[0]], p[e[1]]), e))
     for e in edges:
         push(e)
+        grid.add(e)
+
+    def around(q: Pt, far: float) -> set[tuple[int, int]]:
+        """Edges of the front with a point within a distance (on the surface) of q, and maybe more."""
+        far *= 1.3  # chords are shorter than arcs
+        narrow = min(patch.stretch(q[1] + k * far) for k in (-1, 0, 1))
+        return grid.near(q[0] - far / narrow, q[1] - far, q[0] + far / narrow, q[1] + far)
 
     def quality(i: int, j: int, q: Pt) -> float:
         if orient(p[i], p[j], q) <= 0:
@@ -409,7 +465,8 @@ def advancing_front(patch: Patch, loops: list[list[Pt]], h: float, *, in_space:
         if quality(i, j, q) < floor:
             return False
         ends = {i, j, k}
-        for a, b in front:
+        xs, ys = (p[i][0], p[j][0], q[0]), (p[i][1], p[j][1], q[1])
+        for a, b in grid.near(min(xs), min(ys), max(xs), max(ys)):
             if (a, b) == (i, j):
                 continue
             for x in (i, j):
@@ -425,7 +482,8 @@ def advancing_front(patch: Patch, loops: list[list[Pt]], h: float, *, in_space:
                 if x not in ends and orient(p[i], p[j], p[x]) >= 0 and orient(p[j], q, p[x]) >= 0 and orient(q, p[i], p[x]) >= 0:
                     return False
         if k is None:
-            return _turns(q, *boundary) > 0 and all(patch.length(p[x], q) > 0.6 * h for e in front for x in e) and all(_gap(patch, q, p[a], p[b]) > 0.4 * h for a, b in front if (a, b) != (i, j))
+            close = around(q, 0.7 * h)
+            return _turns(q, *boundary) > 0 and all(patch.length(p[x], q) > 0.6 * h for e in close for x in e) and all(_gap(patch, q, p[a], p[b]) > 0.4 * h for a, b in close if (a, b) != (i, j))
         return True
 
     for floor, reach in ((0.3, 1.6), (0.05, 2.5), (1e-6, 6.0)):
@@ -435,34 +493,57 @@ def advancing_front(patch: Patch, loops: list[list[Pt]], h: float, *, in_space:
             if (i, j) not in front:
                 continue
             ideal = apex(i, j)
-            near = sorted((k for k in {x for e in front for x in e} - {i, j} if patch.length(p[k], ideal) < reach * h), key=lambda k: -quality(i, j, p[k]))
+            near = sorted((k for k in {x for e in around(ideal, reach * h) for x in e} - {i, j} if patch.length(p[k], ideal) < reach * h), key=lambda k: (-quality(i, j, p[k]), k))
             close = [k for k in near if patch.length(p[k], ideal) < 0.75 * h]
             k = next((k for k in close if fits(i, j, k, p[k], floor)), None)
             if k is None and fits(i, j, None, ideal, floor):
                 p.append(ideal)
                 k = len(p) - 1
+                stats.new_nodes += 1
+                stats.reused_nodes -= 1
             if k is None:
                 k = next((k for k in near if fits(i, j, k, p[k], floor)), None)
             if k is None:
                 stalled.append((size, (i, j)))
+                stats.stalls += 1
                 continue
+            stats.reused_nodes += 1
             out.append((i, j, k))
             front.discard((i, j))
+            grid.remove((i, j))
             for a, b in ((i, k), (k, j)):
                 if (b, a) in front:
                     front.discard((b, a))
+                    grid.remove((b, a))
                 else:
                     front.add((a, b))
+                    grid.add((a, b))
                     push((a, b))
             for s in stalled:
                 heapq.heappush(heap, s)
             stalled = []
         heap = stalled
-    return p, out
+    stats.open_edges = len(front)
+    return p, out, stats
+
+
+def _facing(patch: Patch, p: list[Pt], tri: list[tuple[int, int, int]]) -> bool:
+    """Whether all triangles face along the surface's normal."""
+    for t in tri:
+        a, b, c = (patch.space(p[k]) for k in t)
+        u, v = [y - x for x, y in zip(a, b, strict=True)], [y - x for x, y in zip(a, c, strict=True)]
+        n = patch.normal((sum(p[k][0] for k in t) / 3, sum(p[k][1] for k in t) / 3))
+        if n[0] * (u[1] * v[2] - u[2] * v[1]) + n[1] * (u[2] * v[0] - u[0] * v[2]) + n[2] * (u[0] * v[1] - u[1] * v[0]) <= 0:
+            return False
+    return True
 
 
 def mesh(faces: DataFrame, method: str) -> DataFrame:
-    """Triangles of every face of faces (FACE columns) by a method; a face that can't be meshed fails its task with the reason."""
+    """Triangles of every face of faces (FACE columns) by a method.
+
+    A face that can't be meshed fails its task with the reason: a boundary that crosses itself, a front that doesn't close,
+    triangles turned over.
+    """
     if method not in ("cdt", "front", "front3d"):
         raise ValueError(f"no mesher {method!r}")
 
@@ -474,9 +555,27 @@ def mesh(faces: DataFrame, method: str) -> DataFrame:
             if method == "cdt":
                 p, tri = constrained_delaunay(patch, loops, f["h"])
             else:
-                p, tri = advancing_front(patch, loops, f["h"], in_space=method == "front3d")
+                p, tri, stats = advancing_front(patch, loops, f["h"], in_space=method == "front3d")
+                if not stats.closed:
+                    raise ValueError(f"face {f['face']}: the front did not close, {stats.open_edges} edges are open")
+            if not _facing(patch, p, tri):
+                raise ValueError(f"face {f['face']}: triangles are turned over")
             x = [patch.space(q) for q in p]
             rows += [(f["face"], k, *t, *x[t[0]], *x[t[1]], *x[t[2]]) for k, t in enumerate(tri)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in TRIANGLE.split(", ")])
 
     return faces.groupBy("face").applyInPandas(run, TRIANGLE)
+
+
+def front_statistics(faces: DataFrame, method: str) -> DataFrame:
+    """(face, n_triangles, new_nodes, reused_nodes, stalls, open_edges, closed) of the advancing front on every face."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for f in pdf.to_dict("records"):
+            loops = [[(n["u"], n["v"]) for n in loop] for loop in f["loops"]]
+            _, tri, s = advancing_front(Patch(f["kind"], f["radius"], loops), loops, f["h"], in_space=method == "front3d")
+            rows.append((f["face"], len(tri), s.new_nodes, s.reused_nodes, s.stalls, s.open_edges, s.closed))
+        return pd.DataFrame(rows, columns=["face", "n_triangles", "new_nodes", "reused_nodes", "stalls", "open_edges", "closed"])
+
+    return faces.groupBy("face").applyInPandas(run, "face string, n_triangles long, new_nodes long, reused_nodes long, stalls long, open_edges long, closed boolean")
