@@ -519,14 +519,35 @@ def advancing_front(patch: Patch, loops: list[list[Pt]], h: float, *, in_space:
                     front.add((a, b))
                     grid.add((a, b))
                     push((a, b))
-            for s in stalled:
-                heapq.heappush(heap, s)
-            stalled = []
+            far = 1.3 * (reach + 2) * h  # an edge put back is tried again once the front has changed near it
+            again = [x for x in stalled if patch.length(p[x[1][0]], p[k]) < far]
+            stalled = [x for x in stalled if patch.length(p[x[1][0]], p[k]) >= far]
+            for x in again:
+                heapq.heappush(heap, x)
         heap = stalled
+    _split_flat(patch, p, out, front)
     stats.open_edges = len(front)
     return p, out, stats
 
 
+def _split_flat(patch: Patch, p: list[Pt], tri: list[tuple[int, int, int]], front: set[tuple[int, int]]) -> None:
+    """Close holes of three edges without area: the triangle behind the longest edge is cut at the node that lies on it."""
+    for a, b in list(front):
+        c = next((y for x, y in front if x == b and (y, a) in front), None)
+        if (a, b) not in front or c is None:
+            continue
+        x, y = max(((a, b), (b, c), (c, a)), key=lambda e: patch.length(p[e[0]], p[e[1]]))
+        middle = ({a, b, c} - {x, y}).pop()
+        for k, t in enumerate(tri):
+            turned = next((t[n:] + t[:n] for n in range(3) if (t[n], t[(n + 1) % 3]) == (y, x)), None)
+            if turned:
+                halves = [(y, middle, turned[2]), (middle, x, turned[2])]
+                if all(orient(*(p[i] for i in h)) > 0 for h in halves):
+                    tri[k : k + 1] = halves
+                    front -= {(a, b), (b, c), (c, a)}
+                break
+
+
 def _facing(patch: Patch, p: list[Pt], tri: list[tuple[int, int, int]]) -> bool:
     """Whether all triangles face along the surface's normal."""
     for t in tri:

@@ -140,3 +140,17 @@ def removal_lines(removals: DataFrame) -> DataFrame:
     """(pid, line): each removal in words."""
     c = G.circularity(F.col("area"), F.col("perimeter"))
     return removals.select("pid", F.format_string("%s: area %.3g, about %.0f to 1", F.col("pid").cast("string"), "area", F.least(G.aspect_from_circularity(c), F.lit(1e9))).alias("line"))
+
+
+def verdict_lines(scored: DataFrame, by: list[str]) -> DataFrame:
+    """(by, line): each verdict of verdict.scored in words: the state, the score, and what failed or is missed most."""
+    state = F.when(F.col("ready"), "READY").when(F.col("is_valid"), "valid").otherwise("INVALID")
+    why = F.when(~F.col("is_valid"), F.concat(F.lit(": "), F.array_join("codes", ", "))).when(F.col("worst").isNotNull(), F.concat(F.lit(": worst is "), "worst")).otherwise("")
+    return scored.select(*by, F.concat(F.format_string("%-7s score %.3f", state, "score"), why).alias("line"))
+
+
+def finding_lines(findings: DataFrame) -> DataFrame:
+    """(severity, code, line): findings counted by severity and code in words, with the least and the largest value measured."""
+    g = findings.groupBy("severity", "code").agg(F.count("*").alias("n"), F.min("measured").alias("low"), F.max("measured").alias("high"))
+    values = F.when(F.col("low").isNull(), "").otherwise(F.format_string(" (%.2f to %.2f)", "low", "high"))
+    return g.select("severity", "code", F.concat(F.format_string("%-5s %s: %d", "severity", "code", "n"), values).alias("line"))

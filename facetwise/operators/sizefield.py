@@ -152,10 +152,22 @@ def from_json(specs: DataFrame, by: list[str]) -> DataFrame:
 
 def size_at(points: DataFrame, sources: DataFrame, base_size: float) -> DataFrame:
     """points(mesh_id, point, x, y, z) with the ramped size: over sources (mesh_id, x, y, z, h, ramp) the least of
-    h + (base - h) clip(distance / ramp, 0, 1), and at most the base."""
-    s = sources.select("mesh_id", *(F.col(c).alias("s" + c) for c in "xyz"), "h", "ramp")
+    h + (base - h) clip(distance / ramp, 0, 1), and at most the base.
+
+    Beyond its ramp a source asks for the base, so only sources within the longest ramp matter: both sides are dealt into
+    cells of that size and a point asks the 27 cells around it, an equi-join. Sources of the base size or more, or without
+    a ramp, ask for nothing.
+    """
+    own = sources.where((F.col("ramp") > 0) & (F.col("h") < base_size))
+    longest = own.agg(F.max("ramp")).first()[0]
+    if longest is None:
+        return points.withColumn("size", F.lit(float(base_size)))
+    cell = lambda c: F.floor(F.col(c) / longest)
+    s = own.select("mesh_id", *(cell(c).alias("c" + c) for c in "xyz"), *(F.col(c).alias("s" + c) for c in "xyz"), "h", "ramp")
+    ask = points.select("mesh_id", "point", "x", "y", "z", *(cell(c).alias("c" + c) for c in "xyz"))
+    for c in "xyz":
+        ask = ask.withColumn("c" + c, F.explode(F.sequence(F.col("c" + c) - 1, F.col("c" + c) + 1)))
     d = G.norm(tuple(F.col(c) - F.col("s" + c) for c in "xyz"))
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), G.guarded(d, F.col("ramp"), 1.0)))
-    ramped = F.col("h") + (F.lit(base_size) - F.col("h")) * share
-    near = points.join(s, "mesh_id").groupBy("mesh_id", "point").agg(F.least(F.min(ramped), F.lit(base_size)).alias("size"))
-    return points.join(near, ["mesh_id", "point"], "left").withColumn("size", F.coalesce("size", F.lit(base_size)))
+    ramped = F.col("h") + (F.lit(base_size) - F.col("h")) * F.least(F.lit(1.0), d / F.col("ramp"))
+    near = ask.join(s, ["mesh_id", "cx", "cy", "cz"]).groupBy("mesh_id", "point").agg(F.min(ramped).alias("near"))
+    return points.join(near, ["mesh_id", "point"], "left").withColumn("size", F.coalesce(F.least("near", F.lit(float(base_size))), F.lit(float(base_size)))).drop("near")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
-from facetwise.operators import audit, entities, fidelity, mesh, meshers, records, sizefield, verdict
+from facetwise.operators import audit, entities, fidelity, mesh, meshers, records, reports, sizefield, verdict
 from facetwise.plans import bindings as B
 from facetwise.plans.registry import query, rounded
 from facetwise.plans.run_queries import _CONTRACT
@@ -76,6 +76,20 @@ def contract_gate(spark, sf_dir):
     return rounded(out.select("mesh", "is_valid", "ready", "score", F.array_join("codes", ",").alias("codes"), "worst"))
 
 
+@query(
+    f"""with {_GOALS}, s as (select mesh, bool_and(satisfied) as met, sum(attainment * weight) / sum(weight) as raw, min(struct_pack(a := attainment, o := ord, n := name)) filter (not satisfied) as w from obj group by mesh)
+    select mesh, printf('%-7s score %.3f', case when met then 'READY' else 'valid' end, raw) || case when w is not null then ': worst is ' || w.n else '' end as line from s where mesh not in (select mesh from (select mesh, abs(raw * 1000 - floor(raw * 1000) - 0.5) < 1e-6 as tie from s) where tie)"""
+)
+def verdict_lines(spark, sf_dir):
+    scored = verdict.scored(_goals(spark, sf_dir), ["mesh"]).where("abs(score * 1000 - floor(score * 1000) - 0.5) >= 1e-6")  # a half rounds either way
+    return reports.verdict_lines(scored, ["mesh"])
+
+
+@query("select case when p_size % 10 > 7 then 'WARN' else 'INFO' end as severity, p_brand as code, printf('%-5s %s: %d (%.2f to %.2f)', case when p_size % 10 > 7 then 'WARN' else 'INFO' end, p_brand, count(*), min(p_size), max(p_size)) as line from (select * replace (p_size::double as p_size) from part) group by p_size % 10 > 7, p_brand")
+def finding_lines(spark, sf_dir):
+    return reports.finding_lines(B.table(spark, sf_dir, "part").selectExpr("if(p_size % 10 > 7, 'WARN', 'INFO') as severity", "p_brand as code", "cast(p_size as double) as measured"))
+
+
 @query(
     f"""with {_CONTRACT}, gone as (select distinct s_nationkey as model, s_suppkey as pid from supplier where s_acctbal < 0)
     select model, 'contract.missing_face' as code, count(*) as count from gone group by model union all select model, 'contract.unexpected_boundary', 1 from con where nv >= 1 and len > 0"""
@@ -403,3 +417,8 @@ def plane_predicates(spark, sf_dir):
 def format_check(spark, sf_dir):
     path = F.expr("concat('x/', c_name, array('.STEP', '.stl', '.sldprt', '.txt', '.iges')[cast(c_custkey % 5 as int)])")
     return B.table(spark, sf_dir, "customer").select("c_custkey", format_verdict(path).alias("verdict"))
+
+
+@query()
+def front_statistics(spark, sf_dir):
+    return meshers.front_statistics(meshers.cases(spark), "front")

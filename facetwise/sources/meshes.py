@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,11 +74,11 @@ def read_msh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def export(run_row: dict, triangles: DataFrame, vertices: DataFrame, corners: DataFrame, folder: str, stem: str) -> list[str]:
-    """Mesh, facets, manifest and record of a run under one folder; returns their paths."""
+    """Mesh, facets, manifest and record of a run under one folder; returns their paths. The record keeps its nested values."""
     spark = triangles.sparkSession
     paths = [f"{folder}/{stem}{end}" for end in (".msh", ".stl", ".manifest.json", ".run.json")]
     tags = write_msh(triangles, vertices, paths[0], stem)
     write_stl(corners, paths[1], stem)
     spark.createDataFrame([(stem, {str(k): v for k, v in tags.items()})], "name string, groups map<string,string>").coalesce(1).write.mode("overwrite").json(paths[2])
-    spark.createDataFrame([(str(k), str(v)) for k, v in run_row.items()], "key string, value string").coalesce(1).write.mode("overwrite").json(paths[3])
+    spark.createDataFrame([(json.dumps(run_row, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(paths[3])
     return paths

@@ -271,3 +271,41 @@ def test_rays_by_grid_and_by_brute_force(spark):
                         want[m, k] = min(dist, want.get((m, k), math.inf))
     got = {(x["mesh_id"], x["ray"]): x["distance"] for x in fidelity.ray_hits(t, r, own="own").collect()}
     assert len(want) > 40 and got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("h", [0.09, 0.035])
+def test_front_of_many_triangles_closes(h):
+    """Every edge inside has two triangles, the boundary one; a node on an edge cuts the triangle behind it."""
+    loops = [[(0, 0), (1, 0), (1, 1), (0, 1)]]
+    patch = meshers.Patch("plane", 0.0, loops)
+    p, tri, stats = meshers.advancing_front(patch, loops, h)
+    edges = [e for t in tri for e in zip(t, (*t[1:], t[0]), strict=True)]
+    rim = [e for e in edges if e[::-1] not in set(edges)]
+    assert stats.closed and stats.new_nodes + stats.reused_nodes <= len(tri) and len(set(edges)) == len(edges)
+    assert sum(math.dist(p[a], p[b]) for a, b in rim) == pytest.approx(4) and meshers._facing(patch, p, tri)
+    assert sum(meshers.orient(*(p[k] for k in t)) for t in tri) == len(tri) and len(tri) > 1 / (h * h * 0.433) * 0.8
+
+
+def test_front_that_cannot_close(spark):
+    bow = spark.createDataFrame([("bow", "plane", 0.0, 0.2, 1.0, [[(0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0)]])], meshers.FACE)
+    assert not meshers.front_statistics(bow, "front").first()["closed"]
+    with pytest.raises(Exception, match="did not close"):
+        meshers.mesh(bow, "front").collect()
+
+
+def test_ramped_sizes_by_brute_force(spark):
+    import random
+
+    from facetwise.operators import sizefield
+
+    rng = random.Random(2)
+    pts = [("m" if k % 4 else "n", k, *(rng.uniform(-3, 3) for _ in range(3))) for k in range(200)]
+    src = [("m", *(rng.uniform(-3, 3) for _ in range(3)), rng.uniform(0.1, 2.5), rng.choice([0.0, 0.5, 1.5])) for _ in range(30)]
+    p = spark.createDataFrame(pts, "mesh_id string, point long, x double, y double, z double")
+    s = spark.createDataFrame(src, "mesh_id string, x double, y double, z double, h double, ramp double")
+    want = {}
+    for m, k, *x in pts:
+        own = [h + (2 - h) * (min(1.0, math.dist(x, y) / ramp) if ramp > 0 else 1.0) for n, *y, h, ramp in src if n == m]
+        want[k] = min([2.0, *own])
+    assert {r["point"]: r["size"] for r in sizefield.size_at(p, s, 2.0).collect()} == pytest.approx(want)
+    assert sizefield.size_at(p, s.limit(0), 2.0).where("size <> 2").count() == 0

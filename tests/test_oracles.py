@@ -45,3 +45,15 @@ def test_query(spark, duck, name):
     names = [c[0] for c in res.description]
     assert sorted(df.columns) == sorted(names)
     assert rows_of(df.columns, rows) == rows_of(names, res.fetchall())
+
+
+def test_entry_without_the_training_data_operators(monkeypatch):
+    """The other queries are there if the subpackage, or the pipeline, can't be imported."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    whole = set(entry.queries())
+    monkeypatch.setitem(sys.modules, "facetwise.llm", None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert set(entry.queries()) == set(catalogue.QUERIES) <= whole and set(entry.oracle_sql()) == set(catalogue.ORACLES)
