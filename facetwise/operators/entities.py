@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
+from facetwise.operators.ranks import if_small
 from facetwise.scratch import Scratch
 
 DIGITS, TOLERANCE = 4, 0.02
@@ -80,11 +81,24 @@ def coincident_pairs(old: DataFrame, new: DataFrame, by: list[str], tol: Column,
     return o.join(n, on).where(same)
 
 
+#: Slabs along x that boxes of a model are dealt into.
+SLABS = 64
+
+
 def tightest_parent(old: DataFrame, new: DataFrame, by: list[str], tol: Column) -> DataFrame:
-    """(by, n_tag, o_pid): for each new box the old box of least mass that contains it."""
+    """(by, n_tag, o_pid): for each new box the old box of least mass that contains it.
+
+    A box around another one has its middle within tol, so old boxes are dealt into all slabs of x that they touch and new
+    ones ask in the slab of their middle: an equi-join. tol must not depend on either side's columns.
+    """
     o = old.select(*by, *(F.col(c).alias("o_" + c) for c in old.columns if c not in by))
     n = new.select(*by, *(F.col(c).alias("n_" + c) for c in new.columns if c not in by))
-    inside = n.join(o, by).where(contains("o_", "n_", tol))
+    span = old.groupBy(*by).agg(F.min("xlo").alias("x0"), F.greatest((F.max("xhi") - F.min("xlo")) / SLABS, F.lit(1e-12)).alias("width"))
+    span = if_small(span)
+    slab = lambda x: F.least(F.greatest(F.floor((x - F.col("x0")) / F.col("width")), F.lit(0)), F.lit(SLABS)).cast("int")
+    o = o.join(span, by).withColumn("slab", F.explode(F.sequence(slab(F.col("o_xlo") - tol), slab(F.col("o_xhi") + tol)))).drop("x0", "width")
+    n = n.join(span, by).withColumn("slab", slab((F.col("n_xlo") + F.col("n_xhi")) / 2)).drop("x0", "width")
+    inside = n.join(o, [*by, "slab"]).where(contains("o_", "n_", tol))
     return inside.groupBy(*by, "n_tag").agg(F.min(F.struct("o_mass", "o_pid"))["o_pid"].alias("o_pid"))
 
 

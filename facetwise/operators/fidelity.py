@@ -103,6 +103,12 @@ def _grids(tri: DataFrame) -> DataFrame:
     return box.select("mesh_id", "gx", "gy", "gz", *(size[x].alias("s" + x) for x in "xyz"), *(F.floor(F.col("w" + x) / size[x]).cast("int").alias("n" + x) for x in "xyz"))
 
 
+def cost(tri: DataFrame, by: list[str], samples=SAMPLES) -> DataFrame:
+    """(by, n_triangles, projections, normals): how often the surface is evaluated for deviations and for angles."""
+    n = F.count("*")
+    return tri.groupBy(*by).agg(n.alias("n_triangles"), (n * len(samples)).alias("projections"), n.alias("normals"))
+
+
 def with_deviations(tri: DataFrame, faces: DataFrame) -> DataFrame:
     """tri with deviation and angle from the surface of its own face: faces(pid, kind, radius, and mesh_id where pids repeat).
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetwise.operators.ranks import numbered
 
 
 def _order(lower: int | None = None, upper: int = 0):
@@ -64,11 +65,15 @@ def last_iterations(it: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, column: str, by: list[str] | None = None, name: str = "median") -> DataFrame:
-    """The element at n // 2 of the sorted values: not an interpolation. Ranked in a window per group, never collected."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(column)
-    n = Window.partitionBy(*(by or [F.lit(0)]))
+    """The element at n // 2 of the sorted values: not an interpolation. Ranked in a window per group, over whole tables by
+    range partitions; never collected."""
+    if not by:
+        ranked = numbered(df.where(F.col(column).isNotNull()).select(column), [column], "r")
+        return ranked.where(F.col("r") == ranked.count() // 2 + 1).select(F.col(column).alias(name))
+    w = Window.partitionBy(*by).orderBy(column)
+    n = Window.partitionBy(*by)
     own = df.where(F.col(column).isNotNull()).withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(n))
-    return own.where("r = floor(n / 2) + 1").select(*(by or []), F.col(column).alias(name))
+    return own.where("r = floor(n / 2) + 1").select(*by, F.col(column).alias(name))
 
 
 def dedup(records: DataFrame) -> DataFrame:

@@ -155,6 +155,16 @@ def size_by_function(spark, sf_dir):
     return rounded(mesh.size_adequation(tri, ["pid"]).select("pid", "n_triangles", "ratio_min", "ratio_max", "frac_in_band"))
 
 
+@query("select label as pid, count(*) as n_triangles, 7 * count(*) as projections, count(*) as normals from embeddings group by label")
+def surface_cost(spark, sf_dir):
+    return fidelity.cost(B.soup(spark, sf_dir), ["pid"])
+
+
+@query("select list_sort(list(value))[count(*) // 2 + 1] as median from events")
+def whole_upper_median(spark, sf_dir):
+    return records.upper_median(B.table(spark, sf_dir, "events"), "value")
+
+
 @query("select distinct label as pid from embeddings where label is not null")
 def mesh_pids(spark, sf_dir):
     return mesh.pids(B.soup(spark, sf_dir))
