@@ -16,28 +16,31 @@ from facetwise.scratch import Scratch
 HEAVY, HEAVY_LEAST = 50_000, 64
 
 
-def to_own(rows: DataFrame, own: DataFrame, key: str, total: int) -> DataFrame:
+def to_own(rows: DataFrame, own: DataFrame, key: str, total: int, scratch: Scratch) -> DataFrame:
     """rows joined with own on key; own has one row a key with `rows_of`, the number of rows that have it.
 
-    total bounds the sum of rows_of. Keys with over total / HEAVY rows (HEAVY_LEAST at least) are broadcast: fewer than
-    HEAVY of them. The rows of all other keys are shuffled.
+    total bounds the sum of rows_of. Keys with over total / HEAVY rows (HEAVY_LEAST at least) are broadcast if there are
+    any: fewer than HEAVY of them. The rows of all other keys are shuffled, at every size.
     """
     cap = max(HEAVY_LEAST, total // HEAVY)
-    heavy = F.broadcast(own.where(F.col("rows_of") > cap).drop("rows_of"))
+    own = scratch.cut(own)
+    heavy = own.where(F.col("rows_of") > cap).drop("rows_of")
+    if heavy.isEmpty():
+        return rows.join(own.drop("rows_of").hint("merge"), key)
+    heavy = F.broadcast(heavy)
     light = rows.join(heavy.select(key), key, "left_anti").join(own.where(F.col("rows_of") <= cap).drop("rows_of").hint("merge"), key)
     return rows.join(heavy, key).unionByName(light)
 
 
-def _star(edges: DataFrame, n: int, small: bool) -> DataFrame:
+def _star(edges: DataFrame, n: int, small: bool, scratch: Scratch) -> DataFrame:
     """n edges(a, b) with a > b. Re-hang the larger (or smaller) neighbours of each vertex on its least neighbour."""
     out = edges.select(F.col("a").alias("v"), F.col("b").alias("u"))
     if not small:
         out = out.unionAll(edges.select("b", "a"))
     least = out.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("rows_of")).withColumn("m", F.least("v", "m"))
-    moved = to_own(out, least, "v", 2 * n)
+    moved = to_own(out, least, "v", 2 * n, scratch)
     if small:
-        hung = moved.select(F.col("u").alias("a"), F.col("m").alias("b")).where("a <> b")
-        hung = hung.unionAll(least.select(F.col("v").alias("a"), F.col("m").alias("b")))
+        hung = moved.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
     else:
         hung = moved.where("u > v").select(F.col("u").alias("a"), F.col("m").alias("b"))
     return hung.where("a <> b").distinct()
@@ -59,8 +62,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
         if sign["n"] == 0 or sign == before:
             break
         before = sign
-        half = scratch.cut(_star(cur, sign["n"], small=False))
-        nxt = scratch.cut(_star(half, sign["n"], small=True))
+        half = scratch.cut(_star(cur, sign["n"], False, scratch))
+        nxt = scratch.cut(_star(half, sign["n"], True, scratch))
         scratch.drop(half)
         scratch.drop(cur)
         cur = nxt

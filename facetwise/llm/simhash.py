@@ -161,11 +161,11 @@ def _verified(pairs: DataFrame, entries: DataFrame, scheme: Scheme) -> DataFrame
     return pairs.where(far <= scheme.radius).drop("fa", "fb")
 
 
-def _pivot_links(entries: DataFrame, scheme: Scheme) -> DataFrame:
+def _pivot_links(entries: DataFrame, scratch: Scratch, scheme: Scheme) -> DataFrame:
     """(a, b): links between the residents of every key and the least of them."""
     home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", F.col("fp")[0].alias("c"))
     least = home.groupBy("k").agg(F.min(F.struct("v", "c")).alias("p"), F.count("*").alias("rows_of")).where("rows_of > 1")
-    met = to_own(home, least, "k", entries.count() * len(scheme.segments))
+    met = to_own(home, least, "k", entries.count() * len(scheme.segments), scratch)
     screen = F.bit_count(F.col("c").bitwiseXOR(F.col("p.c"))) <= scheme.screen
     return _verified(met.where((F.col("v") != F.col("p.v")) & screen).select(F.col("v").alias("a"), F.col("p.v").alias("b")).distinct(), entries, scheme)
 
@@ -183,9 +183,9 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
     full = scratch.cut(counts.where(F.col("n") > cap).select("k"))
     widest = max(w for _, _, w in scheme.segments)
     asked = full.select(F.explode(F.expr(_ball("k", widest))).alias("k")).distinct()
-    hot = scratch.cut(counts.join(asked, "k", "left_semi").select("k"))  # only keys where someone lives
+    hot = scratch.cut(counts.join(asked.hint("merge"), "k", "left_semi").select("k"))  # only keys where someone lives
     few = hot.count() <= HOT_BROADCAST
-    keys = F.broadcast(hot) if few else hot
+    keys = F.broadcast(hot) if few else hot.hint("merge")
     near = F.bit_count(F.col("c").bitwiseXOR(F.col("c2"))) <= scheme.screen
     lives = home.join(keys, "k", "left_anti").select("k", *(F.col(x).alias(x + "2") for x in "vgc"))
     cold = ask.join(keys, "k", "left_anti").join(lives.hint("merge"), "k").where((F.col("g") != F.col("g2")) & near)
@@ -200,10 +200,10 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
     blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.count_if(who) / F.lit(BLOCK))).cast("int")
     sizes = crowd.groupBy("k").agg(blocks(~F.col("asks")).alias("nh"), blocks(F.col("asks")).alias("na"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1")
     sizes = sizes.drop("g0", "g1")
-    dealt = crowd.drop("g").join(F.broadcast(sizes) if few else sizes, "k")
+    dealt = crowd.drop("g").join(F.broadcast(sizes) if few else sizes.hint("merge"), "k")
     part = "cast(pmod(xxhash64(v), {}) as int)"
     dealt = dealt.select("k", "v", F.expr(f"if(asks, sequence(0, nh - 1), array({part.format('nh')}))").alias("i"), F.expr(f"if(asks, array({part.format('na')}), sequence(0, na - 1))").alias("j"))
-    dealt = dealt.join(entries, "v").select("k", "v", "g", "fp", F.explode("i").alias("i"), "j").select("k", "v", "g", "fp", "i", F.explode("j").alias("j"))
+    dealt = dealt.join(entries.hint("merge"), "v").select("k", "v", "g", "fp", F.explode("i").alias("i"), "j").select("k", "v", "g", "fp", "i", F.explode("j").alias("j"))
 
     def span(v: np.ndarray, g: np.ndarray, f: np.ndarray) -> np.ndarray:
         """Spanning links of one group: two rows, a and b."""
@@ -243,8 +243,8 @@ def _joined(entries: DataFrame, scratch: Scratch, scheme: Scheme) -> DataFrame:
     """entries(v, fp) as (v, g, fp): g is the same for all that is joined by links to the least residents of keys."""
     if scheme.words == 1:
         return entries.select("v", F.col("v").alias("g"), "fp")
-    first = components(scratch.cut(_pivot_links(entries, scheme)), scratch)
-    return scratch.cut(entries.join(first, entries["v"] == first["node"], "left").select("v", F.coalesce("root", "v").alias("g"), "fp"))
+    first = components(_pivot_links(entries, scratch, scheme), scratch)
+    return scratch.cut(entries.join(first.hint("merge"), entries["v"] == first["node"], "left").select("v", F.coalesce("root", "v").alias("g"), "fp"))
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession, scheme: Scheme = EXACT, *, scratch: Scratch | None = None) -> DataFrame:
@@ -262,10 +262,10 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, scheme: Scheme = EXACT
     n = least.count()
     entries = _joined(least.select("v", "fp"), scratch, scheme)
     comp = components(links(entries, scratch, scheme), scratch)
-    rooted = entries.join(comp, entries["g"] == comp["node"], "left").select("v", F.coalesce("root", "g").alias("root"))
-    rooted = scratch.cut(least.join(rooted, "v").select("fp", "least", "root"))
+    rooted = entries.join(comp.hint("merge"), entries["g"] == comp["node"], "left").select("v", F.coalesce("root", "g").alias("root"))
+    rooted = scratch.cut(least.join(rooted.hint("merge"), "v").select("fp", "least", "root"))
     low = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows_of"))
-    of = to_own(rooted, low, "root", n).select("fp", "component_id", "root")
+    of = to_own(rooted, low, "root", n, scratch).select("fp", "component_id", "root")
     return prints.join(of.hint("merge"), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id", "root")
 
 
@@ -280,7 +280,7 @@ def keep_one(docs: DataFrame, spark: SparkSession, scheme: Scheme = SIMILAR, *,
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("w")
     winner = found.groupBy("root").agg(best).select(F.col("w.doc_id").alias("win"), F.col("w.fp").alias("win_fp"))
     rows = found.groupBy(F.col("doc_id").alias("own")).agg(F.count("*").alias("n_rows"))
-    winner = scratch.cut(winner.join(rows, F.col("win").eqNullSafe(F.col("own"))).drop("own"))
+    winner = scratch.cut(winner.join(rows.hint("merge"), F.col("win").eqNullSafe(F.col("own"))).drop("own"))
     # The winners grow with the documents: the join is the same at every size, and never a broadcast.
     single = winner.where("n_rows = 1").select("win").hint("merge")
     one = docs.join(single, docs["doc_id"].eqNullSafe(single["win"]), "left_semi")

@@ -713,7 +713,7 @@ def test_quality_by_brute_force(spark):
         out[0] = 1.0
         return out
 
-    x, y = np.array([plain_features(texts_[k], stats[k]) for k in judged]), np.array([q[k] for k in judged])
+    x, y = np.array([plain_features(texts_[k], stats[k]) for k in judged]).astype(np.float16).astype(float), np.array([q[k] for k in judged])
     w, v, rate = np.zeros(512), np.zeros(512), 4 / np.mean(np.sum(x**2, 1))
     for _ in range(300):
         near = w + 0.9 * v
@@ -950,7 +950,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         assert want[name](texts_(out)), name
         assert all(r[c] == c for r in out.collect() for c in ("fp", "root", "win", "row", "bad_id", "t", "id", "n", "u")), name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
-    nulls = spark.createDataFrame([(None,) * 6] * 3, docs.select("doc_id", "text", "lang", "source", "n_chars", "fp").schema)
+    nulls = spark.createDataFrame([(None,) * 6] * 3, SCHEMA.format("fp"))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, nulls, str(tmp_path)).count() == (1 if name == "simhash near-dedup" else 3) or name == "mixing to target weights", name
     docs.write.parquet(f"{tmp_path}/documents.parquet")
