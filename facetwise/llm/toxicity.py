@@ -193,30 +193,33 @@ class Channel:
                 a, b = k, a
         return start[a, b][1] + "".join(reversed(out))
 
-    def _words(self, token: str) -> list[str]:
+    def _words(self, token: str, watch: Watch | None = None) -> list[str]:
         """The words behind a token: whole, and by its parts if it is long; with masks dropped or filled, as is likelier, and all filled."""
         token = _LONG.sub(r"\1\1\1", token)
         whole = [token] if len(token) >= 3 else []
         if len(token) > LONG_TOKEN:
             whole += [p for p in _PART.split(token) if 3 <= len(p) < len(token) and (_HIDDEN.search(p) or _DOUBLE.search(p))]
+        if watch is not None:
+            whole = [p for p in whole if len(p) > PIECE or watch.may(p)]
         return [self.restore(p) for p in whole] + [self.restore(p, True) for p in whole if not _MASKS.isdisjoint(p)]
 
-    def restored(self, text: str) -> set[bytes]:
+    def restored(self, text: str, watch: Watch | None = None) -> set[bytes]:
         """Words behind the suspicious tokens of a lower-case text: a letter doubled, or a character that may be another.
 
         Numbers, that is tokens of digits and marks that stand for nothing, are what they are. Characters set apart are
-        one word where their separators are all alike; they are also decoded with word ends at any separator.
+        one word where their separators are all alike; they are also decoded with word ends at any separator. With a
+        watch, only tokens are decoded that can stand for one of its words.
         """
         out: set[str] = set()
         for token in set(text.split()):
             token = token.strip(_OUTER)
             if _HIDDEN.search(token):
                 if any(c.isalpha() or c in STANDS_FOR and not c.isdigit() for c in token):
-                    out.update(self._words(token))
+                    out.update(self._words(token, watch))
             elif _DOUBLE.search(token):
                 for part in re.split(r"[^\w]+", token):
                     if _DOUBLE.search(part):
-                        out.update(self._words(part))
+                        out.update(self._words(part, watch))
         for m in _EVEN.finditer(text):
             out.add(self.restore(m.group()))
         for m in _SPACED.finditer(text):
@@ -226,11 +229,60 @@ class Channel:
         return {w.encode() for w in out if w}
 
 
-def signs(text: str, channel: Channel) -> set[bytes]:
-    """Words of a text, as written and restored, and the beginnings of longer ones (marked by a final `~`)."""
+class Watch:
+    """Whether a token can stand for any of a set of signs: all positions in all signs as the bits of one number.
+
+    It follows every path of the token's lattice at once, so what it turns down can't be restored to a sign.
+    """
+
+    def __init__(self, signs_: set[bytes]):
+        self.start = self.whole = self.begun = 0
+        self.at: dict[str, int] = {}
+        self.take: dict[str, int] = {}
+        bit = 0
+        for sign in sorted(signs_):
+            word, prefix = (sign[:-1], True) if sign.endswith(b"~") else (sign, False)
+            if not word or any(not (97 <= c <= 122 or c == 63) for c in word):
+                continue  # never what a token is restored to
+            self.start |= 1 << bit
+            for c in word.decode():
+                bit += 1
+                self.at[c] = self.at.get(c, 0) | 1 << bit
+            if prefix:
+                self.begun |= 1 << bit
+            else:
+                self.whole |= 1 << bit
+            bit += 1
+
+    def _takes(self, c: str) -> int:
+        if c not in self.take:
+            mask = 0
+            for x, _ in Channel._readings(c):
+                mask |= self.at.get(chr(96 + x) if x < 27 else "?", 0)
+            self.take[c] = mask
+        return self.take[c]
+
+    def may(self, token: str) -> bool:
+        state, last = self.start, ""
+        for c in token:
+            stays = c in SEPARATORS or c in "*#%!" or c == last or not Channel._readings(c)
+            state = (state << 1) & self._takes(c) | (state if stays else 0)
+            if state & self.begun:
+                return True
+            if not state:
+                return False
+            last = c
+        return bool(state & self.whole)
+
+
+def signs(text: str, channel: Channel, watch: Watch | None = None) -> set[bytes]:
+    """Words of a text, as written and restored, and the beginnings of longer ones (marked by a final `~`).
+
+    With a watch, restored words that are none of its signs may be left out.
+    """
     low = text.lower()
     found = set(words(low.encode("utf-8", "surrogatepass")))
-    found |= channel.restored(low)
+    found |= channel.restored(low, watch)
     found |= {w.decode("utf-8", "ignore")[:PREFIX].encode() + b"~" for w in found if len(w) > PREFIX}
     return found
 
@@ -239,12 +291,12 @@ class Model:
     """A channel, the base rate and the strength of each sign."""
 
     def __init__(self, channel: Channel, base: float, strength: dict[bytes, float]):
-        self.channel, self.base, self.strength = channel, base, strength
+        self.channel, self.base, self.strength, self.watch = channel, base, strength, Watch(set(strength))
 
     def score(self, text: str) -> float:
         """Probability of label 1: 1 - (1 - base) prod(1 - strength) over the signs present."""
         rest = 1 - self.base
-        for w in self.strength.keys() & signs(text, self.channel):
+        for w in self.strength.keys() & signs(text, self.channel, self.watch):
             rest *= 1 - self.strength[w]
         return float(min(1.0, max(0.0, 1 - rest)))
 

@@ -821,6 +821,26 @@ def test_restoring_is_the_best_path():
     assert len(channel.restore(long)) > 10_000 and channel.restored(" ".join("idiot") + " " + long)
 
 
+def test_watch_turns_down_no_sign():
+    """What the watch turns down has no path to a sign, and what has one passes."""
+    draw = random.Random(9)
+    signs_ = {b"bad", b"stoo~", b"is", b"a?d"}
+    watch = toxicity.Watch(signs_)
+    channel = toxicity.Channel(np.ones((28, 28, 28)))
+    seen = [0, 0]
+    for _ in range(3000):
+        token = "".join(draw.choices("abdsti01!*.5\u00e9", k=draw.randrange(1, 8)))
+        reach_ = {""}
+        for at in range(len(token)):
+            reads = channel._readings(token[at])
+            stay = channel._stay(token, at, reads, False) is not None
+            reach_ = {w + (chr(96 + x) if x < 27 else "?") for w in reach_ for x, _ in reads} | (reach_ if stay else set())
+        can = any(w.encode() in signs_ or w[:4].encode() + b"~" in signs_ for w in reach_)
+        seen[can] += 1
+        assert watch.may(token) or not can, token
+    assert min(seen) > 20
+
+
 def test_toxicity_by_brute_force(spark):
     """Strengths and scores by plain loops over the rows; odd rows and labels among them."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(odd(spark).drop("fp"))
