@@ -198,9 +198,12 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
     crowd = ask.select("k", "v", "g", F.lit(True).alias("asks")).unionAll(home.select("k", "v", "g", F.lit(False).alias("asks"))).join(keys, "k", "left_semi")
     crowd = scratch.cut(crowd)
     blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.count_if(who) / F.lit(BLOCK))).cast("int")
-    sizes = crowd.groupBy("k").agg(blocks(~F.col("asks")).alias("nh"), blocks(F.col("asks")).alias("na"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1")
-    sizes = sizes.drop("g0", "g1")
-    dealt = crowd.drop("g").join(F.broadcast(sizes) if few else sizes.hint("merge"), "k")
+    lives_in = F.when(~F.col("asks"), F.col("g"))
+    sizes = crowd.groupBy("k").agg(
+        blocks(~F.col("asks")).alias("nh"), blocks(F.col("asks")).alias("na"), F.min(lives_in).alias("h0"), F.max(lives_in).alias("h1"), F.min("g").alias("g0"), F.max("g").alias("g1")
+    ).where("g0 <> g1")
+    # Who is joined with all residents of a key has nothing to ask there.
+    dealt = crowd.join(F.broadcast(sizes) if few else sizes.hint("merge"), "k").where("not asks or h0 <> h1 or g <> h0").drop("g", "g0", "g1", "h0", "h1")
     part = "cast(pmod(xxhash64(v), {}) as int)"
     dealt = dealt.select("k", "v", F.expr(f"if(asks, sequence(0, nh - 1), array({part.format('nh')}))").alias("i"), F.expr(f"if(asks, array({part.format('na')}), sequence(0, na - 1))").alias("j"))
     dealt = dealt.join(entries.hint("merge"), "v").select("k", "v", "g", "fp", F.explode("i").alias("i"), "j").select("k", "v", "g", "fp", "i", F.explode("j").alias("j"))
