@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import decontam, embeddings, langid, licenses, mixing, pii, quality, simhash, tokens, toxicity
+from facetwise.llm import collocations, decontam, embeddings, langid, licenses, mixing, pii, quality, simhash, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -181,3 +181,30 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"), spark), spark)
+
+
+@_query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), spark)
+
+
+#: Every phrase by its words; the longer phrases that hold a phrase by all their parts.
+ORACLES["op11_phrase_collocations"] = """
+with piece as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents),
+seq as (select lang, w from (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from piece) where len(w) > 0),
+total as (select lang, cast(sum(len(w)) as bigint) as n from seq group by lang),
+gram as (select lang, w[i : i + k - 1] as g from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from seq, (values (1), (2), (3), (4)) t(k))),
+freq as (select lang, g, count(*) as f from gram group by lang, g having count(*) >= 30),
+cand as (select * from freq where len(g) > 1),
+cut as (select c.lang, c.g, c.f, k, x.f as l, y.f as r, (2000000::hugeint * c.f) // (x.f + y.f) as score
+    from (select *, unnest(range(1, len(g))) as k from cand) c join freq x on x.lang = c.lang and x.g = c.g[1:k] join freq y on y.lang = c.lang and y.g = c.g[k + 1 :]),
+best as (select * from cut qualify row_number() over (partition by lang, g order by score, k) = 1),
+part as (
+    select lang, g[i : i + k - 1] as g, max(f) as held
+    from (select lang, g, f, k, unnest(range(1, len(g) - k + 2)) as i from cand, (values (2), (3)) t(k) where k < len(g)) group by all),
+kept as (select b.*, array_to_string(b.g, ' ') as phrase from best b left join part using (lang, g) where held is null or 100 * held < 80 * b.f),
+ranked as (select *, row_number() over (partition by lang order by score desc, f desc, phrase) as rank from kept)
+select lang, rank, phrase, f as a, l, r, n, cast(score as bigint) as score from ranked join total using (lang) where rank <= 2000
+"""
