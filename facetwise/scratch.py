@@ -54,11 +54,15 @@ class Scratch:
         self.n = 0
         self.paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write df and return it as read back."""
+    def path(self) -> str:
+        """A new folder, deleted at the end of the application."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
         _roots.add(self.root)
+        return f"{self.root}/{self.n}"
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write df and return it as read back."""
+        path = self.path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[out] = path
