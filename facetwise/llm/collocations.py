@@ -32,9 +32,26 @@ SALTS = 64
 _END = 0xFF
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else _END if 10 <= c <= 13 or c in b".,;:!?" else c for c in range(256))
 _GAP = re.compile(b"[ \t\xff]")
-_ENTRY = "words array<binary>, n array<int>"
-_SHARD = f"shard long, lang string, codes binary, ahead int, own long, {_ENTRY}"
-_PAIRS = "shard long, codes binary, ahead int, l array<long>, r array<long>, n array<int>"
+#: Rows of a shard: one with its sequence (codes), and one for each of its entries (code). Flat, so that no reader holds a
+#: whole shard of entries.
+_WORDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("ahead", pa.int32()), ("own", pa.int64()), ("code", pa.int32()), ("word", pa.binary()), ("n", pa.int32())])
+_PAIRS = pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("ahead", pa.int32()), ("code", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("n", pa.int32())])
+#: Rows of an Arrow batch.
+ROWS = 65_536
+
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _flat(schema: pa.Schema, head: dict, entries: dict) -> pa.Table:
+    """One row with the values of head, then one for each entry; columns that neither names are null."""
+    n = len(entries["n"])
+    first = pa.Table.from_arrays([pa.array([head.get(f.name)], f.type) for f in schema], schema=schema)
+    same = {c: pa.repeat(pa.scalar(head[c], schema.field(c).type), n) for c in ("shard", "lang") if c in head}
+    columns = [same[f.name] if f.name in same else pa.array(entries[f.name], f.type) if f.name in entries else pa.nulls(n, f.type) for f in schema]
+    return pa.concat_tables([first, pa.Table.from_arrays(columns, schema=schema)])
 
 
 def _pack(codes: np.ndarray) -> bytes:
@@ -77,16 +94,17 @@ class _Buffer:
         self.size += len(words)
         self.last = [*self.last, *words[-self.keep :]][-self.keep :] if self.keep else []
 
-    def row(self, shard: int, lang) -> tuple:
+    def table(self, shard: int, lang) -> pa.Table:
         codes = np.concatenate(self.parts)
         own = codes[self.ahead :]
         own = own[own >= 0]
-        return shard, lang, _pack(codes), self.ahead, len(own), list(self.ids), np.bincount(own, minlength=len(self.ids)).astype(np.int32)
+        head = {"shard": shard, "lang": lang, "codes": _pack(codes), "ahead": self.ahead, "own": len(own)}
+        n = np.bincount(own, minlength=len(self.ids)).astype(np.int32)
+        return _flat(_WORDS, head, {"code": np.arange(len(n), dtype=np.int32), "word": list(self.ids), "n": n})
 
 
 def shards(docs: DataFrame, longest: int, size: int = SHARD_WORDS) -> DataFrame:
     """Sequences of word codes by partition and language, with their words and the number of each."""
-    schema = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("ahead", pa.int32()), ("own", pa.int64()), ("words", pa.list_(pa.binary())), ("n", pa.list_(pa.int32()))])
 
     def run(batches):
         first, place, held = TaskContext.get().partitionId() << PLACE_BITS, 0, {}
@@ -98,9 +116,8 @@ def shards(docs: DataFrame, longest: int, size: int = SHARD_WORDS) -> DataFrame:
                     continue
                 if place >> PLACE_BITS:
                     raise ValueError("a partition has too many shards: read the texts in more partitions")
-                row = buffer.row(first + place, lang)
+                yield from buffer.table(first + place, lang).to_batches(ROWS)
                 place += 1
-                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema, strict=True)], schema=schema)
                 held[lang] = _Buffer(buffer.last, longest - 1)
 
         for b in batches:
@@ -116,7 +133,7 @@ def shards(docs: DataFrame, longest: int, size: int = SHARD_WORDS) -> DataFrame:
                         yield from full()
         yield from full()
 
-    return docs.mapInArrow(run, _SHARD)
+    return docs.mapInArrow(run, _ddl(_WORDS))
 
 
 def _renamed(level: int, last: bool):
@@ -124,7 +141,7 @@ def _renamed(level: int, last: bool):
 
     def run(sequence: pa.Table, names: pa.Table) -> pa.Table:
         if not sequence.num_rows:
-            return pa.Table.from_pylist([], schema)
+            return _PAIRS.empty_table()
         shard, packed, ahead = (sequence.column(c)[0].as_py() for c in ("shard", "codes", "ahead"))
         codes, code, name = _unpack(packed), names.column("code").to_numpy(), names.column("name").to_numpy()
         known = np.full(max(int(codes.max(initial=-1)), int(code.max(initial=-1))) + 2, -1, np.int64)  # the last is for -1
@@ -136,10 +153,9 @@ def _renamed(level: int, last: bool):
         n = np.bincount(inverse[np.flatnonzero(ok) + level >= ahead], minlength=len(keys)).astype(np.int32)
         out = np.full(len(ok), -1, np.int32)
         out[ok] = inverse
-        lists = [known[keys >> 32], known[keys & 0xFFFFFFFF], n]
-        return pa.Table.from_arrays([pa.array([shard], pa.int64()), pa.array([b"" if last else _pack(out)], pa.binary()), pa.array([ahead], pa.int32()), *(pa.array([v], t.type) for v, t in zip(lists, list(schema)[3:], strict=True))], schema=schema)
+        head = {"shard": shard, "codes": b"" if last else _pack(out), "ahead": ahead}
+        return _flat(_PAIRS, head, {"code": np.arange(len(keys), dtype=np.int32), "l": known[keys >> 32], "r": known[keys & 0xFFFFFFFF], "n": n})
 
-    schema = pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("ahead", pa.int32()), ("l", pa.list_(pa.int64())), ("r", pa.list_(pa.int64())), ("n", pa.list_(pa.int32()))])
     return run
 
 
@@ -162,15 +178,15 @@ def phrases(docs: DataFrame, spark: SparkSession, *, least: int = 30, longest: i
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     cut = scratch.cut(shards(rows, longest, shard_words))
     total = cut.groupBy("lang").agg(F.sum("own").alias("n"))
-    entries = cut.select("shard", "lang", F.posexplode(F.arrays_zip("words", "n")).alias("code", "e")).select("shard", "lang", "code", F.col("e.words").alias("word"), "e.n")
+    entries = cut.where("code is not null").select("shard", "lang", "code", "word", "n")
     named = scratch.cut(_named(entries, ["lang", "word"], least))
     none = F.array().cast("array<long>")
     word = F.col("word").cast("string")
     tables = [scratch.cut(named.where("is_first").select("name", "lang", word.alias("phrase"), word.alias("last"), "f", F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"), none.alias("firsts"), none.alias("lasts")))]
     for level in range(1, longest):
-        sequences = cut.select("shard", "codes", "ahead").groupBy("shard").cogroup(named.select("shard", "code", "name").groupBy("shard"))
-        after = scratch.cut(sequences.applyInArrow(_renamed(level, level + 1 == longest), _PAIRS))
-        entries = after.select("shard", F.posexplode(F.arrays_zip("l", "r", "n")).alias("code", "e")).select("shard", "code", "e.l", "e.r", "e.n")
+        sequences = cut.where("codes is not null").select("shard", "codes", "ahead").groupBy("shard").cogroup(named.select("shard", "code", "name").groupBy("shard"))
+        after = scratch.cut(sequences.applyInArrow(_renamed(level, level + 1 == longest), _ddl(_PAIRS)))
+        entries = after.where("code is not null").select("shard", "code", "l", "r", "n")
         pairs = scratch.cut(_named(entries, ["l", "r"], least))
         if level > 1:  # the words' shards also hold the totals
             scratch.drop(cut)
