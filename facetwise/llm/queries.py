@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facetwise.llm import collocations, decontam, embeddings, langid, licenses, mixing, pii, quality, simhash, tokens, toxicity
+from facetwise.llm import collocations, decontam, divergence, embeddings, langid, licenses, mixing, pii, quality, simhash, tokens, toxicity, warc
+from facetwise.llm.common import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -208,3 +209,54 @@ kept as (select b.*, array_to_string(b.g, ' ') as phrase from best b left join p
 ranked as (select *, row_number() over (partition by lang order by score desc, f desc, phrase) as rank from kept)
 select lang, rank, phrase, f as a, l, r, n, cast(score as bigint) as score from ranked join total using (lang) where rank <= 2000
 """
+
+
+@_query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"), spark)
+
+
+#: Every share of every kept term, without a baseline.
+ORACLES["op12_source_divergence"] = """
+with doc as (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+    from documents),
+occ as (select r, lang, source, unnest(w) as term from doc),
+kept as (select lang, term, count(*) as ln from occ group by lang, term having count(distinct r) >= 3),
+cell as (select lang, source, term, count(*) as n from occ semi join kept using (lang, term) group by all),
+grp as (select distinct lang, source from doc),
+size as (select lang, count(*) as v, sum(ln) as nl from kept group by lang),
+own as (select lang, source, sum(n) as total from cell group by lang, source),
+p as (
+    select g.lang, g.source, k.term, coalesce(n, 0) as n,
+        1 + (1000000000::hugeint * (coalesce(n, 0) + 1)) // (coalesce(total, 0) + v) as p, 1 + (1000000000::hugeint * (ln + 1)) // (nl + v) as q
+    from grp g join kept k using (lang) join size using (lang) left join own using (lang, source) left join cell using (lang, source, term)),
+pair as (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+    from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+part as (
+    select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(value, 0) as bigint) as value
+    from grp a join grp b on a.lang = b.lang and a.source <> b.source left join pair x on x.lang = a.lang and x.source = a.source and x.item = b.source
+    union all
+    select lang, source, 'term', term, cast((p - q) * (p - q) // q as bigint) from p where n > 0 and p > q),
+ranked as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from part)
+select * from ranked where part = 'pair' or rank <= 200
+"""
+
+
+@_query
+def op13_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark).path()
+    warc.register(spark)
+    warc.records(_table(spark, sf_dir, "pages"), spark).write.format("warc").mode("append").save(path)
+    return warc.archived(spark, path)
+
+
+ORACLES["op13_warc_pages"] = """
+with page as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
+keeper as (select html, max(page_id) as keeper from page where n >= 1000 group by html)
+select page_id, cast(n as bigint) as payload_bytes, sha1(html) as payload_digest, case when keeper is null or page_id = keeper then 'response' else 'revisit' end as record_type,
+    case when page_id <> keeper then keeper end as refers_to
+from page left join keeper using (html)
+"""
