@@ -32,10 +32,11 @@ SALTS = 64
 _END = 0xFF
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else _END if 10 <= c <= 13 or c in b".,;:!?" else c for c in range(256))
 _GAP = re.compile(b"[ \t\xff]")
-#: Rows of a shard: one with its sequence (codes), and one for each of its entries (code). Flat, so that no reader holds a
-#: whole shard of entries.
-_WORDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("ahead", pa.int32()), ("own", pa.int64()), ("code", pa.int32()), ("word", pa.binary()), ("n", pa.int32())])
-_PAIRS = pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("ahead", pa.int32()), ("code", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("n", pa.int32())])
+#: Rows of a shard: one with its sequence (codes), and one for each of its entries, the different words or pairs: what it is,
+#: and its code and number in one (code << CODE_BITS | n), which keeps rows of the shuffle small. Flat, so that no reader
+#: holds a whole shard of entries.
+_WORDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("ahead", pa.int32()), ("own", pa.int64()), ("word", pa.binary()), ("entry", pa.int64())])
+_PAIRS = pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("ahead", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("entry", pa.int64())])
 #: Rows of an Arrow batch.
 ROWS = 65_536
 
@@ -45,9 +46,15 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
+def _entries(n: np.ndarray) -> np.ndarray:
+    if len(n) >> CODE_BITS or int(n.max(initial=0)) >> CODE_BITS:
+        raise ValueError("a shard has too many words")
+    return np.arange(len(n), dtype=np.int64) << CODE_BITS | n.astype(np.int64)
+
+
 def _flat(schema: pa.Schema, head: dict, entries: dict) -> pa.Table:
     """One row with the values of head, then one for each entry; columns that neither names are null."""
-    n = len(entries["n"])
+    n = len(entries["entry"])
     first = pa.Table.from_arrays([pa.array([head.get(f.name)], f.type) for f in schema], schema=schema)
     same = {c: pa.repeat(pa.scalar(head[c], schema.field(c).type), n) for c in ("shard", "lang") if c in head}
     columns = [same[f.name] if f.name in same else pa.array(entries[f.name], f.type) if f.name in entries else pa.nulls(n, f.type) for f in schema]
@@ -99,8 +106,8 @@ class _Buffer:
         own = codes[self.ahead :]
         own = own[own >= 0]
         head = {"shard": shard, "lang": lang, "codes": _pack(codes), "ahead": self.ahead, "own": len(own)}
-        n = np.bincount(own, minlength=len(self.ids)).astype(np.int32)
-        return _flat(_WORDS, head, {"code": np.arange(len(n), dtype=np.int32), "word": list(self.ids), "n": n})
+        n = np.bincount(own, minlength=len(self.ids))
+        return _flat(_WORDS, head, {"word": list(self.ids), "entry": _entries(n)})
 
 
 def shards(docs: DataFrame, longest: int, size: int = SHARD_WORDS) -> DataFrame:
@@ -150,20 +157,23 @@ def _renamed(level: int, last: bool):
         ok = (known[left] >= 0) & (known[right] >= 0)
         keys, inverse = np.unique(left[ok] << 32 | right[ok], return_inverse=True)
         # A phrase counts where it ends: its end is at its begin and `level` further, past the words of the shard before.
-        n = np.bincount(inverse[np.flatnonzero(ok) + level >= ahead], minlength=len(keys)).astype(np.int32)
+        n = np.bincount(inverse[np.flatnonzero(ok) + level >= ahead], minlength=len(keys))
         out = np.full(len(ok), -1, np.int32)
         out[ok] = inverse
         head = {"shard": shard, "codes": b"" if last else _pack(out), "ahead": ahead}
-        return _flat(_PAIRS, head, {"code": np.arange(len(keys), dtype=np.int32), "l": known[keys >> 32], "r": known[keys & 0xFFFFFFFF], "n": n})
+        return _flat(_PAIRS, head, {"l": known[keys >> 32], "r": known[keys & 0xFFFFFFFF], "entry": _entries(n)})
 
     return run
 
 
 def _named(entries: DataFrame, key: list[str], least: int) -> DataFrame:
-    """entries(shard, code, n, *key), one a shard and key, that reach `least` over all shards, with their name and f."""
-    entry = F.shiftleft("shard", CODE_BITS) + F.col("code")
+    """(shard, code, *key, f, name, is_first) of the entries(*key, entry, shard), one a shard and key, whose key reaches
+    `least` over all shards."""
+    code, n = F.shiftright("entry", CODE_BITS), F.col("entry").bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+    place = F.shiftleft("shard", CODE_BITS) + code
     of = Window.partitionBy(*key)
-    return entries.withColumn("f", F.sum(F.col("n").cast("long")).over(of)).withColumn("name", F.min(entry).over(of)).where(F.col("f") >= least).withColumn("is_first", F.col("name") == entry)
+    named = entries.select(*key, "entry", "shard").withColumn("f", F.sum(n).over(of)).withColumn("name", F.min(place).over(of)).where(F.col("f") >= least)
+    return named.select("shard", code.cast("int").alias("code"), *key, "f", "name", (F.col("name") == place).alias("is_first"))
 
 
 def phrases(docs: DataFrame, spark: SparkSession, *, least: int = 30, longest: int = 4, shard_words: int = SHARD_WORDS) -> tuple[list[DataFrame], DataFrame]:
@@ -178,16 +188,14 @@ def phrases(docs: DataFrame, spark: SparkSession, *, least: int = 30, longest: i
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     cut = scratch.cut(shards(rows, longest, shard_words))
     total = cut.groupBy("lang").agg(F.sum("own").alias("n"))
-    entries = cut.where("code is not null").select("shard", "lang", "code", "word", "n")
-    named = scratch.cut(_named(entries, ["lang", "word"], least))
+    named = scratch.cut(_named(cut.where("entry is not null"), ["lang", "word"], least))
     none = F.array().cast("array<long>")
     word = F.col("word").cast("string")
     tables = [scratch.cut(named.where("is_first").select("name", "lang", word.alias("phrase"), word.alias("last"), "f", F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"), none.alias("firsts"), none.alias("lasts")))]
     for level in range(1, longest):
         sequences = cut.where("codes is not null").select("shard", "codes", "ahead").groupBy("shard").cogroup(named.select("shard", "code", "name").groupBy("shard"))
         after = scratch.cut(sequences.applyInArrow(_renamed(level, level + 1 == longest), _ddl(_PAIRS)))
-        entries = after.where("code is not null").select("shard", "code", "l", "r", "n")
-        pairs = scratch.cut(_named(entries, ["l", "r"], least))
+        pairs = scratch.cut(_named(after.where("entry is not null"), ["l", "r"], least))
         if level > 1:  # the words' shards also hold the totals
             scratch.drop(cut)
         scratch.drop(named)
