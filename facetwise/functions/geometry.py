@@ -26,6 +26,12 @@ def guarded(top: Column, bottom: Column, otherwise: Column | float) -> Column:
     return F.when(bottom > 0, top / F.when(bottom > 0, bottom)).otherwise(otherwise)
 
 
+def cell_of(value: Column, side: Column) -> Column:
+    """The number of a value's cell of that side, as a double: no size overflows, and from 2^52 on a double is whole anyway."""
+    q = value / side
+    return F.when(F.abs(q) < 2.0**52, F.floor(q).cast("double")).otherwise(q)
+
+
 def add(p: Point, q: Point) -> Point:
     return p[0] + q[0], p[1] + q[1], p[2] + q[2]
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
+from facetwise.operators.ranks import with_percentiles
 
 
 @dataclass(frozen=True)
@@ -124,7 +125,8 @@ def thickness_guard(hits: DataFrame, by: list[str], h: float, elements: int = 3)
     """hits(by, tri, distance): the median over a triangle's rays, then median, 1st percentile and least; blocked if the
     percentile is under `elements` sizes h."""
     tri = hits.groupBy(*by, "tri").agg(F.median("distance").alias("t"))
-    out = tri.groupBy(*by).agg(F.median("t").alias("median"), F.percentile("t", F.lit(0.01)).alias("p01"), F.min("t").alias("least"), F.count("*").alias("n"))
+    out = tri.groupBy(*by).agg(F.min("t").alias("least"), F.count("*").alias("n"))
+    out = with_percentiles(out, tri, by, [("median", F.col("t"), 0.5), ("p01", F.col("t"), 0.01)])
     return out.withColumn("blocked", F.col("p01") < elements * h)
 
 

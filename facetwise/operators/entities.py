@@ -9,12 +9,12 @@ from __future__ import annotations
 import hashlib
 import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
-from facetwise.operators.ranks import if_small
+from facetwise.operators import boxes
+from facetwise.operators.matching import match_snapshots  # noqa: F401  part of this module's interface
 from facetwise.scratch import Scratch
 
 DIGITS, TOLERANCE = 4, 0.02
@@ -55,51 +55,25 @@ def new_pids(entities: DataFrame, by: list[str], fp: str = "fp") -> DataFrame:
     return entities.withColumn("pid", F.when(k == 0, F.col(fp)).otherwise(F.concat_ws("~", F.col(fp), k.cast("string"))))
 
 
-def contains(a: str, b: str, tol: Column) -> Column:
-    """Whether box a contains box b to a tolerance; a and b are column prefixes."""
-    test = F.lit(True)
-    for x in "xyz":
-        test = test & (F.col(f"{b}{x}lo") >= F.col(f"{a}{x}lo") - tol) & (F.col(f"{b}{x}hi") <= F.col(f"{a}{x}hi") + tol)
-    return test
+def coincident_pairs(old: DataFrame, new: DataFrame, by: list[str], tol: Column, rel: float = TOLERANCE) -> DataFrame:
+    """(by, o_.., n_..): boxes that contain each other to tol, and masses within rel. by are equality keys.
 
-
-def coincident_pairs(old: DataFrame, new: DataFrame, by: list[str], tol: Column, rel: float = TOLERANCE, cell: float | None = None) -> DataFrame:
-    """(by, o_pid, n_tag): boxes that contain each other, and masses within rel. by are equality keys.
-
-    Coincident boxes agree in each corner to tol, so both sides are dealt by the cell of the low corner (one cell wide:
-    `cell`, at least 2 tol) and the new side asks the neighbouring cells too.
+    Boxes meet by the cells of all six ends (boxes.equal); tol is a constant, or depends on by alone. Null ends or keys
+    meet nothing.
     """
-    o = old.select(*by, *(F.col(c).alias("o_" + c) for c in old.columns if c not in by))
-    n = new.select(*by, *(F.col(c).alias("n_" + c) for c in new.columns if c not in by))
-    on = list(by)
-    if cell is not None:
-        o = o.withColumn("cell", F.floor(F.col("o_xlo") / cell))
-        n = n.withColumn("cell", F.explode(F.array(*(F.floor(F.col("n_xlo") / cell) + k for k in (-1, 0, 1)))))
-        on.append("cell")
-    big = F.greatest("o_mass", "n_mass")
-    same = contains("o_", "n_", tol) & contains("n_", "o_", tol) & ((big <= 0) | (G.guarded(F.abs(F.col("o_mass") - F.col("n_mass")), big, 0.0) <= rel))
-    return o.join(n, on).where(same)
-
-
-#: Slabs along x that boxes of a model are dealt into.
-SLABS = 64
+    big = F.greatest("l_mass", "r_mass")
+    same = (big <= 0) | (G.guarded(F.abs(F.col("l_mass") - F.col("r_mass")), big, 0.0) <= rel)
+    met = boxes.equal(old.withColumn("tol", tol), new.withColumn("tol", tol), by).where(same).drop("l_tol", "r_tol")
+    return met.select(*by, *(F.col("l_" + c).alias("o_" + c) for c in old.columns if c not in by), *(F.col("r_" + c).alias("n_" + c) for c in new.columns if c not in by))
 
 
 def tightest_parent(old: DataFrame, new: DataFrame, by: list[str], tol: Column) -> DataFrame:
-    """(by, n_tag, o_pid): for each new box the old box of least mass that contains it.
+    """(by, n_tag, o_pid): for each new box the old box of least mass that contains it (of equal ones the least pid).
 
-    A box around another one has its middle within tol, so old boxes are dealt into all slabs of x that they touch and new
-    ones ask in the slab of their middle: an equi-join. tol must not depend on either side's columns.
+    Boxes meet by cells of grids in all three axes (boxes.around); tol is a constant, or depends on by alone.
     """
-    o = old.select(*by, *(F.col(c).alias("o_" + c) for c in old.columns if c not in by))
-    n = new.select(*by, *(F.col(c).alias("n_" + c) for c in new.columns if c not in by))
-    span = old.groupBy(*by).agg(F.min("xlo").alias("x0"), F.greatest((F.max("xhi") - F.min("xlo")) / SLABS, F.lit(1e-12)).alias("width"))
-    span = if_small(span)
-    slab = lambda x: F.least(F.greatest(F.floor((x - F.col("x0")) / F.col("width")), F.lit(0)), F.lit(SLABS)).cast("int")
-    o = o.join(span, by).withColumn("slab", F.explode(F.sequence(slab(F.col("o_xlo") - tol), slab(F.col("o_xhi") + tol)))).drop("x0", "width")
-    n = n.join(span, by).withColumn("slab", slab((F.col("n_xlo") + F.col("n_xhi")) / 2)).drop("x0", "width")
-    inside = n.join(o, [*by, "slab"]).where(contains("o_", "n_", tol))
-    return inside.groupBy(*by, "n_tag").agg(F.min(F.struct("o_mass", "o_pid"))["o_pid"].alias("o_pid"))
+    met = boxes.around(old.withColumn("tol", tol), new.withColumn("tol", tol), by)
+    return met.groupBy(*by, F.col("i_tag").alias("n_tag")).agg(F.min(F.struct("o_mass", "o_pid"))["o_pid"].alias("o_pid"))
 
 
 def fingerprint_matches(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
@@ -135,7 +109,10 @@ def closure(edges: DataFrame, *, up: bool = False, scratch: Scratch | None = Non
         m = more.count()
         if m == n:
             return more
+        before = far, near
         far, near, n = scratch.cut(then(far, far).distinct()), more, m
+        for table in before:
+            scratch.drop(table)
 
 
 def descendants(edges: DataFrame, alive: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -154,109 +131,6 @@ def tag_for_pid(entities: DataFrame, pid: str) -> DataFrame:
     return entities.where(F.col("alive") & (F.col("pid") == pid)).select("model", "dim", "tag")
 
 
-MATCH_SCHEMA = "model string, relation string, dim int, new_tags array<long>, old_pids array<string>, mass_ratio double"
-
-
-class _Box:
-    """An entity as the greedy passes need it."""
-
-    def __init__(self, row):
-        self.key = row["pid"] if "pid" in row and row["pid"] is not None else int(row["tag"])
-        self.tag = int(row["tag"]) if row.get("tag") is not None and not pd.isna(row["tag"]) else None
-        self.dim, self.mass, self.fp = int(row["dim"]), float(row["mass"]), row["fp"]
-        self.low = [float(row[x + "lo"]) for x in "xyz"]
-        self.high = [float(row[x + "hi"]) for x in "xyz"]
-
-    def holds(self, other: "_Box", tol: float) -> bool:
-        return all(o >= s - tol for s, o in zip(self.low, other.low, strict=True)) and all(o <= s + tol for s, o in zip(self.high, other.high, strict=True))
-
-
-def _match_dimension(olds: list[_Box], news: list[_Box], tol: float, rel: float) -> list[tuple]:
-    """(relation, new tags, old pids, mass ratio) of one dimension of one model."""
-    out: list[tuple] = []
-    free_old, free_new = {o.key: o for o in olds}, {n.tag: n for n in news}
-
-    def take(relation: str, ns: list[_Box], os: list[_Box], ratio: float, *, each: bool = False) -> None:
-        for tags in ([n.tag] for n in ns) if each else [[n.tag for n in ns]]:
-            out.append((relation, tags, [o.key for o in os], ratio))
-        for n in ns:
-            free_new.pop(n.tag, None)
-        for o in os:
-            free_old.pop(o.key, None)
-
-    def equal(a: _Box, b: _Box) -> bool:
-        big = max(a.mass, b.mass)
-        return a.holds(b, tol) and b.holds(a, tol) and (big <= 0 or abs(a.mass - b.mass) / big <= rel)
-
-    def share(top: float, bottom: float) -> float:
-        return top / bottom if bottom else 0.0
-
-    # Coincident old entities of which fewer are left have merged; this must come before exact matches.
-    seen: set = set()
-    for o in olds:
-        if o.key in seen:
-            continue
-        cluster = [o] + [x for x in olds if x is not o and x.key not in seen and equal(o, x)]
-        seen.update(x.key for x in cluster)
-        here = [n for n in news if n.tag in free_new and any(equal(n, x) for x in cluster)]
-        if len(cluster) > 1 and 0 < len(here) < len(cluster):
-            take("merge", here, cluster, share(sum(n.mass for n in here), sum(x.mass for x in cluster)), each=True)
-    # Equal fingerprints, if old and new have as many of them.
-    by_fp: dict[str, list[_Box]] = {}
-    for n in free_new.values():
-        by_fp.setdefault(n.fp, []).append(n)
-    for fp, group in by_fp.items():
-        bucket = sorted((o for o in free_old.values() if o.fp == fp), key=lambda o: o.key)
-        if len(bucket) == len(group):
-            for n, o in zip(sorted(group, key=lambda x: x.tag), bucket, strict=True):
-                take("same", [n], [o], 1.0)
-    # The same region of space: one old entity is the same, several have merged.
-    for n in sorted(free_new.values(), key=lambda x: x.tag):
-        there = [o for o in olds if o.key in free_old and n.holds(o, tol) and o.holds(n, tol)]
-        if there:
-            many = len(there) > 1
-            take("merge" if many else "same", [n], there, share(n.mass, sum(o.mass for o in there)) if many else 1.0)
-    # Inside the tightest old entity: several are a split, a single one is the same, whatever mass it lost.
-    children: dict[str, list[_Box]] = {}
-    for n in news:
-        if n.tag in free_new and (around := [o for o in olds if o.key in free_old and o.holds(n, tol)]):
-            children.setdefault(min(around, key=lambda o: o.mass).key, []).append(n)
-    for key, ns in children.items():
-        o = free_old[key]
-        take("same" if len(ns) == 1 else "split", ns, [o], share(sum(n.mass for n in ns), o.mass))
-    # Around at least two old entities.
-    for n in [x for x in news if x.tag in free_new]:
-        covered = [o for o in olds if o.key in free_old and n.holds(o, tol)]
-        if len(covered) > 1:
-            take("merge", [n], covered, share(n.mass, sum(o.mass for o in covered)))
-    out += [("created", [n.tag], [], 1.0) for n in news if n.tag in free_new]
-    out += [("deleted", [], [o.key], 0.0) for o in olds if o.key in free_old]
-    return out
-
-
-def match_snapshots(old: DataFrame, new: DataFrame, frames: DataFrame, rel: float = TOLERANCE) -> DataFrame:
-    """Greedy multi-pass matching of two snapshots, one model a group: exact order, so it runs as a cogrouped function.
-
-    old has model, pid and fp, new has model, tag and fp, besides the box and mass columns.
-    """
-    scale = frames.select("model", "scale")
-    o, n = old.join(scale, "model"), new.join(scale, "model")
-    n = n.toDF(*n.columns)  # both snapshots may come from one table
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        either = left if len(left) else right
-        tol = rel * float(either["scale"].iloc[0])
-        olds = sorted((_Box(r) for r in left.to_dict("records")), key=lambda x: x.key)
-        news = sorted((_Box({**r, "pid": None}) for r in right.to_dict("records")), key=lambda x: x.tag)
-        rows = []
-        for dim in sorted({x.dim for x in olds + news}):
-            found = _match_dimension([x for x in olds if x.dim == dim], [x for x in news if x.dim == dim], tol, rel)
-            rows += [(key[0], r, dim, tags, [str(p) for p in pids], ratio) for r, tags, pids, ratio in found]
-        return pd.DataFrame(rows, columns=["model", "relation", "dim", "new_tags", "old_pids", "mass_ratio"])
-
-    return o.groupBy("model").cogroup(n.groupBy("model")).applyInPandas(run, MATCH_SCHEMA)
-
-
 def register(old: DataFrame, new: DataFrame, matches: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """The entities after a snapshot, and the provenance edges it adds.
 
@@ -264,7 +138,7 @@ def register(old: DataFrame, new: DataFrame, matches: DataFrame, label: str) ->
     New pids don't collide with pids that were ever used.
     """
     hit = matches.select("model", "relation", F.explode_outer("new_tags").alias("tag"), "old_pids", "mass_ratio")
-    kept = hit.where("relation = 'same'").select("model", "tag", F.col("old_pids")[0].alias("pid"))
+    kept = hit.where("relation = 'same'").select("model", "tag", F.get("old_pids", F.lit(0)).alias("pid"))
     born = hit.where("relation in ('split', 'merge', 'created')")
     fresh = canonical_order(new.join(born.select("model", "tag", "relation", "old_pids", "mass_ratio"), ["model", "tag"]), ["model"])
     used = old.select("model", F.substring_index("pid", "~", 1).alias("fp")).groupBy("model", "fp").agg(F.count("*").alias("taken"))

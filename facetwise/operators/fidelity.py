@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
 from facetwise.functions.surfaces import KINDS, Surface
-from facetwise.operators.ranks import if_small
+from facetwise.operators.ranks import with_percentiles
+from facetwise.operators.rays import ray_hits  # noqa: F401  part of this module's interface
 
 #: Sample points of a triangle, as barycentric weights: centroid, edge middles, interior.
 SAMPLES = (
@@ -57,12 +58,9 @@ def chordal_deviation(tri: DataFrame, surface: Surface, *, target: float | None
     d = deviations(_subset(tri, most, seed, by), surface)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     relative = F.lit(float("nan")) if not target else F.col("max_deviation") / target
-    return d.groupBy(*(by or [])).agg(
-        F.count("*").alias("n_triangles"),
-        zero(F.max("deviation")).alias("max_deviation"),
-        zero(F.avg("deviation")).alias("mean_deviation"),
-        zero(F.percentile("deviation", F.lit(0.99))).alias("p99_deviation"),
-    ).withColumn("max_relative", relative)
+    out = d.groupBy(*(by or [])).agg(F.count("*").alias("n_triangles"), zero(F.max("deviation")).alias("max_deviation"), zero(F.avg("deviation")).alias("mean_deviation"))
+    out = with_percentiles(out, d, by or [], [("p99_deviation", F.col("deviation"), 0.99)])
+    return out.withColumns({"p99_deviation": zero(F.col("p99_deviation")), "max_relative": relative})
 
 
 def normal_angles(tri: DataFrame, surface: Surface) -> DataFrame:
@@ -74,33 +72,14 @@ def normal_deviation(tri: DataFrame, surface: Surface, *, limit: float = 15.0, m
     """max, mean and 99th percentile of the angles, their mean by area and the share over the limit. No triangles: zeros."""
     d = normal_angles(_subset(tri, most, seed, by), surface)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return d.groupBy(*(by or [])).agg(
+    out = d.groupBy(*(by or [])).agg(
         F.count("*").alias("n_triangles"),
         zero(F.max("angle")).alias("max_deg"),
         zero(F.avg("angle")).alias("mean_deg"),
-        zero(F.percentile("angle", F.lit(0.99))).alias("p99_deg"),
         G.guarded(F.sum(F.col("angle") * F.col("area")), F.sum("area"), 0.0).alias("area_weighted_mean_deg"),
         zero(F.avg((F.col("angle") > limit).cast("int"))).alias("frac_over"),
     )
-
-
-#: Cells of a mesh along an axis at most.
-GRID = 128
-
-
-def _grids(tri: DataFrame) -> DataFrame:
-    """(mesh_id, gx .. gz, sx .. sz, nx .. nz): corner, cell sizes and numbers of cells of a uniform grid over each mesh.
-
-    Cells are about as large as the boxes of its triangles on average, so a triangle is in a few of them.
-    """
-    low = {x: F.least(*(F.col(p + x) for p in "abc")) for x in "xyz"}
-    high = {x: F.greatest(*(F.col(p + x) for p in "abc")) for x in "xyz"}
-    box = tri.groupBy("mesh_id").agg(
-        *(F.min(low[x]).alias("g" + x) for x in "xyz"), *((F.max(high[x]) - F.min(low[x])).alias("w" + x) for x in "xyz"), *(F.avg(high[x] - low[x]).alias("e" + x) for x in "xyz")
-    )
-    whole = F.greatest("wx", "wy", "wz")
-    size = {x: F.greatest(F.col("e" + x), whole / GRID, F.lit(1e-12)) for x in "xyz"}
-    return box.select("mesh_id", "gx", "gy", "gz", *(size[x].alias("s" + x) for x in "xyz"), *(F.floor(F.col("w" + x) / size[x]).cast("int").alias("n" + x) for x in "xyz"))
+    return with_percentiles(out, d, by or [], [("p99_deg", F.col("angle"), 0.99)]).withColumn("p99_deg", zero(F.col("p99_deg")))
 
 
 def cost(tri: DataFrame, by: list[str], samples=SAMPLES) -> DataFrame:
@@ -115,60 +94,10 @@ def with_deviations(tri: DataFrame, faces: DataFrame) -> DataFrame:
     kind is one of functions.surfaces.KINDS; triangles of faces without a known kind have null.
     """
     on = ["mesh_id", "pid"] if "mesh_id" in faces.columns else ["pid"]
-    own = tri.join(if_small(faces.select(*on, F.col("kind").alias("face_kind"), F.col("radius").alias("face_radius"))), on, "left")
+    own = tri.join(faces.select(*on, F.col("kind").alias("face_kind"), F.col("radius").alias("face_radius")), on, "left")
     deviation = angle = F.lit(None).cast("double")
     for kind, cls in KINDS.items():
         s = cls(radius=F.col("face_radius")) if "radius" in {f.name for f in fields(cls)} else cls()
         deviation = F.when(F.col("face_kind") == kind, _far(s)).otherwise(deviation)
         angle = F.when(F.col("face_kind") == kind, _turn(s)).otherwise(angle)
     return own.withColumns({"deviation": deviation, "angle": angle}).drop("face_kind", "face_radius")
-
-
-def ray_hits(tri: DataFrame, rays: DataFrame, own: str | None = None) -> DataFrame:
-    """(mesh_id, ray, distance): the nearest triangle of the mesh in front of each ray (ox .. oz, dx .. dz), if any.
-
-    own names a column of rays with the triangle that a ray starts from, which it does not meet.
-
-    Triangles are dealt into the cells of a grid that their boxes touch, rays into the cells that they pass: slab by slab
-    along the axis where they are steepest, at most two or three cells in each other axis. So rays and triangles meet by
-    an equi-join on cells, a mesh fills many tasks, and no hit is lost. Rays without a direction hit nothing.
-    """
-    grids = if_small(_grids(tri))
-    cell = lambda value, x: F.floor((value - F.col("g" + x)) / F.col("s" + x))
-    span = lambda low, high, x: F.sequence(F.greatest(F.lit(0), cell(low, x) - 1).cast("int"), F.least(F.col("n" + x) + 1, cell(high, x) + 1).cast("int"))
-    at = ["mesh_id", "ix", "iy", "iz"]
-    t = tri.join(grids, "mesh_id")
-    for x in "xyz":
-        low, high = F.least(*(F.col(p + x) for p in "abc")), F.greatest(*(F.col(p + x) for p in "abc"))
-        t = t.withColumn("i" + x, F.explode(F.sequence(cell(low, x).cast("int"), cell(high, x).cast("int"))))
-    t = t.select(*at, "tri", *(p + x for p in "abc" for x in "xyz"))
-    steep = F.greatest(*(F.abs("d" + x) for x in "xyz"))
-    r = rays.where(steep > 0).join(grids, "mesh_id")
-    main = F.when(F.abs("dx") == steep, 0).when(F.abs("dy") == steep, 1).otherwise(2)
-    pick = lambda p: F.when(F.col("main") == 0, F.col(p + "x")).when(F.col("main") == 1, F.col(p + "y")).otherwise(F.col(p + "z"))
-    r = r.withColumn("main", main).withColumns({"mo": pick("o"), "md": pick("d"), "mg": pick("g"), "ms": pick("s"), "mn": pick("n")})
-    slab = r.withColumn("slab", F.explode(F.sequence(F.lit(0), F.col("mn"))))
-    t0, t1 = ((F.col("mg") + (F.col("slab") + k) * F.col("ms") - F.col("mo")) / F.col("md") for k in (0, 1))
-    slab = slab.withColumns({"t0": F.greatest(F.lit(0.0), F.least(t0, t1)), "t1": F.greatest(t0, t1)}).where("t1 >= 0")  # what is ahead
-    for k, x in enumerate("xyz"):
-        ends = [F.col("o" + x) + F.col("d" + x) * F.col(t) for t in ("t0", "t1")]
-        low, high = F.least(*ends), F.greatest(*ends)
-        meets = (cell(high, x) + 1 >= 0) & (cell(low, x) - 1 <= F.col("n" + x))
-        other = F.when(meets, span(low, high, x))
-        slab = slab.withColumn("i" + x, F.explode(F.when(F.col("main") == k, F.array("slab")).otherwise(other)))
-    slab = slab.select(*at, "ray", *(p + x for p in "od" for x in "xyz"), *([F.col(own).alias("own_tri")] if own else []))
-    a, e1 = G.point("a"), G.sub(G.point("b"), G.point("a"))
-    e2 = G.sub(G.point("c"), G.point("a"))
-    o, d = G.point("o"), G.point("d")
-    h = G.cross(d, e2)
-    det = G.dot(e1, h)
-    safe = F.when(F.abs(det) > 1e-14, det)
-    s = G.sub(o, a)
-    u = G.dot(s, h) / safe
-    q = G.cross(s, e1)
-    v = G.dot(d, q) / safe
-    dist = G.dot(e2, q) / safe
-    hit = F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (dist > 0), dist)
-    met = slab.join(t, at)
-    met = met if own is None else met.where(F.col("own_tri") != F.col("tri"))
-    return met.withColumn("t", hit).where("t > 1e-9").groupBy("mesh_id", "ray").agg(F.min("t").alias("distance"))

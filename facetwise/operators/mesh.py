@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
-from facetwise.operators.ranks import if_small, numbered, percentiles
+from facetwise.operators.ranks import group_percentiles, null_safe, numbered, with_percentiles, written
 
 #: The exact cut for a poor shape and the shares reported.
 POOR_SHAPE, LOW_SHARE, HIGH_SHARE = 0.2, 0.01, 0.99
@@ -30,8 +30,7 @@ def corners(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
 def shape_statistics(tri: DataFrame, by: list[str]) -> DataFrame:
     """One row a group: areas, shape, radius ratio, angles and aspect over its triangles; exact, interpolated percentiles.
 
-    A group's percentiles are one buffer of its different values; over a whole table (no by) values are ranked by range
-    partitions instead.
+    Percentiles are ranked by range partitions, all groups at once: no group needs to fit in a task.
     """
     m = G.with_triangle_metrics(tri)
     out = m.groupBy(*by).agg(
@@ -39,16 +38,14 @@ def shape_statistics(tri: DataFrame, by: list[str]) -> DataFrame:
         F.sum("area").alias("total_area"),
         F.min("shape").alias("shape_min"),
         F.avg("shape").alias("shape_mean"),
-        *([F.percentile("shape", F.lit(LOW_SHARE)).alias("shape_p01")] if by else []),
         F.min("rr").alias("radius_ratio_min"),
         F.min("min_angle").alias("min_angle"),
         F.max("max_angle").alias("max_angle"),
-        *([F.percentile("min_angle", F.lit(LOW_SHARE)).alias("min_angle_p01")] if by else []),
         F.max("aspect").alias("aspect_max"),
         F.count_if(F.col("area") <= 0).alias("n_inverted"),
         F.count_if(F.col("shape") < POOR_SHAPE).alias("n_poor"),
     )
-    return out if by else out.withColumns(percentiles(m, [("shape_p01", F.col("shape"), LOW_SHARE), ("min_angle_p01", F.col("min_angle"), LOW_SHARE)]))
+    return with_percentiles(out, m, by, [("shape_p01", F.col("shape"), LOW_SHARE), ("min_angle_p01", F.col("min_angle"), LOW_SHARE)])
 
 
 def quality_report(tri: DataFrame) -> DataFrame:
@@ -106,12 +103,11 @@ def size_adequation(tri: DataFrame, by: list[str], tolerance: float = 1.5) -> Da
         F.min("ratio").alias("ratio_min"),
         F.max("ratio").alias("ratio_max"),
         F.avg("ratio").alias("ratio_mean"),
-        *([F.percentile("ratio", F.lit(LOW_SHARE)).alias("ratio_p01"), F.percentile("ratio", F.lit(HIGH_SHARE)).alias("ratio_p99")] if by else []),
         share(under).alias("frac_undersized"),
         share(over).alias("frac_oversized"),
         share(in_band(F.col("ratio"), tolerance)).alias("frac_in_band"),
     )
-    return out if by else out.withColumns(percentiles(m, [("ratio_p01", F.col("ratio"), LOW_SHARE), ("ratio_p99", F.col("ratio"), HIGH_SHARE)]))
+    return with_percentiles(out, m, by, [("ratio_p01", F.col("ratio"), LOW_SHARE), ("ratio_p99", F.col("ratio"), HIGH_SHARE)])
 
 
 def attribute_by_face(tri: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -126,9 +122,8 @@ def attribute_by_face(tri: DataFrame, by: list[str] | None = None) -> DataFrame:
     if "deviation" in tri.columns:
         share = F.when(F.col("target") > 0, F.col("deviation") / F.when(F.col("target") > 0, F.col("target"))) if "target" in tri.columns else F.lit(None).cast("double")
         more.append(F.max(share).alias("chordal_relative"))
-    if "angle" in tri.columns:
-        more.append(F.percentile("angle", F.lit(HIGH_SHARE)).alias("normal_p99_deg"))
-    out = m.groupBy(*(by or []), "pid").agg(
+    keys = [*(by or []), "pid"]
+    out = m.groupBy(*keys).agg(
         F.count("*").alias("n_triangles"),
         F.min("shape").alias("shape_min"),
         F.avg("shape").alias("shape_mean"),
@@ -136,7 +131,9 @@ def attribute_by_face(tri: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.max(ratio).alias("size_ratio_max"),
         *more,
     )
-    return out.orderBy("shape_min", *(by or []), "pid")
+    if "angle" in tri.columns:
+        out = null_safe(out, group_percentiles(tri, keys, [("normal_p99_deg", F.col("angle"), HIGH_SHARE)]), keys)
+    return out.orderBy("shape_min", *keys)
 
 
 def pids(tri: DataFrame) -> DataFrame:
@@ -171,7 +168,7 @@ def dense_vertices(triangles: DataFrame) -> DataFrame:
     used = triangles.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("v")).distinct()
     number = numbered(used, ["mesh_id", "v"], "new_v")
     first = number.groupBy("mesh_id").agg(F.min("new_v").alias("first"))
-    return number.join(if_small(first), "mesh_id").select("mesh_id", "v", (F.col("new_v") - F.col("first")).alias("new_v"))
+    return number.join(written(first), "mesh_id").select("mesh_id", "v", (F.col("new_v") - F.col("first")).alias("new_v"))
 
 
 def submesh(triangles: DataFrame, vertices: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
@@ -184,19 +181,23 @@ def submesh(triangles: DataFrame, vertices: DataFrame, keep) -> tuple[DataFrame,
 
 
 def duplicate_nodes(vertices: DataFrame, tolerance: float) -> DataFrame:
-    """(mesh_id, i, j): pairs of different nodes, i < j, at most tolerance apart.
+    """(mesh_id, i, j): pairs of different nodes, i < j, at most tolerance apart; none for a tolerance of 0 or less.
 
-    Nodes are dealt into cells of the tolerance; one side asks its 27 cells, so this is an equi-join on the cell.
+    Nodes are dealt into cells of four tolerances and ask in the cells that the tolerance around them touches, one or two
+    along an axis: an equi-join on the cell. Cells are doubles, so coordinates and tolerances of any size have one (where
+    cells are finer than the coordinates' own steps, only equal ones can be near). Nodes without coordinates have no pair.
     """
-    cell = max(tolerance, 1e-12)
-    at = {f"c{x}": F.floor(F.col(x) / cell) for x in "xyz"}
-    home = vertices.select("mesh_id", F.col("v").alias("j"), *(F.col(x).alias("j" + x) for x in "xyz"), *(c.alias(k) for k, c in at.items()))
-    step = F.sequence(F.lit(-1), F.lit(1))
-    ask = vertices.select("mesh_id", F.col("v").alias("i"), "x", "y", "z", *(c.alias(k) for k, c in at.items()))
-    for k in at:
-        ask = ask.withColumn("d", F.explode(step)).withColumn(k, F.col(k) + F.col("d")).drop("d")
+    home = vertices.select("mesh_id", F.col("v").alias("j"), *(F.col(x).alias("j" + x) for x in "xyz"))
+    ask = vertices.select("mesh_id", F.col("v").alias("i"), "x", "y", "z")
+    if tolerance <= 0:
+        return ask.join(home, "mesh_id").where(F.lit(False)).select("mesh_id", "i", "j")
+    cell = F.lit(4.0 * tolerance)
+    for x in "xyz":
+        home = home.withColumn("c" + x, G.cell_of(F.col("j" + x), cell))
+        ends = [G.cell_of(F.col(x) + sign * F.lit(tolerance), cell) for sign in (-1, 0, 1)]
+        ask = ask.withColumn("c" + x, F.explode(F.array_distinct(F.array(*ends))))
     near = G.norm(tuple(F.col(x) - F.col("j" + x) for x in "xyz")) <= tolerance
-    return ask.join(home, ["mesh_id", *at]).where((F.col("i") < F.col("j")) & near).select("mesh_id", "i", "j")
+    return ask.join(home, ["mesh_id", "cx", "cy", "cz"]).where((F.col("i") < F.col("j")) & near).select("mesh_id", "i", "j")
 
 
 def msh_tags(tri: DataFrame) -> DataFrame:

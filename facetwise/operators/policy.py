@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,29 +192,6 @@ def propose(failures: dict[str, dict], unsatisfied: list[dict], worst: dict[str,
     return strategy_actions(failures, state) if failures else objective_actions(unsatisfied, worst, state)
 
 
-def actions(evidence: DataFrame) -> DataFrame:
-    """(case_id, place, kind, priority, evidence): the strategy actions of each row of evidence, the best first.
-
-    evidence has case_id, codes (array of failure codes), exception (of the mesher), the strategy's imprint, heal,
-    heal_tolerance_frac, optimize_passes and algorithm, history (array of kinds applied before) and scale. Rows are judged
-    one by one where they are; nulls stand for the defaults of a strategy.
-    """
-    names = ("imprint", "heal", "heal_tolerance_frac", "optimize_passes", "algorithm")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                given = {n: r[n] for n in names if r[n] is not None and r[n] == r[n]}
-                failures = {c: {"exception": r["exception"] or ""} for c in r["codes"]}
-                state = State(Strategy(**given), history=[Action(k) for k in r["history"]], scale=float(r["scale"]))
-                out += [(r["case_id"], k, a.kind, a.priority, a.evidence) for k, a in enumerate(strategy_actions(failures, state))]
-            yield pd.DataFrame(out, columns=["case_id", "place", "kind", "priority", "evidence"])
-
-    kind = evidence.schema["case_id"].dataType.simpleString()
-    return evidence.select("case_id", "codes", "exception", *names, "history", "scale").mapInPandas(run, f"case_id {kind}, place int, kind string, priority int, evidence string")
-
-
 def choose(candidates: DataFrame, history: DataFrame, by: list[str]) -> DataFrame:
     """Of candidates(by, kind, scope, params, priority, place) the first by priority that history(by, kind, scope, params) does
     not hold, one row a group; groups whose candidates were all applied have none."""

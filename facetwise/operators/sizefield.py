@@ -5,11 +5,12 @@ rules has ord, kind, params (map of doubles) and scope (array of face ids; empty
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
+from facetwise.operators.ranks import written
+from facetwise.scratch import Scratch
 
 RULES = "ord int, kind string, params map<string,double>, scope array<string>, note string"
 
@@ -86,38 +87,35 @@ def within_budget(faces: DataFrame, budget: int, by: list[str]) -> DataFrame:
     return element_estimate(faces, by).where(F.col("estimate") <= budget)
 
 
-def smooth(faces: DataFrame, adjacency: DataFrame, growth: float, *, extents: bool = True, passes: int = 50) -> DataFrame:
+def smooth(faces: DataFrame, adjacency: DataFrame, growth: float, *, extents: bool = True, passes: int = 50, scratch: Scratch | None = None) -> DataFrame:
     """faces(model, pid, size, area) with sizes cut where a neighbour is much smaller; adjacency(model, pid, nbr).
 
-    The limit that a face of size h and extent L puts on its neighbours is h g^max(min(L / h, 40), 1), or h g without
-    extents. With extents the result depends on the order of the faces, so a model is one group, taken in order of pid.
+    The limit that a face of size h and extent L (the root of its area) puts on its neighbours is h g^max(min(L / h, 40), 1),
+    or h g without extents. A pass takes the least limit over the sizes that it began with, so no order of faces matters;
+    passes end when no size changes, or at `passes`. Each is a join and a minimum over (model, pid): a model fills many
+    tasks. Only faces that the last pass changed are asked again, as the limits of all others hold already.
+
+    A growth of 1 or less changes nothing; a size that is null or not positive limits nobody; a null size stays null;
+    unknown neighbours and repeated links do no harm; no faces give no rows.
     """
-    import pyspark.sql.types as T
-
-    near = adjacency.groupBy("model", "pid").agg(F.sort_array(F.collect_set("nbr")).alias("nbrs"))
-    rows = faces.join(near, ["model", "pid"], "left").select("model", "pid", "size", F.sqrt(F.greatest(F.coalesce("area", F.lit(0.0)), F.lit(0.0))).alias("extent"), "nbrs")
-    schema = T.StructType([f for f in rows.schema.fields if f.name in ("model", "pid", "size")])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pid")
-        size = dict(zip(pdf["pid"], pdf["size"].astype(float), strict=True))
-        reach = dict(zip(pdf["pid"], pdf["extent"].astype(float), strict=True))
-        nbrs = {p: list(n) if n is not None else [] for p, n in zip(pdf["pid"], pdf["nbrs"], strict=True)}
-        for _ in range(passes if growth > 1 else 0):
-            before = dict(size)
-            for p, h in before.items():  # a pass reads the sizes it began with, and writes at once
-                if h <= 0:
-                    continue
-                steps = max(min(reach[p] / h, 40.0), 1.0) if extents else 1.0
-                limit = h * growth**steps
-                for q in nbrs[p]:
-                    if q in size and size[q] > limit:
-                        size[q] = limit
-            if size == before:
-                break
-        return pd.DataFrame({"model": pdf["model"], "pid": pdf["pid"], "size": [size[p] for p in pdf["pid"]]})
-
-    return rows.groupBy("model").applyInPandas(run, schema)
+    own = faces.select("model", "pid", F.col("size").cast("double").alias("size"), F.sqrt(F.greatest(F.coalesce("area", F.lit(0.0)), F.lit(0.0))).alias("extent"))
+    if growth <= 1:
+        return own.select("model", "pid", "size")
+    scratch = scratch or Scratch(faces.sparkSession)
+    links = scratch.cut(adjacency.select("model", "pid", "nbr").distinct())
+    now = scratch.cut(own.withColumn("changed", F.lit(True)))
+    h = F.col("size")
+    steps = F.greatest(F.least(F.col("extent") / h, F.lit(40.0)), F.lit(1.0)) if extents else F.lit(1.0)
+    for _ in range(passes):
+        asked = now.where(F.col("changed") & (h > 0)).select("model", "pid", (h * F.pow(F.lit(float(growth)), steps)).alias("most"))
+        limits = asked.join(links, ["model", "pid"]).groupBy("model", F.col("nbr").alias("pid")).agg(F.min("most").alias("most"))
+        after = now.drop("changed").join(limits, ["model", "pid"], "left").withColumn("changed", F.coalesce(F.col("most") < h, F.lit(False)))
+        after = scratch.cut(after.select("model", "pid", F.when(F.col("changed"), F.col("most")).otherwise(h).alias("size"), "extent", "changed"))
+        scratch.drop(now)
+        now = after
+        if now.where("changed").isEmpty():
+            break
+    return now.select("model", "pid", "size")
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -154,20 +152,25 @@ def size_at(points: DataFrame, sources: DataFrame, base_size: float) -> DataFram
     """points(mesh_id, point, x, y, z) with the ramped size: over sources (mesh_id, x, y, z, h, ramp) the least of
     h + (base - h) clip(distance / ramp, 0, 1), and at most the base.
 
-    Beyond its ramp a source asks for the base, so only sources within the longest ramp matter: both sides are dealt into
-    cells of that size and a point asks the 27 cells around it, an equi-join. Sources of the base size or more, or without
-    a ramp, ask for nothing.
+    Beyond its ramp a source asks for the base, so it is dealt into the cells that its ramp reaches, of a grid for sources
+    of its own kind: cells are twice the power of two above the ramp, so these are two along an axis and eight in all. A
+    point asks in its own cell of every grid that its mesh has sources in. So rows grow with points and sources, however
+    much ramps differ. Sources of the base size or more, or without a ramp, ask for nothing; points without coordinates
+    or sources get the base; sources without coordinates reach nobody.
     """
-    own = sources.where((F.col("ramp") > 0) & (F.col("h") < base_size))
-    longest = own.agg(F.max("ramp")).first()[0]
-    if longest is None:
-        return points.withColumn("size", F.lit(float(base_size)))
-    cell = lambda c: F.floor(F.col(c) / longest)
-    s = own.select("mesh_id", *(cell(c).alias("c" + c) for c in "xyz"), *(F.col(c).alias("s" + c) for c in "xyz"), "h", "ramp")
-    ask = points.select("mesh_id", "point", "x", "y", "z", *(cell(c).alias("c" + c) for c in "xyz"))
+    own = sources.where((F.col("ramp") > 0) & (F.col("h") < base_size)).withColumn("reach", F.least("ramp", F.lit(1e300)))
+    own = own.withColumn("level", (F.ceil(F.log2("reach")) + 1).cast("int"))
+    side = F.pow(F.lit(2.0), F.col("level").cast("double"))
+    cells = ["c" + c for c in "xyz"]
+    s = own.where(F.expr(" and ".join(f"{c} is not null and not isnan({c})" for c in "xyz"))).withColumn("side", side)
     for c in "xyz":
-        ask = ask.withColumn("c" + c, F.explode(F.sequence(F.col("c" + c) - 1, F.col("c" + c) + 1)))
+        low, high = (G.cell_of(F.col(c) + sign * F.col("reach"), F.col("side")) for sign in (-1, 1))
+        s = s.withColumn("c" + c, F.explode(F.array_distinct(F.array(low, F.least(low + 1, high), high))))
+    s = s.select("mesh_id", "level", *cells, *(F.col(c).alias("s" + c) for c in "xyz"), "h", "ramp")
+    levels = written(own.select("mesh_id", "level").distinct())  # a row a mesh and power of two
+    ask = points.select("mesh_id", "point", "x", "y", "z").join(levels, "mesh_id").withColumns({"c" + c: G.cell_of(F.col(c), side) for c in "xyz"})
     d = G.norm(tuple(F.col(c) - F.col("s" + c) for c in "xyz"))
     ramped = F.col("h") + (F.lit(base_size) - F.col("h")) * F.least(F.lit(1.0), d / F.col("ramp"))
-    near = ask.join(s, ["mesh_id", "cx", "cy", "cz"]).groupBy("mesh_id", "point").agg(F.min(ramped).alias("near"))
-    return points.join(near, ["mesh_id", "point"], "left").withColumn("size", F.coalesce(F.least("near", F.lit(float(base_size))), F.lit(float(base_size)))).drop("near")
+    near = ask.join(s, ["mesh_id", "level", *cells]).groupBy("mesh_id", "point").agg(F.min(ramped).alias("near"))
+    base = F.lit(float(base_size))
+    return points.join(near, ["mesh_id", "point"], "left").withColumn("size", F.coalesce(F.least("near", base), base)).drop("near")

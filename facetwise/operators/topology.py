@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
-from facetwise.operators.ranks import if_small
+from facetwise.operators.ranks import with_percentiles
 
 
 def directed_edges(triangles: DataFrame, keep: list[str]) -> DataFrame:
@@ -24,8 +24,8 @@ def edge_uses(triangles: DataFrame, by: list[str]) -> DataFrame:
 
 
 def skin(triangles: DataFrame, interface: DataFrame, on: list[str]) -> DataFrame:
-    """Triangles that lie on no interface face; a short list of those is broadcast."""
-    return triangles.join(if_small(interface), on, "left_anti")
+    """Triangles that lie on no interface face; Spark broadcasts the list of those if its bytes allow."""
+    return triangles.join(interface, on, "left_anti")
 
 
 def edge_topology(triangles: DataFrame, by: list[str]) -> DataFrame:
@@ -66,13 +66,13 @@ def gradation(sizes: DataFrame, pairs: DataFrame, by: list[str], limit: float =
     small = F.least("s1", "s2")
     both = both.withColumn("ratio", G.guarded(F.greatest("s1", "s2"), small, G.inf()))
     finite = F.when(F.col("ratio") < G.inf(), F.col("ratio"))
-    return both.groupBy(*by).agg(
+    out = both.groupBy(*by).agg(
         F.count("*").alias("n_pairs"),
         F.max("ratio").alias("max_ratio"),
         F.avg(finite).alias("mean_ratio"),
-        F.percentile(finite, F.lit(0.99)).alias("p99_ratio"),
         F.avg((F.col("ratio") > limit).cast("int")).alias("frac_over"),
     )
+    return with_percentiles(out, both, by, [("p99_ratio", finite, 0.99)])
 
 
 def incidence(face_curves: DataFrame, curves: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
-from facetwise.operators import entities, meshers, policy
+from facetwise.operators import decisions, entities, meshers, policy
 from facetwise.plans import bindings as B
 from facetwise.plans.registry import query, rounded
 
@@ -33,7 +33,7 @@ def _boxes(spark, sf_dir):
 )
 def bbox_coincident(spark, sf_dir):
     old, new = _boxes(spark, sf_dir)
-    return entities.coincident_pairs(old, new, ["model"], F.lit(0.5), 0.2, cell=8.0).select("model", "o_pid", "n_tag")
+    return entities.coincident_pairs(old, new, ["model"], F.lit(0.5), 0.2).select("model", "o_pid", "n_tag")
 
 
 @query(
@@ -104,30 +104,110 @@ def entity_match(spark, sf_dir):
 _CODES = (
     "validity.nonmanifold", "validity.degenerate_shape", "validity.inverted", "mesher.failed", "validity.orientation", "contract.unapproved_removal", "contract.interface_not_conformal", "contract.boundary_mismatch", "other.code",
 )
+#: A case has one, two or three of the codes.
 _CASE = f"""e as (
-    select c_custkey as case_id, {list(_CODES)}[c_custkey % 9 + 1] as code, ['Periodic surface', '1D mesh not forming a closed loop', 'boom'][c_custkey % 7 % 3 + 1] as said, c_custkey % 4 > 0 as imprint, c_custkey % 3 = 1 as heal,
+    select c_custkey as case_id, {list(_CODES)} as all_codes, list_distinct([all_codes[c_custkey % 9 + 1], all_codes[c_custkey % 8 + 1], all_codes[(c_custkey // 5) % 9 + 1]]) as codes,
+        ['Periodic surface', '1D mesh not forming a closed loop', 'boom'][c_custkey % 7 % 3 + 1] as said, c_custkey % 4 > 0 as imprint, c_custkey % 3 = 1 as heal,
         [0.0001, 0.0005, 0.001, 0.01][c_custkey % 4 + 1]::double as frac, c_custkey % 5 as passes, ['default', 'frontal', 'delaunay', 'meshadapt'][c_custkey % 11 % 4 + 1] as algorithm, c_custkey % 13 % 3 as tightened from customer),
+c as (select *, unnest(codes) as code from e),
 a as (
-    select case_id, code, case
-        when code = 'validity.nonmanifold' then case when not imprint then 'reimprint:0' when tightened < 2 then 'tighten_tolerance:1' else 'escalate:99' end
+    select case_id, code, codes, case
+        when code = 'validity.nonmanifold' then case when not imprint then 'reimprint:0' when tightened < 2 then 'tighten_tolerance:1' end
         when code = 'validity.degenerate_shape' then case when not heal then 'enable_healing:0' when frac * 10 <= 0.01 then 'increase_heal_tolerance:1' else 'escalate:90' end
         when code = 'validity.inverted' then case when passes < 3 then 'increase_optimization:2' else 'switch_algorithm:3' end
         when code = 'mesher.failed' and said = 'Periodic surface' then case when algorithm <> 'meshadapt' then 'switch_algorithm:0' when not heal then 'enable_healing:1' else 'escalate:94' end
         when code = 'mesher.failed' and said <> 'boom' then case when not heal then 'enable_healing:0' when tightened < 2 then 'tighten_tolerance:1' else 'escalate:94' end
         when code = 'mesher.failed' then 'switch_algorithm:2' when code = 'validity.orientation' then 'escalate:95' when code = 'contract.unapproved_removal' then 'escalate:91'
-        when code = 'contract.interface_not_conformal' then 'reimprint:1' when code = 'contract.boundary_mismatch' then 'escalate:93' else 'escalate:99' end as act from e)"""
-
-
-@query(f"with {_CASE} select case_id, code as evidence, 0 as place, split_part(act, ':', 1) as kind, cast(split_part(act, ':', 2) as integer) as priority from a")
+        when code = 'contract.interface_not_conformal' then 'reimprint:1' when code = 'contract.boundary_mismatch' then 'escalate:93' end as act,
+        case code when 'mesher.failed' then case when said = 'Periodic surface' then 'meshadapt' when said = 'boom' then case algorithm when 'frontal' then 'delaunay' else 'frontal' end end
+            when 'validity.inverted' then case algorithm when 'frontal' then 'delaunay' else 'frontal' end end as target,
+        case when code = 'validity.nonmanifold' then 0.001 when code = 'mesher.failed' then 0.1 else frac * 10 end as number from c),
+act as (
+    select case_id, code as evidence, split_part(act, ':', 1) as kind, cast(split_part(act, ':', 2) as integer) as priority, list_position({list(_CODES)}, code) as ord,
+        case when kind = 'switch_algorithm' then target end as algorithm, case when kind in ('tighten_tolerance', 'increase_heal_tolerance') then number end as number from a where act is not null
+    union all
+    select case_id, array_to_string(list_sort(codes), ',') as evidence, 'escalate', 99, 0, null, null from e where not exists (select 1 from a where a.case_id = e.case_id and act is not null))"""
+
+
+@query(f"with {_CASE} select case_id, evidence, cast(row_number() over (partition by case_id order by priority, ord) - 1 as integer) as place, kind, priority, algorithm, round(number, 9) as number from act")
 def policy_actions(spark, sf_dir):
     pick = lambda rows, at: F.array(*map(F.lit, rows))[at.cast("int")]
     k = F.col("c_custkey")
     e = B.table(spark, sf_dir, "customer").select(
-        k.alias("case_id"), F.array(pick(_CODES, k % 9)).alias("codes"), pick(("Periodic surface", "1D mesh not forming a closed loop", "boom"), k % 7 % 3).alias("exception"), (k % 4 > 0).alias("imprint"), (k % 3 == 1).alias("heal"),
+        k.alias("case_id"), F.array_distinct(F.array(pick(_CODES, k % 9), pick(_CODES, k % 8), pick(_CODES, F.floor(k / 5) % 9))).alias("codes"),
+        pick(("Periodic surface", "1D mesh not forming a closed loop", "boom"), k % 7 % 3).alias("exception"), (k % 4 > 0).alias("imprint"), (k % 3 == 1).alias("heal"),
         pick((0.0001, 0.0005, 0.001, 0.01), k % 4).alias("heal_tolerance_frac"), (k % 5).cast("int").alias("optimize_passes"), pick(("default", "frontal", "delaunay", "meshadapt"), k % 11 % 4).alias("algorithm"),
         F.array_repeat(F.lit("tighten_tolerance"), (k % 13 % 3).cast("int")).alias("history"), F.lit(100.0).alias("scale"),
     )
-    return policy.actions(e)
+    out = decisions.strategy_actions(e)
+    number = F.round(F.coalesce(F.col("params")["tolerance"], F.col("params")["heal_tolerance_frac"]), 9)
+    return out.select("case_id", "evidence", "place", "kind", "priority", "algorithm", number.alias("number"))
+
+
+#: Runs are suppliers, their faces the lines that they supply.
+_FACES = """face as (
+    select l_suppkey as case_id, l_orderkey * 10 + l_linenumber as pid, l_extendedprice / 100 as area, case when l_quantity % 10 = 0 then null else l_quantity / 10 end::double as size,
+        l_discount * 10 + l_quantity / 1000 as chordal_relative, case when l_tax = 0 then null else l_tax * 100 + l_discount end::double as normal_p99_deg, (l_partkey % 100) / 100.0::double as shape_min from lineitem),
+run as (
+    select s_suppkey as case_id, 100.0::double as scale, (s_suppkey % 5)::integer as passes, s_suppkey % 2 = 0 as refined, [1000, 100000, 100000000][s_suppkey % 3 + 1] as budget, case when s_suppkey % 4 > 0 then s_suppkey % 7 + 1.0 end::double as h,
+        case when s_suppkey % 3 > 0 then 0.5 end::double as chord, list_filter([
+            case when s_suppkey % 2 = 0 then 'min_shape' end, case when s_suppkey % 3 < 2 then 'chordal' end, case when s_suppkey % 5 < 3 then 'size_in_band' end, case when s_suppkey % 7 < 4 then 'normal_deviation' end,
+            case when s_suppkey % 3 = 0 then 'gradation' end, case when s_suppkey % 11 = 0 then 'unknown' end, case when s_suppkey % 4 = 1 then 'max_angle' end], lambda x: x is not null) as missed from supplier)"""
+
+
+def _runs(spark, sf_dir):
+    f = B.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_suppkey as case_id", "l_orderkey * 10 + l_linenumber as pid", "l_extendedprice / 100 as area", "cast(if(l_quantity % 10 = 0, null, l_quantity / 10) as double) as size", "l_discount * 10 + l_quantity / 1000 as chordal_relative",
+        "cast(if(l_tax = 0, null, l_tax * 100 + l_discount) as double) as normal_p99_deg", "(l_partkey % 100) / 100D as shape_min",
+    )
+    c = B.table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey as case_id", "100D as scale", "cast(s_suppkey % 5 as int) as optimize_passes", "s_suppkey % 2 = 0 as refined", "array(1000L, 100000L, 100000000L)[cast(s_suppkey % 3 as int)] as budget", "cast(if(s_suppkey % 4 > 0, s_suppkey % 7 + 1, null) as double) as h",
+        "cast(if(s_suppkey % 3 > 0, 0.5, null) as double) as chordal_tol", "cast(null as double) as normal_tol_deg", "cast(null as double) as max_growth", "cast(null as double) as h_min",
+        """transform(filter(array(if(s_suppkey % 2 = 0, 'min_shape', null), if(s_suppkey % 3 < 2, 'chordal', null), if(s_suppkey % 5 < 3, 'size_in_band', null), if(s_suppkey % 7 < 4, 'normal_deviation', null),
+            if(s_suppkey % 3 = 0, 'gradation', null), if(s_suppkey % 11 = 0, 'unknown', null), if(s_suppkey % 4 = 1, 'max_angle', null)), x -> x is not null),
+            x -> named_struct('name', x, 'frac_oversized', (s_suppkey % 10) / 10D, 'frac_undersized', 0.35D)) as missed""",
+    )
+    return c, f
+
+
+_COUNT = "case when area > 0 and {h} > 0 then area / ({h} * {h} * sqrt(3) / 4) else 0 end"
+_SCOPED = f"""{_FACES},
+low as (select case_id, list(pid order by shape_min, pid)[:5] as pids from face group by case_id),
+fine as (select l.case_id, min(coalesce(size, 100)) * 0.6 as h from low l join face f on f.case_id = l.case_id and list_contains(l.pids, f.pid) group by l.case_id),
+part as (
+    select f.case_id, fine.h, cast(round_even(sum(case when list_contains(pids, pid) then {_COUNT.format(h="fine.h")} else {_COUNT.format(h="coalesce(size, 0)")} end), 0) as bigint) as estimate
+    from face f join low using (case_id) join fine on fine.case_id = f.case_id group by f.case_id, fine.h)"""
+
+
+@query(f"with {_SCOPED} select p.case_id, round(p.h, 9) as h, estimate, estimate <= budget as affordable from part p join run using (case_id)")
+def budgeted_refine(spark, sf_dir):
+    c, f = _runs(spark, sf_dir)
+    scopes = decisions.worst_scopes(f).select("case_id", F.col("shape_min").alias("scope"))
+    least = f.join(scopes.select("case_id", F.explode("scope").alias("pid")), ["case_id", "pid"]).groupBy("case_id").agg((F.min(F.coalesce("size", F.lit(100.0))) * 0.6).alias("h"))
+    return rounded(decisions.budgeted(f, c.select("case_id", "budget").join(scopes, "case_id").join(least, "case_id")), digits=9)
+
+
+@query(
+    f"""with {_SCOPED},
+    chord as (select case_id, list(pid order by chordal_relative desc, pid desc)[:5] as pids from face group by case_id),
+    norm as (select case_id, list(pid order by normal_p99_deg desc, pid desc)[:5] as pids from face where normal_p99_deg is not null group by case_id),
+    whole as (select case_id, cast(round_even(sum({_COUNT.format(h="(coalesce(run.h, 5) * 0.7)")}), 0) as bigint) as estimate from face join run using (case_id) group by case_id),
+    o as (select r.*, coalesce(r.h, 5) as base, coalesce(chord, 2) as tol, unnest(missed) as name, unnest(range(0, len(missed))) as turn from run r),
+    a as (
+        select case_id, turn, name, 0 as step, 10 + turn as priority, 'tighten_curvature' as kind, tol * 0.5 as value, 12.0 as normal, pids from o left join chord using (case_id) where name = 'chordal'
+        union all select case_id, turn, name, 1, 10 + turn, 'tighten_curvature', tol, 7.2, pids from o left join norm using (case_id) where name = 'normal_deviation'
+        union all select case_id, turn, name, 2, 10 + turn, 'tighten_gradation', 1.24, null, [] from o where name = 'gradation'
+        union all select case_id, turn, name, 3, 10 + turn, 'increase_optimization', null, null, [] from o where name in ('min_shape', 'max_angle') and passes < 3
+        union all select case_id, turn, name, 4, 10 + turn, 'refine_global', base * 0.7, null, [] from o left join whole using (case_id) where name in ('min_shape', 'max_angle') and refined and coalesce(estimate, 0) <= budget
+        union all select case_id, turn, name, 5, 11 + turn, 'refine_faces', part.h, null, pids from o join part using (case_id) join low using (case_id) where name in ('min_shape', 'max_angle') and estimate <= budget
+        union all select case_id, turn, name, 6, 10 + turn, case when case_id % 10 > 3 then 'coarsen_global' else 'raise_floor' end, case when case_id % 10 > 3 then base * 0.8 else 0.2 end, null, [] from o where name = 'size_in_band')
+    select case_id, cast(row_number() over (partition by case_id order by priority, turn, step) - 1 as integer) as place, kind, cast(priority as integer) as priority, name as evidence, round(value, 9) as value, cast(normal as double) as normal, coalesce(array_to_string(pids, ','), '') as scope from a"""
+)
+def objective_actions(spark, sf_dir):
+    out = decisions.objective_actions(*_runs(spark, sf_dir))
+    p = F.col("params")
+    value = F.coalesce(p["chordal_tol"], p["max_growth"], p["h"], p["h_min"])
+    return out.select("case_id", "place", "kind", "priority", "evidence", F.round(value, 9).alias("value"), F.round(p["normal_tol_deg"], 9).alias("normal"), F.array_join("scope", ",").alias("scope"))
 
 
 @query(

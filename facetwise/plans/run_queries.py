@@ -119,13 +119,23 @@ def spec_diff(spark, sf_dir):
     return sizefield.diff(old, new)
 
 
-@query()
+@query(
+    """with recursive face as (select 'm' || s_nationkey % 5 as model, cast(s_suppkey as varchar) as pid, 0.05::double + (s_suppkey * 37 % 100) / 20.0::double as size, sqrt(abs(s_acctbal) / 100) as extent from supplier),
+    link as (select a.model, a.pid, b.pid as nbr from face a join face b using (model) where abs(cast(a.pid as integer) - cast(b.pid as integer)) between 1 and 25),
+    pass as (
+        select 0 as k, * from face
+        union all
+        select a.k + 1, a.model, a.pid, least(a.size, coalesce(min(b.size * power(1.4, greatest(least(b.extent / b.size, 40), 1))), a.size)), a.extent
+        from pass a left join link l on l.model = a.model and l.nbr = a.pid left join pass b on b.model = l.model and b.pid = l.pid and b.size > 0
+        where a.k < 50 group by a.k, a.model, a.pid, a.size, a.extent)
+    select model, pid, round(size, 6) as size from pass where k = 50"""
+)
 def size_smooth(spark, sf_dir):
     s = B.table(spark, sf_dir, "supplier")
     faces = s.selectExpr("'m' || s_nationkey % 5 as model", "cast(s_suppkey as string) as pid", "0.05D + (s_suppkey * 37 % 100) / 20.0D as size", "abs(s_acctbal) / 100 as area")
     near = faces.select("model", "pid")
     pairs = near.join(near.withColumnRenamed("pid", "nbr"), "model").where("abs(cast(pid as int) - cast(nbr as int)) between 1 and 25")
-    return sizefield.smooth(faces, pairs, 1.4)
+    return rounded(sizefield.smooth(faces, pairs, 1.4))
 
 
 @query(
