@@ -13,6 +13,7 @@ import os.path
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from facetwise.llm.common import Scratch
 
@@ -22,7 +23,7 @@ VALUE_BITS, DIGIT_BITS = 64, 16
 ITEM_BYTES = 4
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _shared(low: pd.Series, high: pd.Series) -> pd.Series:
     """The number of bytes with which the least and the greatest item, and so all between them, begin alike."""
     return pd.Series([len(os.path.commonprefix([bytes(a), bytes(b)])) for a, b in zip(low, high, strict=True)], dtype="int32")

@@ -44,6 +44,8 @@ SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest
 SCHEMA = "record_type string, record_id string, record_date string, target_uri string, refers_to string, payload_digest string, content_type string, block_length long, headers map<string,string>, payload binary"
 #: Bytes of a file that is written, of the small files that share a partition, of a batch of rows, and of one read.
 FILE_BYTES, PARTITION_BYTES, BATCH_BYTES, STEP = 64 << 20, 16 << 20, 8 << 20, 1 << 18
+#: Bytes that are decoded at a time in search of the end of a record's headers.
+HEAD_STEP = 1 << 11
 #: Bytes of the headers of a record at most: beyond, the file is no archive.
 HEAD_BYTES = 1 << 22
 
@@ -67,8 +69,8 @@ class _Plain:
     def __init__(self, f):
         self.f, self.buf = f, b""
 
-    def fill(self) -> bool:
-        more = self.f.read(STEP)
+    def fill(self, n: int = STEP) -> bool:
+        more = self.f.read(max(n, STEP >> 4))
         self.buf += more
         return bool(more)
 
@@ -119,13 +121,13 @@ class _Gzip(_Plain):
         self.inflater = zlib.decompressobj(31)
         return True
 
-    def fill(self) -> bool:
+    def fill(self, n: int = STEP) -> bool:
         if self.inflater is None and not self._begin():
             return False
         if not self.raw and not self._more():
             raise ValueError("the file ends inside a gzip member")
         before = len(self.raw)
-        out = self.inflater.decompress(self.raw, STEP)
+        out = self.inflater.decompress(self.raw, n)
         self.raw = self.inflater.unconsumed_tail or self.inflater.unused_data
         self.at += before - len(self.raw)
         if self.inflater.eof:
@@ -156,12 +158,12 @@ def _records(stream: _Plain) -> Iterator[tuple[dict[str, str], int, int]]:
     while True:
         while True:  # line ends between records
             stream.buf = stream.buf.lstrip(b"\r\n")
-            if stream.buf or not stream.fill():
+            if stream.buf or not stream.fill(HEAD_STEP):
                 break
         if not stream.buf:
             return
         while (end := stream.buf.find(b"\r\n\r\n")) < 0:
-            if len(stream.buf) > HEAD_BYTES or not stream.fill():
+            if len(stream.buf) > HEAD_BYTES or not stream.fill(HEAD_STEP):
                 raise ValueError("no end of a record's headers")
         head, stream.buf = stream.buf[:end], stream.buf[end + 4 :]
         if not head.startswith(b"WARC/"):
