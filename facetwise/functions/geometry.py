@@ -230,20 +230,93 @@ def borderline(measured: Column, threshold: Column, factor: float = 2.0) -> Colu
     return F.coalesce(m.between(1 / factor, factor), F.lit(False))
 
 
-def orient2d(ax, ay, bx, by, cx, cy, eps: float = 1e-12) -> Column:
-    """Sign of the area of abc; 0 within the rounding error of the filter."""
+#: Bounds of the rounding error of the two determinants in doubles, relative to the sum of their terms.
+ORIENT_BOUND, CIRCLE_BOUND = 3.3306690738754716e-16, 1.1102230246251577e-15
+#: Splits a double into two halves of 26 bits.
+_SPLITTER = float(2**27 + 1)
+
+
+def _sum_error(a: Column, b: Column) -> Column:
+    """What a + b loses to rounding, exactly."""
+    x = a + b
+    part = x - a
+    return (a - (x - part)) + (b - part)
+
+
+def _halves(a: Column) -> tuple[Column, Column]:
+    high = a * _SPLITTER - (a * _SPLITTER - a)
+    return high, a - high
+
+
+def _product(a: Column, b: Column) -> list[Column]:
+    """Two doubles whose sum is a b exactly, the smaller first."""
+    (ah, al), (bh, bl), x = _halves(a), _halves(b), a * b
+    return [al * bl - (((x - ah * bh) - al * bh) - ah * bl), x]
+
+
+def _exact_sum(terms: Column) -> Column:
+    """An array of doubles to an expansion: an array with the same exact sum, whose parts don't overlap, growing in size and
+    without zeros."""
+    none = F.array().cast("array<double>")
+
+    def grow(e: Column, b: Column) -> Column:
+        step = lambda s, x: F.struct((s["q"] + x).alias("q"), F.concat(s["h"], F.array(_sum_error(s["q"], x))).alias("h"))
+        done = lambda s: F.filter(F.concat(s["h"], F.array(s["q"])), lambda x: x != 0)
+        return F.aggregate(e, F.struct(b.alias("q"), none.alias("h")), step, done)
+
+    return F.aggregate(terms, none, grow)
+
+
+def _exact_product(e: Column, f: Column) -> Column:
+    """The parts of all products of two expansions: an array with the exact product as its sum."""
+    return F.flatten(F.transform(e, lambda a: F.flatten(F.transform(f, lambda b: F.array(*_product(a, b))))))
+
+
+def _sign(expansion: Column) -> Column:
+    """The sign of an expansion; null where it overflowed."""
+    sign = F.signum(F.coalesce(F.try_element_at(expansion, F.lit(-1)), F.lit(0.0)))
+    return F.when(~F.isnan(sign), sign)
+
+
+def _orient_terms(ax, ay, bx, by, cx, cy) -> Column:
+    """Twelve doubles whose exact sum is twice the signed area of abc."""
+    pairs = ((ax, by), (-ax, cy), (-cx, by), (-ay, bx), (ay, cx), (cy, bx))
+    return F.array(*(x for p, q in pairs for x in _product(p, q)))
+
+
+def orient2d(ax, ay, bx, by, cx, cy) -> Column:
+    """The exact sign of the area of abc: 1 if counter-clockwise, -1 if clockwise, 0 only if in line.
+
+    Doubles decide where their rounding error can't matter; else products and sums without error do. Exact for coordinates
+    whose products neither overflow nor vanish (sizes from 1e-140 to 1e150, and 0); null for null coordinates and
+    where they overflow.
+    """
     left, right = (ax - cx) * (by - cy), (ay - cy) * (bx - cx)
     det = left - right
-    return F.when(F.abs(det) > (F.abs(left) + F.abs(right)) * eps, F.signum(det)).otherwise(0.0).cast("int")
+    exact = _sign(_exact_sum(_orient_terms(ax, ay, bx, by, cx, cy)))
+    same = ((ax == cx) | (by == cy)) & ((ay == cy) | (bx == cx))  # nothing to compute, as where ends are shared
+    return F.when(F.abs(det) > (F.abs(left) + F.abs(right)) * ORIENT_BOUND, F.signum(det)).when(same, 0.0).when(det.isNotNull(), exact).cast("int")
 
 
-def in_circle(ax, ay, bx, by, cx, cy, dx, dy, eps: float = 1e-11) -> Column:
-    """1 if d is inside the circle of counter-clockwise abc, -1 outside; 0 within the rounding error of the filter."""
+def in_circle(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """1 if d is inside the circle of counter-clockwise abc, -1 if outside, 0 only if on it: exact, as orient2d is.
+
+    Exact for coordinates whose fourth powers neither overflow nor vanish (sizes from 1e-70 to 1e75, and 0).
+    """
     (x1, y1), (x2, y2), (x3, y3) = ((px - dx, py - dy) for px, py in ((ax, ay), (bx, by), (cx, cy)))
-    z1, z2, z3 = x1 * x1 + y1 * y1, x2 * x2 + y2 * y2, x3 * x3 + y3 * y3
-    terms = (x1 * (y2 * z3 - y3 * z2), y1 * (x3 * z2 - x2 * z3), z1 * (x2 * y3 - x3 * y2))
-    det, size = sum(terms[1:], terms[0]), sum((F.abs(t) for t in terms[1:]), F.abs(terms[0]))
-    return F.when(F.abs(det) > size * eps, F.signum(det)).otherwise(0.0).cast("int")
+    lifted = [x * x + y * y for x, y in ((x1, y1), (x2, y2), (x3, y3))]
+    minors = [(x2 * y3, x3 * y2), (x3 * y1, x1 * y3), (x1 * y2, x2 * y1)]
+    terms = [z * (p - q) for z, (p, q) in zip(lifted, minors, strict=True)]
+    sizes = [z * (F.abs(p) + F.abs(q)) for z, (p, q) in zip(lifted, minors, strict=True)]
+    det, size = terms[0] + terms[1] + terms[2], sizes[0] + sizes[1] + sizes[2]
+    points = {"a": (ax, ay), "b": (bx, by), "c": (cx, cy), "d": (dx, dy)}
+    parts = []
+    for own, others, sign in (("a", "bcd", 1.0), ("b", "acd", -1.0), ("c", "abd", 1.0), ("d", "abc", -1.0)):
+        (px, py), area = points[own], _exact_sum(_orient_terms(*(v for k in others for v in points[k])))
+        square = F.array(*(x * sign for v in (px, py) for x in _product(v, v)))
+        parts.append(_exact_product(area, square))
+    exact = _sign(_exact_sum(F.concat(*parts)))
+    return F.when(F.abs(det) > size * CIRCLE_BOUND, F.signum(det)).when(det.isNotNull(), exact).cast("int")
 
 
 def in_triangle(px, py, ax, ay, bx, by, cx, cy) -> Column:
@@ -260,8 +333,10 @@ def segments_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     overlap = (F.greatest(F.least(ax, bx), F.least(cx, dx)) <= F.least(F.greatest(ax, bx), F.greatest(cx, dx))) & (
         F.greatest(F.least(ay, by), F.least(cy, dy)) <= F.least(F.greatest(ay, by), F.greatest(cy, dy))
     )
-    flat = (o1 == 0) & (o2 == 0) & (o3 == 0) & (o4 == 0)
-    return ~shared & (((o1 * o2 <= 0) & (o3 * o4 <= 0) & ~flat) | (flat & overlap))
+    # Apart from lines in one: one product of signs a segment, and all four signs are 0 if their absolute sum is.
+    apart = F.when(o1 * o2 > 0, True).otherwise(o3 * o4 > 0)
+    flat = F.when(o1 != 0, False).when(o2 != 0, False).when(o3 != 0, False).otherwise(o4 == 0)
+    return F.when(shared, False).when(apart, False).when(flat, overlap).otherwise(True)
 
 
 def circumcenter(ax, ay, bx, by, cx, cy) -> tuple[Column, Column]:

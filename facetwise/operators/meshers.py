@@ -16,10 +16,11 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
+from facetwise.operators.ranks import written
 
 FACE = "face string, kind string, radius double, h double, exact_area double, loops array<array<struct<u:double,v:double>>>"
 TRIANGLE = "face string, tri long, v0 long, v1 long, v2 long, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double"
@@ -66,22 +67,113 @@ def resample(nodes: DataFrame, by: list[str], target: float) -> DataFrame:
     return cut.withColumn("ord", F.row_number().over(Window.partitionBy(*by, "loop").orderBy("ord", "k")) - 1).select(*by, "loop", "ord", "u", "v")
 
 
+def _corners(low: Column, high: Column) -> Column:
+    """The one or two cells from low to high, three at most where rounding adds one."""
+    return F.array_distinct(F.array(low, F.least(low + 1, high), high))
+
+
 def self_crossings(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, loop, n): pairs of edges of a loop that cross; a simple loop has none. Loops are boundaries of single faces."""
+    """(by, loop, n): pairs of edges of a loop that cross; a simple loop has no row.
+
+    Edges meet in the cells of grids whose sides are powers of two: an edge is in at most two cells an axis of the grid of
+    its own size, and asks there and in the grids of longer edges, so rows grow with the edges and the sizes that occur. A
+    pair that shares several cells is looked at in the first of them only.
+    """
     n = next_nodes(nodes, by)
-    a = n.select(*by, "loop", F.col("ord").alias("i"), *(F.col(c).alias("p" + c) for c in ("u", "v", "u1", "v1")))
-    b = n.select(*by, "loop", F.col("ord").alias("j"), *(F.col(c).alias("q" + c) for c in ("u", "v", "u1", "v1")))
+    box = {c: (F.least(c, f"{c}1"), F.greatest(c, f"{c}1")) for c in "uv"}
+    extent = F.greatest(*(high - low for low, high in box.values()), F.lit(1e-300))
+    e = n.select(*by, "loop", "ord", "u", "v", "u1", "v1", F.ceil(F.log2(extent)).cast("int").alias("level"))
+
+    def dealt(rows: DataFrame, prefix: str) -> DataFrame:
+        side = F.pow(F.lit(2.0), F.col("at").cast("double"))
+        for c in "uv":
+            low, high = (G.cell_of(x, side) for x in box[c])
+            rows = rows.withColumn(f"{prefix}low_{c}", low).withColumn(f"cell_{c}", F.explode(_corners(low, high)))
+        return rows.select(*by, "loop", "at", "cell_u", "cell_v", *(F.col(c).alias(prefix + c) for c in ("ord", "level", "u", "v", "u1", "v1")), *(prefix + f"low_{c}" for c in "uv"))
+
+    levels = written(e.select(*by, "loop", F.col("level").alias("at")).distinct())  # a row a loop and power of two
+    home = dealt(e.withColumn("at", F.col("level")), "p")
+    ask = dealt(e.join(levels, [*by, "loop"]).where(F.col("at") >= F.col("level")), "q")
+    met = home.join(ask, [*by, "loop", "at", "cell_u", "cell_v"])
+    met = met.where((F.col("qlevel") < F.col("plevel")) | ((F.col("qlevel") == F.col("plevel")) & (F.col("pord") < F.col("qord"))))
+    met = met.where((F.col("cell_u") == F.greatest("plow_u", "qlow_u")) & (F.col("cell_v") == F.greatest("plow_v", "qlow_v")))
     cross = G.segments_cross(*(F.col(p + c) for p in "pq" for c in ("u", "v", "u1", "v1")))
-    return a.join(b, [*by, "loop"]).where(F.col("i") < F.col("j")).where(cross).groupBy(*by, "loop").agg(F.count("*").alias("n"))
+    return met.where(cross).groupBy(*by, "loop").agg(F.count("*").alias("n"))
+
+
+def loop_is_simple(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, loop, is_simple): whether no edges of a loop cross; a loop of fewer than three nodes is not simple."""
+    sizes = nodes.groupBy(*by, "loop").agg(F.count("*").alias("nodes"))
+    out = sizes.join(self_crossings(nodes, by), [*by, "loop"], "left")
+    return out.select(*by, "loop", ((F.col("nodes") >= 3) & F.col("n").isNull()).alias("is_simple"))
 
 
 def winding(points: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, point, winding): turns of the face's loops around points(by, point, pu, pv); point is an id inside its face."""
-    n = next_nodes(nodes, by)
+    """(by, point, winding): turns of the face's loops around points(by, point, pu, pv); point is an id inside its face.
+
+    An edge is in one or two bands of v whose height is the power of two above its own, and a point asks in its band of
+    each height that its face has: rows grow with points and edges, not with their product. Points of faces without loops
+    have no row; level edges turn nothing.
+    """
+    height = F.abs(F.col("v1") - F.col("v"))
+    n = next_nodes(nodes, by).where(height > 0).withColumn("at", F.ceil(F.log2(height)).cast("int"))
+    side = F.pow(F.lit(2.0), F.col("at").cast("double"))
+    levels = written(n.select(*by, "at").distinct())  # a row a face and power of two
+    low, high = (G.cell_of(x, side) for x in (F.least("v", "v1"), F.greatest("v", "v1")))
+    n = n.withColumn("band", F.explode(_corners(low, high)))
+    own = points.join(nodes.select(*by).distinct(), by, "left_semi")
+    ask = own.select(*by, "point", "pu", "pv").join(levels, by).withColumn("band", G.cell_of(F.col("pv"), side))
     left = (F.col("u1") - F.col("u")) * (F.col("pv") - F.col("v")) - (F.col("pu") - F.col("u")) * (F.col("v1") - F.col("v"))
     up = (F.col("v") <= F.col("pv")) & (F.col("v1") > F.col("pv")) & (left > 0)
     down = (F.col("v") > F.col("pv")) & (F.col("v1") <= F.col("pv")) & (left < 0)
-    return points.join(n, by).groupBy(*by, "point").agg(F.sum(F.when(up, 1).when(down, -1).otherwise(0)).alias("winding"))
+    turns = ask.join(n.select(*by, "at", "band", "u", "v", "u1", "v1"), [*by, "at", "band"]).groupBy(*by, "point").agg(F.sum(F.when(up, 1).when(down, -1).otherwise(0)).alias("winding"))
+    return own.select(*by, "point").join(turns, [*by, "point"], "left").withColumn("winding", F.coalesce("winding", F.lit(0).cast("long")))
+
+
+def constrained_edges(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, a, b): the edges of all loops that a mesh must have, by node numbers that run on from loop to loop."""
+    place = F.row_number().over(Window.partitionBy(*by, "loop").orderBy("ord")) - 1
+    own = nodes.withColumn("place", place).join(loop_offsets(nodes, by), [*by, "loop"])
+    return own.select(*by, (F.col("offset") + F.col("place")).alias("a"), (F.col("offset") + (F.col("place") + 1) % F.col("n")).alias("b"))
+
+
+def _loop_rows(nodes: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, loop, seq): the nodes of each loop in order, as an array; a loop is one boundary of one face."""
+    return nodes.groupBy(*by, "loop").agg(F.array_sort(F.collect_list(F.struct("ord", *columns))).alias("seq"))
+
+
+def drop_repeats(nodes: DataFrame, by: list[str], tol: float = 1e-12) -> DataFrame:
+    """nodes(by, loop, ord, u, v, ..) without those within tol of the last one kept, and, if more than two are left, without a
+    last one within tol of the first. A fold along each loop: a chain of near nodes loses only what is near to the one kept."""
+    rest = [c for c in nodes.columns if c not in (*by, "loop", "ord")]
+    loops = _loop_rows(nodes, by, rest)
+    gap = lambda p, q: F.sqrt((p["u"] - q["u"]) * (p["u"] - q["u"]) + (p["v"] - q["v"]) * (p["v"] - q["v"]))
+    keep = lambda s, x: F.when(gap(x, F.element_at(s, -1)) > tol, F.concat(s, F.array(x))).otherwise(s)
+    kept = loops.withColumn("kept", F.aggregate(F.expr("slice(seq, 2, size(seq))"), F.slice("seq", 1, 1), keep))
+    size, last, first = F.size("kept"), F.element_at("kept", -1), F.element_at("kept", 1)
+    closed = F.when((size > 2) & (gap(last, first) <= tol), F.slice("kept", F.lit(1), size - 1)).otherwise(F.col("kept"))
+    return kept.select(*by, "loop", F.explode(closed).alias("n")).select(*by, "loop", "n.*")
+
+
+def boundary_fingerprint(nodes: DataFrame, by: list[str], target: Column | None = None, digits: int = 12) -> DataFrame:
+    """(by, fingerprint): 16 hex digits of a face's boundary, equal for equal loops whatever node each begins with.
+
+    A loop is turned to its least rotation: of all nodes with the least rounded coordinates the begin that gives the least
+    sequence. Loops count in their order; target, a Column over by, is part of the boundary, so are the signs of turns: a
+    loop run backwards is another one.
+    """
+    xyz = [c for c in ("u", "v", "x", "y", "z") if c in nodes.columns]
+    text = F.concat_ws(",", *(F.format_string(f"%.{digits}f", F.bround(c, digits) + 0.0) for c in xyz))
+    loops = _loop_rows(nodes.withColumn("text", text), by, ["text"]).withColumn("texts", F.transform("seq", lambda n: n["text"]))
+    n = F.size("texts")
+    least = F.array_min("texts")
+    begins = F.filter(F.sequence(F.lit(1), n), lambda k: F.element_at(F.col("texts"), k) == least)
+    turned = lambda k: F.array_join(F.concat(F.slice("texts", k, n), F.slice("texts", F.lit(1), k - 1)), ";")
+    loops = loops.select(*by, "loop", F.array_min(F.transform(begins, turned)).alias("line"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("loop", "line"))), lambda x: x["line"]), "|")
+    out = loops.groupBy(*by).agg(lines.alias("lines"))
+    head = F.lit("") if target is None else F.format_string("%.12f", target.cast("double"))
+    return out.select(*by, F.substring(F.sha2(F.concat_ws("#", head, "lines"), 256), 1, 16).alias("fingerprint"))
 
 
 def grid(specs: DataFrame) -> DataFrame:

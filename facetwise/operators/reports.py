@@ -110,16 +110,6 @@ def cone_rays(triangles: DataFrame, half_angle: float = 0.12, offset: float = 0.
     return t.select("mesh_id", "tri", F.inline(F.array(*rows))).withColumn("ray", F.col("tri") * 5 + F.col("k")).drop("k")
 
 
-def drop_repeats(nodes: DataFrame, tol: float = 1e-12) -> DataFrame:
-    """nodes(face, loop, ord, u, v) without those that repeat the one before them, or close onto the first."""
-    w = Window.partitionBy("face", "loop").orderBy("ord")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    close = lambda a, b: (F.abs(F.col("u") - a) <= tol) & (F.abs(F.col("v") - b) <= tol)
-    before = F.coalesce(close(F.lag("u").over(w), F.lag("v").over(w)), F.lit(False))
-    closing = F.lead("u").over(w).isNull() & F.lag("u").over(w).isNotNull() & close(F.first("u").over(whole), F.first("v").over(whole))
-    return nodes.withColumn("again", before | closing).where("not again").drop("again")
-
-
 def uv_drawing(triangles: DataFrame, width: int = 900) -> DataFrame:
     """(tri, polygon): an SVG polygon for each triangle (ax .. cy in the plane), shaded from red to green by its shape."""
     box = triangles.agg(F.least(F.min("ax"), F.min("bx"), F.min("cx")).alias("x0"), F.greatest(F.max("ax"), F.max("bx"), F.max("cx")).alias("x1"), F.greatest(F.max("ay"), F.max("by"), F.max("cy")).alias("y1")).first()

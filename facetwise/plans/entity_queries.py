@@ -255,6 +255,51 @@ def winding_number(spark, sf_dir):
     return meshers.winding(p, _polygon(spark, sf_dir), ["face"]).drop("face")
 
 
+@query(
+    f"""with {_POLY}, side as (
+        select a.face, a.u as au, a.v as av, a.u1 as bu, a.v1 as bv, b.u as cu, b.v as cv, b.u1 as du, b.v1 as dv from nxt a join nxt b on a.face = b.face and a.ord < b.ord),
+    o as (
+        select *, sign((au-cu)*(bv-cv)-(av-cv)*(bu-cu)) as o1, sign((au-du)*(bv-dv)-(av-dv)*(bu-du)) as o2, sign((cu-au)*(dv-av)-(cv-av)*(du-au)) as o3, sign((cu-bu)*(dv-bv)-(cv-bv)*(du-bu)) as o4 from side
+        where not ((au = cu and av = cv) or (au = du and av = dv) or (bu = cu and bv = cv) or (bu = du and bv = dv)))
+    select face, count(*) >= 3 and not exists (select 1 from o where o.face = n.face and o1 * o2 <= 0 and o3 * o4 <= 0) as is_simple from node n group by face"""
+)
+def loop_is_simple(spark, sf_dir):
+    return meshers.loop_is_simple(_polygon(spark, sf_dir), ["face"]).drop("loop")
+
+
+#: Two loops a face: events with an even and an odd number.
+_LOOPS = """node as (
+    select user_id as face, cast(event_id % 2 as integer) as loop, row_number() over (partition by user_id, event_id % 2 order by ts, event_id) - 1 as ord, floor(value / 30) as u, floor(value / 7) % 3 as v from events),
+size as (select face, loop, count(*) as n from node group by all)"""
+
+
+def _loops(spark, sf_dir):
+    from pyspark.sql import Window
+
+    loop = (F.col("event_id") % 2).cast("int")
+    order = Window.partitionBy("user_id", loop).orderBy("ts", "event_id")
+    value = lambda k: F.floor(F.col("value") / k).cast("double")
+    return B.table(spark, sf_dir, "events").select(F.col("user_id").alias("face"), loop.alias("loop"), (F.row_number().over(order) - 1).alias("ord"), value(30).alias("u"), (value(7) % 3).alias("v"))
+
+
+@query(
+    f"""with {_LOOPS}, off as (select *, coalesce(sum(n) over (partition by face order by loop rows between unbounded preceding and 1 preceding), 0) as o from size)
+    select face, cast(o + ord as bigint) as a, cast(o + (ord + 1) % n as bigint) as b from node join off using (face, loop)"""
+)
+def constrained_edges(spark, sf_dir):
+    out = meshers.constrained_edges(_loops(spark, sf_dir), ["face"])
+    return out.select("face", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+
+@query(
+    f"""with {_LOOPS}, seq as (select face, loop, list(printf('%.12f,%.12f', u, v) order by ord) as t from node group by all),
+    turn as (select face, loop, min(array_to_string(list_concat(t[k:], t[: k - 1]), ';')) as line from (select *, unnest(range(1, len(t) + 1)) as k from seq) group by all)
+    select face, substring(sha256('#' || string_agg(line, '|' order by loop)), 1, 16) as fingerprint from turn group by face"""
+)
+def boundary_fingerprint(spark, sf_dir):
+    return meshers.boundary_fingerprint(_loops(spark, sf_dir), ["face"])
+
+
 @query()
 def mesh_grid(spark, sf_dir):
     return meshers.grid(spark.createDataFrame([("g4", 4, 1.0, 0.0), ("g9", 9, 0.5, 0.3)], "face string, n int, size double, skew double"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facetwise.operators import reports, topology
+from facetwise.operators import meshers, reports, topology
 from facetwise.plans import bindings as B
 from facetwise.plans.registry import query, rounded
 
@@ -97,17 +97,21 @@ def thickness_cones(spark, sf_dir):
 
 
 @query(
-    """with n as (select user_id as face, row_number() over (partition by user_id order by ts, event_id) as ord, floor(value / 40) as u from events),
-    m as (select *, lag(u) over w as before, lead(u) over w as after, first_value(u) over (partition by face order by ord) as f from n window w as (partition by face order by ord))
-    select face, count(*) as n from m where not (coalesce(u = before, false) or (after is null and before is not null and u = f)) group by face"""
+    """with recursive n as (select user_id as face, row_number() over (partition by user_id order by ts, event_id) as ord, value / 40 as u from events),
+    fold(face, ord, kept, n) as (
+        select face, ord, u, 1 from n where ord = 1
+        union all
+        select n.face, n.ord, case when abs(n.u - f.kept) > 0.3 then n.u else f.kept end, f.n + case when abs(n.u - f.kept) > 0.3 then 1 else 0 end from fold f join n on n.face = f.face and n.ord = f.ord + 1),
+    last as (select * from fold qualify row_number() over (partition by face order by ord desc) = 1)
+    select l.face, cast(l.n - case when l.n > 2 and abs(l.kept - n.u) <= 0.3 then 1 else 0 end as bigint) as n from last l join n on n.face = l.face and n.ord = 1"""
 )
 def distinct_nodes(spark, sf_dir):
     from pyspark.sql import Window
 
     ev = B.table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    nodes = ev.select(F.col("user_id").alias("face"), F.lit(0).alias("loop"), F.row_number().over(w).alias("ord"), F.floor(F.col("value") / 40).cast("double").alias("u"), F.lit(0.0).alias("v"))
-    return reports.drop_repeats(nodes).groupBy("face").agg(F.count("*").alias("n"))
+    nodes = ev.select(F.col("user_id").alias("face"), F.lit(0).alias("loop"), F.row_number().over(w).alias("ord"), (F.col("value") / 40).alias("u"), F.lit(0.0).alias("v"))
+    return meshers.drop_repeats(nodes, ["face"], 0.3).groupBy("face").agg(F.count("*").alias("n"))
 
 
 @query(f"with {B.ITERATIONS} select run, cast(idx as integer) as idx, printf('[%d] %d tris %s score %.3f', idx, n_tri, case when ready then 'READY' when is_valid then 'valid' else 'INVALID' end, score) as line from it")

@@ -355,3 +355,102 @@ def test_objectives_of_many_runs_as_of_one(spark):
     f = spark.createDataFrame(faces, "case_id long, pid string, area double, size double, chordal_relative double, normal_p99_deg double, shape_min double")
     got = sorted((r["case_id"], r["place"], r["kind"], r["priority"], r["evidence"], r["params"], r["scope"]) for r in decisions.objective_actions(c, f).collect())
     assert got == want and len({w[2] for w in want}) >= 6
+
+
+# ---- predicates and loops ----
+
+
+def _near_degenerate(rng, n):
+    """Points nearly in line or on one circle, off by some units in the last place."""
+    bump = lambda x: math.nextafter(x, rng.choice([-math.inf, math.inf]), steps=rng.randrange(4))
+    for k in range(n):
+        if k % 10 == 1:  # in line
+            a, d = [rng.randrange(-99, 99) for _ in range(2)], [rng.randrange(-99, 99) for _ in range(2)]
+            pts = [[x + t * y for x, y in zip(a, d, strict=True)] for t in (rng.randrange(-9, 9) for _ in range(4))]
+        elif k % 2:
+            a, d, scale = [rng.uniform(-1, 1) for _ in range(2)], [rng.uniform(-1, 1) for _ in range(2)], 10 ** rng.uniform(-3, 6)
+            pts = [[bump((x + t * y) * scale) for x, y in zip(a, d, strict=True)] for t in (rng.uniform(-2, 2) for _ in range(4))]
+        else:
+            grid = rng.choice([(5, 0), (3, 4), (-4, 3), (0, -5)]), rng.choice([(4, 3), (-3, -4)]), (-5, 0), (3, -4)
+            pts = [[bump(x * 0.1 + 12.0) if k % 4 else x + 1e7 for x in p] for p in grid]
+        yield [x for p in pts for x in p]
+
+
+def test_predicates_have_exact_signs(spark):
+    from fractions import Fraction
+
+    from facetwise.functions import geometry as G
+
+    rows = list(_near_degenerate(random.Random(3), 4000)) + [[0.0] * 8, [1e150, 0, 0, 1e140, 1e-100, 1e-120, 3.0, 4.0]]
+    names = ["ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"]
+    cols = [F.col(n) for n in names]
+    df = spark.createDataFrame([[float(x) for x in r] for r in rows] + [[None] * 8], ", ".join(f"{n} double" for n in names)).repartition(4)
+    got = {tuple(r[n] for n in names): (r["side"], r["circle"]) for r in df.select("*", G.orient2d(*cols[:6]).alias("side"), G.in_circle(*cols).alias("circle")).collect()}
+    sign = lambda x: (x > 0) - (x < 0)
+    zeros = uncertain = 0
+    for r in rows:
+        (ax, ay), (bx, by), (cx, cy), (dx, dy) = [(Fraction(r[k]), Fraction(r[k + 1])) for k in range(0, 8, 2)]
+        side = sign((ax - cx) * (by - cy) - (ay - cy) * (bx - cx))
+        m = [(x - dx, y - dy, (x - dx) ** 2 + (y - dy) ** 2) for x, y in ((ax, ay), (bx, by), (cx, cy))]
+        circle = sign(sum(m[i][2] * (m[(i + 1) % 3][0] * m[(i + 2) % 3][1] - m[(i + 2) % 3][0] * m[(i + 1) % 3][1]) for i in range(3)))
+        mine = got[tuple(map(float, r))]
+        assert mine[0] == side
+        if max(map(abs, r)) < 1e70:
+            assert mine[1] == circle
+        f = [float(x) for x in r]
+        zeros += side == 0
+        uncertain += abs((f[0] - f[4]) * (f[3] - f[5]) - (f[1] - f[5]) * (f[2] - f[4])) <= 1e-12 * (abs((f[0] - f[4]) * (f[3] - f[5])) + abs((f[1] - f[5]) * (f[2] - f[4]))) and side != 0
+    assert got[(None,) * 8] == (None, None) and zeros > 100 and uncertain > 500  # where doubles alone gave 0
+
+
+def test_loops_of_many_edges(spark):
+    """Crossings and turns by bands and cells as by all pairs; one long loop is simple."""
+    from facetwise.functions import geometry as G
+    from facetwise.operators import meshers
+
+    rng = random.Random(9)
+    rows = []
+    for face in range(6):
+        for k in range(60):
+            r, t = 10 ** rng.uniform(-2, 2) if face % 2 else 5 + rng.random(), k / 60 * 2 * math.pi + (rng.random() * 0.3 if face > 3 else 0)
+            rows.append((face, 0, k, r * math.cos(t), r * math.sin(t)))
+    rows += [(6, 0, 0, 0.0, 0.0), (6, 0, 1, 1.0, 0.0), (7, 0, 0, 0.0, 0.0), (7, 0, 1, 4.0, 0.0), (7, 0, 2, 4.0, 4.0), (7, 0, 3, 2.0, 0.0)]
+    nodes = spark.createDataFrame(rows, "face long, loop int, ord int, u double, v double")
+    n = meshers.next_nodes(nodes, ["face"])
+    pairs = n.alias("a").join(n.alias("b"), (F.col("a.face") == F.col("b.face")) & (F.col("a.ord") < F.col("b.ord")))
+    cross = G.segments_cross(*(F.col(f"{p}.{c}") for p in "ab" for c in ("u", "v", "u1", "v1")))
+    want = {r["face"]: r["n"] for r in pairs.where(cross).groupBy("a.face").agg(F.count("*").alias("n")).collect()}
+    assert {r["face"]: r["n"] for r in meshers.self_crossings(nodes, ["face"]).collect()} == want and len(want) > 2
+    simple = {r["face"]: r["is_simple"] for r in meshers.loop_is_simple(nodes, ["face"]).collect()}
+    assert simple == {f: f not in want and f != 6 for f in range(8)} and simple[0] and not simple[7]
+    pts = [(f, k, rng.uniform(-8, 8), rng.choice([rng.uniform(-8, 8), 0.0])) for f in range(9) for k in range(40)] + [(7, 99, 3.0, 0.0)]
+    points = spark.createDataFrame(pts, "face long, point long, pu double, pv double")
+    loops = {}
+    for f, _, k, u, v in rows:
+        loops.setdefault(f, []).append((u, v))
+    turns = {}
+    for f, k, pu, pv in pts:
+        for (u, v), (u1, v1) in zip(loops.get(f, []), loops.get(f, [])[1:] + loops.get(f, [])[:1], strict=True):
+            left = (u1 - u) * (pv - v) - (pu - u) * (v1 - v)
+            turns[f, k] = turns.get((f, k), 0) + (v <= pv < v1 and left > 0) - (v1 <= pv < v and left < 0)
+    assert {(r["face"], r["point"]): r["winding"] for r in meshers.winding(points, nodes, ["face"]).collect()} == turns
+    ring = spark.range(100_000).select(F.lit(1).alias("face"), F.lit(0).alias("loop"), F.col("id").alias("ord"), F.cos(F.col("id") * (2 * math.pi / 1e5)).alias("u"), F.sin(F.col("id") * (2 * math.pi / 1e5)).alias("v"))
+    assert meshers.loop_is_simple(ring, ["face"]).first()["is_simple"]
+
+
+def test_boundaries_are_canonical(spark):
+    from facetwise.operators import meshers
+
+    loop = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0), (0.0, 1.0)]
+    rows = [(f"t{k}", 0, j, *p) for k in range(5) for j, p in enumerate(loop[k:] + loop[:k])] + [("back", 0, j, *p) for j, p in enumerate(loop[::-1])] + [("near", 0, j, p[0] + 1e-14, p[1] - 1e-14) for j, p in enumerate(loop)]
+    nodes = spark.createDataFrame(rows, "face string, loop int, ord int, u double, v double")
+    got = {r["face"]: r["fingerprint"] for r in meshers.boundary_fingerprint(nodes, ["face"]).collect()}
+    assert len({got[f"t{k}"] for k in range(5)} | {got["near"]}) == 1 and got["back"] != got["t0"]
+    chain = [(0.0, 0.0), (0.6, 0.0), (1.2, 0.0), (1.8, 0.0), (3.0, 0.0), (3.0, 2.0), (0.5, 0.5)]  # steps under the tolerance of 1
+    rep = spark.createDataFrame([("a", 0, j, *p) for j, p in enumerate(chain)] + [("b", 0, j, 0.0, 0.0) for j in range(3)], "face string, loop int, ord int, u double, v double")
+    kept = {}
+    for r in meshers.drop_repeats(rep, ["face"], 1.0).orderBy("face", "ord").collect():
+        kept.setdefault(r["face"], []).append((r["u"], r["v"]))
+    assert kept == {"a": [(0.0, 0.0), (1.2, 0.0), (3.0, 0.0), (3.0, 2.0)], "b": [(0.0, 0.0)]}
+    edges = spark.createDataFrame([("a", l, j, 0.0, 0.0) for l, n in ((0, 3), (1, 2)) for j in range(n)], "face string, loop int, ord int, u double, v double")
+    assert sorted((r["a"], r["b"]) for r in meshers.constrained_edges(edges, ["face"]).collect()) == [(0, 1), (1, 2), (2, 0), (3, 4), (4, 3)]
