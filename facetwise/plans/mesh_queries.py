@@ -9,6 +9,8 @@ from facetwise.functions import geometry as G
 from facetwise.functions.surfaces import Cylinder, Plane, Sphere
 from facetwise.operators import fidelity, mesh, topology
 from facetwise.plans import bindings as B
+from facetwise.scratch import Scratch
+from facetwise.sources import meshes
 from facetwise.plans.registry import query, rounded
 
 WITH = f"with {B.SOUP}, {B.METRICS}"
@@ -291,3 +293,41 @@ def thickness_rays(spark, sf_dir):
     rays = tri.select("mesh_id", F.col("tri").alias("ray"), g[0].alias("ox"), g[1].alias("oy"), g[2].alias("oz"), zero.alias("dx"), zero.alias("dy"), F.lit(1.0).alias("dz"))
     hits = fidelity.ray_hits(tri, rays, own="ray")
     return hits.select(F.col("mesh_id").alias("pid"), "ray", F.round("distance", 5).alias("distance"))
+
+
+#: Triangles of a mesh in five faces, over vertices whose coordinates have few digits.
+_MESH = f"""{B.SPARSE}, tri as (select tri, max(v0) as v0, max(v1) as v1, max(v2) as v2, 'f' || tri % 5 as pid from conn group by tri),
+vert as (select v, (v % 4 + 4) / 8.0::double as x, (v % 3 + 4) / 8.0::double as y, 0.5::double as z from range(499) t(v)),
+tag as (select pid, row_number() over (order by pid) as tag from (select distinct pid from tri)),
+node as (select *, v + 1 as n from vert),
+el as (select row_number() over (order by tri) as n, tag, v0 + 1 as a, v1 + 1 as b, v2 + 1 as c from tri join tag using (pid))"""
+
+
+def _mesh(spark, sf_dir):
+    tri = B.sparse_connectivity(spark, sf_dir).groupBy("tri").agg(*(F.max(v).alias(v) for v in ("v0", "v1", "v2")))
+    tri = tri.select("tri", "v0", "v1", "v2", F.concat(F.lit("f"), (F.col("tri") % 5).cast("string")).alias("pid"))
+    vert = spark.range(499).select(F.col("id").alias("v"), ((F.col("id") % 4 + 4) / 8).alias("x"), ((F.col("id") % 3 + 4) / 8).alias("y"), F.lit(0.5).alias("z"))
+    return tri, vert
+
+
+@query(
+    f"""with {_MESH}
+    select 2 as section, tag as key, printf('2 %d "%s"', tag, pid) as line from tag union all select 5, n, n || ' ' || printf('%.16f %.16f %.16f', x, y, z) from node
+    union all select 8, n, printf('%d 2 2 %d %d %d %d %d', n, tag, tag, a, b, c) from el
+    union all select 1, 0, cast(count(*) as varchar) from tag union all select 4, 0, cast(count(*) as varchar) from node union all select 7, 0, cast(count(*) as varchar) from el
+    union all select unnest([0, 3, 6, 9]), 0, unnest(['$MeshFormat' || chr(10) || '2.2 0 8' || chr(10) || '$EndMeshFormat' || chr(10) || '$PhysicalNames', '$EndPhysicalNames' || chr(10) || '$Nodes', '$EndNodes' || chr(10) || '$Elements', '$EndElements'])"""
+)
+def msh_lines(spark, sf_dir):
+    return meshes.msh_lines(*_mesh(spark, sf_dir))
+
+
+@query(
+    f"""with {_MESH} select 'tri' as what, n as id, pid, cast(a * 1000000 + b * 1000 + c as double) as value from el join tag using (tag) union all select 'node', n, '', x + 10 * y + 100 * z from node"""
+)
+def msh_round_trip(spark, sf_dir):
+    """The mesh written to part files and read back by ranges of bytes."""
+    path = Scratch(spark).path()
+    meshes.write_msh(*_mesh(spark, sf_dir), path)
+    got = meshes.read_msh(spark, path)
+    tri = got["triangles"].join(got["groups"], "tag").select(F.lit("tri").alias("what"), F.col("tri").alias("id"), "pid", (F.col("v0") * 1000000 + F.col("v1") * 1000 + F.col("v2")).cast("double").alias("value"))
+    return tri.unionByName(got["nodes"].select(F.lit("node").alias("what"), F.col("v").alias("id"), F.lit("").alias("pid"), (F.col("x") + F.col("y") * 10 + F.col("z") * 100).alias("value")))

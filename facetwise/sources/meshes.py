@@ -1,4 +1,8 @@
-"""Mesh files: MSH 2.2 and STL, written by Spark in order and read back by section."""
+"""Mesh files: MSH 2.2 and STL. A file, or a folder of part files in the order of their names, is one mesh.
+
+Writers sort lines by ranges and write the parts in parallel: the parts one after the other are the file (`cat part-*`).
+Readers take ranges of bytes of any number of files in parallel, with the places of the section marks found first.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,10 @@ from facetwise.operators.mesh import facet_lines
 from facetwise.operators.ranks import numbered
 
 
+#: Marks of sections of a mesh at most: a file has two for each of a handful of sections.
+MARKS = 1000
+
+
 def msh_lines(triangles: DataFrame, vertices: DataFrame, name: str = "surface") -> DataFrame:
     """(section, key, line) of a MSH 2.2 file for one mesh: triangles(tri, v0, v1, v2, pid), vertices(v, x, y, z).
 
@@ -47,29 +55,51 @@ def msh_lines(triangles: DataFrame, vertices: DataFrame, name: str = "surface")
 
 
 def write_msh(triangles: DataFrame, vertices: DataFrame, path: str, name: str = "surface") -> dict[int, str]:
-    """Write one text file under path; returns {tag: pid}, one entry a face."""
-    msh_lines(triangles, vertices, name).orderBy("section", "key").select("line").coalesce(1).write.mode("overwrite").text(path)
+    """Write the lines under path, as part files in order; returns {tag: pid}, one entry a face."""
+    msh_lines(triangles, vertices, name).orderBy("section", "key").select("line").write.mode("overwrite").text(path)
     pids = sorted({str(r["pid"]) if r["pid"] is not None else name for r in triangles.select("pid").distinct().toLocalIterator()})
     return dict(enumerate(pids, 1))
 
 
 def write_stl(tri: DataFrame, path: str, name: str = "mesh") -> None:
-    """ASCII STL of triangles with corners, in the order of tri."""
+    """ASCII STL of triangles with corners, in the order of tri, as part files in order."""
     body = facet_lines(tri).select(F.lit(1).alias("section"), F.col("tri").cast("long").alias("key"), F.col("facet").alias("line"))
     ends = tri.sparkSession.createDataFrame([(0, 0, f"solid {name}"), (2, 0, f"endsolid {name}")], "section int, key long, line string")
-    ends.unionByName(body).orderBy("section", "key").select("line").coalesce(1).write.mode("overwrite").text(path)
+    ends.unionByName(body).orderBy("section", "key").select("line").write.mode("overwrite").text(path)
+
+
+def section_lines(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The lines between the marks of each section of a mesh, by the section's name, each as `line`.
+
+    A line's place is its file, the begin of its range of bytes, and its row there. The marks ($Nodes, $EndNodes, two a
+    section) are found by one scan and come to the driver; the lines of a section are those between two places, so no task
+    sees more than its own ranges of bytes. A section without an end, or an end without a begin, is an error.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r")).alias("at"))
+    marks = sorted((tuple(r["at"]), r["line"][1:]) for r in lines.where(F.col("line").startswith("$")).limit(MARKS + 1).collect())
+    if len(marks) > MARKS:
+        raise ValueError(f"{path}: over {MARKS} marks of sections, this is no single mesh")
+    out: dict[str, DataFrame] = {}
+    place = lambda p: F.struct(F.lit(p[0]).alias("f"), F.lit(p[1]).cast("long").alias("b"), F.lit(p[2]).cast("long").alias("r"))
+    for (begin, name), (end, closing) in zip(marks[::2], [*marks[1::2], ((), "")], strict=False):
+        if closing != f"End{name}":
+            raise ValueError(f"{path}: section {name} has no end")
+        own = lines.where((F.col("at") > place(begin)) & (F.col("at") < place(end)) & (F.col("line") != "")).select("line")
+        out[name] = out[name].unionByName(own) if name in out else own
+    return out
 
 
 def read_msh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """nodes(v, x, y, z), triangles(tri, tag, v0, v1, v2; element type 2 only) and groups(tag, pid) of a MSH 2.2 file."""
-    text = spark.read.text(path, wholetext=True)
-    section = lambda s: F.explode(F.slice(F.split(F.trim(F.regexp_extract("value", rf"(?s)\${s}\n(.*?)\n\$End{s}", 1)), "\n"), 2, 1 << 30))
-    row = lambda s: text.select(section(s).alias("line")).where("line <> ''").select(F.split("line", " ").alias("f"), "line")
-    nodes = row("Nodes").select(F.col("f")[0].cast("long").alias("v"), *(F.col("f")[k + 1].cast("double").alias(c) for k, c in enumerate("xyz")))
-    el = row("Elements").where("f[1] = '2'")
-    skip = F.col("f")[2].cast("int") + 3
-    tri = el.select(F.col("f")[0].cast("long").alias("tri"), F.col("f")[3].cast("int").alias("tag"), *(F.get("f", skip + k).cast("long").alias(f"v{k}") for k in range(3)))
-    groups = row("PhysicalNames").select(F.col("f")[1].cast("int").alias("tag"), F.regexp_extract("line", '"(.*)"', 1).alias("pid"))
+    """nodes(v, x, y, z), triangles(tri, tag, v0, v1, v2; element type 2 only) and groups(tag, pid) of a MSH 2.2 file or of
+    its parts. Sections that are not there give empty tables; a section's count is not read."""
+    found = section_lines(spark, path)
+    none = spark.range(0).select(F.lit("").alias("line"))
+    row = lambda s: found.get(s, none).select(F.split("line", r"\s+").alias("f"), "line")
+    nodes = row("Nodes").where("size(f) >= 4").select(F.col("f")[0].cast("long").alias("v"), *(F.col("f")[k + 1].cast("double").alias(c) for k, c in enumerate("xyz")))
+    el = row("Elements").where("size(f) >= 6 and get(f, 1) = '2'")
+    skip = F.get("f", F.lit(2)).cast("int") + 3
+    tri = el.select(F.get("f", F.lit(0)).cast("long").alias("tri"), F.get("f", F.lit(3)).cast("int").alias("tag"), *(F.get("f", skip + k).cast("long").alias(f"v{k}") for k in range(3)))
+    groups = row("PhysicalNames").where("size(f) >= 3").select(F.get("f", F.lit(1)).cast("int").alias("tag"), F.regexp_extract("line", '"(.*)"', 1).alias("pid"))
     return {"nodes": nodes, "triangles": tri, "groups": groups}
 
 

@@ -454,3 +454,37 @@ def test_boundaries_are_canonical(spark):
     assert kept == {"a": [(0.0, 0.0), (1.2, 0.0), (3.0, 0.0), (3.0, 2.0)], "b": [(0.0, 0.0)]}
     edges = spark.createDataFrame([("a", l, j, 0.0, 0.0) for l, n in ((0, 3), (1, 2)) for j in range(n)], "face string, loop int, ord int, u double, v double")
     assert sorted((r["a"], r["b"]) for r in meshers.constrained_edges(edges, ["face"]).collect()) == [(0, 1), (1, 2), (2, 0), (3, 4), (4, 3)]
+
+
+# ---- files ----
+
+
+def test_mesh_files_by_ranges_of_bytes(spark, tmp_path):
+    """One long file is read by many tasks; parts in order are one mesh; damaged ones are errors."""
+    from facetwise.sources import meshes
+
+    n = 20_000
+    text = ["$MeshFormat", "2.2 0 8", "$EndMeshFormat", "$PhysicalNames", "2", '2 1 "face one"', '2 2 "b"', "$EndPhysicalNames", "$Nodes", str(n)]
+    text += [f"{k} {k * 0.1!r} {k / 3!r}  -1e-3 " for k in range(1, n + 1)] + ["$EndNodes", "$Elements", str(n + 1), "7 15 2 0 1 5"]
+    text += [f"{k + 8} 2 2 {k % 2 + 1} {k % 2 + 1} {k} {k % n + 1} {(k + 1) % n + 1}" for k in range(1, n + 1)] + ["$EndElements", ""]
+    (tmp_path / "one.msh").write_text("\r\n".join(text))
+    (tmp_path / "parts").mkdir()
+    for k in range(4):
+        (tmp_path / f"parts/part-{k:05d}").write_text("\n".join(text[k * 11_000 : (k + 1) * 11_000]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for where in ("one.msh", "parts"):
+            got = meshes.read_msh(spark, str(tmp_path / where))
+            assert got["nodes"].rdd.getNumPartitions() > 8
+            assert {tuple(r) for r in got["nodes"].collect()} == {(k, k * 0.1, k / 3, -1e-3) for k in range(1, n + 1)}
+            assert sorted(tuple(r) for r in got["triangles"].collect()) == sorted((k + 8, k % 2 + 1, k, k % n + 1, (k + 1) % n + 1) for k in range(1, n + 1))
+            assert {tuple(r) for r in got["groups"].collect()} == {(1, "face one"), (2, "b")}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "cut.msh").write_text("\n".join(text[:500]))
+    with pytest.raises(ValueError, match="Nodes has no end"):
+        meshes.read_msh(spark, str(tmp_path / "cut.msh"))
+    (tmp_path / "empty.msh").write_text("$MeshFormat\n2.2 0 8\n$EndMeshFormat\n")
+    assert all(t.count() == 0 for t in meshes.read_msh(spark, str(tmp_path / "empty.msh")).values())
