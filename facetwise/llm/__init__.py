@@ -1,4 +1,4 @@
-"""Training-data operators: ten whole-corpus operators and their queries.
+"""Training-data operators: thirteen whole-corpus operators and their queries.
 
 Nothing else in the library imports this subpackage.
 """
