@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
 from facetwise.functions.surfaces import KINDS, Surface
-from facetwise.operators.ranks import with_percentiles
+from facetwise.operators.ranks import with_percentiles, written
 from facetwise.operators.rays import ray_hits  # noqa: F401  part of this module's interface
 
 #: Sample points of a triangle, as barycentric weights: centroid, edge middles, interior.
@@ -55,7 +55,7 @@ def deviations(tri: DataFrame, surface: Surface, samples=SAMPLES) -> DataFrame:
 
 def chordal_deviation(tri: DataFrame, surface: Surface, *, target: float | None = None, most: int | None = None, seed: int = 0, by: list[str] | None = None) -> DataFrame:
     """max, mean and 99th percentile of the deviations; relative to the target size, NaN without one. No triangles: zeros."""
-    d = deviations(_subset(tri, most, seed, by), surface)
+    d = written(deviations(_subset(tri, most, seed, by), surface).select(*(by or []), "deviation"))  # made once, read twice
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     relative = F.lit(float("nan")) if not target else F.col("max_deviation") / target
     out = d.groupBy(*(by or [])).agg(F.count("*").alias("n_triangles"), zero(F.max("deviation")).alias("max_deviation"), zero(F.avg("deviation")).alias("mean_deviation"))
@@ -70,7 +70,7 @@ def normal_angles(tri: DataFrame, surface: Surface) -> DataFrame:
 
 def normal_deviation(tri: DataFrame, surface: Surface, *, limit: float = 15.0, most: int | None = None, seed: int = 0, by: list[str] | None = None) -> DataFrame:
     """max, mean and 99th percentile of the angles, their mean by area and the share over the limit. No triangles: zeros."""
-    d = normal_angles(_subset(tri, most, seed, by), surface)
+    d = written(normal_angles(_subset(tri, most, seed, by), surface).select(*(by or []), "area", "angle"))  # made once, read twice
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     out = d.groupBy(*(by or [])).agg(
         F.count("*").alias("n_triangles"),

@@ -116,13 +116,15 @@ def attribute_by_face(tri: DataFrame, by: list[str] | None = None) -> DataFrame:
     target is optional, as are deviation and angle (fidelity.with_deviations): with them there are chordal_relative, the
     largest deviation over the target (null without a target), and normal_p99_deg.
     """
+    keys = [*(by or []), "pid"]
+    if "angle" in tri.columns:  # read more than once: the deviations are made once
+        tri = written(tri.select(*(c for c in tri.columns if c in {*keys, "tri", "target", "deviation", "angle", *(p + x for p in "abc" for x in "xyz")})))
     m = G.with_triangle_metrics(tri)
     ratio = size_ratio() if "target" in tri.columns else F.lit(None).cast("double")
     more = []
     if "deviation" in tri.columns:
         share = F.when(F.col("target") > 0, F.col("deviation") / F.when(F.col("target") > 0, F.col("target"))) if "target" in tri.columns else F.lit(None).cast("double")
         more.append(F.max(share).alias("chordal_relative"))
-    keys = [*(by or []), "pid"]
     out = m.groupBy(*keys).agg(
         F.count("*").alias("n_triangles"),
         F.min("shape").alias("shape_min"),

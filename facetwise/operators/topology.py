@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetwise.functions import geometry as G
-from facetwise.operators.ranks import with_percentiles
+from facetwise.operators.ranks import with_percentiles, written
 
 
 def directed_edges(triangles: DataFrame, keep: list[str]) -> DataFrame:
@@ -65,6 +65,7 @@ def gradation(sizes: DataFrame, pairs: DataFrame, by: list[str], limit: float =
     both = pairs.join(own(1), [*by, "t1"]).join(own(2), [*by, "t2"])
     small = F.least("s1", "s2")
     both = both.withColumn("ratio", G.guarded(F.greatest("s1", "s2"), small, G.inf()))
+    both = written(both.select(*by, "ratio"))  # joined once, read twice
     finite = F.when(F.col("ratio") < G.inf(), F.col("ratio"))
     out = both.groupBy(*by).agg(
         F.count("*").alias("n_pairs"),
