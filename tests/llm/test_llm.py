@@ -923,7 +923,7 @@ def test_query(spark, name):
     assert rows
     if name in queries.ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "embeddings"):
+        for t in ("documents", "benchmark", "embeddings", "pages"):
             con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
         res = con.execute(queries.ORACLES[name])
         names = [c[0] for c in res.description]
