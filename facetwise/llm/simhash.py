@@ -12,6 +12,8 @@ questions. Candidates are verified on all bits. Two schemes:
            of 7.6. Links are at 80 or fewer bits. A segment of 20 bits agrees up to one bit with a probability of 0.171,
            one of 21 segments with 0.98; at a similarity of 0.9 it is over 0.999. The first 64 bits screen candidates
            before whole fingerprints are fetched (20 or fewer may differ: lost are 4 in 10,000 at a similarity of 0.8).
+           Many pairs at 0.7 to 0.8 are as near, so what fingerprints join is only a candidate: documents are linked if
+           the sets of hashes of their shingles have that similarity indeed.
 
 Groups of near copies would give all their pairs. So SIMILAR first compares the residents of each key with the least of
 them only, which is linear, and joins what links; pairs are then asked for only between what is not joined yet.
@@ -35,6 +37,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from facetwise.llm.common import Scratch, texts
 from facetwise.llm.components import components, to_own
+from facetwise.llm.similarity import proved
 
 
 @dataclass(frozen=True)
@@ -48,10 +51,11 @@ class Scheme:
     shingle: int
     as_set: bool
     seed: int = 42
+    similarity: tuple[int, int] | None = None  # what links must have, as a fraction; None: the radius decides
 
 
 EXACT = Scheme(1, ((0, 0, 21), (0, 21, 21), (0, 42, 22)), 4, 4, 4, False)
-SIMILAR = Scheme(7, tuple((w, 20 * k, 20) for w in range(7) for k in range(3)), 80, 20, 5, True)
+SIMILAR = Scheme(7, tuple((w, 20 * k, 20) for w in range(7) for k in range(3)), 80, 20, 5, True, similarity=(4, 5))
 KEY_CAP = 8
 BLOCK = 2048
 #: Hot keys are broadcast up to so many (16 bytes each); beyond, they are joined by shuffle.
@@ -70,16 +74,20 @@ def _spread(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def _hashes(text: bytes, scheme: Scheme) -> np.ndarray:
+    """The hashes of a text's shingles; the whole text where it has fewer words, nothing where it has none."""
+    w, n = text.lower().split(), scheme.shingle
+    grams = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or ([b" ".join(w)] if w else [])
+    if scheme.as_set:
+        grams = set(grams)
+    return np.fromiter((xxhash.xxh64_intdigest(g, scheme.seed) for g in grams), np.uint64, len(grams))
+
+
 def fingerprint(text: bytes, scheme: Scheme = EXACT) -> np.ndarray:
     """The SimHash of a text as 64-bit words: a bit is set if it is in over half of the shingles' hashes. No words: zeros."""
-    w = text.lower().split()
-    if not w:
+    h = _hashes(text, scheme)
+    if not len(h):
         return np.zeros(scheme.words, np.uint64)
-    n = scheme.shingle
-    grams = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] or [b" ".join(w)]
-    if scheme.as_set:
-        grams = set(grams)
-    h = np.fromiter((xxhash.xxh64_intdigest(g, scheme.seed) for g in grams), np.uint64, len(grams))
     ones = np.zeros(64 * scheme.words, np.int64)
     for at in range(0, len(h), 16384):
         bits = np.unpackbits(_spread(h[at : at + 16384], scheme.words).view(np.uint8).reshape(-1, 8 * scheme.words), axis=1, bitorder="little")
@@ -95,14 +103,37 @@ def _prints(column, scheme: Scheme) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as an array of signed longs."""
+    """(id, fp), fp being the fingerprint as an array of signed longs; with h, a hash of the text, if links are to be proved."""
+    more = ["h"] if scheme.similarity else []
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), _prints(b.column(1), scheme)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _prints(b.column(1), scheme), *b.columns[2:]], ["id", "fp", *more])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp array<long>")
+    return _plain(docs, key, text).select("id", "t", *more).mapInArrow(run, f"id {kind}, fp array<long>" + "".join(f", {c} long" for c in more))
+
+
+def _plain(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, t, h): a row's text and its hash."""
+    return docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+
+
+def _proved(docs: DataFrame, found: DataFrame, n: int, scheme: Scheme, scratch: Scratch) -> DataFrame:
+    """found(v, least, h, root) as (v, root), root being the same for what proved links join. One text a fingerprint is read."""
+    sizes = found.groupBy("root").agg(F.count("*").alias("rows_of")).where("rows_of > 1")
+    asked = to_own(found, sizes, "root", n, scratch).select("v", "root", "least", F.col("h").alias("own"))
+    plain = _plain(docs)
+    asked = plain.join(asked.hint("merge"), plain["id"].eqNullSafe(asked["least"]) & (plain["h"] == asked["own"]))
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(_hashes(t, scheme)) for t in texts(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["v", "root", "n", "s"])
+
+    sets = asked.select("v", "root", "t").mapInArrow(run, "v long, root long, n long, s binary")
+    links = proved(scratch.cut(sets.where("n > 0").dropDuplicates(["v"])), n, scheme.similarity, scratch).withColumnRenamed("root", "own")
+    return scratch.cut(found.join(links.hint("merge"), found["v"] == links["node"], "left").select("v", F.coalesce("own", "v").alias("root")))
 
 
 def _distances(f: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -256,16 +287,20 @@ def near_duplicates(docs: DataFrame, spark: SparkSession, scheme: Scheme = EXACT
     component_id is the least doc_id reachable over links; root (a long) is the same for all rows of a component, also
     where doc_ids repeat or are null. Null or empty texts have a fingerprint of zeros and link like any other; rows with
     equal texts always share a component; repeated doc_ids are one vertex per fingerprint; a null doc_id takes part but
-    is never a component_id unless nothing else is there. An empty table gives no rows; further columns are not read.
+    is never a component_id unless nothing else is there. Texts of any length are read whole. An empty table gives no
+    rows; further columns are not read.
     """
     scratch = scratch or Scratch(spark)
     prints = scratch.cut(fingerprints(docs, scheme))
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    texts_of = [F.coalesce(F.min_by("h", "id"), F.min("h")).alias("h")] if scheme.similarity else []  # a text of the least id
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"), *texts_of)
     least = scratch.cut(least.withColumn("v", F.monotonically_increasing_id()))
     n = least.count()
     entries = _joined(least.select("v", "fp"), scratch, scheme)
     comp = components(links(entries, scratch, scheme), scratch)
     rooted = entries.join(comp.hint("merge"), entries["g"] == comp["node"], "left").select("v", F.coalesce("root", "g").alias("root"))
+    if scheme.similarity:
+        rooted = _proved(docs, scratch.cut(least.drop("fp").join(rooted.hint("merge"), "v")), n, scheme, scratch)
     rooted = scratch.cut(least.join(rooted.hint("merge"), "v").select("fp", "least", "root"))
     low = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("rows_of"))
     of = to_own(rooted, low, "root", n, scratch).select("fp", "component_id", "root")

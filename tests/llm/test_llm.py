@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from facetwise.llm import decontam, embeddings, langid, licenses, mixing, pii, quality, queries, simhash, tokens, toxicity
+from facetwise.llm import decontam, embeddings, langid, licenses, mixing, pii, quality, queries, simhash, similarity, tokens, toxicity
 from facetwise.llm.common import Scratch, crc32_of, words
 from facetwise.llm.components import components
 
@@ -189,6 +189,18 @@ def similar_links(fps):
             yield a, b
 
 
+def plain_grams(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(len(w) - 4)} or ({b" ".join(w)} - {b""})
+
+
+def proved_groups(of):
+    """For texts by fingerprint, a fingerprint of each one's group: similarities of 0.8 or more among what similar_links joins."""
+    coarse, grams = reach(similar_links(set(of)), set(of)), {f: plain_grams(t) for f, t in of.items()}
+    near = [(a, b) for a, b in itertools.combinations(of, 2) if coarse[a] == coarse[b] and 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])]
+    return reach(near, set(of))
+
+
 def unsigned(fp):
     return sum((x % 2**64) << (64 * k) for k, x in enumerate(fp))
 
@@ -214,16 +226,17 @@ def test_simhash_similar(spark):
     rng = random.Random(5)
     base = [rng.choices("abcdefghijklmnopqrstuvwxyz", k=200) for _ in range(6)]
     rows = []
-    for k in range(90):
+    for k in range(120):
         w = list(base[k % 6])
-        for at in rng.sample(range(200), rng.randrange(5)):
+        for at in rng.sample(range(200), rng.randrange(5) if k < 90 else rng.randrange(5, 12)):
             w[at] = f"x{k}"
         rows.append((k, " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs, spark, simhash.SIMILAR).collect()}
     fps = {i: plain_similar(t) for i, t in rows}
     assert all(unsigned(got[i]["fp"]) == f for i, f in fps.items())
-    root = reach(similar_links(set(fps.values())), set(fps.values()))
+    root = proved_groups({fps[i]: t for i, t in rows})
+    assert len(set(root.values())) > len(set(reach(similar_links(set(root)), set(root)).values()))  # some candidates are no links
     assert [got[i]["component_id"] for i in fps] == [min(j for j in fps if root[fps[j]] == root[fps[i]]) for i in fps]
     grams = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
     near = [(a, b) for a in fps for b in range(a) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
@@ -256,6 +269,28 @@ def test_simhash_links(spark, monkeypatch, cap, scheme):
         assert all(got[f] == got[want[f]] for f in fps)
 
 
+@pytest.mark.parametrize(("rows_", "hashes"), [(2048, 1_000_000), (5, 1_000_000), (2048, 500), (3, 200)])
+def test_proved_links(spark, monkeypatch, rows_, hashes):
+    """Groups in one block and in many: near copies, a template whose copies are at 0.7 to 0.85, chains, and one of all kinds."""
+    monkeypatch.setattr(similarity, "ROWS", rows_)
+    monkeypatch.setattr(similarity, "HASHES", hashes)
+    rng, rows = random.Random(11), []
+    fresh = lambda n: [rng.getrandbits(63) for _ in range(n)]
+    for root, least, most in ((1, 0, 3), (2, 4, 9), (3, 0, 9)):
+        for base in [fresh(rng.randrange(20, 40)) for _ in range(1 + (root == 3))]:
+            rows += [(root, set(base[: len(base) - (d := rng.randrange(least, most))] + fresh(d))) for _ in range(20)]
+    chain = fresh(60)
+    rows += [(4, set(chain[k : k + 30])) for k in range(0, 30, 3)] + [(5, set(fresh(1)))] * 2 + [(6, set(fresh(4))), (6, set(fresh(900)))]
+    rng.shuffle(rows)
+    near = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if rows[a][0] == rows[b][0] and 5 * len(rows[a][1] & rows[b][1]) >= 4 * len(rows[a][1] | rows[b][1])]
+    want = reach(near, range(len(rows)))
+    made = [(v, root, len(s), np.array(sorted(s), np.uint64).tobytes()) for v, (root, s) in enumerate(rows)]
+    sets = spark.createDataFrame([(v, r, n, bytearray(s)) for v, r, n, s in made], "v long, root long, n long, s binary").cache()
+    got = {r["node"]: r["root"] for r in similarity.proved(sets, len(rows), (4, 5), Scratch(spark)).collect()}
+    assert {v: got.get(v, v) for v in range(len(rows))} == want and len({want[v] for v in want if rows[v][0] == 2}) > 3
+    assert similarity.proved(sets.limit(0), 0, (4, 5), Scratch(spark)).count() == 0
+
+
 def test_hubs(spark, monkeypatch):
     """A vertex with most of the links, joined by broadcast."""
     monkeypatch.setattr("facetwise.llm.components.HEAVY_LEAST", 3)
@@ -985,7 +1020,7 @@ def test_pipeline_by_brute_force(spark):
     scorer = quality.train(documents(spark), spark)[1]
     rows = [r for r in rows if scorer.score(r["text"].encode()) >= 0.5]
     fps = {r["doc_id"]: plain_similar(r["text"]) for r in rows}
-    group = reach(similar_links(set(fps.values())), set(fps.values()))
+    group = proved_groups({fps[r["doc_id"]]: r["text"] for r in rows})
     rows = [r for r in rows if r["doc_id"] == min(i for i, f in fps.items() if group[f] == group[fps[r["doc_id"]]])]
     windows = set()
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
