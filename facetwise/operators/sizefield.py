@@ -148,29 +148,62 @@ def from_json(specs: DataFrame, by: list[str]) -> DataFrame:
     return specs.select(*by, texts.alias("rule")).select(*by, F.from_json("rule", rule).alias("r")).where("r.kind is not null").select(*by, "r.*")
 
 
-def size_at(points: DataFrame, sources: DataFrame, base_size: float) -> DataFrame:
+#: Points of a mesh are cut into cells, halved along each axis from level to level, DEPTH levels at most; cells with so few
+#: points, or so few sources that may be the least, are not cut any more.
+DEPTH, FEW_POINTS, FEW_SOURCES = 30, 8, 16
+
+
+def size_at(points: DataFrame, sources: DataFrame, base_size: float, scratch: Scratch | None = None) -> DataFrame:
     """points(mesh_id, point, x, y, z) with the ramped size: over sources (mesh_id, x, y, z, h, ramp) the least of
     h + (base - h) clip(distance / ramp, 0, 1), and at most the base.
 
-    Beyond its ramp a source asks for the base, so it is dealt into the cells that its ramp reaches, of a grid for sources
-    of its own kind: cells are twice the power of two above the ramp, so these are two along an axis and eight in all. A
-    point asks in its own cell of every grid that its mesh has sources in. So rows grow with points and sources, however
-    much ramps differ. Sources of the base size or more, or without a ramp, ask for nothing; points without coordinates
-    or sources get the base; sources without coordinates reach nobody.
+    Cells of points go down a tree with the sources that may be the least somewhere in them: a source leaves when the least
+    that it can ask for in the box around a cell's points is above what another asks for at most, or is the base. So a cell
+    holds the sources around it, however many a ramp reaches, and rows grow with points and sources. Points at one place,
+    and equal sources, are looked at once. Sources of the base size or more, or without a ramp, ask for nothing; points
+    without coordinates or sources get the base; sources without coordinates reach nobody.
     """
-    own = sources.where((F.col("ramp") > 0) & (F.col("h") < base_size)).withColumn("reach", F.least("ramp", F.lit(1e300)))
-    own = own.withColumn("level", (F.ceil(F.log2("reach")) + 1).cast("int"))
-    side = F.pow(F.lit(2.0), F.col("level").cast("double"))
-    cells = ["c" + c for c in "xyz"]
-    s = own.where(F.expr(" and ".join(f"{c} is not null and not isnan({c})" for c in "xyz"))).withColumn("side", side)
-    for c in "xyz":
-        low, high = (G.cell_of(F.col(c) + sign * F.col("reach"), F.col("side")) for sign in (-1, 1))
-        s = s.withColumn("c" + c, F.explode(F.array_distinct(F.array(low, F.least(low + 1, high), high))))
-    s = s.select("mesh_id", "level", *cells, *(F.col(c).alias("s" + c) for c in "xyz"), "h", "ramp")
-    levels = written(own.select("mesh_id", "level").distinct())  # a row a mesh and power of two
-    ask = points.select("mesh_id", "point", "x", "y", "z").join(levels, "mesh_id").withColumns({"c" + c: G.cell_of(F.col(c), side) for c in "xyz"})
-    d = G.norm(tuple(F.col(c) - F.col("s" + c) for c in "xyz"))
-    ramped = F.col("h") + (F.lit(base_size) - F.col("h")) * F.least(F.lit(1.0), d / F.col("ramp"))
-    near = ask.join(s, ["mesh_id", "level", *cells]).groupBy("mesh_id", "point").agg(F.min(ramped).alias("near"))
-    base = F.lit(float(base_size))
-    return points.join(near, ["mesh_id", "point"], "left").withColumn("size", F.coalesce(F.least("near", base), base)).drop("near")
+    scratch = scratch or Scratch(points.sparkSession)
+    xyz, base = list("xyz"), F.lit(float(base_size))
+    known = F.expr(" and ".join(f"abs({c}) < double('infinity')" for c in xyz))
+    place = ["mesh_id", *xyz]
+    s = sources.where((F.col("ramp") > 0) & ~F.isnan("ramp") & (F.col("h") < base)).where(known)
+    s = s.select("mesh_id", *(F.col(c).cast("double").alias("s" + c) for c in xyz), "h", "ramp").distinct()
+    p = points.where(known).select("mesh_id", *(F.col(c).cast("double").alias(c) for c in xyz)).distinct()
+    frame = written(p.groupBy("mesh_id").agg(*(f(c).alias(n + c) for n, f in (("g", F.min), ("w", F.max)) for c in xyz)))  # a row a mesh
+    last = 2**DEPTH - 1
+    at = lambda c: F.when(F.col("w" + c) > F.col("g" + c), F.floor((F.col(c) / 2 - F.col("g" + c) / 2) / (F.col("w" + c) / 2 - F.col("g" + c) / 2) * last)).otherwise(0)
+    p = scratch.cut(p.join(frame, "mesh_id").select(*place, *(F.least(F.greatest(at(c), F.lit(0)), F.lit(last)).cast("long").alias("i" + c) for c in xyz)))
+    cell = ["mesh_id", *("c" + c for c in xyz)]
+
+    def cells(level: int) -> DataFrame:
+        return p.select(*place, *(F.shiftright("i" + c, DEPTH - level).alias("c" + c) for c in xyz))
+
+    def asked(d: Column) -> Column:
+        return F.col("h") + (base - F.col("h")) * F.least(F.lit(1.0), d / F.col("ramp"))
+
+    gap = lambda c: F.greatest(F.col("low" + c) - F.col("s" + c), F.col("s" + c) - F.col("high" + c), F.lit(0.0))
+    reach = lambda c: F.greatest(F.abs(F.col("s" + c) - F.col("low" + c)), F.abs(F.col("s" + c) - F.col("high" + c)))
+    slack = (F.abs(base) + F.abs("h")) * 1e-12  # more than rounding makes of a bound
+    near, now = None, s
+    for level in range(DEPTH + 1):
+        boxes = cells(level).groupBy(*cell).agg(*(f(c).alias(n + c) for n, f in (("low", F.min), ("high", F.max)) for c in xyz), F.count("*").alias("n"))
+        if level:
+            boxes = boxes.select("*", *(F.shiftright("c" + c, 1).alias("u" + c) for c in xyz))
+            boxes = boxes.join(now.drop("n", "least", "met").withColumnsRenamed({"c" + c: "u" + c for c in xyz}), ["mesh_id", *("u" + c for c in xyz)]).drop(*("u" + c for c in xyz))
+        else:
+            boxes = boxes.join(now, "mesh_id")
+        met = boxes.withColumns({"from": asked(G.norm(tuple(gap(c) for c in xyz))) - slack, "to": asked(G.norm(tuple(reach(c) for c in xyz))) + slack})
+        met = scratch.cut(met.where(F.col("from") < base).select(*cell, "n", *("s" + c for c in xyz), "h", "ramp", "from", "to"))
+        bounds = scratch.cut(met.groupBy(*cell).agg(F.min("to").alias("least"), F.count("*").alias("met")))
+        kept = met.join(bounds, cell).where(F.col("from") <= F.col("least")).drop("from", "to")
+        closed = (F.col("n") <= FEW_POINTS) | (F.col("met") <= FEW_SOURCES) if level < DEPTH else F.lit(True)
+        d = G.norm(tuple(F.col(c) - F.col("s" + c) for c in xyz))
+        found = cells(level).join(kept.where(closed), cell).groupBy(*place).agg(F.min(asked(d)).alias("near"))
+        near = found if near is None else near.unionByName(found)
+        now = kept.where(~closed)
+        if now.isEmpty():
+            break
+    own = points.select("mesh_id", "point", *(F.col(c).cast("double").alias(c) for c in xyz)).join(scratch.cut(near), place)
+    own = own.groupBy("mesh_id", "point").agg(F.min("near").alias("near"))
+    return points.join(own, ["mesh_id", "point"], "left").withColumn("size", F.coalesce(F.least("near", base), base)).drop("near")

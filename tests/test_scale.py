@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetwise.operators import entities, fidelity, mesh, ranks, sizefield
+from facetwise.scratch import Scratch
 
 TRI = "mesh_id string, tri long, " + ", ".join(f"{p}{x} double" for p in "abc" for x in "xyz")
 RAY = "mesh_id string, ray long, own long, ox double, oy double, oz double, dx double, dy double, dz double"
@@ -91,6 +92,20 @@ def test_ramps_of_many_lengths(spark):
     assert {r["point"]: r["size"] for r in sizefield.size_at(p, s, 2.0).collect()} == pytest.approx(want)
 
 
+def test_ramps_that_reach_all_points(spark):
+    rng = random.Random(16)
+    pts = [("m", k, rng.uniform(0, 10), float(k % 17), 0.0) for k in range(3000)]
+    src = [("m", rng.uniform(0, 10), float(k % 17), 0.0, 0.1 + k % 7 / 10, 30.0) for k in range(3000)]
+    p = spark.createDataFrame(pts, "mesh_id string, point long, x double, y double, z double")
+    s = spark.createDataFrame(src, "mesh_id string, x double, y double, z double, h double, ramp double")
+    scratch = Scratch(spark)
+    got = {r["point"]: r["size"] for r in sizefield.size_at(p, s, 2.0, scratch=scratch).collect()}
+    want = {k: min(h + (2 - h) * min(1.0, math.dist(x, y) / ramp) for _, *y, h, ramp in src) for _, k, *x in pts}
+    assert got == pytest.approx(want)
+    # All sources reach all points, so pairs would be nine million.
+    assert sum(spark.read.parquet(f"{scratch.root}/{k}").count() for k in range(1, scratch.n + 1)) < 600_000
+
+
 def test_duplicate_nodes_of_any_magnitude(spark):
     pts = [(0, 1e11), (1, 1e11), (2, 1e11 + 1), (3, 1e7), (4, 1e300), (5, 1e300), (6, 0.0), (7, 9e-10), (8, -5e-10), (9, None), (10, math.nan), (11, math.nan)]
     vert = spark.createDataFrame([("m", k, x, 0.0, -1e11) for k, x in pts], "mesh_id string, v long, x double, y double, z double")
