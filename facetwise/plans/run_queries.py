@@ -119,6 +119,13 @@ def spec_diff(spark, sf_dir):
     return sizefield.diff(old, new)
 
 
+def _neighbours(faces, reach: int):
+    """(model, pid, nbr): faces of a model whose numbers differ by 1 to reach; each asks for the numbers, so rows grow with faces."""
+    near = faces.selectExpr("model", "pid as nbr", "cast(pid as int) as key")
+    asked = faces.selectExpr("model", "pid", f"explode(filter(transform(sequence(-{reach}, {reach}), k -> cast(pid as int) + k), key -> key <> cast(pid as int))) as key")
+    return asked.join(near, ["model", "key"]).drop("key")
+
+
 @query(
     """with recursive face as (select 'm' || s_nationkey % 5 as model, cast(s_suppkey as varchar) as pid, 0.05::double + (s_suppkey * 37 % 100) / 20.0::double as size, sqrt(abs(s_acctbal) / 100) as extent from supplier),
     link as (select a.model, a.pid, b.pid as nbr from face a join face b using (model) where abs(cast(a.pid as integer) - cast(b.pid as integer)) between 1 and 25),
@@ -133,9 +140,7 @@ def spec_diff(spark, sf_dir):
 def size_smooth(spark, sf_dir):
     s = B.table(spark, sf_dir, "supplier")
     faces = s.selectExpr("'m' || s_nationkey % 5 as model", "cast(s_suppkey as string) as pid", "0.05D + (s_suppkey * 37 % 100) / 20.0D as size", "abs(s_acctbal) / 100 as area")
-    near = faces.select("model", "pid")
-    pairs = near.join(near.withColumnRenamed("pid", "nbr"), "model").where("abs(cast(pid as int) - cast(nbr as int)) between 1 and 25")
-    return rounded(sizefield.smooth(faces, pairs, 1.4))
+    return rounded(sizefield.smooth(faces, _neighbours(faces, 25), 1.4))
 
 
 @query(

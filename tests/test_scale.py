@@ -106,6 +106,16 @@ def test_ramps_that_reach_all_points(spark):
     assert sum(spark.read.parquet(f"{scratch.root}/{k}").count() for k in range(1, scratch.n + 1)) < 600_000
 
 
+def test_neighbours_by_number(spark):
+    from facetwise.plans.run_queries import _neighbours
+
+    faces = spark.createDataFrame([("ab"[k % 3 % 2], str(k)) for k in range(0, 400, 2)], "model string, pid string")
+    want = {(m, p, q) for m, p in ((r[0], r[1]) for r in faces.collect()) for q in map(str, range(0, 400, 2)) if q != p and abs(int(p) - int(q)) <= 5 and "ab"[int(q) % 3 % 2] == m}
+    met = _neighbours(faces, 5)
+    assert {(r["model"], r["pid"], r["nbr"]) for r in met.collect()} == want and met.count() == len(want)
+    assert "abs(" not in met._jdf.queryExecution().optimizedPlan().toString()  # the number is a key of the join, no condition on pairs
+
+
 def test_duplicate_nodes_of_any_magnitude(spark):
     pts = [(0, 1e11), (1, 1e11), (2, 1e11 + 1), (3, 1e7), (4, 1e300), (5, 1e300), (6, 0.0), (7, 9e-10), (8, -5e-10), (9, None), (10, math.nan), (11, math.nan)]
     vert = spark.createDataFrame([("m", k, x, 0.0, -1e11) for k, x in pts], "mesh_id string, v long, x double, y double, z double")
