@@ -52,12 +52,12 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length").distinct()
 
 
-def run_records(spark: SparkSession, path: str) -> DataFrame:
-    """Run records of all JSON files: a record or a list of records a file. Files that don't parse, and records without an
+def run_records(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """Run records of all JSON files (by their names): a record or a list of records a file. Files that don't parse, and records without an
     outcome, are left out; of equal (model, outcome, iterations) the first by file name counts."""
     from facetwise.operators.records import dedup
 
-    raw = spark.read.schema(RUN).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
+    raw = spark.read.schema(RUN).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", names).json(path)
     rows = raw.withColumns({"file": F.input_file_name(), "place": F.monotonically_increasing_id()}).where("outcome is not null")
     return dedup(rows.withColumn("n_iterations", F.coalesce(F.size("iterations"), F.lit(0)))).drop("file", "place")
 
@@ -67,9 +67,9 @@ def first_outcomes(records: DataFrame) -> DataFrame:
     return records.groupBy("model").agg(F.first("outcome", ignorenulls=True).alias("outcome"))
 
 
-def findings(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of all audit reports, one row each, with the part they belong to."""
-    raw = spark.read.schema(REPORT).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
+def findings(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """Findings of all audit reports (JSON files by their names, each a report or a list), one row each, with the part they belong to."""
+    raw = spark.read.schema(REPORT).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", names).json(path)
     own = raw.where("findings is not null").select("source_path", F.explode("findings").alias("f"))
     return own.select("source_path", F.regexp_extract("source_path", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1).alias("part"), "f.*")
 

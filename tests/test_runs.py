@@ -261,6 +261,19 @@ def test_record_readers(spark, tmp_path):
         src.import_cad("p.step")
 
 
+def test_record_files_grow_with_bytes(spark):
+    from facetwise.plans import source_queries
+    from facetwise.scratch import Scratch
+
+    runs = spark.range(600).selectExpr("concat('p', id) as name", "concat('/parts/p', id, '.step') as model", "if(id % 2 = 0, 'accepted', 'plateau') as outcome", "array(named_struct('index', 0, 'score', id / 2)) as iterations")
+    path = source_queries._files(runs, "name", Scratch(spark), file_bytes=20_000)
+    got = src.run_records(spark, path, "*.txt")
+    assert {(r["model"], r["outcome"], r["iterations"][0]["score"]) for r in got.collect()} == {(f"/parts/p{k}.step", "plateau" if k % 2 else "accepted", k / 2) for k in range(600)}
+    files = spark.read.format("binaryFile").load(path.removeprefix("file://")).select("length").collect()
+    assert 2 <= len(files) <= 10 and max(r["length"] for r in files) < 60_000  # not a file a record
+    assert src.run_records(spark, source_queries._files(runs.limit(0), "name", Scratch(spark)), "*.txt").count() == 0
+
+
 def test_sheet_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("", "p", "c", "t", 0.05, 0.2), ("yes", "q", "c", "t", 0.05, 0.06)], "borderline string, part string, code string, threshold_name string, threshold double, measured double")
     src.write_sheet(rows, str(tmp_path / "s"))
