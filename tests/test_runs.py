@@ -274,6 +274,19 @@ def test_record_files_grow_with_bytes(spark):
     assert src.run_records(spark, source_queries._files(runs.limit(0), "name", Scratch(spark)), "*.txt").count() == 0
 
 
+def test_findings_of_a_large_part(spark, monkeypatch):
+    """A part's findings are dealt to reports, and reports to files, of a bounded size."""
+    from facetwise.plans import source_queries
+
+    found = spark.range(3000).selectExpr("if(id < 2900, 'big', 'small') as part", "'face.sliver' as code", "'WARN' as severity", "id as tag", "id / 2 as measured")
+    monkeypatch.setattr(source_queries, "_found", lambda spark, sf_dir: found)
+    sizes, files = [], source_queries._files
+    monkeypatch.setattr(source_queries, "_files", lambda df, *more: sizes.extend(r[0] for r in df.select(F.size("findings")).collect()) or files(df, *more))
+    got = source_queries.finding_files(spark, "").collect()
+    assert sorted((r["tag"], r["part"], r["measured"]) for r in got) == [(k, "big" if k < 2900 else "small", k / 2) for k in range(3000)]
+    assert sum(sizes) == 3000 and max(sizes) < 2 * source_queries.REPORT_ROWS
+
+
 def test_sheet_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("", "p", "c", "t", 0.05, 0.2), ("yes", "q", "c", "t", 0.05, 0.06)], "borderline string, part string, code string, threshold_name string, threshold double, measured double")
     src.write_sheet(rows, str(tmp_path / "s"))
