@@ -79,9 +79,9 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sheet(rows: DataFrame, path: str) -> None:
-    """One CSV with a header, borderline rows first; calibration sheets are for people, so small."""
+    """CSV part files with a header each, in order, borderline rows first: no task holds the sheet. Spark makes one of a small sheet."""
     names = [x.split()[0] for x in SHEET.split(", ")]
-    rows.select(*(F.col(n) if n in rows.columns else F.lit("").alias(n) for n in names)).orderBy(F.desc("borderline"), "threshold_name", "part").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+    rows.select(*(F.col(n) if n in rows.columns else F.lit("").alias(n) for n in names)).orderBy(F.desc("borderline"), "threshold_name", "part").write.mode("overwrite").option("header", "true").csv(path)
 
 
 def thresholds(text: str) -> Thresholds:

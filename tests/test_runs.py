@@ -287,6 +287,23 @@ def test_findings_of_a_large_part(spark, monkeypatch):
     assert sum(sizes) == 3000 and max(sizes) < 2 * source_queries.REPORT_ROWS
 
 
+def test_sheet_in_parts(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 'yes', '') as borderline", "concat('p', lpad(pmod(id * 7919, 40000), 5, '0')) as part", "'c' as code", "'t' as threshold_name", "0.05D as threshold", "id / 4 as measured")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    try:
+        for k in before:
+            spark.conf.set(k, "10k")
+        src.write_sheet(rows, str(tmp_path / "s"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parts = sorted((tmp_path / "s").glob("part-*"))
+    lines = [line for p in parts for line in p.read_text().splitlines()[1:]]
+    assert len(parts) > 1 and len({p.read_text().split("\n")[0] for p in parts}) == 1  # no task holds the sheet
+    assert [(x.split(",")[0] != "yes", x.split(",")[1]) for x in lines] == sorted((k % 2 == 1, f"p{k * 7919 % 40000:05d}") for k in range(40_000))
+    assert src.read_sheet(spark, str(tmp_path / "s")).count() == 40_000
+
+
 def test_sheet_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("", "p", "c", "t", 0.05, 0.2), ("yes", "q", "c", "t", 0.05, 0.06)], "borderline string, part string, code string, threshold_name string, threshold double, measured double")
     src.write_sheet(rows, str(tmp_path / "s"))
