@@ -68,3 +68,15 @@ def around(outer: DataFrame, inner: DataFrame, by: list[str]) -> DataFrame:
         i = i.withColumn("c_" + x, G.cell_of((F.col(f"i_{x}lo") + F.col(f"i_{x}hi")) / 2, side[x]))
         on += ["g_" + x, "c_" + x]
     return i.join(o, on).where(contains("o_", "i_", F.col("o_tol"))).drop(*(c for c in on if c not in by))
+
+
+def tightest(outer: DataFrame, inner: DataFrame, by: list[str], key: list[str]) -> DataFrame:
+    """inner with `o`, the least struct of the columns key of the outer boxes that contain it (see around); none, no row.
+
+    Of equal outer boxes the least key counts, and equal inner boxes are asked for once, so copies are no pairs.
+    """
+    ends = [x + e for x in "xyz" for e in ("lo", "hi")]
+    own = outer.groupBy(*by, *ends, "tol").agg(F.min(F.struct(*key)).alias("key"))
+    asks = inner.select(*by, *ends, "tol").distinct()
+    found = around(own, asks, by).groupBy(*by, *(F.col("i_" + e).alias(e) for e in ends)).agg(F.min("o_key").alias("o"))
+    return inner.join(found, [*by, *ends])

@@ -70,10 +70,10 @@ def coincident_pairs(old: DataFrame, new: DataFrame, by: list[str], tol: Column,
 def tightest_parent(old: DataFrame, new: DataFrame, by: list[str], tol: Column) -> DataFrame:
     """(by, n_tag, o_pid): for each new box the old box of least mass that contains it (of equal ones the least pid).
 
-    Boxes meet by cells of grids in all three axes (boxes.around); tol is a constant, or depends on by alone.
+    Different boxes meet by cells of grids in all three axes (boxes.tightest); tol is a constant, or depends on by alone.
     """
-    met = boxes.around(old.withColumn("tol", tol), new.withColumn("tol", tol), by)
-    return met.groupBy(*by, F.col("i_tag").alias("n_tag")).agg(F.min(F.struct("o_mass", "o_pid"))["o_pid"].alias("o_pid"))
+    met = boxes.tightest(old.withColumn("tol", tol), new.withColumn("tol", tol), by, ["mass", "pid"])
+    return met.groupBy(*by, F.col("tag").alias("n_tag")).agg(F.min("o")["pid"].alias("o_pid"))
 
 
 def fingerprint_matches(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:

@@ -116,6 +116,20 @@ def test_neighbours_by_number(spark):
     assert "abs(" not in met._jdf.queryExecution().optimizedPlan().toString()  # the number is a key of the join, no condition on pairs
 
 
+def test_parents_of_copies(spark, monkeypatch):
+    """Equal boxes meet once, whatever their number."""
+    from facetwise.operators import boxes
+
+    box = lambda side, k: ("m", k, float(k % 50), *([-side, side] * 3))
+    old = spark.createDataFrame([box(5.0, k) for k in range(500)] + [box(3.0, k) for k in range(500, 1000)], "model string, pid long, mass double, xlo double, xhi double, ylo double, yhi double, zlo double, zhi double")
+    new = spark.createDataFrame([box(4.0, k) for k in range(400)] + [box(1.0, k) for k in range(400, 800)] + [box(9.0, 800)], old.schema).withColumnRenamed("pid", "tag")
+    met, around = [], boxes.around
+    monkeypatch.setattr(boxes, "around", lambda *args: met.append(around(*args)) or met[-1])
+    got = {r["n_tag"]: r["o_pid"] for r in entities.tightest_parent(old, new, ["model"], F.lit(0.0)).collect()}
+    assert got == {k: 0 if k < 400 else min((k % 50, k) for k in range(1000))[1] for k in range(800)}
+    assert met[0].count() == 3  # 600,000 pairs of copies
+
+
 def test_duplicate_nodes_of_any_magnitude(spark):
     pts = [(0, 1e11), (1, 1e11), (2, 1e11 + 1), (3, 1e7), (4, 1e300), (5, 1e300), (6, 0.0), (7, 9e-10), (8, -5e-10), (9, None), (10, math.nan), (11, math.nan)]
     vert = spark.createDataFrame([("m", k, x, 0.0, -1e11) for k, x in pts], "mesh_id string, v long, x double, y double, z double")
