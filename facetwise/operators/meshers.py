@@ -101,11 +101,30 @@ def self_crossings(nodes: DataFrame, by: list[str]) -> DataFrame:
     return met.where(cross).groupBy(*by, "loop").agg(F.count("*").alias("n"))
 
 
+#: Edges that follow an edge and are looked at first: most loops that are not simple cross there.
+NEXT_EDGES = 8
+
+
+def _near_crossings(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, loop, crossed): whether an edge of the loop crosses one of the few that follow it."""
+    n = next_nodes(nodes, by)
+    of = Window.partitionBy(*by, "loop").orderBy("ord")
+    ends = ("u", "v", "u1", "v1")
+    # One array a node of the edges to come: nothing is dealt to cells.
+    ahead = F.collect_list(F.struct(*ends)).over(of.rowsBetween(1, NEXT_EDGES))
+    cross = F.exists("ahead", lambda q: G.segments_cross(*(F.col(c) for c in ends), *(q[c] for c in ends)))
+    return n.withColumn("ahead", ahead).groupBy(*by, "loop").agg(F.max(F.coalesce(cross, F.lit(False))).alias("crossed"), F.count("*").alias("nodes"))
+
+
 def loop_is_simple(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, loop, is_simple): whether no edges of a loop cross; a loop of fewer than three nodes is not simple."""
-    sizes = nodes.groupBy(*by, "loop").agg(F.count("*").alias("nodes"))
-    out = sizes.join(self_crossings(nodes, by), [*by, "loop"], "left")
-    return out.select(*by, "loop", ((F.col("nodes") >= 3) & F.col("n").isNull()).alias("is_simple"))
+    """(by, loop, is_simple): whether no edges of a loop cross; a loop of fewer than three nodes is not simple.
+
+    One crossing is enough, so all edges of a loop meet each other only where edges next to each other don't cross.
+    """
+    seen = written(_near_crossings(nodes, by))  # a row a loop
+    rest = nodes.join(seen.where("nodes >= 3 and not crossed").select(*by, "loop"), [*by, "loop"], "left_semi")
+    out = seen.join(self_crossings(rest, by), [*by, "loop"], "left")
+    return out.select(*by, "loop", ((F.col("nodes") >= 3) & ~F.col("crossed") & F.col("n").isNull()).alias("is_simple"))
 
 
 def winding(points: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:

@@ -130,6 +130,22 @@ def test_parents_of_copies(spark, monkeypatch):
     assert met[0].count() == 3  # 600,000 pairs of copies
 
 
+def test_one_crossing_is_enough(spark, monkeypatch):
+    """Only loops without a crossing of near edges are looked at in full."""
+    from facetwise.operators import meshers
+
+    ring = [(math.cos(k / 10), math.sin(k / 10)) for k in range(60)]
+    bow = [*ring[:30], (5.0, 5.0), (-5.0, 5.1), (5.0, 5.2), (-6.0, 4.9), *ring[30:]]  # crosses near by
+    far = [(0.0, 0.0), *((10.0 + k / 10, (k % 2) / 10) for k in range(40)), (30.0, 5.0), (10.0, -5.0), (0.0, 9.0)]  # crosses far apart
+    loops = {"ring": ring, "bow": bow, "far": far, "two": ring[:2]}
+    nodes = spark.createDataFrame([(f, 0, k, *p) for f, own in loops.items() for k, p in enumerate(own)], "face string, loop int, ord int, u double, v double")
+    full, crossings = [], meshers.self_crossings
+    monkeypatch.setattr(meshers, "self_crossings", lambda n, by: full.append(n) or crossings(n, by))
+    got = {r["face"]: r["is_simple"] for r in meshers.loop_is_simple(nodes, ["face"]).collect()}
+    assert got == {"ring": True, "bow": False, "far": False, "two": False}
+    assert {r["face"] for r in full[0].collect()} == {"ring", "far"}
+
+
 def test_duplicate_nodes_of_any_magnitude(spark):
     pts = [(0, 1e11), (1, 1e11), (2, 1e11 + 1), (3, 1e7), (4, 1e300), (5, 1e300), (6, 0.0), (7, 9e-10), (8, -5e-10), (9, None), (10, math.nan), (11, math.nan)]
     vert = spark.createDataFrame([("m", k, x, 0.0, -1e11) for k, x in pts], "mesh_id string, v long, x double, y double, z double")
