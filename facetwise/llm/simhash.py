@@ -18,10 +18,10 @@ questions. Candidates are verified on all bits. Two schemes:
 Groups of near copies would give all their pairs. So SIMILAR first compares the residents of each key with the least of
 them only, which is linear, and joins what links; pairs are then asked for only between what is not joined yet.
 
-A table key with many more fingerprints than chance gives (over KEY_CAP and four times the mean), and the keys that
-they ask in, is not joined: those who live there and those who ask are cut into blocks of about BLOCK, each pair of
-blocks is one group, and a group returns a spanning set of links instead of pairs. Keys whose entries are all joined
-already are left out.
+A table key with many more fingerprints than chance gives (over KEY_CAP and four times the mean) is not joined: those who
+live there and those who ask are cut into blocks of about BLOCK, each pair of blocks is one group, and a group returns a
+spanning set of links instead of pairs. Of two neighbouring keys, one of them such, the residents of the smaller one ask,
+so a crowd is met where it lives and asks in no key of a few. Keys whose entries are all joined already are left out.
 """
 
 from __future__ import annotations
@@ -170,18 +170,20 @@ def _labels(f: np.ndarray, radius: int) -> np.ndarray:
         own = new
 
 
-def _keys(scheme: Scheme, ask: bool) -> str:
-    """SQL for the table keys of a fingerprint's segments, or all keys in its balls: segment number and value in one long."""
-    parts = []
-    for s, (word, first, width) in enumerate(scheme.segments):
-        k = f"(shiftrightunsigned(fp[{word}], {first}) & {(1 << width) - 1}L | {s << 40}L)"
-        parts.append(f"transform(array({k}), k -> {_ball('k', width)})[0]" if ask else k)
-    return f"flatten(array({', '.join(parts)}))" if ask else f"array({', '.join(parts)})"
+def _keys(scheme: Scheme) -> str:
+    """SQL for the table keys of a fingerprint's segments: segment number and value in one long."""
+    parts = [f"(shiftrightunsigned(fp[{word}], {first}) & {(1 << width) - 1}L | {s << 40}L)" for s, (word, first, width) in enumerate(scheme.segments)]
+    return f"array({', '.join(parts)})"
 
 
-def _ball(k: str, width: int) -> str:
-    """The key itself and every key with one clear bit set."""
-    return f"concat(array({k}), transform(filter(sequence(0, {width - 1}), i -> (shiftright({k}, i) & 1) = 0), i -> {k} | shiftleft(1L, i)))"
+def _bits(scheme: Scheme) -> str:
+    """SQL for the numbers of the bits of key k."""
+    return f"sequence(0, array({', '.join(str(w) for _, _, w in scheme.segments)})[cast(shiftright(k, 40) as int)] - 1)"
+
+
+def _ball(scheme: Scheme) -> str:
+    """SQL for key k itself and every key with one of its clear bits set."""
+    return f"concat(array(k), transform(filter({_bits(scheme)}, i -> (shiftright(k, i) & 1) = 0), i -> k | shiftleft(1L, i)))"
 
 
 def _verified(pairs: DataFrame, entries: DataFrame, scheme: Scheme) -> DataFrame:
@@ -194,7 +196,7 @@ def _verified(pairs: DataFrame, entries: DataFrame, scheme: Scheme) -> DataFrame
 
 def _pivot_links(entries: DataFrame, scratch: Scratch, scheme: Scheme) -> DataFrame:
     """(a, b): links between the residents of every key and the least of them."""
-    home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", F.col("fp")[0].alias("c"))
+    home = entries.select(F.explode(F.expr(_keys(scheme))).alias("k"), "v", F.col("fp")[0].alias("c"))
     least = home.groupBy("k").agg(F.min(F.struct("v", "c")).alias("p"), F.count("*").alias("rows_of")).where("rows_of > 1")
     met = to_own(home, least, "k", entries.count() * len(scheme.segments), scratch)
     screen = F.bit_count(F.col("c").bitwiseXOR(F.col("p.c"))) <= scheme.screen
@@ -206,37 +208,41 @@ def links(entries: DataFrame, scratch: Scratch, scheme: Scheme = EXACT) -> DataF
 
     v is a long of its own for each fingerprint; entries with one g are joined already. a and b are values of g.
     """
-    c = F.col("fp")[0].alias("c")
-    home = entries.select(F.explode(F.expr(_keys(scheme, False))).alias("k"), "v", "g", c)
-    ask = entries.select(F.explode(F.expr(_keys(scheme, True))).alias("k"), "v", "g", c)
-    counts = home.groupBy("k").agg(F.count("*").alias("n"))
+    home = entries.select(F.explode(F.expr(_keys(scheme))).alias("k"), "v", "g", F.col("fp")[0].alias("c"))
+    counts = home.groupBy("k").agg(F.count("*").alias("n"), F.min("g").alias("h0"), F.max("g").alias("h1"))
     cap = max(KEY_CAP, 4 * entries.count() >> min(w for _, _, w in scheme.segments))
-    full = scratch.cut(counts.where(F.col("n") > cap).select("k"))
-    widest = max(w for _, _, w in scheme.segments)
-    asked = full.select(F.explode(F.expr(_ball("k", widest))).alias("k")).distinct()
-    hot = scratch.cut(counts.join(asked.hint("merge"), "k", "left_semi").select("k"))  # only keys where someone lives
-    few = hot.count() <= HOT_BROADCAST
-    keys = F.broadcast(hot) if few else hot.hint("merge")
+    full = scratch.cut(counts.where(F.col("n") > cap))
+    few = full.count() <= HOT_BROADCAST
+    sent = F.broadcast if few else lambda d: d.hint("merge")
     near = F.bit_count(F.col("c").bitwiseXOR(F.col("c2"))) <= scheme.screen
-    lives = home.join(keys, "k", "left_anti").select("k", *(F.col(x).alias(x + "2") for x in "vgc"))
-    cold = ask.join(keys, "k", "left_anti").join(lives.hint("merge"), "k").where((F.col("g") != F.col("g2")) & near)
+    home_cold = home.join(sent(full.select("k")), "k", "left_anti")
+    lives = home_cold.select("k", *(F.col(x).alias(x + "2") for x in "vgc"))
+    cold = home_cold.withColumn("k", F.explode(F.expr(_ball(scheme)))).join(lives.hint("merge"), "k").where((F.col("g") != F.col("g2")) & near)
     cold = cold.select(*(F.when(F.col("v") < F.col("v2"), F.struct(x, x + "2")).otherwise(F.struct(F.col(x + "2").alias(x), F.col(x).alias(x + "2"))).alias(x) for x in "vg"))
     cold = cold.select("v.v", "v.v2", "g.g", "g.g2")
     if scheme.words > 1:
         pairs = cold.select(F.col("v").alias("a"), F.col("v2").alias("b"), "g", "g2").distinct()
         cold = _verified(pairs, entries, scheme)
     cold = cold.select(F.col("g").alias("a"), F.col("g2").alias("b"))
-    crowd = ask.select("k", "v", "g", F.lit(True).alias("asks")).unionAll(home.select("k", "v", "g", F.lit(False).alias("asks"))).join(keys, "k", "left_semi")
-    crowd = scratch.cut(crowd)
-    blocks = lambda who: F.greatest(F.lit(1), F.ceil(F.count_if(who) / F.lit(BLOCK))).cast("int")
-    lives_in = F.when(~F.col("asks"), F.col("g"))
-    sizes = crowd.groupBy("k").agg(
-        blocks(~F.col("asks")).alias("nh"), blocks(F.col("asks")).alias("na"), F.min(lives_in).alias("h0"), F.max(lives_in).alias("h1"), F.min("g").alias("g0"), F.max("g").alias("g1")
-    ).where("g0 <> g1")
-    # Who is joined with all residents of a key has nothing to ask there.
-    dealt = crowd.join(F.broadcast(sizes) if few else sizes.hint("merge"), "k").where("not asks or h0 <> h1 or g <> h0").drop("g", "g0", "g1", "h0", "h1")
+    # Pairs of neighbouring keys, one of them full: the residents of the one with fewer ask in the other (the host).
+    beside = full.select("k", F.col("n").alias("n1"), F.explode(F.expr(f"transform({_bits(scheme)}, i -> k ^ shiftleft(1L, i))")).alias("near")).join(counts.select(F.col("k").alias("near"), "n").hint("merge"), "near")
+    first = F.expr("n < n1 or n = n1 and near < k")
+    beside = beside.select(F.when(first, F.col("k")).otherwise(F.col("near")).alias("host"), F.when(first, F.col("near")).otherwise(F.col("k")).alias("k")).distinct()
+    hosts = full.select(F.col("k").alias("host"), "n", "h0", "h1")
+    ways = beside.unionAll(full.where("h0 <> h1").select(F.col("k").alias("host"), "k")).join(sent(hosts), "host")
+    ways = scratch.cut(ways)
+    ways = F.broadcast(ways) if ways.count() <= HOT_BROADCAST else ways.hint("merge")
+    # Who is joined with all residents of a key has nothing to ask there; of two groups in one key the one that is not h0
+    # asks; who lives where nobody asks is not met.
+    own = "if(k = host, g <> h0, h0 <> h1 or g <> h0)"
+    asks = home.select("k", "v", "g").join(ways, "k").where(own)
+    asks = scratch.cut(asks.select(F.col("host").alias("k"), "v"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK))).cast("int")
+    sizes = asks.groupBy("k").agg(blocks(F.count("*")).alias("na"))
+    sizes = scratch.cut(sizes.join(full.hint("merge"), "k").select("k", "na", blocks(F.col("n")).alias("nh")))
+    crowd = asks.join(sent(sizes), "k").withColumn("asks", F.lit(True)).unionByName(home.select("k", "v").join(sent(sizes), "k").withColumn("asks", F.lit(False)))
     part = "cast(pmod(xxhash64(v), {}) as int)"
-    dealt = dealt.select("k", "v", F.expr(f"if(asks, sequence(0, nh - 1), array({part.format('nh')}))").alias("i"), F.expr(f"if(asks, array({part.format('na')}), sequence(0, na - 1))").alias("j"))
+    dealt = crowd.select("k", "v", F.expr(f"if(asks, sequence(0, nh - 1), array({part.format('nh')}))").alias("i"), F.expr(f"if(asks, array({part.format('na')}), sequence(0, na - 1))").alias("j"))
     dealt = dealt.join(entries.hint("merge"), "v").select("k", "v", "g", "fp", F.explode("i").alias("i"), "j").select("k", "v", "g", "fp", "i", F.explode("j").alias("j"))
 
     def span(v: np.ndarray, g: np.ndarray, f: np.ndarray) -> np.ndarray:

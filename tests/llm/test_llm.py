@@ -1051,3 +1051,32 @@ def test_pipeline_by_brute_force(spark):
     digits = lambda t: "".join("9" if c.isdigit() else c for c in t)
     plain = [r for r in out if "@" not in text[r["doc_id"]] and "token" not in text[r["doc_id"]].lower() and "." not in digits(text[r["doc_id"]]).replace(". ", "")]
     assert all(digits(r["text"]) == digits(text[r["doc_id"]]) for r in plain)
+
+
+def test_a_crowd_asks_in_no_key_of_a_few(spark):
+    rng = np.random.default_rng(5)
+    scheme = simhash.SIMILAR
+    base = rng.integers(0, 2**63, 7, np.uint64)
+    prints = []
+    for k in range(120):  # one joined group: near copies, a bit of each segment or none
+        f = base.copy()
+        f[k % 7] ^= np.uint64(1) << np.uint64(k % 60)
+        prints.append((k, 0, f))
+    for k in range(120):  # strangers in keys beside those of the group, every tenth of them near it
+        f = rng.integers(0, 2**63, 7, np.uint64) if k % 10 else base.copy()
+        w = np.uint64(0xFFFFF)
+        f[k % 7] = f[k % 7] & ~w | (base[k % 7] ^ (np.uint64(1) << np.uint64(k % 20))) & w
+        prints.append((1000 + k, 1000 + k, f))
+    entries = spark.createDataFrame([(v, g, f.view(np.int64).tolist()) for v, g, f in prints], "v long, g long, fp array<long>")
+    rows = []
+
+    class Counted(simhash.Scratch):
+        def cut(self, df):
+            out = super().cut(df)
+            if {"k", "v"} <= set(out.columns):
+                rows.append(out.count())
+            return out
+
+    got = {frozenset((r["a"], r["b"])) for r in simhash.links(entries, Counted(spark), scheme).collect() if r["a"] != r["b"]}
+    assert {x for pair in got for x in pair} == {0} | {1000 + k for k in range(0, 120, 10)}
+    assert sum(rows) < 21 * len(prints)
