@@ -1,9 +1,11 @@
 """First hits of rays on meshes, by a tree of cells over each mesh.
 
 A level has cells a quarter as long as the one above. A triangle lives at the level of its own extent, so it is in two
-cells an axis there, however small or large it is among the others. Rays go down the tree through the cells that they
-pass and that hold something, level by level: empty space costs nothing. What is left is a list of cells a ray, by the
-distance at which it enters; these are tested front to back, in rounds, until a hit is nearer than the next cell.
+cells an axis there, however small or large it is among the others. Many large triangles with many rays live at a finer
+level, chosen by the counts: a ray meets few of them in its first cells, for more cells a triangle. Rays go down the tree
+through the cells that they pass and that hold something, level by level: empty space costs nothing. What is left is a list
+of cells a ray, by the distance at which it enters; these are tested front to back, in rounds, until a hit is nearer than the
+next cell. A round deals the rays of a cell to blocks by the number of tests, not by bytes.
 """
 
 from __future__ import annotations
@@ -17,42 +19,89 @@ from facetwise.scratch import Scratch
 
 #: The finest level: triangles under 4^-LEVELS of a mesh's width live there. Cells of a ray in the first round, and the
 #: factor by which there are more in each.
-LEVELS, FIRST_CELLS, MORE_CELLS = 10, 4, 4
+LEVELS, FIRST_CELLS, MORE_CELLS = 10, 1, 4
+#: Cost of a triangle in a cell, in tests; how much fuller than the mean cells are where rays are; halvings of a mesh's width
+#: that large triangles are dealt at, at most; tests of a block of a cell's rays, and of a task.
+ENTRY, FULLER, HALVINGS, BLOCK, TASK = 8, 4, 9, 1_000_000, 4_000_000
 CELL = ["mesh_id", "level", "ix", "iy", "iz"]
 
 
 def _frames(tri: DataFrame) -> DataFrame:
-    """(mesh_id, gx, gy, gz, w, far): corner and width of the cube around each mesh, and its largest coordinate."""
+    """(mesh_id, gx, gy, gz, w, far, least): corner and width of the cube around each mesh, its largest coordinate, and the
+    least level of a triangle."""
     low = {x: F.min(F.least(*(F.col(p + x) for p in "abc"))) for x in "xyz"}
     high = {x: F.max(F.greatest(*(F.col(p + x) for p in "abc"))) for x in "xyz"}
     box = tri.groupBy("mesh_id").agg(*(low[x].alias("g" + x) for x in "xyz"), *(high[x].alias("h" + x) for x in "xyz"))
     width = F.greatest(*(F.col("h" + x) - F.col("g" + x) for x in "xyz"), F.lit(1e-300))
-    return box.select("mesh_id", "gx", "gy", "gz", (width * (1 + 1e-9)).alias("w"), F.greatest(*(F.abs(p + x) for p in "gh" for x in "xyz")).alias("far"))
+    return box.select("mesh_id", "gx", "gy", "gz", (width * (1 + 1e-9)).alias("w"), F.greatest(*(F.abs(p + x) for p in "gh" for x in "xyz")).alias("far"), F.lit(1).alias("least"))
+
+
+def _extent() -> Column:
+    return F.greatest(*(F.greatest(*(F.col(p + x) for p in "abc")) - F.least(*(F.col(p + x) for p in "abc")) for x in "xyz"))
+
+
+def _fitted(frames: DataFrame, tri: DataFrame, rays: DataFrame) -> DataFrame:
+    """frames with the least level and the width at which entries in cells and tests of rays cost least together.
+
+    A side of w / 2^k is level k / 2 of the cube, or of a cube twice as wide. Triangles of an extent over the side are in about
+    (extent / side + 1)^2 cells of it, of 8^k.
+    """
+    halvings = range(2, HALVINGS + 1)
+    parts = F.col("extent") / F.col("w")
+    entries = (F.sum(F.when(parts * 2**k > 1, (parts * 2**k + 1) * (parts * 2**k + 1)).otherwise(0.0)).alias(f"e{k}") for k in halvings)
+    of = tri.select("mesh_id", _extent().alias("extent")).join(frames.select("mesh_id", "w"), "mesh_id").groupBy("mesh_id").agg(*entries)
+    of = of.join(rays.groupBy("mesh_id").agg(F.count("*").alias("n_rays")), "mesh_id", "left")
+    costs = (F.struct((F.col(f"e{k}") * (ENTRY + FULLER * F.coalesce("n_rays", F.lit(0)) / 8**k)).alias("c"), F.lit(k).alias("k")) for k in halvings)
+    k = of.select("mesh_id", F.array_min(F.array(*costs))["k"].alias("k"))
+    out = frames.drop("least").join(k, "mesh_id").withColumn("least", F.ceil(F.col("k") / 2).cast("int"))
+    return out.withColumn("w", F.when(F.col("k") % 2 == 1, F.col("w") * 2).otherwise(F.col("w"))).drop("k")
 
 
 def _side(level: Column) -> Column:
     return F.col("w") * F.pow(F.lit(0.25), level.cast("double"))
 
 
+def _overlaps(x: str, y: str, reach: Column) -> Column:
+    """If no edge of a triangle keeps it from the cell around (mx, my, mz), in the projection on two axes."""
+    out = F.lit(True)
+    for p, q, r in ("abc", "bca", "cab"):
+        dx, dy = F.col(q + x) - F.col(p + x), F.col(q + y) - F.col(p + y)
+        side = lambda u, v: dx * (v - F.col(p + y)) - dy * (u - F.col(p + x))  # noqa: E731, B023
+        third, middle = side(F.col(r + x), F.col(r + y)), side(F.col("m" + x), F.col("m" + y))
+        most = reach * (F.abs(dx) + F.abs(dy)) * (1 + 1e-6)
+        out = out & (middle + most >= F.least(third, F.lit(0.0))) & (middle - most <= F.greatest(third, F.lit(0.0)))
+    return out
+
+
 def _cells(tri: DataFrame, frames: DataFrame) -> DataFrame:
     """tri with the cells that each triangle touches: at its own level at most two an axis (four if it is larger than a
-    quarter of the mesh), and of these only cells that its plane meets."""
+    quarter of the mesh), more only where the mesh has a finer least level. Columns of cells are cut by the triangle's
+    outline, what is left of them by its plane, so the rows made grow with the cells touched."""
     low = {x: F.least(*(F.col(p + x) for p in "abc")) for x in "xyz"}
     high = {x: F.greatest(*(F.col(p + x) for p in "abc")) for x in "xyz"}
-    extent = F.greatest(*(high[x] - low[x] for x in "xyz"))
-    level = F.when(extent > F.col("w") * 0.25**LEVELS, F.floor(F.log2(F.col("w") / F.when(extent > 0, extent)) / 2)).otherwise(LEVELS)
-    t = tri.join(frames, "mesh_id").withColumn("level", F.least(F.greatest(level, F.lit(1)), F.lit(LEVELS)).cast("int"))
+    t = tri.join(frames, "mesh_id").withColumn("extent", _extent())
+    level = F.when(F.col("extent") > F.col("w") * 0.25**LEVELS, F.floor(F.log2(F.col("w") / F.when(F.col("extent") > 0, F.col("extent"))) / 2)).otherwise(LEVELS)
+    t = t.withColumn("level", F.least(F.greatest(level, "least"), F.lit(LEVELS)).cast("int"))
     t = t.withColumn("s", _side(F.col("level"))).withColumn("eps", F.col("s") * 1e-6 + F.col("far") * 1e-15)
     last = F.expr("shiftleft(1L, level * 2) - 1")
-    for x in "xyz":
-        at = [F.least(F.greatest(F.floor((v - F.col("g" + x)) / F.col("s")), F.lit(0).cast("long")), last) for v in (low[x] - F.col("eps"), high[x] + F.col("eps"))]
-        t = t.withColumn("i" + x, F.explode(F.sequence(*at)))
+    at = lambda v, x: F.least(F.greatest(F.floor((v - F.col("g" + x)) / F.col("s")), F.lit(0).cast("long")), last)
+    reach = F.col("s") / 2 + F.col("eps")
     a, b, c = G.point("a"), G.point("b"), G.point("c")
-    n = G.cross(G.sub(b, a), G.sub(c, a))
-    middle = tuple(F.col("g" + x) + (F.col("i" + x) + 0.5) * F.col("s") for x in "xyz")
-    reach = (F.col("s") / 2 + F.col("eps")) * (F.abs(n[0]) + F.abs(n[1]) + F.abs(n[2])) * (1 + 1e-6)
-    meets = F.abs(G.dot(n, G.sub(middle, a))) <= reach
-    return t.where(meets).select(*CELL, "tri", *(p + x for p in "abc" for x in "xyz"))
+    t = t.withColumns(dict(zip(("nx", "ny", "nz"), G.cross(G.sub(b, a), G.sub(c, a)), strict=True)))
+    for x in "xy":
+        t = t.withColumn("i" + x, F.explode(F.sequence(at(low[x] - F.col("eps"), x), at(high[x] + F.col("eps"), x))))
+    t = t.withColumns({"m" + x: F.col("g" + x) + (F.col("i" + x) + 0.5) * F.col("s") for x in "xy"}).where(_overlaps("x", "y", reach))
+    # The plane over a column of cells: between these two, unless it is steep.
+    flat = F.abs("nz") > (F.abs("nx") + F.abs("ny")) * 1e-3
+    over = F.col("az") - (F.col("nx") * (F.col("mx") - F.col("ax")) + F.col("ny") * (F.col("my") - F.col("ay"))) / F.when(flat, F.col("nz"))
+    about = (F.abs("nx") + F.abs("ny")) * reach * (1 + 1e-6) / F.when(flat, F.abs("nz")) + F.col("eps")
+    t = t.withColumns({"over": over, "about": about})
+    t = t.withColumn("from", F.greatest(low["z"] - F.col("eps"), F.col("over") - F.col("about"))).withColumn("to", F.least(high["z"] + F.col("eps"), F.col("over") + F.col("about"))).where("`from` <= `to`")
+    t = t.withColumn("iz", F.explode(F.sequence(at(F.col("from"), "z"), at(F.col("to"), "z"))))
+    t = t.withColumn("mz", F.col("gz") + (F.col("iz") + 0.5) * F.col("s"))
+    n, middle = (F.col("nx"), F.col("ny"), F.col("nz")), (F.col("mx"), F.col("my"), F.col("mz"))
+    meets = F.abs(G.dot(n, G.sub(middle, a))) <= reach * (F.abs(n[0]) + F.abs(n[1]) + F.abs(n[2])) * (1 + 1e-6)
+    return t.where(meets & _overlaps("x", "z", reach) & _overlaps("y", "z", reach)).select(*CELL, "tri", *(p + x for p in "abc" for x in "xyz"))
 
 
 def _tree(cells: DataFrame) -> DataFrame:
@@ -82,15 +131,36 @@ def _passed(rows: DataFrame, level: int) -> DataFrame:
     return below.where(inside & (F.col("enter") <= F.col("leave"))).drop("leave")
 
 
-def _hit() -> Column:
-    """Where a ray meets a triangle, in units of its direction; null if it does not."""
+def _met(rows: DataFrame) -> DataFrame:
+    """rows with t, where a ray meets a triangle, in units of its direction; null if it does not. In steps, so that each part
+    is computed once."""
     a, o, d = G.point("a"), G.point("o"), G.point("d")
     e1, e2 = G.sub(G.point("b"), a), G.sub(G.point("c"), a)
     h, s = G.cross(d, e2), G.sub(o, a)
-    det = G.dot(e1, h)
-    safe, q = F.when(F.abs(det) > 1e-14, det), G.cross(s, e1)
-    u, v, t = G.dot(s, h) / safe, G.dot(d, q) / safe, G.dot(e2, q) / safe
-    return F.when((u >= 0) & (v >= 0) & (u + v <= 1) & (t > 1e-9), t)
+    rows = rows.withColumns({f"{n}{x}": v for n, p in (("h", h), ("q", G.cross(s, e1))) for x, v in zip("xyz", p, strict=True)})
+    h, q, det = G.point("h"), G.point("q"), F.col("det")
+    rows = rows.withColumn("det", G.dot(e1, h)).withColumn("det", F.when(F.abs(det) > 1e-14, det))
+    rows = rows.withColumns({"u": G.dot(s, h) / det, "v": G.dot(d, q) / det, "t": G.dot(e2, q) / det})
+    return rows.withColumn("t", F.expr("if(u >= 0 and v >= 0 and u + v <= 1 and t > 1e-9, t, null)"))
+
+
+def _nearest(asked: DataFrame, cells: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
+    """(mesh_id, ray, distance): the nearest hits of rays in the cells that asked names. held has the triangles of a cell
+    (n_tri). The rays of a cell are dealt to blocks of about BLOCK tests, and tasks get about TASK."""
+    sizes = asked.groupBy(*CELL).agg(F.count("*").alias("n_asks")).join(held, CELL)
+    tests = F.col("n_asks") * F.col("n_tri")
+    sizes = scratch.cut(sizes.select(*CELL, tests.alias("tests"), F.least(F.col("n_asks"), F.ceil(tests / F.lit(BLOCK))).cast("int").alias("blocks")))
+    total = sizes.agg(F.sum("tests")).first()[0] or 0
+    spark = asked.sparkSession
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK)), 20_000)
+    rays = asked.join(sizes, CELL).withColumn("block", F.pmod(F.xxhash64("ray"), F.col("blocks")).cast("int")).drop("tests", "blocks")
+    tris = cells.join(sizes, CELL).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("tests", "blocks")
+    key = [*CELL, "block"]
+    pairs = rays.repartition(n, *key).join(tris.repartition(n, *key).hint("merge"), key)
+    pairs = _met(pairs.where(F.col("own_tri").isNull() | (F.col("own_tri") != F.col("tri"))))
+    out = scratch.cut(pairs.groupBy("mesh_id", "ray").agg(F.min("t").alias("distance")).where("distance is not null"))
+    scratch.drop(sizes)
+    return out
 
 
 def ray_hits(tri: DataFrame, rays: DataFrame, own: str | None = None, scratch: Scratch | None = None) -> DataFrame:
@@ -103,12 +173,13 @@ def ray_hits(tri: DataFrame, rays: DataFrame, own: str | None = None, scratch: S
     scratch = scratch or Scratch(tri.sparkSession)
     known = lambda df, names: df.where(F.expr(" and ".join(f"{c} is not null and not isnan({c})" for c in names)))
     t = known(tri, [p + x for p in "abc" for x in "xyz"])
-    frames = written(_frames(t))  # a row a mesh
+    r = known(rays, [p + x for p in "od" for x in "xyz"]).where(F.greatest(*(F.abs("d" + x) for x in "xyz")) > 0)
+    r = r.select("mesh_id", "ray", *(p + x for p in "od" for x in "xyz"), (F.col(own) if own else F.lit(None).cast("long")).alias("own_tri"))
+    frames = written(_fitted(written(_frames(t)), t, r))  # a row a mesh
     cells = scratch.cut(_cells(t, frames))
     tree = scratch.cut(_tree(cells))
+    held = scratch.cut(cells.groupBy(*CELL).agg(F.count("*").alias("n_tri")))
     deepest = cells.agg(F.max("level")).first()[0] or 0
-    r = known(rays, [p + x for p in "od" for x in "xyz"]).where(F.greatest(*(F.abs("d" + x) for x in "xyz")) > 0)
-    r = r.select("mesh_id", "ray", *(p + x for p in "od" for x in "xyz"), (F.col(own) if own else F.lit(None).cast("long")).alias("own_tri"))
     now = r.join(frames, "mesh_id").withColumns({i: F.lit(0).cast("long") for i in CELL[2:]})
     found = None
     for level in range(1, deepest + 1):
@@ -123,9 +194,7 @@ def ray_hits(tri: DataFrame, rays: DataFrame, own: str | None = None, scratch: S
     open_ = scratch.cut(found.withColumn("turn", F.row_number().over(turn)))
     best, upto = [], FIRST_CELLS
     while True:
-        tested = open_.where(F.col("turn") <= upto).join(cells, CELL)
-        tested = tested.where(F.col("own_tri").isNull() | (F.col("own_tri") != F.col("tri"))).withColumn("t", _hit()).where("t is not null")
-        best.append(scratch.cut(tested.groupBy("mesh_id", "ray").agg(F.min("t").alias("distance"))))
+        best.append(_nearest(open_.where(F.col("turn") <= upto), cells, held, scratch))
         so_far = best[0]
         for more in best[1:]:
             so_far = so_far.unionByName(more)

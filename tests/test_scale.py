@@ -210,6 +210,30 @@ def test_cells_of_a_triangle_are_few(spark):
     assert len(per) == 2001 and max(r["count"] for r in per if r["tri"] < 2000) <= 8 and max(r["count"] for r in per) <= 64
 
 
+def test_rays_in_a_soup_of_large_triangles_meet_few(spark, monkeypatch):
+    from facetwise.operators import rays
+
+    rng = np.random.default_rng(8)
+    tri = [("m", k, *map(float, p)) for k, p in enumerate(rng.uniform(-1, 1, (3000, 9)))]
+    ray = [("m", k, k, *(sum(p[x::3]) / 3 for x in range(3)), 0.0, 0.0, 1.0) for _, k, *p in tri]
+    t, r = spark.createDataFrame(tri, TRI), spark.createDataFrame(ray, RAY)
+
+    def met(frames):
+        """Triangles in the cells of the rays' origins."""
+        (f,), near = frames.collect(), {}
+        for x in rays._cells(t, frames).where("level = %d" % f["least"]).collect():
+            near.setdefault((x["ix"], x["iy"], x["iz"]), set()).add(x["tri"])
+        at = [tuple(int((o - f[g]) // (f["w"] / 4 ** f["least"])) for o, g in zip(x[3:6], ("gx", "gy", "gz"), strict=True)) for x in ray]
+        assert all(k in near[c] for k, c in enumerate(at))
+        return sum(len(near[c]) for c in at)
+
+    fitted, before = met(rays._fitted(rays._frames(t), t, r)), met(rays._frames(t))
+    assert 2 * fitted < before
+    monkeypatch.setattr(rays, "BLOCK", 500)
+    got = {(x["mesh_id"], x["ray"]): x["distance"] for x in fidelity.ray_hits(t, r, own="own").collect()}
+    assert got == pytest.approx(first_hits(tri, ray), rel=1e-9, abs=1e-9)
+
+
 # ---- matching ----
 
 ENTITY = "model string, pid string, tag long, fp string, dim int, mass double, xlo double, ylo double, zlo double, xhi double, yhi double, zhi double"
