@@ -13,6 +13,7 @@ a task that runs again gives the same names. A key has one row a shard at most,
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ _GAP = re.compile(b"[ \t\xff]")
 #: holds a whole shard of entries.
 _WORDS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("ahead", pa.int32()), ("own", pa.int64()), ("word", pa.binary()), ("entry", pa.int64())])
 _PAIRS = pa.schema([("shard", pa.int64()), ("codes", pa.binary()), ("ahead", pa.int32()), ("l", pa.int64()), ("r", pa.int64()), ("entry", pa.int64())])
+#: Entries of pairs are shuffled by so many slices of their keys, one after the other, so that disk holds one slice's shuffle.
+SLICES = 4
 #: Rows of an Arrow batch.
 ROWS = 65_536
 
@@ -187,25 +190,30 @@ def phrases(docs: DataFrame, spark: SparkSession, *, least: int = 30, longest: i
     scratch = Scratch(spark)
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     cut = scratch.cut(shards(rows, longest, shard_words))
-    total = cut.groupBy("lang").agg(F.sum("own").alias("n"))
+    total = scratch.cut(cut.groupBy("lang").agg(F.sum("own").alias("n")))
     named = scratch.cut(_named(cut.where("entry is not null"), ["lang", "word"], least))
+    slices = [named]
     none = F.array().cast("array<long>")
     word = F.col("word").cast("string")
     tables = [scratch.cut(named.where("is_first").select("name", "lang", word.alias("phrase"), word.alias("last"), "f", F.lit(None).cast("long").alias("l"), F.lit(None).cast("long").alias("r"), none.alias("firsts"), none.alias("lasts")))]
     for level in range(1, longest):
-        sequences = cut.where("codes is not null").select("shard", "codes", "ahead").groupBy("shard").cogroup(named.select("shard", "code", "name").groupBy("shard"))
+        codes = scratch.cut(cut.where("codes is not null").select("shard", "codes", "ahead"))  # entries are counted: they can go
+        scratch.drop(cut)
+        sequences = codes.groupBy("shard").cogroup(named.select("shard", "code", "name").groupBy("shard"))
         after = scratch.cut(sequences.applyInArrow(_renamed(level, level + 1 == longest), _ddl(_PAIRS)))
-        pairs = scratch.cut(_named(after.where("entry is not null"), ["l", "r"], least))
-        if level > 1:  # the words' shards also hold the totals
-            scratch.drop(cut)
-        scratch.drop(named)
-        cut, named = after, pairs
+        for table in (codes, *slices):
+            scratch.drop(table)
+        of = F.pmod(F.xxhash64("l", "r"), F.lit(SLICES))
+        slices = [scratch.cut(_named(after.where(F.col("entry").isNotNull() & (of == k)), ["l", "r"], least)) for k in range(SLICES)]
+        cut, named = after, reduce(DataFrame.unionAll, slices)
         below = tables[-1]
         left = below.select(F.col("name").alias("l"), "lang", F.col("phrase").alias("begin"), F.col("f").alias("lf"), "firsts")
         right = below.select(F.col("name").alias("r"), F.col("last"), F.col("f").alias("rf"), "lasts")
-        out = pairs.where("is_first").select("name", "f", "l", "r").join(left, "l").join(right, "r")
+        out = named.where("is_first").select("name", "f", "l", "r").join(left, "l").join(right, "r")
         grown = F.concat("firsts", F.array("lf")).alias("firsts"), F.concat("lasts", F.array("rf")).alias("lasts")
         tables.append(scratch.cut(out.select("name", "lang", F.concat_ws(" ", "begin", "last").alias("phrase"), "last", "f", "l", "r", *grown)))
+    for table in (cut, *slices):
+        scratch.drop(table)
     return tables, total
 
 

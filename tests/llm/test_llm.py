@@ -1080,3 +1080,15 @@ def test_a_crowd_asks_in_no_key_of_a_few(spark):
     got = {frozenset((r["a"], r["b"])) for r in simhash.links(entries, Counted(spark), scheme).collect() if r["a"] != r["b"]}
     assert {x for pair in got for x in pair} == {0} | {1000 + k for k in range(0, 120, 10)}
     assert sum(rows) < 21 * len(prints)
+
+
+def test_collocations_keep_only_phrases_on_disk(spark, monkeypatch):
+    """Entries, sequences and names go once they are used, and no shuffle file of a written table stays."""
+    from facetwise.llm import collocations as module
+
+    made = []
+    monkeypatch.setattr(module, "Scratch", lambda s: made.append(Scratch(s)) or made[0])
+    docs = spark.createDataFrame([("a b c d", "en")] * 40 + [("b c d e", "en")] * 40, "text string, lang string")
+    tables, total = module.phrases(docs, spark, shard_words=50)
+    assert sorted(made[0].paths.values()) == sorted(made[0].paths[t] for t in (*tables, total))
+    assert [t.count() for t in tables] == [5, 4, 3, 2] and total.first()["n"] == 320
